@@ -35,3 +35,137 @@ def sparse_topk_at(spark, sf_dir, distance=0.5, k=10) -> DataFrame:
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: each document (its lines as fragments) -> best benchmark items."""
     return sparse_topk_at(spark, sf_dir, distance=0.5, k=10)
+
+
+# ---------------------------------------------------------------- scans and text columns
+from ..functions import jsontext as J  # noqa: E402
+from ..functions import rules as R  # noqa: E402
+from ..operators.common import batch_number, dense_index  # noqa: E402
+from ..sources import corpus  # noqa: E402
+
+# Binding parameters for the pages table (URLs stand in for file paths).
+PAGE_SUFFIXES = (".html",)
+PAGE_PRUNE = (".", "test", "target", "build", "ads-", "m.")
+
+
+def page_relpath(url_col="url"):
+    """host/path of a URL: scheme, query and fragment removed."""
+    return F.regexp_replace(F.regexp_replace(F.col(url_col), "^[a-z]+://", ""), "[?#].*$", "")
+
+
+@query
+def corpus_scan(spark, sf_dir):
+    """SRC-1/SRC-2: suffix any-of and directory-prefix pruning over URL paths."""
+    p = table(spark, sf_dir, "pages").select("page_id", page_relpath().alias("path"))
+    kept = p.where(corpus.has_suffix("path", PAGE_SUFFIXES) & ~corpus.pruned("path", PAGE_PRUNE))
+    return kept.select("page_id", "path", F.size(F.split("path", "/")).alias("depth"),
+                       T.base_name("path").alias("name"))
+
+
+@query
+def line_count(spark, sf_dir):
+    """COL-1 / SRC-3."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.line_count("text").alias("line_count"))
+
+
+@query
+def rule_classify(spark, sf_dir):
+    """COL-2 over pages (URL as path, HTML as content)."""
+    p = table(spark, sf_dir, "pages")
+    reason = R.dao_reason(F.col("url"), F.col("html"), suffix=".html")
+    return p.select("page_id", reason.alias("reason")).withColumn("is_dao", R.is_dao("reason"))
+
+
+@query
+def code_normalise(spark, sf_dir):
+    """COL-3 / WIN-4 over page HTML: one row per output line with its nesting level."""
+    from ..operators.textops import normalise_code_lines
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    return normalise_code_lines(p, "page_id", "html")
+
+
+@query
+def fragments(spark, sf_dir):
+    """COL-4 with the newline delimiter (the documents hold no blank-line breaks)."""
+    return _doc_lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("pos"),
+                                            F.col("line").alias("fragment"))
+
+
+def _json_variant():
+    """events.props rewritten into the answer shapes a model returns."""
+    p = F.col("props")
+    v = F.pmod(F.col("event_id"), F.lit(6))
+    return (F.when(v == 0, p)
+            .when(v == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```")))
+            .when(v == 2, F.concat(F.lit("["), p, F.lit("]")))
+            .when(v == 3, F.lit("  \n "))
+            .when(v == 4, F.lit("```json\n\n```"))
+            .otherwise(F.substring(p, 1, 5)))
+
+
+@query
+def json_status(spark, sf_dir):
+    """COL-5: normalise answers and classify them (ok / empty / not_object / invalid)."""
+    e = table(spark, sf_dir, "events").select("event_id", _json_variant().alias("answer"))
+    st = J.response_status("answer")
+    body = J.response_body("answer")
+    return e.select("event_id", st.alias("status"),
+                    F.when(st == "ok", body).alias("body"),
+                    F.when(st == "ok", F.get_json_object(body, "$.k").cast("bigint")).alias("k"))
+
+
+def _marked():
+    t = F.col("text")
+    v = F.pmod(F.col("turn"), F.lit(4))
+    return (F.when(v == 0, F.concat(F.lit("DELIMITER_CODE_START@"), t, F.lit("@DELIMITER_CODE_END")))
+            .when(v == 1, F.concat(F.lit("DELIMITER_CODE_START"), t, F.lit("DELIMITER_CODE_END")))
+            .when(v == 2, F.concat(F.lit("DELIMITER_CODE_START@DELIMITER_CODE_START"), t))
+            .otherwise(t))
+
+
+@query
+def prune_delims(spark, sf_dir):
+    """COL-6 on scalars and on every element of an array."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", _marked().alias("m"))
+    return c.select("conv_id", "turn", T.prune_code_delimiters("m").alias("pruned"),
+                    F.array_join(T.prune_code_delimiters_array(F.split("m", "\n")), "|").alias("pruned_lines"))
+
+
+@query
+def row_json(spark, sf_dir):
+    """COL-7: customer rows as JSON without the excluded keys."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", J.row_json(c, exclude=("c_acctbal", "c_mktsegment")).alias("json"))
+
+
+def _line_answer():
+    k = F.get_json_object("props", "$.k")
+    v = F.pmod(F.col("event_id"), F.lit(4))
+    return (F.when(v == 0, F.concat(F.lit('{"start_line": "'), k, F.lit('"}')))
+            .when(v == 1, F.concat(F.lit('{"start_line": '), k, F.lit("}")))
+            .when(v == 2, F.lit("{}"))
+            .otherwise(F.concat(F.lit('{"start_line": "'), k, F.lit('a"}'))))
+
+
+@query
+def default_cast(spark, sf_dir):
+    """COL-8: missing -> -1, numeric -> int, other text -> null plus quarantine column."""
+    e = table(spark, sf_dir, "events").select("event_id", _line_answer().alias("a"))
+    raw = F.get_json_object("a", "$.start_line")
+    return e.select("event_id", J.int_or_default(raw).alias("start_line"),
+                    J.quarantine(raw).alias("bad_start_line"))
+
+
+@query
+def basename(spark, sf_dir):
+    """COL-9."""
+    return table(spark, sf_dir, "pages").select("page_id", T.base_name("url").alias("name"))
+
+
+@query
+def dense_id_batches(spark, sf_dir):
+    """COL-10 / COL-11: dense 0-based id over (o_custkey, o_orderkey), batches of 100."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    ix = dense_index(o, ["o_custkey", "o_orderkey"], index_col="idx")
+    return ix.select("o_orderkey", "o_custkey", "idx", batch_number("idx", 100).alias("batch"))

@@ -22,3 +22,114 @@ best AS (SELECT doc_id, item_id, max(s) AS similarity FROM frag WHERE s >= 1 - 0
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id DESC) AS rank FROM best)
 SELECT doc_id, item_id, round(similarity, 6) AS similarity, rank FROM ranked WHERE rank <= 10
 """
+
+
+def _prune_sql(x: str) -> str:
+    """Chained prefix/suffix removal, written without regular expressions."""
+    e = x
+    for p in ("DELIMITER_CODE_START@", "DELIMITER_CODE_START"):
+        e = f"(CASE WHEN starts_with({e}, '{p}') THEN substr({e}, {len(p) + 1}) ELSE {e} END)"
+    for s in ("@DELIMITER_CODE_END", "DELIMITER_CODE_END"):
+        e = f"(CASE WHEN ends_with({e}, '{s}') THEN left({e}, length({e}) - {len(s)}) ELSE {e} END)"
+    return e
+
+
+def _rules_sql(path: str, content: str, suffix: str) -> str:
+    from ..functions.rules import RULES
+    parts = [f"WHEN NOT ends_with({path}, '{suffix}') THEN 'not_source'",
+             f"WHEN contains(lower({path}), 'dao') THEN 'path'"]
+    for name, pat in RULES:
+        if name == "annotation":
+            continue
+        parts.append(f"WHEN regexp_matches(coalesce({content}, ''), '{pat}') THEN '{name}'")
+    return "CASE " + " ".join(parts) + " ELSE 'none' END"
+
+
+_LINES = """
+  SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS line,
+         generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')), 1) - 1 AS line_no
+  FROM documents"""
+
+_RELPATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+ORACLE["corpus_scan"] = f"""
+WITH p AS (SELECT page_id, {_RELPATH} AS path FROM pages),
+s AS (SELECT page_id, path, string_split(path, '/') AS segs FROM p)
+SELECT page_id, path, len(segs) AS depth, segs[-1] AS name FROM s
+WHERE ends_with(path, '.html')
+  AND NOT list_bool_or(list_transform(list_slice(segs, 1, len(segs) - 1),
+        lambda d: starts_with(d, '.') OR starts_with(d, 'test') OR starts_with(d, 'target')
+               OR starts_with(d, 'build') OR starts_with(d, 'ads-') OR starts_with(d, 'm.')))
+"""
+
+ORACLE["line_count"] = """
+SELECT doc_id, (length(text) - length(replace(text, chr(10), '')))::INTEGER AS line_count FROM documents
+"""
+
+ORACLE["rule_classify"] = f"""
+SELECT page_id, reason, reason NOT IN ('none', 'not_source') AS is_dao
+FROM (SELECT page_id, {_rules_sql('url', 'html', '.html')} AS reason FROM pages)
+"""
+
+ORACLE["code_normalise"] = r"""
+WITH t AS (
+  SELECT page_id,
+    regexp_replace(
+      regexp_replace(
+        replace(replace(replace(replace(replace(html, '\"', '"'), '\n', chr(10)), ';', ';' || chr(10)),
+                '{', '{' || chr(10)), '}', chr(10) || '}' || chr(10)),
+        '\n\s*\n', chr(10), 'g'),
+      '^\s+|\s+$', '', 'g') AS s
+  FROM pages),
+l AS (SELECT page_id, unnest(string_split(s, chr(10))) AS raw, generate_subscripts(string_split(s, chr(10)), 1) - 1 AS pos FROM t),
+f AS (SELECT page_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS s FROM l),
+g AS (SELECT *, (CASE WHEN ends_with(s, '{') THEN 1 ELSE 0 END) AS o,
+             (CASE WHEN starts_with(s, '}') THEN 1 ELSE 0 END) AS c FROM f),
+h AS (SELECT page_id, pos, s, (sum(o - c) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - o)::INTEGER AS level FROM g)
+SELECT page_id, pos, level, repeat('    ', greatest(level, 0)) || s AS line FROM h
+"""
+
+ORACLE["fragments"] = f"SELECT doc_id, line_no AS pos, line AS fragment FROM ({_LINES})"
+
+_VARIANT = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```'
+  WHEN 2 THEN '[' || props || ']' WHEN 3 THEN '  ' || chr(10) || ' ' WHEN 4 THEN '```json' || chr(10) || chr(10) || '```'
+  ELSE substr(props, 1, 5) END"""
+
+ORACLE["json_status"] = rf"""
+WITH a AS (SELECT event_id, regexp_replace({_VARIANT}, '^\s+|\s+$', '', 'g') AS s FROM events),
+b AS (SELECT event_id, s, CASE WHEN starts_with(s, '```json' || chr(10)) AND ends_with(s, chr(10) || '```')
+        THEN (CASE WHEN length(s) >= 12 THEN substr(s, 9, length(s) - 12) ELSE '' END) ELSE s END AS body FROM a),
+c AS (SELECT event_id, body, CASE WHEN s = '' THEN 'empty' WHEN body = '' THEN 'empty'
+        WHEN NOT json_valid(body) THEN 'invalid' WHEN json_type(body::JSON) = 'OBJECT' THEN 'ok' ELSE 'not_object' END AS status FROM b)
+SELECT event_id, status, CASE WHEN status = 'ok' THEN body END AS body,
+       CASE WHEN status = 'ok' THEN json_extract_string(body, '$.k')::BIGINT END AS k FROM c
+"""
+
+_MARKED = """CASE turn % 4 WHEN 0 THEN 'DELIMITER_CODE_START@' || text || '@DELIMITER_CODE_END'
+  WHEN 1 THEN 'DELIMITER_CODE_START' || text || 'DELIMITER_CODE_END'
+  WHEN 2 THEN 'DELIMITER_CODE_START@DELIMITER_CODE_START' || text ELSE text END"""
+
+ORACLE["prune_delims"] = f"""
+WITH c AS (SELECT conv_id, turn, {_MARKED} AS m FROM conversations)
+SELECT conv_id, turn, {_prune_sql('m')} AS pruned,
+       array_to_string(list_transform(string_split(m, chr(10)), lambda x: {_prune_sql('x')}), '|') AS pruned_lines
+FROM c
+"""
+
+_LINE_ANSWER = """CASE event_id % 4 WHEN 0 THEN '{"start_line": "' || json_extract_string(props, '$.k') || '"}'
+  WHEN 1 THEN '{"start_line": ' || json_extract_string(props, '$.k') || '}'
+  WHEN 2 THEN '{}' ELSE '{"start_line": "' || json_extract_string(props, '$.k') || 'a"}' END"""
+
+ORACLE["default_cast"] = f"""
+WITH a AS (SELECT event_id, json_extract_string({_LINE_ANSWER}, '$.start_line') AS raw FROM events)
+SELECT event_id, CASE WHEN raw IS NULL THEN -1 ELSE TRY_CAST(raw AS INTEGER) END AS start_line,
+       CASE WHEN raw IS NOT NULL AND TRY_CAST(raw AS INTEGER) IS NULL THEN raw END AS bad_start_line
+FROM a
+"""
+
+ORACLE["basename"] = "SELECT page_id, string_split(url, '/')[-1] AS name FROM pages"
+
+ORACLE["dense_id_batches"] = """
+SELECT o_orderkey, o_custkey, idx, (idx // 100) AS batch FROM (
+  SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS idx FROM orders)
+"""
