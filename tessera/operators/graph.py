@@ -85,8 +85,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX
               .where(F.col("cs") == F.col("cd")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         seed = colour.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))
         found = _propagate_max(seed, cut_lineage(ce))
-        assigned = (found.where("label = 1").join(colour, "id")
-                    .select("id", colour["label"].alias("scc")))
+        assigned = (found.where("label = 1").select("id")
+                    .join(colour.select("id", F.col("label").alias("scc")), "id"))
         assigned = cut_lineage(assigned)
         done = assigned if done is None else cut_lineage(done.unionByName(assigned))
         active = cut_lineage(active.join(assigned.select("id"), "id", "left_anti"))

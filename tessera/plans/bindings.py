@@ -169,3 +169,103 @@ def dense_id_batches(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     ix = dense_index(o, ["o_custkey", "o_orderkey"], index_col="idx")
     return ix.select("o_orderkey", "o_custkey", "idx", batch_number("idx", 100).alias("batch"))
+
+
+# ---------------------------------------------------------------- reference graph
+from ..functions import symbols as S  # noqa: E402
+from ..operators import graph as G  # noqa: E402
+
+# Binding parameter: documents declare the first capitalised word and use all of them.
+WORD_SYMBOL = "[A-Z][a-z]{3,}"
+
+
+def _declares(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("path"), S.first_symbol("text", WORD_SYMBOL).alias("symbol"))
+
+
+def _uses(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    used = S.used_symbols("text", WORD_SYMBOL, group=0, strip=False)
+    return d.select(F.col("doc_id").alias("path"), F.explode(used).alias("symbol"))
+
+
+def _edges(spark, sf_dir):
+    return G.reference_edges(_uses(spark, sf_dir), G.symbol_owner(_declares(spark, sf_dir)))
+
+
+def _nodes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+
+
+def _relaxed(spark, sf_dir):
+    return G.relax_cycles(_nodes(spark, sf_dir), _edges(spark, sf_dir))[0]
+
+
+def _levels(spark, sf_dir):
+    return G.dependency_levels(_nodes(spark, sf_dir), _relaxed(spark, sf_dir))
+
+
+@query
+def declares(spark, sf_dir):
+    """COL-16 + AGG-2: declared symbols per document, documents without any included."""
+    files = _nodes(spark, sf_dir).withColumnRenamed("id", "path")
+    per = G.symbols_per_file(files, _declares(spark, sf_dir))
+    return per.select(F.col("path").alias("doc_id"), F.array_join("symbols", ",").alias("symbols"),
+                      F.size("symbols").alias("n_symbols"))
+
+
+@query
+def uses(spark, sf_dir):
+    """COL-17: distinct used symbols per document."""
+    return _uses(spark, sf_dir).select(F.col("path").alias("doc_id"), "symbol")
+
+
+@query
+def symbol_owner(spark, sf_dir):
+    """AGG-1: owner per symbol, greatest declaring id wins."""
+    return G.symbol_owner(_declares(spark, sf_dir)).select("symbol", F.col("path").alias("doc_id"))
+
+
+@query
+def reference_edges(spark, sf_dir):
+    """JOIN-1 / GRF-1."""
+    return _edges(spark, sf_dir)
+
+
+@query
+def relaxed_edges(spark, sf_dir):
+    """GRF-2 / SET-3: edges left after removing src < dst edges inside each SCC."""
+    return _relaxed(spark, sf_dir)
+
+
+@query
+def dep_levels(spark, sf_dir):
+    """GRF-3 / GRF-4."""
+    return _levels(spark, sf_dir)
+
+
+@query
+def level_sizes(spark, sf_dir):
+    """AGG-11."""
+    return G.level_sizes(_levels(spark, sf_dir))
+
+
+@query
+def components(spark, sf_dir):
+    """GRF-6 over the unrelaxed edges."""
+    return G.weak_components(_nodes(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@query
+def successor_changes(spark, sf_dir):
+    """JOIN-7 / GRF-7: per node, its direct successors and those that carry a change
+    (a document with a ``labels`` row of quality 1)."""
+    e = _relaxed(spark, sf_dir)
+    changed = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("dst"),
+                                                                         F.lit(1).alias("c"))
+    j = e.join(changed, "dst", "left")
+    return j.groupBy(F.col("src").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_successors"),
+        F.count("c").alias("n_changed"),
+        F.array_join(F.array_sort(F.collect_list(F.when(F.col("c") == 1, F.col("dst")))), ",").alias("changed"))

@@ -133,3 +133,56 @@ ORACLE["dense_id_batches"] = """
 SELECT o_orderkey, o_custkey, idx, (idx // 100) AS batch FROM (
   SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS idx FROM orders)
 """
+
+
+_GRAPH = r"""
+decl AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]{3,}', 0) AS cls FROM documents),
+owner AS (SELECT cls, max(doc_id) AS doc_id FROM decl WHERE cls <> '' GROUP BY cls),
+uses AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS cls FROM documents),
+e AS (SELECT DISTINCT u.doc_id AS src, o.doc_id AS dst FROM uses u JOIN owner o USING (cls) WHERE u.doc_id <> o.doc_id)
+"""
+
+_DAG = r"""
+tc(s, t) AS (SELECT src, dst FROM e UNION SELECT tc.s, e.dst FROM tc JOIN e ON tc.t = e.src),
+dag AS (SELECT src, dst FROM e WHERE NOT (src < dst AND EXISTS (SELECT 1 FROM tc WHERE tc.s = e.dst AND tc.t = e.src)))
+"""
+
+_LEVELS = r"""
+l(n, d) AS (SELECT doc_id, 0 FROM documents UNION SELECT dag.src, l.d + 1 FROM l JOIN dag ON dag.dst = l.n),
+lv AS (SELECT n AS id, max(d) AS level FROM l GROUP BY n)
+"""
+
+ORACLE["declares"] = r"""
+WITH decl AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]{3,}', 0) AS cls FROM documents)
+SELECT doc_id, cls AS symbols, (CASE WHEN cls = '' THEN 0 ELSE 1 END)::INTEGER AS n_symbols FROM decl
+"""
+
+ORACLE["uses"] = r"""
+SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS symbol FROM documents
+"""
+
+ORACLE["symbol_owner"] = "WITH " + _GRAPH.split("uses AS")[0].rstrip().rstrip(",") + \
+    "\nSELECT cls AS symbol, doc_id FROM owner"
+
+ORACLE["reference_edges"] = "WITH " + _GRAPH + "SELECT src, dst FROM e"
+
+ORACLE["relaxed_edges"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + "SELECT src, dst FROM dag"
+
+ORACLE["dep_levels"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + "," + _LEVELS + \
+    "SELECT id, level::INTEGER AS level FROM lv"
+
+ORACLE["level_sizes"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + "," + _LEVELS + \
+    "SELECT level::INTEGER AS level, count(*) AS n_nodes FROM lv GROUP BY level"
+
+ORACLE["components"] = "WITH RECURSIVE " + _GRAPH + r""",
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(n, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.n, u.b FROM r JOIN u ON u.a = r.m)
+SELECT n AS id, min(m) AS component FROM r GROUP BY n
+"""
+
+ORACLE["successor_changes"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + r""",
+ch AS (SELECT doc_id AS dst, 1 AS c FROM labels WHERE quality = 1)
+SELECT src AS id, count(*) AS n_successors, count(c) AS n_changed,
+       coalesce(array_to_string(list_sort(list(dst) FILTER (WHERE c = 1)), ','), '') AS changed
+FROM dag LEFT JOIN ch USING (dst) GROUP BY src
+"""
