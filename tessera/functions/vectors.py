@@ -30,6 +30,15 @@ def normalise(v) -> Column:
     return F.transform(as_double(v), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
+def with_unit(df, vec: str, out: str):
+    """Add ``out`` = ``vec`` normalised, computing the norm once per row (not per element)."""
+    tmp = f"_{out}_norm"
+    return (df.withColumn(tmp, norm(vec))
+            .withColumn(out, F.transform(as_double(vec), lambda x: F.when(F.col(tmp) > 0, x / F.col(tmp))
+                                         .otherwise(F.lit(0.0))))
+            .drop(tmp))
+
+
 def cosine(a, b) -> Column:
     """VEC-2: cosine similarity of two vectors."""
     return dot(a, b) / (norm(a) * norm(b))
@@ -57,15 +66,20 @@ def sum_vectors(arr_of_vectors, dims: int) -> Column:
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def letter_profile(text) -> Column:
-    """Default JVM-side embedding: per-letter counts (either case), L2-normalised.
+def letter_counts(text) -> Column:
+    """Per-letter counts (either case) as ``array<double>``."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return F.array(*[
+        (F.length(t) - F.length(F.regexp_replace(t, f"[{ch}{ch.upper()}]", ""))).cast("double")
+        for ch in LETTERS])
+
+
+def with_letter_profile(df, text: str, out: str, as_float: bool = True):
+    """Default JVM-side embedding: letter counts, L2-normalised (norm computed once per row).
 
     Deterministic and exactly reproducible in SQL, so the refresh job can be checked
     against an oracle; a real model plugs in through ``embed_fn`` instead.
     """
-    t = F.coalesce(_c(text), F.lit(""))
-    counts = [
-        (F.length(t) - F.length(F.regexp_replace(t, f"[{ch}{ch.upper()}]", ""))).cast("double")
-        for ch in LETTERS
-    ]
-    return normalise(F.array(*counts))
+    tmp = f"_{out}_counts"
+    df = with_unit(df.withColumn(tmp, letter_counts(text)), tmp, out).drop(tmp)
+    return df.withColumn(out, F.col(out).cast("array<float>")) if as_float else df

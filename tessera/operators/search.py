@@ -77,8 +77,8 @@ def dense_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q
     A fragment below the threshold cannot make its query's best similarity pass, so the
     threshold is applied before the max, shrinking the shuffle to passing pairs only.
     """
-    q = queries.select(qid, fid, V.normalise(q_vec).alias("_qv"))
-    c = corpus.select(cid, V.normalise(c_vec).alias("_cv"))
+    q = V.with_unit(queries.select(qid, fid, q_vec), q_vec, "_qv").select(qid, fid, "_qv")
+    c = V.with_unit(corpus.select(cid, c_vec), c_vec, "_cv").select(cid, "_cv")
     nq = q.count()
     chunks = max(1, math.ceil(nq / max_broadcast_rows))
     parts = []

@@ -269,3 +269,154 @@ def successor_changes(spark, sf_dir):
         F.count(F.lit(1)).alias("n_successors"),
         F.count("c").alias("n_changed"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("c") == 1, F.col("dst")))), ",").alias("changed"))
+
+
+# ---------------------------------------------------------------- vectors and embeddings
+from ..functions import vectors as V  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+from ..operators.common import bounded_broadcast  # noqa: E402
+
+# Binding parameters: dense search on random unit vectors needs a wide distance.
+DENSE_DISTANCE = 0.75
+# Evaluation thresholds of the pair-cosine binding (code, description).
+CODE_THRESHOLD, DESC_THRESHOLD = 0.65, 0.0
+
+
+def _weights_checksum(vec):
+    """sum((i+1) * v_i), rounded: a compact, order-sensitive fingerprint of a vector."""
+    s = F.aggregate(F.zip_with(V.as_double(vec), F.sequence(F.lit(1), F.size(vec)),
+                               lambda x, i: x * i.cast("double")),
+                    F.lit(0.0), lambda a, x: a + x)
+    return F.round(s, 6)
+
+
+@query
+def unembedded(spark, sf_dir):
+    """SET-1 / SET-2 / JOIN-2: benchmark and document texts without a stored vector
+    (documents with a ``labels`` row count as already embedded)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = (docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+              .select(EM.text_key("text").alias("key")))
+    corpus = (table(spark, sf_dir, "benchmark").select(F.col("text").alias("example"))
+              .unionByName(docs.select(F.col("text").alias("example"))))
+    miss = EM.unembedded_strings(corpus, stored, string_cols=("example",))
+    return miss.select(F.col("key").alias("text_sha"), F.length("text").alias("n_chars"))
+
+
+def _first_line(c):
+    return F.element_at(F.split(F.col(c), "\n"), 1)
+
+
+@query
+def corpus_upsert(spark, sf_dir):
+    """VEC-5 / JOIN-3 / JOIN-4: benchmark (new corpus) refreshed over a stored corpus built
+    from documents (old version); vectors are the JVM letter profile."""
+    new = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("id"), _first_line("text").alias("example"), F.col("text").alias("rewrite"))
+    old = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), _first_line("text").alias("example"), F.col("text").alias("rewrite"))
+    old = V.with_letter_profile(old, "example", "example_embedding")
+    old = V.with_letter_profile(old, "rewrite", "rewrite_embedding")
+    out = EM.refresh_corpus(new, old)
+    return out.select("id", "example", F.length("rewrite").alias("rewrite_chars"),
+                      _weights_checksum("example_embedding").alias("example_checksum"),
+                      _weights_checksum("rewrite_embedding").alias("rewrite_checksum"))
+
+
+@query
+def id_integrity(spark, sf_dir):
+    """AGG-10: duplicated (and missing) ids."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return li.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("id").isNull())
+
+
+def _pairs(spark, sf_dir):
+    """JOIN-8: case k = vector 2k, answer k = vector 2k+1, joined on the carried k."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    cases = e.where(F.pmod("vec_id", F.lit(2)) == 0).select(
+        F.floor(F.col("vec_id") / 2).alias("k"), F.col("embedding").alias("a"))
+    answers = e.where(F.pmod("vec_id", F.lit(2)) == 1).select(
+        F.floor(F.col("vec_id") / 2).alias("k"), F.col("embedding").alias("b"))
+    return cases, answers
+
+
+@query
+def pair_cosine(spark, sf_dir):
+    """VEC-2 / JOIN-8."""
+    cases, answers = _pairs(spark, sf_dir)
+    j = cases.join(answers, "k")
+    return j.select(F.col("k").alias("pair_id"), F.round(V.cosine("a", "b"), 6).alias("cosine"))
+
+
+@query
+def accuracy(spark, sf_dir):
+    """AGG-9 / COL-18: share of cases whose two similarities pass both thresholds, in percent;
+    the denominator is every case, answered or not."""
+    cases, answers = _pairs(spark, sf_dir)
+    j = cases.join(answers, "k", "left")
+    code = V.cosine(V.abs_vector("a"), V.abs_vector("b"))
+    desc = V.cosine("a", "b")
+    ok = F.when(F.col("b").isNotNull() & (code >= CODE_THRESHOLD) & (desc >= DESC_THRESHOLD), 1).otherwise(0)
+    return j.agg(F.count(F.lit(1)).alias("n_cases"), F.sum(ok).alias("n_correct"),
+                 F.round(T.percent(F.coalesce(F.avg(ok), F.lit(0.0))), 6).alias("accuracy_pct"))
+
+
+@query
+def dense_topk(spark, sf_dir):
+    """VEC-4 / JOIN-5 / AGG-3 / WIN-1 on dense vectors: one query per label (its centroid),
+    searched against every vector."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    cent = EM.mean_pool(e, ["label"], "embedding", out="centroid").withColumn("frag", F.lit(0))
+    hits = search.dense_search(cent, e, qid="label", fid="frag", q_vec="centroid", cid="vec_id",
+                               c_vec="embedding", distance=DENSE_DISTANCE, k=10)
+    return hits.select("label", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query
+def truncate_pool(spark, sf_dir):
+    """COL-15 / VEC-3 / AGG-12: first 64 tokens of each document, a token's vector is the
+    ``embeddings`` row whose id is the token length, mean-pooled per dimension."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    toks = d.select("doc_id", F.explode(T.truncate(T.word_tokens("text"), 64)).alias("tok"))
+    by_len = toks.groupBy("doc_id", F.length("tok").cast("bigint").alias("vec_id")).agg(
+        F.count(F.lit(1)).cast("double").alias("cnt"))
+    emb, _ = bounded_broadcast(table(spark, sf_dir, "embeddings").select(
+        "vec_id", V.as_double("embedding").alias("v")), 1_000_000)
+    j = by_len.join(emb, "vec_id")
+    dims = F.size(F.col("v"))
+    per = j.groupBy("doc_id").agg(
+        F.collect_list(F.struct("cnt", "v")).alias("_l"), F.sum("cnt").alias("_n"), F.max(dims).alias("_d"))
+    pooled = per.select("doc_id", F.aggregate(
+        "_l", F.array_repeat(F.lit(0.0), F.col("_d")),
+        lambda acc, x: V.add(acc, V.scale(x["v"], x["cnt"]))).alias("_s"), "_n")
+    pooled = pooled.select("doc_id", F.transform("_s", lambda x: x / F.col("_n")).alias("p"))
+    return pooled.select("doc_id", F.posexplode("p").alias("dim", "value")).select(
+        "doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query
+def embed_batch(spark, sf_dir):
+    """VEC-1 through the batch hook with the default hashed term vectors."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return EM.embed_texts(b, "text").select("item_id", "embedding")
+
+
+@query
+def notes_enrich(spark, sf_dir):
+    """JOIN-10 / JOIN-11: every user turn -> its top-10 (notes) and top-2 (answers) benchmark
+    items at the default distance; turns without hits get empty lists."""
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    q = c.select(F.struct("conv_id", "turn").alias("q"),
+                 F.posexplode(T.fragments("text", "\n\n")).alias("frag", "ftext"))
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = search.sparse_search(q, bench, qid="q", fid="frag", q_text="ftext", cid="item_id",
+                                c_text="text", distance=0.25, k=10)
+    agg = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("_h"))
+    agg = agg.select(F.col("q.conv_id").alias("conv_id"), F.col("q.turn").alias("turn"), "_h")
+    out = c.select("conv_id", "turn").join(agg, ["conv_id", "turn"], "left")
+    h = F.coalesce("_h", F.array())
+    return out.select("conv_id", "turn",
+                      F.array_join(F.transform(h, lambda x: x["item_id"].cast("string")), ",").alias("notes"),
+                      F.array_join(F.transform(F.filter(h, lambda x: x["rank"] <= 2),
+                                               lambda x: x["item_id"].cast("string")), ",").alias("answers"),
+                      F.size(h).alias("n_notes"))

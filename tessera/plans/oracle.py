@@ -20,7 +20,7 @@ frag AS (SELECT d.doc_id, d.item_id, d.dot / (sqrt(qn.qss) * sqrt(cn.css)) AS s
          FROM dots d JOIN qn USING (doc_id, line_no) JOIN cn USING (item_id)),
 best AS (SELECT doc_id, item_id, max(s) AS similarity FROM frag WHERE s >= 1 - 0.5 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id DESC) AS rank FROM best)
-SELECT doc_id, item_id, round(similarity, 6) AS similarity, rank FROM ranked WHERE rank <= 10
+SELECT doc_id, item_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM ranked WHERE rank <= 10
 """
 
 
@@ -55,7 +55,7 @@ _RELPATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')
 ORACLE["corpus_scan"] = f"""
 WITH p AS (SELECT page_id, {_RELPATH} AS path FROM pages),
 s AS (SELECT page_id, path, string_split(path, '/') AS segs FROM p)
-SELECT page_id, path, len(segs) AS depth, segs[-1] AS name FROM s
+SELECT page_id, path, len(segs)::INTEGER AS depth, segs[-1] AS name FROM s
 WHERE ends_with(path, '.html')
   AND NOT list_bool_or(list_transform(list_slice(segs, 1, len(segs) - 1),
         lambda d: starts_with(d, '.') OR starts_with(d, 'test') OR starts_with(d, 'target')
@@ -81,7 +81,7 @@ WITH t AS (
         '\n\s*\n', chr(10), 'g'),
       '^\s+|\s+$', '', 'g') AS s
   FROM pages),
-l AS (SELECT page_id, unnest(string_split(s, chr(10))) AS raw, generate_subscripts(string_split(s, chr(10)), 1) - 1 AS pos FROM t),
+l AS (SELECT page_id, unnest(string_split(s, chr(10))) AS raw, (generate_subscripts(string_split(s, chr(10)), 1) - 1)::INTEGER AS pos FROM t),
 f AS (SELECT page_id, pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS s FROM l),
 g AS (SELECT *, (CASE WHEN ends_with(s, '{') THEN 1 ELSE 0 END) AS o,
              (CASE WHEN starts_with(s, '}') THEN 1 ELSE 0 END) AS c FROM f),
@@ -89,7 +89,7 @@ h AS (SELECT page_id, pos, s, (sum(o - c) OVER (PARTITION BY page_id ORDER BY po
 SELECT page_id, pos, level, repeat('    ', greatest(level, 0)) || s AS line FROM h
 """
 
-ORACLE["fragments"] = f"SELECT doc_id, line_no AS pos, line AS fragment FROM ({_LINES})"
+ORACLE["fragments"] = f"SELECT doc_id, line_no::INTEGER AS pos, line AS fragment FROM ({_LINES})"
 
 _VARIANT = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```'
   WHEN 2 THEN '[' || props || ']' WHEN 3 THEN '  ' || chr(10) || ' ' WHEN 4 THEN '```json' || chr(10) || chr(10) || '```'
@@ -186,3 +186,102 @@ SELECT src AS id, count(*) AS n_successors, count(c) AS n_changed,
        coalesce(array_to_string(list_sort(list(dst) FILTER (WHERE c = 1)), ','), '') AS changed
 FROM dag LEFT JOIN ch USING (dst) GROUP BY src
 """
+
+
+def _letter_cols(t: str, prefix: str) -> str:
+    from ..functions.vectors import LETTERS
+    return ", ".join(f"(length({t}) - length(regexp_replace({t}, '[{ch}{ch.upper()}]', '', 'g')))::DOUBLE AS {prefix}{i}"
+                     for i, ch in enumerate(LETTERS))
+
+
+def _letter_checksum(prefix: str) -> str:
+    """round(sum((i+1) * float32(c_i / norm)), 6) with the same summation order as Spark."""
+    n = 26
+    norm = "sqrt(" + " + ".join(f"{prefix}{i} * {prefix}{i}" for i in range(n)) + ")"
+    terms = [f"(CASE WHEN {norm} > 0 THEN {prefix}{i} / {norm} ELSE 0.0 END)::FLOAT::DOUBLE * {i + 1}.0"
+             for i in range(n)]
+    return "round(" + " + ".join(terms) + ", 6)"
+
+
+ORACLE["unembedded"] = """
+WITH s AS (SELECT text FROM benchmark UNION SELECT text FROM documents),
+st AS (SELECT DISTINCT sha256(d.text) AS key FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id)
+SELECT sha256(text) AS text_sha, length(text)::INTEGER AS n_chars FROM s WHERE sha256(text) NOT IN (SELECT key FROM st)
+"""
+
+ORACLE["corpus_upsert"] = f"""
+WITH nw AS (SELECT item_id AS id, string_split(text, chr(10))[1] AS example, text AS rewrite FROM benchmark),
+od AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS example, text AS rewrite FROM documents),
+m AS (SELECT coalesce(nw.id, od.id) AS id, coalesce(nw.example, od.example) AS example,
+             coalesce(nw.rewrite, od.rewrite) AS rewrite FROM nw FULL OUTER JOIN od ON nw.id = od.id),
+c AS (SELECT id, example, rewrite, {_letter_cols('example', 'e')}, {_letter_cols('rewrite', 'r')} FROM m)
+SELECT id, example, length(rewrite)::INTEGER AS rewrite_chars,
+       {_letter_checksum('e')} AS example_checksum, {_letter_checksum('r')} AS rewrite_checksum
+FROM c
+"""
+
+ORACLE["id_integrity"] = """
+SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 OR l_orderkey IS NULL
+"""
+
+_PAIRS = """
+cases AS (SELECT vec_id // 2 AS k, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 2 = 0),
+answers AS (SELECT vec_id // 2 AS k, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 2 = 1)
+"""
+
+ORACLE["pair_cosine"] = "WITH " + _PAIRS + """
+SELECT k AS pair_id, round(list_cosine_similarity(a, b), 6) AS cosine FROM cases JOIN answers USING (k)
+"""
+
+ORACLE["accuracy"] = "WITH " + _PAIRS + """,
+j AS (SELECT c.k, c.a, x.b FROM cases c LEFT JOIN answers x ON c.k = x.k),
+s AS (SELECT CASE WHEN b IS NOT NULL
+          AND list_cosine_similarity(list_transform(a, lambda v: abs(v)), list_transform(b, lambda v: abs(v))) >= 0.65
+          AND list_cosine_similarity(a, b) >= 0.0 THEN 1 ELSE 0 END AS ok FROM j)
+SELECT count(*) AS n_cases, sum(ok)::BIGINT AS n_correct, round(coalesce(avg(ok), 0.0) * 100.0, 6) AS accuracy_pct FROM s
+"""
+
+ORACLE["dense_topk"] = """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT label, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM e),
+c AS (SELECT label, list(m ORDER BY d) AS cv FROM (SELECT label, d, avg(val) AS m FROM x GROUP BY ALL) GROUP BY label),
+s AS (SELECT c.label, e.vec_id, list_cosine_similarity(c.cv, e.v) AS similarity FROM c, e),
+f AS (SELECT * FROM s WHERE similarity >= 1 - 0.75),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id DESC) AS rank FROM f)
+SELECT label, vec_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10
+"""
+
+ORACLE["truncate_pool"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')[1:64]) AS tok FROM documents),
+j AS (SELECT t.doc_id, e.embedding::DOUBLE[] AS v FROM t JOIN embeddings e ON e.vec_id = length(t.tok)),
+x AS (SELECT doc_id, unnest(v) AS val, generate_subscripts(v, 1) - 1 AS dim FROM j)
+SELECT doc_id, dim::INTEGER AS dim, round(avg(val), 6) AS value FROM x GROUP BY doc_id, dim
+"""
+
+_NOTES_LINES = r"""
+q AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
+             generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
+      FROM conversations WHERE role = 'user'),
+qtok AS (SELECT conv_id, turn, frag, unnest(regexp_extract_all(lower(ftext), '[a-zà-ÿß]+')) AS token FROM q),
+qtf AS (SELECT conv_id, turn, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
+qn AS (SELECT conv_id, turn, frag, sum(n*n) AS qss FROM qtf GROUP BY ALL),
+ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS token FROM benchmark),
+ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
+cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
+dots AS (SELECT q.conv_id, q.turn, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
+fr AS (SELECT d.conv_id, d.turn, d.item_id, d.dot / (sqrt(qn.qss) * sqrt(cn.css)) AS s
+       FROM dots d JOIN qn USING (conv_id, turn, frag) JOIN cn USING (item_id)),
+best AS (SELECT conv_id, turn, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.25 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, item_id DESC) AS rank FROM best),
+top AS (SELECT * FROM rk WHERE rank <= 10)
+"""
+
+ORACLE["notes_enrich"] = "WITH " + _NOTES_LINES + """
+SELECT u.conv_id, u.turn,
+       coalesce(array_to_string(list(t.item_id::VARCHAR ORDER BY t.rank) FILTER (WHERE t.item_id IS NOT NULL), ','), '') AS notes,
+       coalesce(array_to_string(list(t.item_id::VARCHAR ORDER BY t.rank) FILTER (WHERE t.rank <= 2), ','), '') AS answers,
+       count(t.item_id)::INTEGER AS n_notes
+FROM (SELECT conv_id, turn FROM conversations WHERE role = 'user') u
+LEFT JOIN top t ON u.conv_id = t.conv_id AND u.turn = t.turn
+GROUP BY u.conv_id, u.turn
+"""

@@ -36,6 +36,17 @@ def _norm(v):
     return str(v)
 
 
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT",
+          "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
+def _spark_type(t):
+    if t.startswith("array<"):
+        return _spark_type(t[6:-1]) + "[]"
+    return _TYPES.get(t, t)
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -63,13 +74,18 @@ def main():
         ocols = [d[0] for d in res.description]
         orows = res.fetchall()
         t2 = time.time()
+        stypes = {f.name: _spark_type(f.dataType.simpleString()) for f in df.schema.fields}
+        otypes = {d[0]: str(d[1]) for d in res.description}
+        tdiff = {c: (stypes.get(c), otypes.get(c)) for c in stypes if stypes.get(c) != otypes.get(c)}
         h1, l1 = digest(cols, rows)
         h2, l2 = digest(ocols, orows)
-        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2
+        ok = sorted(cols) == sorted(ocols) and len(rows) == len(orows) and h1 == h2 and not tdiff
         bad += not ok
         print(f"{name:24s} rows={len(rows):7d}/{len(orows):7d} spark={t1-t0:6.2f}s duck={t2-t1:6.2f}s "
               f"{'OK' if ok else 'MISMATCH'}")
         if not ok:
+            if tdiff:
+                print("   types", tdiff)
             if sorted(cols) != sorted(ocols):
                 print("   cols", cols, ocols)
             s1, s2 = set(l1), set(l2)
