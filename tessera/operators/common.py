@@ -26,12 +26,16 @@ def dense_index(df: DataFrame, order_cols, group_cols=(), index_col: str = "idx"
     group is spread over many partitions instead of landing in one task. ``order_cols``
     must be unique within a group so that re-executed tasks number rows identically.
     """
+    from ..session import cut_lineage
+
     keys = [*group_cols, *order_cols]
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    # Range bounds are sampled per execution, so the numbered rows are materialised once
+    # (reliable checkpoint) and both the count table and the final join read that copy.
+    s = cut_lineage(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                    .withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()))
     stats = s.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -420,3 +420,210 @@ def notes_enrich(spark, sf_dir):
                       F.array_join(F.transform(F.filter(h, lambda x: x["rank"] <= 2),
                                                lambda x: x["item_id"].cast("string")), ",").alias("answers"),
                       F.size(h).alias("n_notes"))
+
+
+# ---------------------------------------------------------------- extraction over recorded answers
+from ..operators import extract as X  # noqa: E402
+
+# Flag -> complexity and priority -> effort of the bindings; the effort order.
+COMPLEXITY_OF_FLAG = {"A": "SIMPLE", "N": "MODERATE", "R": "COMPLEX"}
+EFFORT_OF_PRIORITY = {"1-URGENT": "Major", "2-HIGH": "Moderate", "3-MEDIUM": "Minor"}
+EFFORT_RANK = {"Major": 1, "Moderate": 2, "Minor": 3}
+
+
+def _map(col, mapping, default=None):
+    e = None
+    for k, v in mapping.items():
+        e = (F.when(col == k, F.lit(v)) if e is None else e.when(col == k, F.lit(v)))
+    return e.otherwise(default if default is not None else F.lit(None))
+
+
+def _complexity():
+    return _map(F.col("l_returnflag"), COMPLEXITY_OF_FLAG, F.lit("COMPLEX"))
+
+
+@query
+def context_block(spark, sf_dir):
+    """COL-12 / COL-13 / COL-14 / WIN-5: user turns are questions (numbered 1.. per
+    conversation), the next assistant turn's long lines (first two) are their results."""
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    users = conv.where(F.col("role") == "user")
+    q = dense_index(users.select("conv_id", "turn", "text"), ["turn"], ["conv_id"], index_col="_i")
+    q = q.select("conv_id", "turn", (F.col("_i") + 1).alias("q_no"), F.col("text").alias("question"))
+    asst = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"),
+        F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60)).alias("_p", "result"))
+    hits = (asst.where(F.col("_p") < 2).join(q.select("conv_id", "turn", "q_no"), ["conv_id", "turn"])
+            .select("conv_id", "q_no", (F.col("_p") + 1).alias("r_no"), "result"))
+    blk = X.context_block(q, hits, "conv_id")
+    prompt = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
+    return blk.select("conv_id", "n_questions", "n_answered",
+                      X.extend_prompt(prompt, F.col("block"), F.col("n_answered")).alias("prompt"))
+
+
+def _doc_prompts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".java"))
+    reason = R.dao_reason(path, F.col("text"))
+    route = F.when(R.is_dao(reason), F.lit("full")).otherwise(F.lit("short"))
+    header = F.when(route == "full", F.concat(F.lit("Analyze data-access file "), path, F.lit(":\n"))) \
+        .otherwise(F.concat(F.lit("Analyze file "), path, F.lit(":\n")))
+    return d.select(F.col("doc_id").alias("prompt_key"), route.alias("route"),
+                    F.concat(header, "text").alias("prompt"))
+
+
+@query
+def prompt_replay(spark, sf_dir):
+    """INF-1 / INF-2: one prompt per document routed by the classifier; recorded answers
+    (assistant turns of the conversation with the same id) attached by key."""
+    prompts = _doc_prompts(spark, sf_dir)
+    resp = (table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+            .select(F.col("conv_id").alias("prompt_key"), F.col("turn").alias("attempt"), "text"))
+    j = X.attach_responses(prompts, resp, "prompt_key")
+    return j.groupBy(F.col("prompt_key").alias("doc_id"), "route").agg(
+        F.max(F.length("prompt")).alias("prompt_chars"), F.count("text").alias("n_responses"),
+        F.min("attempt").alias("first_attempt"))
+
+
+def _attempt_text():
+    t = F.col("text")
+    v = F.pmod(F.length(t), F.lit(4))
+    return (F.when(v == 0, F.lit(""))
+            .when(v == 1, F.concat(F.lit('```json\n{"turn": '), F.col("turn").cast("string"), F.lit("}\n```")))
+            .when(v == 2, F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("]")))
+            .otherwise(t))
+
+
+@query
+def attempt_resolution(spark, sf_dir):
+    """INF-3: conversation turns are attempts; the first object-or-empty answer among the
+    first three wins."""
+    a = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("attempt"), _attempt_text().alias("text"))
+    return X.resolve_attempts(a, "conv_id", max_attempts=3)
+
+
+def _order_answers(spark, sf_dir):
+    """One JSON answer per order built from its line items (the shape of a file analysis)."""
+    li = table(spark, sf_dir, "lineitem")
+    ln = F.col("l_linenumber").cast("string")
+    start = (F.when(F.col("l_returnflag") == "N", F.lit(""))
+             .when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 1), F.lit('"start_line": "x1", '))
+             .otherwise(F.concat(F.lit('"start_line": "'), (F.col("l_linenumber") * 10).cast("string"), F.lit('", '))))
+    obj = F.concat(
+        F.lit('{"code_sample": "L'), ln, F.lit('", '), start,
+        F.lit('"end_line": '), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("string"),
+        F.lit(', "suggested_change": "use part '), F.col("l_partkey").cast("string"),
+        F.lit('", "description": "supplier '), F.col("l_suppkey").cast("string"),
+        F.lit('", "complexity": "'), _complexity(),
+        F.lit('", "warnings": ['), F.when(F.col("l_discount") >= 0.05, F.lit('"discount"')).otherwise(F.lit("")),
+        F.lit("]}"))
+    sig = F.when(F.col("l_linestatus") == "F", F.concat(
+        F.lit('{"original_signature": "f'), ln, F.lit('(int)", "new_signature": "f'), ln,
+        F.lit('(long)", "explanation": "supplier '), F.col("l_suppkey").cast("string"), F.lit('"}')))
+    qst = F.when(F.col("l_discount") >= 0.05, F.concat(F.lit('"part '), F.col("l_partkey").cast("string"), F.lit('?"')))
+    g = li.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", obj.alias("o")))).alias("_o"),
+        F.array_sort(F.collect_list(F.when(sig.isNotNull(), F.struct("l_linenumber", sig.alias("s"))))).alias("_s"),
+        F.array_sort(F.collect_list(F.when(qst.isNotNull(), F.struct("l_linenumber", qst.alias("q"))))).alias("_q"))
+    file_answer = F.concat(
+        F.lit('{"file_modifications": ['), F.array_join(F.transform("_o", lambda x: x["o"]), ", "),
+        F.lit('], "method_signature_changes": ['), F.array_join(F.transform("_s", lambda x: x["s"]), ", "),
+        F.lit("]}"))
+    q_answer = F.when(F.size("_q") > 0, F.concat(
+        F.lit('{"questions": ['), F.array_join(F.transform("_q", lambda x: x["q"]), ", "), F.lit("]}"))) \
+        .otherwise(F.lit("{}"))
+    return g.select("l_orderkey", file_answer.alias("value"), q_answer.alias("questions"))
+
+
+@query
+def explode_changes(spark, sf_dir):
+    """INF-4 / SET-4 with COL-8 defaults."""
+    ch = X.explode_changes(_order_answers(spark, sf_dir), "l_orderkey")
+    return ch.withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query
+def explode_signatures(spark, sf_dir):
+    """INF-5."""
+    return X.explode_signatures(_order_answers(spark, sf_dir), "l_orderkey")
+
+
+@query
+def explode_questions(spark, sf_dir):
+    """INF-6 (null-safe)."""
+    a = _order_answers(spark, sf_dir).select("l_orderkey", F.col("questions").alias("value"))
+    return X.explode_questions(a, "l_orderkey")
+
+
+# ---------------------------------------------------------------- report aggregates
+from ..operators import report as RP  # noqa: E402
+
+
+def _changes(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("filename"), "l_linenumber", _complexity().alias("complexity"), "l_quantity")
+
+
+@query
+def complexity_matrix(spark, sf_dir):
+    """AGG-4: changes per file and complexity."""
+    return RP.complexity_matrix(_changes(spark, sf_dir), "filename")
+
+
+@query
+def complexity_values(spark, sf_dir):
+    """AGG-13."""
+    return _changes(spark, sf_dir).select("complexity").distinct()
+
+
+@query
+def lines_by_complexity(spark, sf_dir):
+    """AGG-5: sum of integer line counts per complexity (counts arrive as text)."""
+    t = _changes(spark, sf_dir).select("complexity", F.col("l_quantity").cast("int").cast("string").alias("numberOfLines"))
+    return RP.lines_by_complexity(t)
+
+
+@query
+def tasks_by_effort(spark, sf_dir):
+    """AGG-6 / WIN-2 / WIN-3: tasks stably sorted by effort rank, grouped by effort."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    t = o.select("o_orderkey", _map(F.col("o_orderpriority"), EFFORT_OF_PRIORITY, F.col("o_orderpriority")).alias("effort"))
+    return RP.tasks_by_effort(t, "o_orderkey", EFFORT_RANK)
+
+
+def _files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filename"), T.line_count("text").alias("line_count"))
+    impacted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("filename"))
+    return d, impacted
+
+
+@query
+def app_totals(spark, sf_dir):
+    """AGG-7."""
+    return RP.app_totals(*_files(spark, sf_dir))
+
+
+@query
+def impact_split(spark, sf_dir):
+    """AGG-8."""
+    return RP.impact_split(*_files(spark, sf_dir))
+
+
+@query
+def task_changes(spark, sf_dir):
+    """JOIN-6: every order is a task whose indexes are line numbers 1..7; matching line
+    items are attached and re-nested in index order."""
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task"),
+                                                  F.sequence(F.lit(1), F.lit(7)).alias("indexes"))
+    ch = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"),
+                                                 F.col("l_linenumber").alias("idx"), "l_quantity")
+    return RP.task_changes(tasks, ch, "task")
+
+
+@query
+def affected_changes(spark, sf_dir):
+    """JOIN-9: changes of affected files (orders with status F) by file and complexity."""
+    affected = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(
+        F.col("o_orderkey").alias("filename"))
+    return RP.affected_changes(_changes(spark, sf_dir), affected)

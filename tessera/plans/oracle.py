@@ -285,3 +285,160 @@ FROM (SELECT conv_id, turn FROM conversations WHERE role = 'user') u
 LEFT JOIN top t ON u.conv_id = t.conv_id AND u.turn = t.turn
 GROUP BY u.conv_id, u.turn
 """
+
+
+def _answer_sql(src: str) -> str:
+    """status/body columns of COL-5 for a relation ``src`` with column ``t``."""
+    return rf"""
+(SELECT *, CASE WHEN s = '' THEN 'empty' WHEN body = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'invalid'
+              WHEN json_type(body::JSON) = 'OBJECT' THEN 'ok' ELSE 'not_object' END AS status
+ FROM (SELECT *, CASE WHEN starts_with(s, '```json' || chr(10)) AND ends_with(s, chr(10) || '```')
+                   THEN (CASE WHEN length(s) >= 12 THEN substr(s, 9, length(s) - 12) ELSE '' END) ELSE s END AS body
+       FROM (SELECT *, regexp_replace(coalesce(t, ''), '^\s+|\s+$', '', 'g') AS s FROM {src})))"""
+
+
+_HEADER = ("Use the following questions and their answers which are required for the code "
+           "conversions**Questions and Search Results:**' || chr(10) || chr(10) || '")
+
+ORACLE["context_block"] = rf"""
+WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS q_no
+           FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 60) AS ls
+      FROM conversations WHERE role = 'assistant'),
+al AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS r_no FROM a),
+h AS (SELECT u.conv_id, u.q_no, al.r_no, al.line AS result FROM u JOIN al ON al.conv_id = u.conv_id AND al.turn = u.turn + 1
+      WHERE al.r_no <= 2),
+pq AS (SELECT conv_id, q_no, string_agg('    * **Search Result ' || r_no || ':** ' || result || chr(10) || chr(10), '' ORDER BY r_no) AS res
+       FROM h GROUP BY conv_id, q_no),
+q AS (SELECT u.conv_id, u.q_no, u.text AS question, pq.res FROM u LEFT JOIN pq ON pq.conv_id = u.conv_id AND pq.q_no = u.q_no),
+g AS (SELECT conv_id, count(*) AS n_questions, count(res) AS n_answered,
+             coalesce(string_agg('* **Question ' || q_no || ':** ' || question || chr(10) || res, '' ORDER BY q_no)
+                      FILTER (WHERE res IS NOT NULL), '') AS body FROM q GROUP BY conv_id)
+SELECT conv_id, n_questions, n_answered,
+       CASE WHEN n_answered > 0 THEN 'Conversation ' || conv_id || chr(10) || '{_HEADER}' || body
+            ELSE 'Conversation ' || conv_id END AS prompt
+FROM g
+"""
+
+ORACLE["prompt_replay"] = f"""
+WITH d AS (SELECT doc_id, source || '/' || doc_id || '.java' AS path, text FROM documents),
+r AS (SELECT doc_id, path, text, {_rules_sql('path', 'text', '.java')} AS reason FROM d),
+p AS (SELECT doc_id, CASE WHEN reason NOT IN ('none', 'not_source') THEN 'full' ELSE 'short' END AS route,
+             CASE WHEN reason NOT IN ('none', 'not_source') THEN 'Analyze data-access file ' ELSE 'Analyze file ' END
+               || path || ':' || chr(10) || text AS prompt FROM r),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT p.doc_id, p.route, max(length(p.prompt))::INTEGER AS prompt_chars, count(a.text) AS n_responses, min(a.turn) AS first_attempt
+FROM p LEFT JOIN a ON a.conv_id = p.doc_id GROUP BY p.doc_id, p.route
+"""
+
+ORACLE["attempt_resolution"] = f"""
+WITH a AS (SELECT conv_id, turn AS attempt,
+             CASE length(text) % 4 WHEN 0 THEN '' WHEN 1 THEN '```json' || chr(10) || '{{"turn": ' || turn || '}}' || chr(10) || '```'
+               WHEN 2 THEN '[' || turn || ']' ELSE text END AS t FROM conversations),
+s AS {_answer_sql('a')},
+g AS (SELECT conv_id, min(attempt) FILTER (WHERE status IN ('ok', 'empty') AND attempt < 3) AS w FROM s GROUP BY conv_id)
+SELECT g.conv_id, g.w AS winning_attempt, coalesce(s.status, 'failed') AS status,
+       CASE WHEN s.status = 'ok' THEN s.body ELSE '{{}}' END AS value
+FROM g LEFT JOIN s ON s.conv_id = g.conv_id AND s.attempt = g.w
+"""
+
+_CPLX = "CASE l_returnflag WHEN 'A' THEN 'SIMPLE' WHEN 'N' THEN 'MODERATE' ELSE 'COMPLEX' END"
+
+_ANSWERS = f"""
+obj AS (SELECT l_orderkey, l_linenumber,
+   '{{"code_sample": "L' || l_linenumber || '", ' ||
+   (CASE WHEN l_returnflag = 'N' THEN '' WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN '"start_line": "x1", '
+         ELSE '"start_line": "' || (l_linenumber * 10) || '", ' END) ||
+   '"end_line": ' || (l_linenumber * 10 + CAST(l_quantity AS INTEGER)) ||
+   ', "suggested_change": "use part ' || l_partkey || '", "description": "supplier ' || l_suppkey ||
+   '", "complexity": "' || {_CPLX} || '", "warnings": [' || (CASE WHEN l_discount >= 0.05 THEN '"discount"' ELSE '' END) || ']}}' AS o,
+   CASE WHEN l_linestatus = 'F' THEN '{{"original_signature": "f' || l_linenumber || '(int)", "new_signature": "f' || l_linenumber ||
+        '(long)", "explanation": "supplier ' || l_suppkey || '"}}' END AS sg,
+   CASE WHEN l_discount >= 0.05 THEN '"part ' || l_partkey || '?"' END AS q
+   FROM lineitem),
+ans AS (SELECT l_orderkey,
+   '{{"file_modifications": [' || string_agg(o, ', ' ORDER BY l_linenumber, o) || '], "method_signature_changes": [' ||
+   coalesce(string_agg(sg, ', ' ORDER BY l_linenumber, sg) FILTER (WHERE sg IS NOT NULL), '') || ']}}' AS value,
+   coalesce('{{"questions": [' || string_agg(q, ', ' ORDER BY l_linenumber, q) FILTER (WHERE q IS NOT NULL) || ']}}', '{{}}') AS questions
+   FROM obj GROUP BY l_orderkey)
+"""
+
+ORACLE["explode_changes"] = "WITH " + _ANSWERS + """,
+m AS (SELECT l_orderkey, unnest(json_extract(value, '$.file_modifications[*]')) AS j,
+             generate_subscripts(json_extract(value, '$.file_modifications[*]'), 1) - 1 AS pos FROM ans),
+f AS (SELECT l_orderkey, pos::INTEGER AS pos, json_extract_string(j, '$.code_sample') AS code_sample,
+             json_extract_string(j, '$.start_line') AS sl, json_extract_string(j, '$.end_line') AS el,
+             json_extract_string(j, '$.suggested_change') AS suggested_change,
+             json_extract_string(j, '$.description') AS description, json_extract_string(j, '$.complexity') AS complexity,
+             array_to_string(coalesce(json_extract_string(j, '$.warnings[*]'), []), ',') AS warnings FROM m)
+SELECT l_orderkey, pos, code_sample,
+       CASE WHEN sl IS NULL THEN -1 ELSE TRY_CAST(sl AS INTEGER) END AS start_line,
+       CASE WHEN el IS NULL THEN -1 ELSE TRY_CAST(el AS INTEGER) END AS end_line,
+       suggested_change, description, complexity, warnings,
+       CASE WHEN sl IS NOT NULL AND TRY_CAST(sl AS INTEGER) IS NULL THEN sl END AS bad_start_line
+FROM f
+"""
+
+ORACLE["explode_signatures"] = "WITH " + _ANSWERS + """,
+m AS (SELECT l_orderkey, unnest(json_extract(value, '$.method_signature_changes[*]')) AS j,
+             generate_subscripts(json_extract(value, '$.method_signature_changes[*]'), 1) - 1 AS pos FROM ans)
+SELECT l_orderkey, pos::INTEGER AS pos, json_extract_string(j, '$.original_signature') AS original_signature,
+       json_extract_string(j, '$.new_signature') AS new_signature, json_extract_string(j, '$.explanation') AS explanation
+FROM m
+"""
+
+ORACLE["explode_questions"] = "WITH " + _ANSWERS + """,
+qs AS (SELECT l_orderkey, json_extract_string(questions, '$.questions[*]') AS ql FROM ans)
+SELECT l_orderkey, (generate_subscripts(ql, 1) - 1)::INTEGER AS pos, unnest(ql) AS question FROM qs WHERE len(ql) > 0
+UNION ALL
+SELECT l_orderkey, NULL::INTEGER AS pos, NULL::VARCHAR AS question FROM qs WHERE ql IS NULL OR len(ql) = 0
+"""
+
+ORACLE["complexity_matrix"] = f"""
+SELECT l_orderkey AS filename, count(*) FILTER (WHERE c = 'SIMPLE') AS n_simple,
+       count(*) FILTER (WHERE c = 'MODERATE') AS n_moderate, count(*) FILTER (WHERE c = 'COMPLEX') AS n_complex,
+       count(*) AS n_total
+FROM (SELECT l_orderkey, {_CPLX} AS c FROM lineitem) GROUP BY l_orderkey
+"""
+
+ORACLE["complexity_values"] = f"SELECT DISTINCT {_CPLX} AS complexity FROM lineitem"
+
+ORACLE["lines_by_complexity"] = f"""
+SELECT {_CPLX} AS complexity, sum(CAST(l_quantity AS INTEGER))::BIGINT AS lines FROM lineitem GROUP BY 1
+"""
+
+ORACLE["tasks_by_effort"] = """
+WITH t AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Major' WHEN '2-HIGH' THEN 'Moderate'
+             WHEN '3-MEDIUM' THEN 'Minor' ELSE o_orderpriority END AS effort FROM orders),
+r AS (SELECT *, (CASE effort WHEN 'Major' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 3 ELSE 4 END)::INTEGER AS effort_rank FROM t)
+SELECT effort, o_orderkey, effort_rank,
+       row_number() OVER (PARTITION BY effort ORDER BY o_orderkey) - 1 AS group_pos,
+       row_number() OVER (ORDER BY effort_rank, o_orderkey) - 1 AS sorted_pos
+FROM r
+"""
+
+_FILES = """
+f AS (SELECT doc_id, length(text) - length(replace(text, chr(10), '')) AS lc FROM documents),
+j AS (SELECT f.*, l.doc_id IS NOT NULL AS imp FROM f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id))
+"""
+
+ORACLE["app_totals"] = "WITH " + _FILES + """
+SELECT sum(lc)::BIGINT AS lines_of_code, count(*) AS n_files, count(*) FILTER (WHERE imp) AS n_impacted FROM j
+"""
+
+ORACLE["impact_split"] = "WITH " + _FILES + """
+SELECT count(*) FILTER (WHERE imp) AS modified_files, count(*) FILTER (WHERE NOT imp) AS unchanged_files,
+       coalesce(sum(lc) FILTER (WHERE imp), 0)::BIGINT AS modified_lines,
+       coalesce(sum(lc) FILTER (WHERE NOT imp), 0)::BIGINT AS unchanged_lines FROM j
+"""
+
+ORACLE["task_changes"] = """
+SELECT l_orderkey AS task, count(*) AS n_changes, array_to_string(list(l_linenumber::VARCHAR ORDER BY l_linenumber), ',') AS line_numbers,
+       round(sum(l_quantity), 6) AS total_qty
+FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_orderkey
+"""
+
+ORACLE["affected_changes"] = f"""
+SELECT l_orderkey AS filename, {_CPLX} AS complexity, count(*) AS n FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL
+"""
