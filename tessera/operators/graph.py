@@ -48,56 +48,74 @@ def graph_nodes(files: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
             .unionByName(edges.select(F.col("src").alias("id"))).distinct())
 
 
-def _propagate_max(labels: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """labels(id, label): label(v) := max(label(v), label(u)) over edges u -> v, to a fixpoint."""
-    labels = cut_lineage(labels)
-    for _ in range(max_rounds):
-        cand = (edges.join(labels.select(F.col("id").alias("src"), F.col("label").alias("l")), "src")
-                .groupBy("dst").agg(F.max("l").alias("m")).withColumnRenamed("dst", "id"))
-        new = (labels.join(cand, "id", "left")
-               .select("id", F.greatest("label", F.coalesce("m", "label")).alias("label"),
-                       F.coalesce(F.col("m") > F.col("label"), F.lit(False)).alias("_chg")))
-        new = cut_lineage(new)
-        changed = new.where("_chg").count()
-        labels = new.drop("_chg")
-        if changed == 0:
-            return labels
+# Steps of a fixpoint evaluated per Spark job; the change count is checked once per job.
+UNROLL = 2
+
+
+def _propagate_max(labels: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS,
+                   unroll: int = UNROLL) -> DataFrame:
+    """labels(id, label): label(v) := max(label(v), label(u)) over edges u -> v, to a fixpoint.
+
+    Semi-naive: only labels that changed in the previous step are pushed along edges.
+    ``unroll`` steps are chained in one plan, then the state is checkpointed and the
+    changes of the last step are counted; a step past the fixpoint changes nothing, so
+    overshooting is harmless.
+    """
+    state = cut_lineage(labels.select("id", "label", F.lit(True).alias("_chg")))
+    for _ in range(0, max_rounds, unroll):
+        for _ in range(unroll):
+            frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
+            cand = (edges.join(frontier, "src").groupBy("dst").agg(F.max("l").alias("m"))
+                    .withColumnRenamed("dst", "id"))
+            state = (state.join(cand, "id", "left")
+                     .select("id", F.greatest("label", F.coalesce("m", "label")).alias("label"),
+                             F.coalesce(F.col("m") > F.col("label"), F.lit(False)).alias("_chg")))
+        state = cut_lineage(state)
+        if state.where("_chg").limit(1).count() == 0:
+            return state.select("id", "label")
     raise RuntimeError("label propagation did not converge")
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """SCC label per node (the greatest id in its component), by repeated forward colouring.
 
-    Each round: colour = greatest id that reaches the node; a node whose colour is its own
-    id is a root; the root's component is every same-coloured node that reaches it (a
-    backward pass restricted to the colour). Found components leave the graph; the rest
-    is coloured again.
+    Each round first trims nodes without an incoming or without an outgoing active edge
+    (they are components of their own), then colours: colour = greatest id that reaches
+    the node; a node whose colour is its own id is a root; the root's component is every
+    same-coloured node that reaches it (backward pass restricted to the colour). Found
+    components leave the graph; the rest is coloured again.
     """
-    active = cut_lineage(nodes.select("id").distinct())
-    e = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    done = None
+    e_all = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
+    state = cut_lineage(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")))
     for _ in range(max_rounds):
-        if active.limit(1).count() == 0:
-            break
-        colour = _propagate_max(active.select("id", F.col("id").alias("label")), e)
-        ce = (e.join(colour.select(F.col("id").alias("src"), F.col("label").alias("cs")), "src")
-              .join(colour.select(F.col("id").alias("dst"), F.col("label").alias("cd")), "dst")
-              .where(F.col("cs") == F.col("cd")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        active = state.where(F.col("scc").isNull()).select("id")
+        e = (e_all.join(active.withColumnRenamed("id", "src"), "src")
+             .join(active.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
+        e = cut_lineage(e)
+        has_out = e.select(F.col("src").alias("id")).distinct().withColumn("_o", F.lit(True))
+        has_in = e.select(F.col("dst").alias("id")).distinct().withColumn("_i", F.lit(True))
+        core = (active.join(has_out, "id").join(has_in, "id").select("id"))
+        # nodes outside the core are singleton components
+        state = cut_lineage(
+            state.join(core.withColumn("_c", F.lit(True)), "id", "left")
+            .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id"))
+                    .otherwise(F.col("scc")).alias("scc")))
+        core = state.where(F.col("scc").isNull()).select("id")
+        if core.limit(1).count() == 0:
+            return state
+        ce = cut_lineage(e.join(core.withColumnRenamed("id", "src"), "src")
+                         .join(core.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
+        colour = _propagate_max(core.select("id", F.col("id").alias("label")), ce)
+        back = (ce.join(colour.select(F.col("id").alias("src"), F.col("label").alias("cs")), "src")
+                .join(colour.select(F.col("id").alias("dst"), F.col("label").alias("cd")), "dst")
+                .where(F.col("cs") == F.col("cd")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         seed = colour.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))
-        found = _propagate_max(seed, cut_lineage(ce))
-        assigned = (found.where("label = 1").select("id")
-                    .join(colour.select("id", F.col("label").alias("scc")), "id"))
-        assigned = cut_lineage(assigned)
-        done = assigned if done is None else cut_lineage(done.unionByName(assigned))
-        active = cut_lineage(active.join(assigned.select("id"), "id", "left_anti"))
-        keep = active.select(F.col("id").alias("k"))
-        e = cut_lineage(e.join(keep.withColumnRenamed("k", "src"), "src")
-                        .join(keep.withColumnRenamed("k", "dst"), "dst").select("src", "dst"))
-    else:
-        raise RuntimeError("SCC search did not finish")
-    if done is None:
-        return nodes.select("id").withColumn("scc", F.col("id")).limit(0)
-    return done
+        found = _propagate_max(seed, cut_lineage(back))
+        won = (found.where("label = 1").select("id")
+               .join(colour.select("id", F.col("label").alias("_s")), "id"))
+        state = cut_lineage(state.join(won, "id", "left")
+                            .select("id", F.coalesce("scc", "_s").alias("scc")))
+    raise RuntimeError("SCC search did not finish")
 
 
 def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,27 +135,38 @@ def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, removed
 
 
-def dependency_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def dependency_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = MAX_ROUNDS,
+                      unroll: int = UNROLL) -> DataFrame:
     """GRF-3: level 0 for nodes without successors, else 1 + the greatest successor level.
 
-    Peeling: in round k every remaining node with no remaining successor gets level k.
+    Peeling with pending-successor counts: in step k every unplaced node whose successors
+    are all placed gets level k, and its predecessors' counts drop by its edges. ``unroll``
+    steps run per job; the state is checkpointed between jobs.
     """
-    remaining = cut_lineage(nodes.select("id").distinct())
     e = cut_lineage(dag.select("src", "dst").distinct())
-    out = None
-    for level in range(max_rounds):
-        if remaining.limit(1).count() == 0:
-            break
-        ready = remaining.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        ready = cut_lineage(ready.withColumn("level", F.lit(level)))
-        if ready.limit(1).count() == 0:
+    outdeg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
+    state = (nodes.select("id").distinct().join(outdeg, "id", "left")
+             .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"),
+                     F.lit(None).cast("int").alias("level")))
+    state = cut_lineage(state)
+    level = 0
+    while level < max_rounds:
+        for _ in range(unroll):
+            is_ready = F.col("level").isNull() & (F.col("pending") == 0)
+            ready = state.where(is_ready).select(F.col("id").alias("dst"))
+            dec = e.join(ready, "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
+            state = (state.join(dec, "id", "left")
+                     .select("id", (F.col("pending") - F.coalesce("d", F.lit(0))).alias("pending"),
+                             F.when(is_ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
+            level += 1
+        state = cut_lineage(state)
+        left, top = state.agg(F.count_if(F.col("level").isNull()), F.max("level")).first()
+        if left == 0:
+            return state.select("id", "level")
+        if top is None or top < level - unroll:
+            # a whole chunk placed nothing although nodes remain: they sit on a cycle
             raise ValueError("graph has a cycle; relax it first")
-        out = ready if out is None else cut_lineage(out.unionByName(ready))
-        remaining = cut_lineage(remaining.join(ready.select("id"), "id", "left_anti"))
-        e = cut_lineage(e.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    else:
-        raise RuntimeError("level peeling did not finish")
-    return out
+    raise RuntimeError("level peeling did not finish")
 
 
 def level_sizes(levels: DataFrame) -> DataFrame:

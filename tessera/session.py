@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # coalesce shuffle output to the advisory size (64 MB) instead of to core count
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # max_by/min_by and top-k rely on deterministic tie breaks; keep ANSI on (Spark 4 default).
@@ -62,6 +64,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (reliable, survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder (reliable, survives executor loss).
+
+    A checkpointed frame normally keeps the optimizer's size estimate of the plan it
+    replaces; joins multiply estimates, so in a fixpoint loop the estimate grows
+    exponentially round after round (planning time explodes). The checkpointed rows are
+    therefore re-wrapped as a new frame over the same checkpoint files, without the old
+    estimate; AQE still sees true sizes at run time.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    ck = df.checkpoint(eager=True)
+    jdf = spark._jsparkSession.createDataFrame(ck._jdf.rdd(), ck._jdf.schema())
+    return type(df)(jdf, spark)
