@@ -52,7 +52,8 @@ def sparse_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str,
                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """VEC-4 with VEC-6: ``queries(qid, fid, q_text)`` one row per fragment, ``corpus(cid, c_text)``.
 
-    Returns (qid, cid, similarity, rank).
+    Returns (qid, cid, similarity, rank). Term counts are integers, so the cosine is
+    computed as ``dot / sqrt(|q|^2 |c|^2)``: identical vectors give exactly 1.0.
     """
     qtf = term_frequencies(queries, [qid, fid], q_text, partition_by=[qid])
     ctf = term_frequencies(corpus, [cid], c_text).select(
@@ -62,7 +63,7 @@ def sparse_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str,
             .groupBy(qid, fid, cid)
             .agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("ss").alias("qss"),
                  F.first("css").alias("css"))
-            .select(qid, fid, cid, (F.col("dot") / (F.sqrt("qss") * F.sqrt("css"))).alias("s")))
+            .select(qid, fid, cid, (F.col("dot") / F.sqrt(F.col("qss") * F.col("css"))).alias("s")))
     best = (frag.where(F.col("s") >= F.lit(1.0 - distance))
             .groupBy(qid, cid).agg(F.max("s").alias("similarity")))
     return top_k(best, qid, cid, k)

@@ -16,7 +16,7 @@ ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')
 ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
 cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.doc_id, q.line_no, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
-frag AS (SELECT d.doc_id, d.item_id, d.dot / (sqrt(qn.qss) * sqrt(cn.css)) AS s
+frag AS (SELECT d.doc_id, d.item_id, d.dot / sqrt(qn.qss * cn.css) AS s
          FROM dots d JOIN qn USING (doc_id, line_no) JOIN cn USING (item_id)),
 best AS (SELECT doc_id, item_id, max(s) AS similarity FROM frag WHERE s >= 1 - 0.5 GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, item_id DESC) AS rank FROM best)
@@ -269,7 +269,7 @@ ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')
 ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
 cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.conv_id, q.turn, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
-fr AS (SELECT d.conv_id, d.turn, d.item_id, d.dot / (sqrt(qn.qss) * sqrt(cn.css)) AS s
+fr AS (SELECT d.conv_id, d.turn, d.item_id, d.dot / sqrt(qn.qss * cn.css) AS s
        FROM dots d JOIN qn USING (conv_id, turn, frag) JOIN cn USING (item_id)),
 best AS (SELECT conv_id, turn, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.25 GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, item_id DESC) AS rank FROM best),

@@ -57,7 +57,8 @@ def scan_corpus(spark: SparkSession, root: str, suffixes=SOURCE_SUFFIXES,
 def read_side_text(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: whole text of one file as a one-row frame; a missing file gives ``''``."""
     try:
-        df = spark.read.option("wholetext", "true").text(path)
-        return df.select(F.coalesce(F.max("value"), F.lit("")).alias("text"))
+        df = spark.read.format("binaryFile").load(path)
+        text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
+        return df.agg(F.coalesce(F.max(text), F.lit("")).alias("text"))
     except Exception:  # noqa: BLE001 - missing path is a normal case
         return spark.range(1).select(F.lit("").alias("text"))
