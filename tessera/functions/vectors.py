@@ -70,7 +70,7 @@ def letter_counts(text) -> Column:
     """Per-letter counts (either case) as ``array<double>``."""
     t = F.coalesce(_c(text), F.lit(""))
     return F.array(*[
-        (F.length(t) - F.length(F.regexp_replace(t, f"[{ch}{ch.upper()}]", ""))).cast("double")
+        (F.length(t) - F.length(F.translate(t, ch + ch.upper(), ""))).cast("double")
         for ch in LETTERS])
 
 

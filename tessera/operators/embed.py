@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import cut_lineage
 
 EmbedFn = Callable[[list], list]
 
@@ -113,11 +114,13 @@ def refresh_corpus(examples: DataFrame, stored: DataFrame | None, embed=None,
                                            "example_embedding array<float>, rewrite_embedding array<float>")
     st = stored.select(id_col, *[F.col(c).cast("string").alias(c) for c in cols],
                        "example_embedding", "rewrite_embedding")
-    known = (st.select(F.col("example").alias("text"), F.col("example_embedding").alias("vec"))
-             .unionByName(st.select(F.col("rewrite").alias("text"), F.col("rewrite_embedding").alias("vec")))
-             .where(F.col("vec").isNotNull() & F.col("text").isNotNull())
-             .withColumn("key", text_key("text"))
-             .groupBy("key").agg(F.first("vec").alias("vec")))
+    # stored vectors by string, materialised once: read by the anti join and the lookup
+    known = cut_lineage(
+        st.select(F.col("example").alias("text"), F.col("example_embedding").alias("vec"))
+        .unionByName(st.select(F.col("rewrite").alias("text"), F.col("rewrite_embedding").alias("vec")))
+        .where(F.col("vec").isNotNull() & F.col("text").isNotNull())
+        .withColumn("key", text_key("text"))
+        .groupBy("key").agg(F.first("vec").alias("vec")))
     missing = unembedded_strings(ex, known)
     fresh = _apply_embed(missing, "text", embed, "vec").select("key", "vec")
     vectors = known.unionByName(fresh)

@@ -14,8 +14,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # coalesce shuffle output to the advisory size (64 MB) instead of to core count
-    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # max_by/min_by and top-k rely on deterministic tie breaks; keep ANSI on (Spark 4 default).
@@ -75,5 +73,11 @@ def cut_lineage(df):
     spark = df.sparkSession
     checkpoint_dir(spark)
     ck = df.checkpoint(eager=True)
-    jdf = spark._jsparkSession.createDataFrame(ck._jdf.rdd(), ck._jdf.schema())
+    js = spark._jsparkSession
+    try:
+        # the checkpointed rows as they are (no conversion), in a plan without the estimate
+        rdd = ck._jdf.queryExecution().analyzed().rdd()
+        jdf = js.internalCreateDataFrame(rdd, ck._jdf.schema(), False)
+    except Exception:  # noqa: BLE001 - public fallback: same rows through external Row objects
+        jdf = js.createDataFrame(ck._jdf.rdd(), ck._jdf.schema())
     return type(df)(jdf, spark)
