@@ -134,3 +134,25 @@ def context_block(questions: DataFrame, hits: DataFrame, key: str) -> DataFrame:
 def extend_prompt(prompt, block, answered):
     """COL-14: append the block only when at least one question was answered."""
     return F.when(answered > 0, F.concat(prompt, F.lit("\n"), block)).otherwise(prompt)
+
+
+# The wording around retrieved examples in a data-access prompt.
+EXAMPLES_HEADER = "The following are examples of how to rewrite code.\n\n"
+EXAMPLE_FORMAT = ("Code like the following\n```\n{example}\n```\n\n"
+                  "can be rewritten as follows:\n\n```\n{rewrite}\n```\n")
+
+
+def example_block(keys: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """COL-13: per key, the retrieved (example, rewrite) pairs formatted in rank order.
+
+    hits(key, rank, example, rewrite) come from the top-k search (bounded by k per key);
+    keys without hits get ``''``.
+    """
+    pre, mid = EXAMPLE_FORMAT.split("{example}")
+    mid, post = mid.split("{rewrite}")
+    one = F.concat(F.lit(pre), F.col("example"), F.lit(mid), F.col("rewrite"), F.lit(post))
+    per = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("b")))).alias("_b"))
+    block = F.concat(F.lit(EXAMPLES_HEADER), F.array_join(F.transform("_b", lambda x: x["b"]), "\n"))
+    out = keys.select(key).join(per, key, "left")
+    return out.select(key, F.when(F.col("_b").isNotNull(), block).otherwise(F.lit("")).alias("examples"),
+                      F.coalesce(F.size("_b"), F.lit(0)).alias("n_examples"))

@@ -627,3 +627,18 @@ def affected_changes(spark, sf_dir):
     affected = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(
         F.col("o_orderkey").alias("filename"))
     return RP.affected_changes(_changes(spark, sf_dir), affected)
+
+
+@query
+def example_block(spark, sf_dir):
+    """COL-13: every document's content is searched (default distance, top 10) against the
+    benchmark items, whose hits are formatted as rewrite examples in rank order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    q = d.select("doc_id", F.posexplode(T.fragments("text", "\n\n")).alias("frag", "ftext"))
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = search.sparse_search(q, bench, qid="doc_id", fid="frag", q_text="ftext", cid="item_id",
+                                c_text="text", distance=0.25, k=10)
+    recs = bench.select("item_id", F.col("text").alias("example"),
+                        F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("rewrite"))
+    hits = hits.join(recs, "item_id").select("doc_id", "rank", "example", "rewrite")
+    return X.example_block(d, hits, "doc_id")

@@ -442,3 +442,31 @@ ORACLE["affected_changes"] = f"""
 SELECT l_orderkey AS filename, {_CPLX} AS complexity, count(*) AS n FROM lineitem
 WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL
 """
+
+ORACLE["example_block"] = r"""
+WITH q AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
+             generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
+      FROM documents),
+qtok AS (SELECT doc_id, frag, unnest(regexp_extract_all(lower(ftext), '[a-zà-ÿß]+')) AS token FROM q),
+qtf AS (SELECT doc_id, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
+qn AS (SELECT doc_id, frag, sum(n*n) AS qss FROM qtf GROUP BY ALL),
+ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS token FROM benchmark),
+ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
+cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
+dots AS (SELECT q.doc_id, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
+fr AS (SELECT d.doc_id, d.item_id, d.dot / sqrt(qn.qss * cn.css) AS s
+       FROM dots d JOIN qn USING (doc_id, frag) JOIN cn USING (item_id)),
+best AS (SELECT doc_id, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.25 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, item_id DESC) AS rank FROM best),
+top AS (SELECT rk.doc_id, rk.rank, b.text AS example, 'item ' || b.item_id AS rewrite
+        FROM rk JOIN benchmark b ON b.item_id = rk.item_id WHERE rank <= 10),
+blk AS (SELECT doc_id, count(*) AS n,
+          string_agg('Code like the following' || chr(10) || '```' || chr(10) || example || chr(10) || '```' || chr(10) || chr(10) ||
+                     'can be rewritten as follows:' || chr(10) || chr(10) || '```' || chr(10) || rewrite || chr(10) || '```' || chr(10),
+                     chr(10) ORDER BY rank) AS b
+        FROM top GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN blk.b IS NULL THEN '' ELSE 'The following are examples of how to rewrite code.' || chr(10) || chr(10) || blk.b END AS examples,
+       coalesce(blk.n, 0)::INTEGER AS n_examples
+FROM documents d LEFT JOIN blk ON blk.doc_id = d.doc_id
+"""

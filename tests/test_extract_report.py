@@ -82,3 +82,13 @@ def test_report_totals(spark):
     assert (t["lines_of_code"], t["n_files"], t["n_impacted"]) == (15, 3, 1)
     s = RP.impact_split(files, imp).first()
     assert (s["modified_files"], s["unchanged_files"], s["modified_lines"], s["unchanged_lines"]) == (1, 2, 10, 5)
+
+
+def test_example_block_rank_order_and_empty(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    hits = spark.createDataFrame([(1, 2, "e2", "r2"), (1, 1, "e1", "r1")], "k int, rank int, example string, rewrite string")
+    out = {r["k"]: r for r in X.example_block(keys, hits, "k").collect()}
+    assert out[2]["examples"] == "" and out[2]["n_examples"] == 0
+    b = out[1]["examples"]
+    assert b.startswith(X.EXAMPLES_HEADER) and b.index("e1") < b.index("e2") and out[1]["n_examples"] == 2
+    assert "```\ne1\n```\n\ncan be rewritten as follows:\n\n```\nr1\n```\n" in b
