@@ -3,7 +3,7 @@ incremental embedded-corpus refresh (VEC-5 with SET-1, SET-2, JOIN-2..4).
 
 ``embed_fn`` is the extension point for a real model: a function from a list of strings
 to a list of vectors, called once per Arrow batch inside ``mapInPandas``. Without one,
-a JVM-side letter profile (``functions.vectors.letter_profile``) is used, or the hashed
+a letter profile (``functions.vectors.with_letter_profile``) is used, or the hashed
 term vector below when a Python batch function is wanted.
 """
 

@@ -185,9 +185,12 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("id", (-F.col("label")).alias("component"))
 
 
-def successors(edges: DataFrame) -> DataFrame:
-    """GRF-7: direct successors per node, sorted."""
-    return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("successors"))
+def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """GRF-7: direct successors of the given nodes, one row per (id, successor).
+
+    Kept flat so a hub's successors are spread over tasks; nest only at a sink."""
+    return (nodes.select("id").join(edges.select(F.col("src").alias("id"), F.col("dst").alias("successor")), "id")
+            .distinct())
 
 
 def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, max_level: int | None = None):

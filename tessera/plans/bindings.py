@@ -259,8 +259,9 @@ def components(spark, sf_dir):
 
 @query
 def successor_changes(spark, sf_dir):
-    """JOIN-7 / GRF-7: per node, its direct successors and those that carry a change
-    (a document with a ``labels`` row of quality 1)."""
+    """JOIN-7 / GRF-7: per node, its direct successors and how many of them carry a change
+    (a document with a ``labels`` row of quality 1). The changes stay flattened (one row per
+    edge upstream); per node only aggregates are kept, so a hub never becomes one list."""
     e = _relaxed(spark, sf_dir)
     changed = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("dst"),
                                                                          F.lit(1).alias("c"))
@@ -268,7 +269,8 @@ def successor_changes(spark, sf_dir):
     return j.groupBy(F.col("src").alias("id")).agg(
         F.count(F.lit(1)).alias("n_successors"),
         F.count("c").alias("n_changed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("c") == 1, F.col("dst")))), ",").alias("changed"))
+        F.min(F.when(F.col("c") == 1, F.col("dst"))).alias("first_changed"),
+        F.max(F.when(F.col("c") == 1, F.col("dst"))).alias("last_changed"))
 
 
 # ---------------------------------------------------------------- vectors and embeddings

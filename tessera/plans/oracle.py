@@ -183,7 +183,7 @@ SELECT n AS id, min(m) AS component FROM r GROUP BY n
 ORACLE["successor_changes"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + r""",
 ch AS (SELECT doc_id AS dst, 1 AS c FROM labels WHERE quality = 1)
 SELECT src AS id, count(*) AS n_successors, count(c) AS n_changed,
-       coalesce(array_to_string(list_sort(list(dst) FILTER (WHERE c = 1)), ','), '') AS changed
+       min(dst) FILTER (WHERE c = 1) AS first_changed, max(dst) FILTER (WHERE c = 1) AS last_changed
 FROM dag LEFT JOIN ch USING (dst) GROUP BY src
 """
 
