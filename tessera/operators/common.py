@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Largest side we broadcast after counting it; beyond it the join shuffles (AQE may still
-# turn it into a broadcast at run time from measured sizes).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# turn it into a broadcast at run time from measured sizes). Callers with wide rows pass a
+# smaller bound: narrow rows (token, id, two numbers) x 1M is about 50 MB.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, int]:

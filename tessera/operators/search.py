@@ -9,7 +9,8 @@ Sparse (term-count cosine) search is an equi-join on the token: the bounded corp
 broadcast after a count, the query side is hash-partitioned once by query id and every
 later aggregation and the top-k window reuse that partitioning (one shuffle in total).
 Dense search broadcasts the counted query side against a scan of the corpus; more
-queries than the bound are processed in hash chunks, each chunk one broadcast.
+query fragments than the bound are processed in exact chunks (dense positions), each
+chunk one broadcast of at most the bound.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast, dense_index
 
 # Fixed value: the word pattern of the sparse term vectors (applied to lower-cased text).
 TOKEN_PATTERN = "[a-zà-ÿß]+"
@@ -71,7 +72,7 @@ def sparse_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str,
 
 def dense_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q_vec: str,
                  cid: str, c_vec: str, distance: float = 0.25, k: int = 10,
-                 max_broadcast_rows: int = 100_000) -> DataFrame:
+                 max_broadcast_rows: int = 50_000) -> DataFrame:
     """VEC-4 over dense vectors (JOIN-5 theta join, AGG-3 max over fragments, WIN-1).
 
     Vectors are normalised once per side, so the join condition is a plain dot product.
@@ -82,9 +83,14 @@ def dense_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q
     c = V.with_unit(corpus.select(cid, c_vec), c_vec, "_cv").select(cid, "_cv")
     nq = q.count()
     chunks = max(1, math.ceil(nq / max_broadcast_rows))
+    if chunks > 1:
+        # exact positions, so every chunk is provably within the bound; fragments of one
+        # query may fall in different chunks (the max over fragments comes after the union)
+        q = dense_index(q, [qid, fid], index_col="_qi").withColumn(
+            "_chunk", F.floor(F.col("_qi") / max_broadcast_rows))
     parts = []
     for i in range(chunks):
-        qi = q if chunks == 1 else q.where(F.pmod(F.xxhash64(qid), F.lit(chunks)) == i)
+        qi = q if chunks == 1 else q.where(F.col("_chunk") == i).select(qid, fid, "_qv")
         pairs = c.crossJoin(F.broadcast(qi)).select(qid, fid, cid, V.dot("_qv", "_cv").alias("s"))
         parts.append(pairs.where(F.col("s") >= F.lit(1.0 - distance)))
     frag = parts[0]

@@ -382,8 +382,12 @@ def truncate_pool(spark, sf_dir):
     toks = d.select("doc_id", F.explode(T.truncate(T.word_tokens("text"), 64)).alias("tok"))
     by_len = toks.groupBy("doc_id", F.length("tok").cast("bigint").alias("vec_id")).agg(
         F.count(F.lit(1)).cast("double").alias("cnt"))
-    emb, _ = bounded_broadcast(table(spark, sf_dir, "embeddings").select(
-        "vec_id", V.as_double("embedding").alias("v")), 1_000_000)
+    # only vectors of occurring token lengths are needed: a handful of rows, whatever the
+    # size of the vector table; broadcast after the count proves it small
+    lengths = by_len.select("vec_id").distinct()
+    emb = (table(spark, sf_dir, "embeddings").select("vec_id", V.as_double("embedding").alias("v"))
+           .join(lengths, "vec_id", "left_semi"))
+    emb, _ = bounded_broadcast(emb, 100_000)   # 64 doubles a row: <= ~60 MB
     j = by_len.join(emb, "vec_id")
     dims = F.size(F.col("v"))
     per = j.groupBy("doc_id").agg(
