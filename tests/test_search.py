@@ -4,16 +4,18 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import search
 
 
-def test_ties_and_inclusive_threshold(spark):
+@pytest.mark.parametrize("prefix_filter", [False, True])
+def test_ties_and_inclusive_threshold(spark, prefix_filter):
     q = spark.createDataFrame([(1, 0, "alpha beta")], "q int, f int, t string")
     corpus = spark.createDataFrame([(10, "alpha beta"), (11, "beta alpha"), (12, "gamma")], "id bigint, t string")
     hits = search.sparse_search(q, corpus, qid="q", fid="f", q_text="t", cid="id", c_text="t",
-                                distance=0.0, k=10)
+                                distance=0.0, k=10, prefix_filter=prefix_filter)
     rows = [(r["id"], r["rank"], r["similarity"]) for r in hits.orderBy("rank").collect()]
     # equal similarity: larger id first; similarity exactly 1 - distance is kept
     assert [(i, k) for i, k, _ in rows] == [(11, 1), (10, 2)]
@@ -39,14 +41,16 @@ def _brute_sparse(queries, corpus, distance, k):
     return {q: [i for s, i in sorted(v, reverse=True)[:k]] for q, v in out.items()}
 
 
-def test_sparse_matches_brute_force(spark):
+@pytest.mark.parametrize("prefix_filter", [False, True])
+def test_sparse_matches_brute_force(spark, prefix_filter):
     rnd = random.Random(5)
     words = "alpha beta gamma delta épée straße eta theta".split()
     corpus = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))) for i in range(30)]
     queries = [(q, f, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5)))) for q in range(8) for f in range(3)]
     qdf = spark.createDataFrame(queries, "q int, f int, t string")
     cdf = spark.createDataFrame(corpus, "id bigint, t string")
-    hits = search.sparse_search(qdf, cdf, qid="q", fid="f", q_text="t", cid="id", c_text="t", distance=0.4, k=3)
+    hits = search.sparse_search(qdf, cdf, qid="q", fid="f", q_text="t", cid="id", c_text="t", distance=0.4, k=3,
+                                prefix_filter=prefix_filter)
     got = {}
     for r in hits.orderBy("q", "rank").collect():
         got.setdefault(r["q"], []).append(r["id"])
