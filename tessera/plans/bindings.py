@@ -638,9 +638,10 @@ def affected_changes(spark, sf_dir):
 @query
 def example_block(spark, sf_dir):
     """COL-13: every document's content is searched (default distance, top 10) against the
-    benchmark items, whose hits are formatted as rewrite examples in rank order."""
+    benchmark items, whose hits are formatted as rewrite examples in rank order. Fragments
+    are lines (the documents hold no blank-line breaks)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    q = d.select("doc_id", F.posexplode(T.fragments("text", "\n\n")).alias("frag", "ftext"))
+    q = d.select("doc_id", F.posexplode(T.fragments("text", "\n")).alias("frag", "ftext"))
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     hits = search.sparse_search(q, bench, qid="doc_id", fid="frag", q_text="ftext", cid="item_id",
                                 c_text="text", distance=0.25, k=10)

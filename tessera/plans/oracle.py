@@ -444,8 +444,8 @@ WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GR
 """
 
 ORACLE["example_block"] = r"""
-WITH q AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
-             generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
+WITH q AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
+             generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
       FROM documents),
 qtok AS (SELECT doc_id, frag, unnest(regexp_extract_all(lower(ftext), '[a-zà-ÿß]+')) AS token FROM q),
 qtf AS (SELECT doc_id, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
