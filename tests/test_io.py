@@ -160,3 +160,19 @@ def test_embed_texts_batches(spark):
     out = {r["k"]: r["embedding"] for r in embed_texts(df, "t").collect()}
     assert len(out[1]) == 256 and abs(sum(x * x for x in out[1]) - 1.0) < 1e-5
     assert all(x == 0.0 for x in out[2])
+
+
+def test_report_tables_and_later_duplicate_wins(spark):
+    d = _tmp()
+    tables = {"efforts": spark.createDataFrame([("Major", 2)], "effort string, n int"),
+              "totals": spark.createDataFrame([(10, 3)], "lines_of_code bigint, n_files bigint")}
+    sinks.write_report_tables(tables, os.path.join(d, "report"))
+    assert spark.read.parquet(os.path.join(d, "report", "efforts")).first()["n"] == 2
+    assert spark.read.parquet(os.path.join(d, "report", "totals")).first()["n_files"] == 3
+    p = os.path.join(d, "emb.json")
+    with open(p, "w") as fh:
+        json.dump([{"id": 1, "example": "old", "rewrite": "r", "example_embedding": [1.0], "rewrite_embedding": [2.0]},
+                   {"id": 2, "example": "b", "rewrite": "r", "example_embedding": [1.0], "rewrite_embedding": [2.0]},
+                   {"id": 1, "example": "new", "rewrite": "r", "example_embedding": [3.0], "rewrite_embedding": [4.0]}], fh)
+    got = {r["id"]: r for r in loaders.load_embedded(spark, p).collect()}
+    assert got[1]["example"] == "new" and list(got[1]["example_embedding"]) == [3.0] and len(got) == 2
