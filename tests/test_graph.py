@@ -112,3 +112,17 @@ def test_reference_edges_and_owner(spark):
     assert {r["symbol"]: r["path"] for r in owner.collect()} == {"A": 1, "B": 3}
     edges = sorted(map(tuple, G.reference_edges(uses, owner).collect()))
     assert edges == [(1, 3), (2, 1)]
+
+
+def test_components_random_vs_brute_force(spark):
+    rnd = random.Random(11)
+    edges = sorted({(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)})
+    edges = [e for e in edges if e[0] != e[1]]
+    # a long chain as well: pointer jumping must still reach the minimum
+    edges += [(100 + i, 101 + i) for i in range(30)]
+    n, e = frames(spark, edges, nodes=list(range(60)) + list(range(100, 131)))
+    got = {r["id"]: r["component"] for r in G.weak_components(n, e).collect()}
+    und = edges + [(b, a) for a, b in edges]
+    reach = _reach(und)
+    for v in got:
+        assert got[v] == min({v} | reach(v))
