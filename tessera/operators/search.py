@@ -117,8 +117,10 @@ def dense_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q
     parts = []
     for i in range(chunks):
         qi = q if chunks == 1 else q.where(F.col("_chunk") == i).select(qid, fid, "_qv")
-        pairs = c.crossJoin(F.broadcast(qi)).select(qid, fid, cid, V.dot("_qv", "_cv").alias("s"))
-        parts.append(pairs.where(F.col("s") >= F.lit(1.0 - distance)))
+        # JOIN-5 theta join: the condition is evaluated while streaming the corpus against
+        # the broadcast (counted, bounded) query chunk; only passing pairs leave the task
+        pairs = c.join(F.broadcast(qi), V.dot("_qv", "_cv") >= F.lit(1.0 - distance), "inner")
+        parts.append(pairs.select(qid, fid, cid, V.dot("_qv", "_cv").alias("s")))
     frag = parts[0]
     for p in parts[1:]:
         frag = frag.unionByName(p)
