@@ -58,12 +58,6 @@ def add(a, b) -> Column:
     return F.zip_with(as_double(a), as_double(b), lambda x, y: x + y)
 
 
-def sum_vectors(arr_of_vectors, dims: int) -> Column:
-    """Element-wise sum of an array of vectors (bounded arrays only, e.g. <= 64 token vectors)."""
-    zero = F.array_repeat(F.lit(0.0), dims)
-    return F.aggregate(_c(arr_of_vectors), zero, lambda acc, v: add(acc, v))
-
-
 # The alphabet of the SQL-expressible default embedding.
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
