@@ -29,7 +29,8 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or sorted(QUERIES)
-    spark = build_session(f"local[{cpus}]", int(cpus) * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
+    spark = build_session(f"local[{cpus}]", parts)
     # warm-up: JVM, parquet footers and codegen caches
     _consume(QUERIES["line_count"](spark, sf_dir))
     times, rows = {}, {}
