@@ -92,3 +92,19 @@ def test_example_block_rank_order_and_empty(spark):
     b = out[1]["examples"]
     assert b.startswith(X.EXAMPLES_HEADER) and b.index("e1") < b.index("e2") and out[1]["n_examples"] == 2
     assert "```\ne1\n```\n\ncan be rewritten as follows:\n\n```\nr1\n```\n" in b
+
+
+def _answer_all(prompts):
+    return ['{"file_modifications": []}' if "dao" in p else "" for p in prompts]
+
+
+def test_attach_responses_with_model_fn(spark):
+    prompts = spark.createDataFrame([(1, "dao prompt"), (2, "plain prompt"), (3, "recorded")],
+                                    "prompt_key int, prompt string")
+    recorded = spark.createDataFrame([(3, 0, '{"a": 1}')], "prompt_key int, attempt int, text string")
+    got = {r["prompt_key"]: (r["attempt"], r["text"])
+           for r in X.attach_responses(prompts, recorded, model_fn=_answer_all).collect()}
+    assert got == {1: (0, '{"file_modifications": []}'), 2: (0, ""), 3: (0, '{"a": 1}')}
+    # without a model, prompts lacking an answer stay with a null answer
+    plain = {r["prompt_key"]: r["text"] for r in X.attach_responses(prompts, recorded).collect()}
+    assert plain == {1: None, 2: None, 3: '{"a": 1}'}

@@ -176,3 +176,11 @@ def test_report_tables_and_later_duplicate_wins(spark):
                    {"id": 1, "example": "new", "rewrite": "r", "example_embedding": [3.0], "rewrite_embedding": [4.0]}], fh)
     got = {r["id"]: r for r in loaders.load_embedded(spark, p).collect()}
     assert got[1]["example"] == "new" and list(got[1]["example_embedding"]) == [3.0] and len(got) == 2
+
+
+def test_root_itself_is_never_pruned(spark):
+    root = os.path.join(_tmp(), "test_root")
+    os.makedirs(os.path.join(root, "pkg"))
+    with open(os.path.join(root, "pkg", "A.java"), "w") as fh:
+        fh.write("class A {}")
+    assert [r["relpath"] for r in corpus.scan_corpus(spark, root).collect()] == ["pkg/A.java"]
