@@ -273,6 +273,28 @@ def successor_changes(spark, sf_dir):
         F.max(F.when(F.col("c") == 1, F.col("dst"))).alias("last_changed"))
 
 
+@query
+def level_propagation(spark, sf_dir):
+    """GRF-5: nodes are processed level by level over the relaxed DAG; a node is marked
+    changed when it carries its own change (``labels`` quality 1) or a direct successor
+    was marked at an earlier level, so results flow upward through the schedule."""
+    dag = _relaxed(spark, sf_dir)
+    levels = G.dependency_levels(_nodes(spark, sf_dir), dag)
+    own = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"),
+                                                                     F.lit(True).alias("own"))
+
+    def node_fn(frontier, child):
+        f = frontier.join(own, "id", "left")
+        if child is None:
+            return f.select("id", F.coalesce("own", F.lit(False)).alias("changed"))
+        c = child.groupBy("id").agg(F.max(F.col("changed").cast("int")).alias("_c"))
+        return f.join(c, "id", "left").select(
+            "id", (F.coalesce("own", F.lit(False)) | (F.coalesce("_c", F.lit(0)) == 1)).alias("changed"))
+
+    res = G.propagate_by_level(levels, dag, node_fn)
+    return res.join(levels, "id").select("id", "level", "changed")
+
+
 # ---------------------------------------------------------------- vectors and embeddings
 from ..functions import vectors as V  # noqa: E402
 from ..operators import embed as EM  # noqa: E402

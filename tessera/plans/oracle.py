@@ -470,3 +470,8 @@ SELECT d.doc_id,
        coalesce(blk.n, 0)::INTEGER AS n_examples
 FROM documents d LEFT JOIN blk ON blk.doc_id = d.doc_id
 """
+
+ORACLE["level_propagation"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + "," + _LEVELS + r""",
+anc(n) AS (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT dag.src FROM anc JOIN dag ON dag.dst = anc.n)
+SELECT lv.id, lv.level::INTEGER AS level, lv.id IN (SELECT n FROM anc) AS changed FROM lv
+"""
