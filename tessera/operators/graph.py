@@ -234,6 +234,7 @@ def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, max_level: in
             child = (dag.join(frontier.withColumnRenamed("id", "src"), "src")
                      .join(results.withColumnRenamed("id", "dst"), "dst")
                      .withColumnRenamed("src", "id").withColumnRenamed("dst", "child"))
-        res = cut_lineage(node_fn(frontier, child))
-        results = res if results is None else cut_lineage(results.unionByName(res))
+        res = node_fn(frontier, child)
+        # one checkpoint per level: the accumulated results the next level reads
+        results = cut_lineage(res if results is None else results.unionByName(res))
     return results
