@@ -355,12 +355,11 @@ def id_integrity(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """JOIN-8: case k = vector 2k, answer k = vector 2k+1, joined on the carried k."""
+    """JOIN-8: case k is vector k, answer k is vector k+1 (every vector plays both roles),
+    joined on the carried k, never on row order. The last case has no answer."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    cases = e.where(F.pmod("vec_id", F.lit(2)) == 0).select(
-        F.floor(F.col("vec_id") / 2).alias("k"), F.col("embedding").alias("a"))
-    answers = e.where(F.pmod("vec_id", F.lit(2)) == 1).select(
-        F.floor(F.col("vec_id") / 2).alias("k"), F.col("embedding").alias("b"))
+    cases = e.select(F.col("vec_id").alias("k"), F.col("embedding").alias("a"))
+    answers = e.select((F.col("vec_id") - 1).alias("k"), F.col("embedding").alias("b"))
     return cases, answers
 
 

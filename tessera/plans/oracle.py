@@ -225,8 +225,8 @@ SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING
 """
 
 _PAIRS = """
-cases AS (SELECT vec_id // 2 AS k, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 2 = 0),
-answers AS (SELECT vec_id // 2 AS k, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 2 = 1)
+cases AS (SELECT vec_id AS k, embedding::DOUBLE[] AS a FROM embeddings),
+answers AS (SELECT vec_id - 1 AS k, embedding::DOUBLE[] AS b FROM embeddings)
 """
 
 ORACLE["pair_cosine"] = "WITH " + _PAIRS + """
