@@ -38,11 +38,22 @@ def response_status(text) -> Column:
     v = F.try_parse_json(body)
     return (F.when(s == "", F.lit("empty"))
             .when(body == "", F.lit("empty"))
-            .when(v.isNull(), F.lit("invalid"))
+            .when(v.isNull() | ~whole_json(body), F.lit("invalid"))
             .when(F.schema_of_variant(v).startswith("OBJECT"), F.lit("ok"))
             .otherwise(F.lit("not_object")))
 
 
+def whole_json(body) -> Column:
+    """True when ``body`` is exactly one JSON value (whitespace around it allowed).
+
+    Spark's parsers stop after the first complete value and ignore what follows
+    (``{"a": 1}}`` parses); a strict reader rejects trailing data. Wrapping the body as
+    ``[body, 1]`` turns any trailing text into a parse error or an extra element.
+    """
+    w = F.concat(F.lit("["), _c(body), F.lit(", 1]"))
+    return F.coalesce((F.json_array_length(w) == 2) & (F.get_json_object(w, "$[1]") == "1"), F.lit(False))
+
+
 def resolved_object(text) -> Column:
     """JSON text of the accepted object: the body for ``ok``, ``{}`` for ``empty``, else null."""
     st = response_status(text)

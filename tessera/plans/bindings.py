@@ -101,7 +101,7 @@ def _json_variant():
             .when(v == 2, F.concat(F.lit("["), p, F.lit("]")))
             .when(v == 3, F.lit("  \n "))
             .when(v == 4, F.lit("```json\n\n```"))
-            .otherwise(F.substring(p, 1, 5)))
+            .otherwise(F.concat(p, F.lit("}"))))     # trailing brace: not valid JSON
 
 
 @query
@@ -327,22 +327,25 @@ def unembedded(spark, sf_dir):
     return miss.select(F.col("key").alias("text_sha"), F.length("text").alias("n_chars"))
 
 
-def _first_line(c):
-    return F.element_at(F.split(F.col(c), "\n"), 1)
+# Fixed value of the binding: the rewrite of a record is its text plus this marker line.
+REWRITE_MARK = "\n-- rewritten"
 
 
 @query
 def corpus_upsert(spark, sf_dir):
     """VEC-5 / JOIN-3 / JOIN-4: benchmark (new corpus) refreshed over a stored corpus built
-    from documents (old version); vectors are the JVM letter profile."""
+    from documents (old version); example = whole text, rewrite = text plus a marker line;
+    vectors are the letter profile."""
     new = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("id"), _first_line("text").alias("example"), F.col("text").alias("rewrite"))
+        F.col("item_id").alias("id"), F.col("text").alias("example"),
+        F.concat("text", F.lit(REWRITE_MARK)).alias("rewrite"))
     old = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), _first_line("text").alias("example"), F.col("text").alias("rewrite"))
+        F.col("doc_id").alias("id"), F.col("text").alias("example"),
+        F.concat("text", F.lit(REWRITE_MARK)).alias("rewrite"))
     old = V.with_letter_profile(old, "example", "example_embedding")
     old = V.with_letter_profile(old, "rewrite", "rewrite_embedding")
     out = EM.refresh_corpus(new, old)
-    return out.select("id", "example", F.length("rewrite").alias("rewrite_chars"),
+    return out.select("id", F.sha2("example", 256).alias("example_sha"), F.length("rewrite").alias("rewrite_chars"),
                       _weights_checksum("example_embedding").alias("example_checksum"),
                       _weights_checksum("rewrite_embedding").alias("rewrite_checksum"))
 

@@ -93,7 +93,7 @@ ORACLE["fragments"] = f"SELECT doc_id, line_no::INTEGER AS pos, line AS fragment
 
 _VARIANT = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```'
   WHEN 2 THEN '[' || props || ']' WHEN 3 THEN '  ' || chr(10) || ' ' WHEN 4 THEN '```json' || chr(10) || chr(10) || '```'
-  ELSE substr(props, 1, 5) END"""
+  ELSE props || '}' END"""
 
 ORACLE["json_status"] = rf"""
 WITH a AS (SELECT event_id, regexp_replace({_VARIANT}, '^\s+|\s+$', '', 'g') AS s FROM events),
@@ -210,12 +210,12 @@ SELECT sha256(text) AS text_sha, length(text)::INTEGER AS n_chars FROM s WHERE s
 """
 
 ORACLE["corpus_upsert"] = f"""
-WITH nw AS (SELECT item_id AS id, string_split(text, chr(10))[1] AS example, text AS rewrite FROM benchmark),
-od AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS example, text AS rewrite FROM documents),
+WITH nw AS (SELECT item_id AS id, text AS example, text || chr(10) || '-- rewritten' AS rewrite FROM benchmark),
+od AS (SELECT doc_id AS id, text AS example, text || chr(10) || '-- rewritten' AS rewrite FROM documents),
 m AS (SELECT coalesce(nw.id, od.id) AS id, coalesce(nw.example, od.example) AS example,
              coalesce(nw.rewrite, od.rewrite) AS rewrite FROM nw FULL OUTER JOIN od ON nw.id = od.id),
 c AS (SELECT id, example, rewrite, {_letter_cols('example', 'e')}, {_letter_cols('rewrite', 'r')} FROM m)
-SELECT id, example, length(rewrite)::INTEGER AS rewrite_chars,
+SELECT id, sha256(example) AS example_sha, length(rewrite)::INTEGER AS rewrite_chars,
        {_letter_checksum('e')} AS example_checksum, {_letter_checksum('r')} AS rewrite_checksum
 FROM c
 """

@@ -34,9 +34,11 @@ def test_fragments(spark):
 
 
 def test_response_status(spark):
-    vals = ["", "```json\n\n```", '{"a":1}', "[1]", "x", '```json\n{"a":1}', "  {\"b\": 2}\n"]
+    vals = ["", "```json\n\n```", '{"a":1}', "[1]", "x", '```json\n{"a":1}', "  {\"b\": 2}\n",
+            '{"k": 96}}', '{"a":1} x', '{"a":1}, {"b":2}', '{"a": [1, {"b": "}"}]}']
     st = one(spark, vals, J.response_status)
-    assert st == ["empty", "empty", "ok", "not_object", "invalid", "invalid", "ok"]
+    assert st == ["empty", "empty", "ok", "not_object", "invalid", "invalid", "ok",
+                  "invalid", "invalid", "invalid", "ok"]
     body = one(spark, ['```json\n{"a":1}\n```'], J.response_body)
     assert body == ['{"a":1}']
 
