@@ -92,7 +92,8 @@ def unembedded_strings(examples: DataFrame, stored_vectors: DataFrame,
     for c in string_cols:
         s = examples.select(F.col(c).cast("string").alias("text")).where(F.col("text").isNotNull())
         strings = s if strings is None else strings.unionByName(s)
-    strings = strings.distinct().withColumn("key", text_key("text"))
+    # de-duplicate on the 64-character hash, not on whole texts
+    strings = strings.withColumn("key", text_key("text")).dropDuplicates(["key"])
     return strings.join(stored_vectors.select("key"), "key", "left_anti")
 
 
@@ -122,7 +123,8 @@ def refresh_corpus(examples: DataFrame, stored: DataFrame | None, embed=None,
         .withColumn("key", text_key("text"))
         .groupBy("key").agg(F.first("vec").alias("vec")))
     missing = unembedded_strings(ex, known)
-    fresh = _apply_embed(missing, "text", embed, "vec").select("key", "vec")
+    # model output is materialised once, so both lookups below reuse it (one call per string)
+    fresh = cut_lineage(_apply_embed(missing, "text", embed, "vec").select("key", "vec"))
     vectors = known.unionByName(fresh)
     merged = ex.alias("n").join(st.alias("o"), id_col, "full_outer").select(
         id_col,
