@@ -22,6 +22,7 @@ columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import lru_cache
 
@@ -76,13 +77,16 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+_ODD_SPACE = re.compile(r"(?:^|(?<=\s)) | (?=\s|$)|\0")
+
+
 def encode(text: str, ranks_path: str, pattern: str) -> bytes:
     """Ids of ``text`` as little-endian uint32 bytes."""
     cache = _cache(ranks_path, pattern)
-    words = text.split(" ")
-    if len(words) < 2:
-        return cache[text] if text else b""
+    if not _ODD_SPACE.search(text):
+        return b"".join(map(cache.__getitem__, text.replace(" ", "\0 ").split("\0"))) if text else b""
     # a space next to other white space (or at an end) belongs to a run: those parts stay together
+    words = text.split(" ")
     out, held = [], words[0]
     for before, w in zip(words, words[1:], strict=False):
         if w and before and not w[0].isspace() and not before[-1].isspace():
