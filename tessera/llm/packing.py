@@ -12,8 +12,7 @@ not closed: the pieces of these bins go to a second round with fewer groups, so
 not add up. ``sequence_id`` = round, group and bin.
 
 Ids come through tiktoken with the same vocabulary's ranks (equal to the ``tokenizers``
-ids, tested); a single space between two non-space characters is a token boundary of this
-pattern, so the words between them are looked up in a bounded cache.
+ids, tested), which is several times as fast.
 
 Defined cases: null texts count as empty, an empty text is the end id alone; repeated rows are packed each; extra
 columns are ignored; empty tables give no rows.
@@ -22,7 +21,6 @@ columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from functools import lru_cache
 
@@ -37,7 +35,6 @@ CAPACITY = 1024
 END_ID = 2
 GROUP_ROWS = 50_000
 SLACK = 16
-_CACHE_WORDS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -49,27 +46,6 @@ def _encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-class WordCache(dict):
-    """Word (with its leading space) -> ids as little-endian uint32 bytes; emptied when full."""
-
-    def __init__(self, encoder):
-        super().__init__()
-        self.encode = encoder.encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        ids = np.array(self.encode(word), "<u4").tobytes()
-        if len(word) < 64:
-            self[word] = ids
-        return ids
-
-
-@lru_cache(maxsize=2)
-def _cache(ranks_path: str, pattern: str) -> WordCache:
-    return WordCache(_encoder(ranks_path, pattern))
-
-
 def tokenizer_files() -> tuple[str, str]:
     """Ranks file and split pattern of the public byte-level vocabulary."""
     import public_tokenizers
@@ -77,25 +53,9 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-_ODD_SPACE = re.compile(r"(?:^|(?<=\s)) | (?=\s|$)|\0")
-
-
 def encode(text: str, ranks_path: str, pattern: str) -> bytes:
     """Ids of ``text`` as little-endian uint32 bytes."""
-    cache = _cache(ranks_path, pattern)
-    if not _ODD_SPACE.search(text):
-        return b"".join(map(cache.__getitem__, text.replace(" ", "\0 ").split("\0"))) if text else b""
-    # a space next to other white space (or at an end) belongs to a run: those parts stay together
-    words = text.split(" ")
-    out, held = [], words[0]
-    for before, w in zip(words, words[1:], strict=False):
-        if w and before and not w[0].isspace() and not before[-1].isspace():
-            out.append(held)
-            held = " " + w
-        else:
-            held += " " + w
-    out.append(held)
-    return b"".join(map(cache.__getitem__, out))
+    return np.array(_encoder(ranks_path, pattern).encode_ordinary(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, files: tuple[str, str] | None = None,
