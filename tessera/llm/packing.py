@@ -122,7 +122,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def _round(rows: DataFrame, groups: int, number: int, capacity: int, slack: int) -> DataFrame:
     """One round: deal by hash, sort each group longest first, pack; ``open`` marks unfilled bins."""
     keyed = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    keyed = (keyed.repartition(groups, "grp")
+    keyed = (keyed.repartitionById(groups, "grp")
              .sortWithinPartitions("grp", F.desc("length"), "doc_id", "piece", "ids_crc32"))
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", sequence_id long, offset long, open boolean"
     width = len(rows.columns)

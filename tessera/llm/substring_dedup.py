@@ -12,7 +12,7 @@ same words as a window that starts earlier (smaller doc_id, or earlier in the sa
 2. Extension. A repeat of at least ``WINDOW`` words covers a hit block, so only windows that hold
    one can repeat. Documents with hits are read again; of each candidate window the task
    sends hash and place of its first occurrence, later ones in the same task are settled there.
-   The bucket's earliest place stays, all others repeat it. Runs of repeated windows are the
+   The bucket's earliest place stays, all others repeat it and go back packed by document. Runs of repeated windows are the
    maximal exact repeats; the union of their windows is removed.
 
 Hot passages: after settling inside the task a window found in a third of all documents is one entry
@@ -134,10 +134,8 @@ _SETTLED, _PLACED, _PRESENT = 0, 1, 2
 
 def _spread(chunk, doc, pos, buckets):
     """Settled places travel through the same shuffle, dealt by document."""
-    own = np.array([hash(k) % buckets for k in chunk.keys], np.int64)
-    for g in _by_bucket(own[doc]):
-        keys, number = _key_table(chunk.keys, doc[g])
-        yield _row(int(own[doc[g[0]]]), _SETTLED, b"", _planes(number), _planes(pos[g].astype(np.uint32)), keys)
+    keys = np.array(chunk.keys, np.int64).reshape(-1, 2)
+    yield from _pack_places(keys[doc, 0], keys[doc, 1], pos, buckets)
 
 
 def _send_anchors(buckets: int):
@@ -180,36 +178,70 @@ def _unpack(docs, place, keys):
     return table[number, 0], table[number, 1], pos.astype(np.int64)
 
 
-_PLACES = "doc_id long, text_hash long, places binary"
+_BACK = "bucket int, kind byte, hashes binary, docs binary, place binary, keys binary"
 
 
-def _places(doc, key, pos):
-    """Rows (doc_id, text hash, packed positions) of one document each."""
-    order = np.lexsort((pos, key, doc))
-    doc, key, pos = doc[order], key[order], pos[order]
-    edges = np.flatnonzero((np.diff(doc) != 0) | (np.diff(key) != 0)) + 1
-    at = np.concatenate([[0], edges]).astype(np.int64) if len(doc) else np.empty(0, np.int64)
-    cuts = [p.astype(np.uint32).tobytes() for p in np.split(pos, edges)] if len(doc) else []
-    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(key[at]), pa.array(cuts, pa.binary())],
-                                      names=["doc_id", "text_hash", "places"])
+def _own_bucket(doc, key, buckets):
+    """Bucket of a document (for the way back to it)."""
+    return (xor_mix(doc.astype(np.uint64), key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def xor_mix(a, b):
+    x = (a * C.WORD_MULTIPLIER) ^ b
+    x ^= x >> np.uint64(32)
+    return x * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(8)
+
+
+def _pack_places(doc, key, pos, buckets):
+    """Places as packed rows, one for each document bucket."""
+    own = _own_bucket(doc, key, buckets)
+    order = np.lexsort((pos, key, doc, own))
+    doc, key, pos, own = doc[order], key[order], pos[order], own[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    number = np.cumsum(new) - 1
+    edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+    for a, z in zip(edges, edges[1:], strict=False):
+        if z > a:
+            k = np.flatnonzero(new[a:z]) + a
+            table = np.stack([doc[k], key[k]], axis=1).astype(np.int64)
+            yield _row(int(own[a]), _SETTLED, b"", _planes((number[a:z] - number[a]).astype(np.uint32)),
+                       _planes(pos[a:z].astype(np.uint32)), table.tobytes())
 
 
-def _buckets_of(batches, resolve):
+def _buckets_of(batches, resolve, buckets):
     """Collect a partition's packed rows by bucket, pass settled ones on, resolve the rest."""
     held: dict[int, list] = {}
     for b in batches:
-        for bucket, kind, *packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if kind == _SETTLED:
-                yield _places(*_unpack(*packed[1:]))
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[1] == _SETTLED:
+                yield _row(*r)
             else:
-                held.setdefault(bucket, []).append((kind, *packed))
+                held.setdefault(r[0], []).append(r[1:])
     for bucket in sorted(held):
         out = resolve(held.pop(bucket))
         if out is not None and len(out[0]):
-            yield _places(*out)
+            yield from _pack_places(*out, buckets)
 
 
-def _meet_anchors(batches):
+def _gather(batches):
+    """One row per document: its distinct places, sorted and packed."""
+    parts = [_unpack(*r[3:]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    if not parts:
+        return
+    doc, key, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, key, doc))
+    doc, key, pos = doc[order], key[order], pos[order].astype(np.uint32)
+    edges = (np.flatnonzero((np.diff(doc) != 0) | (np.diff(key) != 0)) + 1).tolist()
+    for a, z in zip([0, *edges[9_999::10_000]], [*edges[9_999::10_000], len(doc)], strict=True):
+        inner = [e for e in edges[np.searchsorted(edges, a, "right"):np.searchsorted(edges, z)]] if edges else []
+        at = [a, *inner]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[at]), pa.array(key[at]), pa.array([np.unique(pos[x:y]).tobytes() for x, y in zip(at, [*inner, z], strict=True)], pa.binary())],
+            names=["pid", "ph", "places"])
+
+
+def _meet_anchors(buckets: int):
     def resolve(rows):
         blocks = [r for r in rows if r[0] == _PLACED]
         if not blocks:
@@ -226,7 +258,7 @@ def _meet_anchors(batches):
         keep = hit[number]
         return doc[keep], key[keep], pos[keep]
 
-    yield from _buckets_of(batches, resolve)
+    return lambda batches: _buckets_of(batches, resolve, buckets)
 
 
 def _send_windows(buckets: int):
@@ -241,7 +273,7 @@ def _send_windows(buckets: int):
             for d, (hits,) in enumerate(extra):
                 if hits is None or start[d] == start[d + 1]:
                     continue
-                at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in hits])).astype(np.int64)
+                at = np.frombuffer(hits, np.uint32).astype(np.int64)
                 a = np.maximum(at + BLOCK - WINDOW, 0)  # windows that hold the block
                 z = np.minimum(at + 1, start[d + 1] - start[d])
                 ok = z > a
@@ -265,7 +297,7 @@ def _send_windows(buckets: int):
     return scan
 
 
-def _meet_windows(batches):
+def _meet_windows(buckets: int):
     def resolve(rows):
         h = np.concatenate([_unplanes(r[1], np.uint64) for r in rows])
         doc, key, pos = (np.concatenate(x) for x in zip(*(_unpack(*r[2:]) for r in rows), strict=True))
@@ -277,13 +309,13 @@ def _meet_windows(batches):
         later = (doc != doc[lead]) | (key != key[lead]) | (pos != pos[lead])
         return doc[later], key[later], pos[later]
 
-    yield from _buckets_of(batches, resolve)
+    return lambda batches: _buckets_of(batches, resolve, buckets)
 
 
-def _gathered(places: DataFrame) -> DataFrame:
-    """One row per document with hits: its packed positions as a list (bounded by the document's length)."""
-    return (places.groupBy("doc_id", "text_hash").agg(F.collect_list("places").alias("places"))
-            .select(F.col("doc_id").alias("pid"), F.col("text_hash").alias("ph"), "places"))
+def _met(packed: DataFrame, meet, buckets: int) -> DataFrame:
+    """Deal by hash bucket, resolve, deal back by document bucket: (pid, ph, places), a row a document."""
+    back = packed.repartitionById(buckets, "bucket").mapInArrow(meet(buckets), _BACK)
+    return back.repartitionById(buckets, "bucket").mapInArrow(_gather, "pid long, ph long, places binary")
 
 
 def kept_words(words: list[bytes], starts: np.ndarray, window: int = WINDOW) -> list[bytes]:
@@ -305,16 +337,11 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     # white space is counted without reading words: an upper estimate of the words sizes the buckets
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(C.partitions(spark), int(total // 6 // BUCKET_WORDS))
-    packed = "bucket int, kind byte, hashes binary, docs binary, place binary, keys binary"
-
-    anchors = base.mapInArrow(_send_anchors(buckets), packed).repartition(buckets, "bucket")
-    hits = C.stored(anchors.mapInArrow(_meet_anchors, _PLACES), "anchors")
+    hits = C.stored(_met(base.mapInArrow(_send_anchors(buckets), _BACK), _meet_anchors, buckets), "anchors")
     dealt = base.repartition(C.partitions(spark), "doc_id", "text_hash")  # one exchange of the texts for both joins
-    found = _gathered(hits)
-    able = dealt.join(found, (dealt["doc_id"] == found["pid"]) & (dealt["text_hash"] == found["ph"])) \
+    able = dealt.join(hits, (dealt["doc_id"] == hits["pid"]) & (dealt["text_hash"] == hits["ph"])) \
         .select("doc_id", "text_hash", "text", "places")
-    windows = able.mapInArrow(_send_windows(buckets), packed).repartition(buckets, "bucket")
-    gone = _gathered(windows.mapInArrow(_meet_windows, _PLACES))
+    gone = _met(able.mapInArrow(_send_windows(buckets), _BACK), _meet_windows, buckets)
     joined = dealt.join(gone, (dealt["doc_id"] == gone["pid"]) & (dealt["text_hash"] == gone["ph"]), "left") \
         .select("doc_id", "text_hash", "text", "places")
 
@@ -325,7 +352,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 words = t.split() if t else []
                 kept = words
                 if places:
-                    kept = kept_words(words, np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64))
+                    kept = kept_words(words, np.frombuffer(places, np.uint32).astype(np.int64))
                 out = b" ".join(kept)
                 n.append(len(words))
                 removed.append(len(words) - len(kept))

@@ -166,7 +166,7 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     stride = seq_len * width.itemsize
     # Ranges of whole shards: the shard number is the partition key, and slots come in order within it.
     placed = (base.mapInArrow(cut, cut_schema).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
-              .repartition(shards, "shard").sortWithinPartitions("shard", "slot"))
+              .repartitionById(shards, "shard").sortWithinPartitions("shard", "slot"))
 
     def write(batches):
         fs, root = open_fs(folder)
