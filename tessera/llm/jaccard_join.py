@@ -21,8 +21,9 @@ documents link when ``100 * |A and B| >= percent * |A or B|``.
 5. What is left is decided on the sorted shingle arrays.
 6. Components of the links found. Keys whose members are still in several components go on:
    their members are dealt into blocks, each pair of blocks is one task-sized tile, and
-   all pairs of different components in it are bounded by their bitmaps at once (numpy), the rest
-   verified exactly. So no link between components is lost, and no list of all pairs within a group exists.
+   all pairs of different components in it are bounded by their bitmaps at once (numpy). Of each
+   two components the closest pair is verified first; only where it was not the only one left and
+   the components are still apart are all left verified. So no link between components is lost.
 
 Shingles are 64-bit hashes and classes 64-bit hashes of them; at a billion distinct sets the
 expected number of colliding classes is 0.03.
@@ -297,11 +298,13 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInArrow(scan, "a long, b long")
 
 
-def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs of different components within a key, as far as their bitmaps allow a link.
+def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
+    """(a, b, key, more): pairs of different components within a key whose bitmaps allow a link.
 
     ``open_keys``: key, class, component, members (of the key). A key's classes are dealt into
-    ``ceil(members / block)`` blocks; each pair of blocks is one group of the stream.
+    ``ceil(members / block)`` blocks; each pair of blocks is one group of the stream. Of each two
+    components a group gives the most promising pair, and ``more`` says that there are others;
+    with ``every`` it gives all.
     """
     blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
     dealt = (open_keys.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -324,21 +327,41 @@ def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int) -> D
             yield from compare(held)
 
     def compare(held):
-        lo, hi = held[0][1:3]
+        key, lo, hi = held[0][:3]
         own = np.array([r[3] for r in held])
         cls, comp, n = (np.array([r[k] for r in held], np.int64) for k in (4, 5, 6))
         maps = [np.frombuffer(r[7], np.uint64) for r in held]
         w = min(map(len, maps))
         maps = np.array([fold(m, w) for m in maps])
+        best: dict[tuple[int, int], list] = {}
         for i in range(1, len(held)):
             j = np.flatnonzero((comp[:i] != comp[i]) & ((own[:i] != own[i]) | (lo == hi)) & (100 * n[:i] >= percent * n[i]))
-            if len(j):
-                j = j[may_link(np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64), n[j], n[i], percent)]
-            if len(j):
-                x, y = np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i])
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    return rows.mapInArrow(scan, "a long, b long").distinct()
+            if not len(j):
+                continue
+            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1).astype(np.int64)
+            able = may_link(apart, n[j], n[i], percent)
+            j, apart = j[able], apart[able]
+            if every and len(j):
+                yield out(np.minimum(cls[j], cls[i]), np.maximum(cls[j], cls[i]), key, False)
+            elif len(j):
+                order = np.lexsort((cls[j], apart, comp[j]))
+                j, apart = j[order], apart[order]
+                other, at, times = np.unique(comp[j], return_index=True, return_counts=True)
+                for c, k, t in zip(other.tolist(), at.tolist(), times.tolist(), strict=True):
+                    pair = (min(c, int(comp[i])), max(c, int(comp[i])))
+                    found = (int(apart[k]), int(cls[j[k]]), int(cls[i]))
+                    had = best.get(pair)
+                    best[pair] = [min(found, had[0]) if had else found, (had[1] if had else 0) + t]
+        if best:
+            x, y = (np.array([v[0][k] for v in best.values()], np.int64) for k in (1, 2))
+            yield out(np.minimum(x, y), np.maximum(x, y), key, [v[1] > 1 for v in best.values()])
+
+    def out(a, b, key, more):
+        more = [more] * len(a) if isinstance(more, bool) else more
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([key] * len(a), pa.int64()), pa.array(more, pa.bool_())],
+                                          names=["a", "b", "key", "more"])
+
+    return rows.mapInArrow(scan, "a long, b long, key long, more boolean")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -359,14 +382,23 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     links = C.stored(_exact(_bounded(pairs, sets, percent), sets, percent), "links")
     label = C.components(links).withColumnRenamed("node", "class")
 
-    known = stars.select("key", "class").join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
-             .where("x <> y").select(F.col("key").alias("k"), "members"))
-    more = _tiles(known.join(mixed, known["key"] == mixed["k"]).drop("k"), sets, percent, block)
-    late = C.stored(_exact(more, sets, percent), "links")
-    if late.limit(1).count():
-        links = links.unionByName(late).distinct()
-        label = C.components(links).withColumnRenamed("node", "class")
+    def open_keys(members):
+        known = members.join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+        mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+                 .where("x <> y").select(F.col("key").alias("k"), "members"))
+        return known.join(mixed, known["key"] == mixed["k"]).drop("k")
+
+    members = stars.select("key", "class")
+    for every in (False, True):
+        found = C.stored(_tiles(open_keys(members), sets, percent, block, every), "tiles")
+        late = C.stored(_exact(found.select("a", "b").distinct(), sets, percent), "links")
+        if late.limit(1).count():
+            links = links.unionByName(late).distinct()
+            label = C.components(links).withColumnRenamed("node", "class")
+        again = found.where("more").select(F.col("key").alias("k")).distinct()
+        if every or not again.limit(1).count():
+            break
+        members = members.join(again, members["key"] == again["k"]).drop("k")
 
     degree = (links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links")))
     small = (classes.join(label, "class").select("class", "component", "doc_id").groupBy("component").agg(F.min("doc_id").alias("least")))
