@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .symbols import strip_comments
+
 # Keyword lists of the classifier.
 DAO_NAME_KEYWORDS = ["Dao", "Repository", "Persistence", "Mapper"]
 DAO_ANNOTATIONS = ["@Repository", "@Service", "@Component", "@Mapper"]
@@ -28,20 +30,22 @@ RULES = [
     ("annotation", rf"@({_alt(a[1:] for a in DAO_ANNOTATIONS)})\b"),
     ("superclass", rf"(?i)\bextends\s+[\w.]*({_NAMES})"),
     ("library_call", rf"({_alt(DAO_LIBRARIES, escape=True)})[\w.]*\.\w+\s*\("),
-    ("jdbc_member", rf"\b[a-z_]\w*({_alt(JDBC_KEYWORDS)})"),
+    # a name, not a call: no opening parenthesis after it (written without look-ahead)
+    ("jdbc_member", rf"\b[a-z_]\w*(?:{_alt(JDBC_KEYWORDS)})\w*(?:\s+\w|\s*(?:[^\w\s(]|$))"),
     ("throws_sql", r"\bthrows\s+[\w.,\s]*SQLException"),
 ]
 
 
 def dao_reason(path, content, suffix: str = ".java", match_annotations: bool = False) -> Column:
-    """Return the first rule that marks the file as data-access code, or ``'none'``.
+    """Return the first rule that marks the file as data-access code, or ``'none'``; comments and
+    string literals are blanked before the content rules.
 
     Order: suffix gate, ``dao`` anywhere in the path (any case), class name, annotation
     (off by default: the original compares case-folded names with a mixed-case list and
     never matches), superclass, persistence-library call, JDBC member, ``throws SQLException``.
     """
     p = F.col(path) if isinstance(path, str) else path
-    c = F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit(""))
+    c = strip_comments(F.coalesce(F.col(content) if isinstance(content, str) else content, F.lit("")))
     expr = F.when(~p.endswith(suffix), F.lit("not_source")).when(
         F.lower(p).contains("dao"), F.lit("path"))
     for name, pattern in RULES:

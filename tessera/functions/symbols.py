@@ -16,9 +16,11 @@ COMMENT_OR_STRING = r'/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"'
 # Public top-level or nested classes / interfaces; enums, records and annotations excluded.
 JAVA_DECLARED = (r"\bpublic\s+(?:(?:abstract|final|static|sealed|non-sealed|strictfp)\s+)*"
                  r"(?:class|interface)\s+([A-Za-z_$][\w$]*)")
-# Type of a field, formal parameter or local variable: ``Type name`` followed by = ; , ) or :.
-# A generic type keeps its full text (``List<Foo>``), as in the original.
-JAVA_USED = r"\b([A-Z][\w$]*(?:<[\w$<>,.?\s\[\]]*>)?)(?:\[\])*\s+[a-z_$][\w$]*\s*[=;,):]"
+# Type of a field, formal parameter or local variable: ``Type name`` followed by = ; , or ).
+# A generic type keeps its full text (``List<Foo>``), as in the original. Array and scoped types,
+# catch parameters and for-each variables are not taken.
+JAVA_USED = (r"(?<![\w$.])(?<!catch\s{0,3}\(\s{0,3})(?<!catch\s{0,3}\(\s{0,3}final\s{1,3})"
+             r"([A-Z][\w$]*(?:<[\w$<>,.?\s\[\]]*>)?)\s+[a-z_$][\w$]*\s*[=;,)]")
 JAVA_TYPE_ARG = r"[<,]\s*([A-Z][\w$]*)"
 
 
@@ -27,9 +29,10 @@ def strip_comments(text) -> Column:
     return F.regexp_replace(t, COMMENT_OR_STRING, " ")
 
 
-def declared_symbols(text, pattern: str = JAVA_DECLARED, group: int = 1) -> Column:
+def declared_symbols(text, pattern: str = JAVA_DECLARED, group: int = 1, strip: bool = True) -> Column:
     """All declared names, in text order."""
-    return F.regexp_extract_all(strip_comments(text), F.lit(pattern), F.lit(group))
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(strip_comments(t) if strip else t, F.lit(pattern), F.lit(group))
 
 
 def first_symbol(text, pattern: str, group: int = 0) -> Column:

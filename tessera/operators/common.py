@@ -40,9 +40,16 @@ def dense_index(df: DataFrame, order_cols, group_cols=(), index_col: str = "idx"
     stats = s.groupBy("_pid", *group_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = s.join(stats, ["_pid", *group_cols])
+    # null groups are groups too, so the offsets meet the rows null-safely; ungrouped, the table has
+    # one row per partition and is broadcast, else its size follows the groups and the join decides
+    names = {c: f"_g{i}" for i, c in enumerate(group_cols)}
+    stats = stats.select(F.col("_pid").alias("_p"), *[F.col(c).alias(g) for c, g in names.items()], "_first", "_off")
+    on = s["_pid"] == stats["_p"]
+    for c, g in names.items():
+        on = on & s[c].eqNullSafe(stats[g])
+    out = s.join(stats if group_cols else F.broadcast(stats), on).drop("_p", *names.values())
     return out.withColumn(index_col, F.col("_mid") - F.col("_first") + F.col("_off")) \
-        .drop("_pid", "_mid", "_first", "_n", "_off")
+        .drop("_pid", "_mid", "_first", "_off")
 
 
 def batch_number(index_col, size: int):

@@ -108,7 +108,9 @@ def refresh_corpus(examples: DataFrame, stored: DataFrame | None, embed=None,
     win, stored-only records stay). Output is ordered by id.
     """
     cols = ["example", "rewrite"]
-    ex = examples.select(id_col, *[F.col(c).cast("string").alias(c) for c in cols])
+    # one row per id, whatever the batch repeats: the greatest (example, rewrite) wins
+    ex = (examples.select(id_col, *[F.col(c).cast("string").alias(c) for c in cols])
+          .groupBy(id_col).agg(F.max(F.struct(*cols)).alias("_r")).select(id_col, "_r.*"))
     if stored is None:
         spark = examples.sparkSession
         stored = spark.createDataFrame([], f"{id_col} bigint, example string, rewrite string, "
@@ -121,7 +123,7 @@ def refresh_corpus(examples: DataFrame, stored: DataFrame | None, embed=None,
         .unionByName(st.select(F.col("rewrite").alias("text"), F.col("rewrite_embedding").alias("vec")))
         .where(F.col("vec").isNotNull() & F.col("text").isNotNull())
         .withColumn("key", text_key("text"))
-        .groupBy("key").agg(F.first("vec").alias("vec")))
+        .groupBy("key").agg(F.min("vec").alias("vec")))
     missing = unembedded_strings(ex, known)
     # model output is materialised once, so both lookups below reuse it (one call per string)
     fresh = cut_lineage(_apply_embed(missing, "text", embed, "vec").select("key", "vec"))

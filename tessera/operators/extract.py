@@ -32,12 +32,12 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, key: str = "promp
     """INF-1: prompts(key, prompt, ...) left-joined with recorded responses(key, attempt, text).
 
     With ``model_fn`` (list of prompts -> list of answers), prompts without any recorded
-    answer are answered batch-wise in ``mapInPandas`` and appended as attempt 0.
+    non-null answer are answered batch-wise in ``mapInPandas`` and appended as attempt 0.
     """
     out = prompts.join(responses, key, "left")
     if model_fn is None:
         return out
-    missing = prompts.join(responses.select(key).distinct(), key, "left_anti")
+    missing = prompts.join(responses.where(F.col("text").isNotNull()).select(key).distinct(), key, "left_anti")
     schema = T.StructType(missing.schema.fields + [T.StructField("attempt", T.IntegerType()),
                                                    T.StructField("text", T.StringType())])
 
@@ -85,7 +85,8 @@ def explode_changes(answers: DataFrame, key: str, value: str = "value") -> DataF
         F.col("m.suggested_change").alias("suggested_change"),
         F.col("m.description").alias("description"), F.col("m.complexity").alias("complexity"),
         F.coalesce(F.col("m.warnings"), F.array().cast("array<string>")).alias("warnings"),
-        J.quarantine(F.col("m.start_line")).alias("bad_start_line"))
+        J.quarantine(F.col("m.start_line")).alias("bad_start_line"),
+        J.quarantine(F.col("m.end_line")).alias("bad_end_line"))
 
 
 def explode_signatures(answers: DataFrame, key: str, value: str = "value") -> DataFrame:

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
 
 def symbol_owner(declares: DataFrame, path: str = "path", symbol: str = "symbol") -> DataFrame:
     """AGG-1: one owner per symbol; with several declaring files the greatest path wins."""
@@ -52,8 +50,7 @@ def graph_nodes(files: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 UNROLL = 2
 
 
-def _propagate_max(labels: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS,
-                   unroll: int = UNROLL) -> DataFrame:
+def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL) -> DataFrame:
     """labels(id, label): label(v) := max(label(v), label(u)) over edges u -> v, to a fixpoint.
 
     Semi-naive: only labels that changed in the previous step are pushed along edges.
@@ -62,7 +59,7 @@ def _propagate_max(labels: DataFrame, edges: DataFrame, max_rounds: int = MAX_RO
     overshooting is harmless.
     """
     state = cut_lineage(labels.select("id", "label", F.lit(True).alias("_chg")))
-    for _ in range(0, max_rounds, unroll):
+    while True:
         for _ in range(unroll):
             frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
             cand = (edges.join(frontier, "src").groupBy("dst").agg(F.max("l").alias("m"))
@@ -73,10 +70,9 @@ def _propagate_max(labels: DataFrame, edges: DataFrame, max_rounds: int = MAX_RO
         state = cut_lineage(state)
         if state.where("_chg").limit(1).count() == 0:
             return state.select("id", "label")
-    raise RuntimeError("label propagation did not converge")
 
 
-def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SCC label per node (the greatest id in its component), by repeated forward colouring.
 
     Each round first trims nodes without an incoming or without an outgoing active edge
@@ -87,7 +83,7 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX
     """
     e_all = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
     state = cut_lineage(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")))
-    for _ in range(max_rounds):
+    while True:  # every round finds at least one component
         active = state.where(F.col("scc").isNull()).select("id")
         e = (e_all.join(active.withColumnRenamed("id", "src"), "src")
              .join(active.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
@@ -115,7 +111,6 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX
                .join(colour.select("id", F.col("label").alias("_s")), "id"))
         state = cut_lineage(state.join(won, "id", "left")
                             .select("id", F.coalesce("scc", "_s").alias("scc")))
-    raise RuntimeError("SCC search did not finish")
 
 
 def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -135,8 +130,7 @@ def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     return kept, removed
 
 
-def dependency_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = MAX_ROUNDS,
-                      unroll: int = UNROLL) -> DataFrame:
+def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) -> DataFrame:
     """GRF-3: level 0 for nodes without successors, else 1 + the greatest successor level.
 
     Peeling with pending-successor counts: in step k every unplaced node whose successors
@@ -150,7 +144,7 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = MAX_RO
                      F.lit(None).cast("int").alias("level")))
     state = cut_lineage(state)
     level = 0
-    while level < max_rounds:
+    while True:
         for _ in range(unroll):
             is_ready = F.col("level").isNull() & (F.col("pending") == 0)
             ready = state.where(is_ready).select(F.col("id").alias("dst"))
@@ -166,7 +160,6 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, max_rounds: int = MAX_RO
         if top is None or top < level - unroll:
             # a whole chunk placed nothing although nodes remain: they sit on a cycle
             raise ValueError("graph has a cycle; relax it first")
-    raise RuntimeError("level peeling did not finish")
 
 
 def level_sizes(levels: DataFrame) -> DataFrame:
@@ -174,8 +167,7 @@ def level_sizes(levels: DataFrame) -> DataFrame:
     return levels.groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS,
-                    unroll: int = UNROLL) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) -> DataFrame:
     """GRF-6: component label = smallest id reachable ignoring direction.
 
     Min-label propagation with pointer jumping: each step first takes the smallest label
@@ -189,7 +181,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_RO
         .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         .where(F.col("src") != F.col("dst")).distinct())
     state = cut_lineage(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")))
-    for _ in range(0, max_rounds, unroll):
+    while True:
         for _ in range(unroll):
             frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
             cand = (both.join(frontier, "src").groupBy("dst").agg(F.min("l").alias("m"))
@@ -204,7 +196,6 @@ def weak_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_RO
         state = cut_lineage(state)
         if state.where("_chg").limit(1).count() == 0:
             return state.select("id", F.col("label").alias("component"))
-    raise RuntimeError("component labelling did not converge")
 
 
 def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -49,15 +49,18 @@ def impact_split(files: DataFrame, impacted: DataFrame) -> DataFrame:
                  F.coalesce(F.sum(F.when(~imp, F.col("line_count"))), F.lit(0)).alias("unchanged_lines"))
 
 
-def task_changes(tasks: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """JOIN-6: explode task indexes, join the indexed changes, re-nest in index order."""
-    ex = tasks.select(key, F.posexplode("indexes").alias("_p", "idx"))
-    j = ex.join(changes, [key, "idx"])
+def task_changes(tasks: DataFrame, changes: DataFrame, key: str, measure: str, total: str) -> DataFrame:
+    """JOIN-6: explode task indexes, join the indexed changes, re-nest in index order.
+
+    Every task stays: one without any change (or without indexes) has zero changes and a total of 0.
+    """
+    ex = tasks.select(key, F.posexplode_outer("indexes").alias("_p", "idx"))
+    j = ex.join(changes.withColumn("_there", F.lit(1)), [key, "idx"], "left")
+    hit = F.when(F.col("_there") == 1, F.struct("_p", "idx"))
     return j.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_changes"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "idx"))),
-                                 lambda x: x["idx"].cast("string")), ",").alias("line_numbers"),
-        F.round(F.sum("l_quantity"), 6).alias("total_qty"))
+        F.count("_there").alias("n_changes"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(hit)), lambda x: x["idx"].cast("string")), ",").alias("line_numbers"),
+        F.round(F.coalesce(F.sum(measure), F.lit(0.0)), 6).alias(total))
 
 
 def affected_changes(changes: DataFrame, affected: DataFrame, file_col: str = "filename") -> DataFrame:

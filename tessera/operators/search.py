@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast, dense_index
 
-# Fixed value: the word pattern of the sparse term vectors (applied to lower-cased text).
-TOKEN_PATTERN = "[a-zà-ÿß]+"
+# Word pattern of the sparse term vectors (applied to lower-cased text): a letter of any script, then letters and digits.
+TOKEN_PATTERN = r"\p{L}[\p{L}\p{N}]*"
 
 
 def tokens(text) -> "F.Column":

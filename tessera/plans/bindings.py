@@ -175,13 +175,15 @@ def dense_id_batches(spark, sf_dir):
 from ..functions import symbols as S  # noqa: E402
 from ..operators import graph as G  # noqa: E402
 
-# Binding parameter: documents declare the first capitalised word and use all of them.
+# Binding parameters: documents declare the capitalised words at their lines' starts and use all of them.
 WORD_SYMBOL = "[A-Z][a-z]{3,}"
+LINE_SYMBOL = r"(?:^|\n)([A-Z][a-z]{3,})"
 
 
 def _declares(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("path"), S.first_symbol("text", WORD_SYMBOL).alias("symbol"))
+    found = F.array_distinct(S.declared_symbols("text", LINE_SYMBOL, strip=False))
+    return d.select(F.col("doc_id").alias("path"), F.explode(found).alias("symbol"))
 
 
 def _uses(spark, sf_dir):
@@ -475,15 +477,15 @@ def _complexity():
 @query
 def context_block(spark, sf_dir):
     """COL-12 / COL-13 / COL-14 / WIN-5: user turns are questions (numbered 1.. per
-    conversation), the next assistant turn's long lines (first two) are their results."""
+    conversation), the next assistant turn's non-blank lines are their results."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     users = conv.where(F.col("role") == "user")
     q = dense_index(users.select("conv_id", "turn", "text"), ["turn"], ["conv_id"], index_col="_i")
     q = q.select("conv_id", "turn", (F.col("_i") + 1).alias("q_no"), F.col("text").alias("question"))
     asst = conv.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"),
-        F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 60)).alias("_p", "result"))
-    hits = (asst.where(F.col("_p") < 2).join(q.select("conv_id", "turn", "q_no"), ["conv_id", "turn"])
+        F.posexplode(T.fragments("text", "\n")).alias("_p", "result"))
+    hits = (asst.join(q.select("conv_id", "turn", "q_no"), ["conv_id", "turn"])
             .select("conv_id", "q_no", (F.col("_p") + 1).alias("r_no"), "result"))
     blk = X.context_block(q, hits, "conv_id")
     prompt = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"))
@@ -542,7 +544,8 @@ def _order_answers(spark, sf_dir):
              .otherwise(F.concat(F.lit('"start_line": "'), (F.col("l_linenumber") * 10).cast("string"), F.lit('", '))))
     obj = F.concat(
         F.lit('{"code_sample": "L'), ln, F.lit('", '), start,
-        F.lit('"end_line": '), (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("string"),
+        F.lit('"end_line": '), F.when(F.col("l_linenumber") == 3, F.lit('"9z"')).otherwise(
+            (F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int")).cast("string")),
         F.lit(', "suggested_change": "use part '), F.col("l_partkey").cast("string"),
         F.lit('", "description": "supplier '), F.col("l_suppkey").cast("string"),
         F.lit('", "complexity": "'), _complexity(),
@@ -618,7 +621,8 @@ def lines_by_complexity(spark, sf_dir):
 def tasks_by_effort(spark, sf_dir):
     """AGG-6 / WIN-2 / WIN-3: tasks stably sorted by effort rank, grouped by effort."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    t = o.select("o_orderkey", _map(F.col("o_orderpriority"), EFFORT_OF_PRIORITY, F.col("o_orderpriority")).alias("effort"))
+    effort = _map(F.col("o_orderpriority"), EFFORT_OF_PRIORITY, F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")))
+    t = o.select("o_orderkey", effort.alias("effort"))   # the lowest priority stands for a missing effort
     return RP.tasks_by_effort(t, "o_orderkey", EFFORT_RANK)
 
 
@@ -648,7 +652,7 @@ def task_changes(spark, sf_dir):
                                                   F.sequence(F.lit(1), F.lit(7)).alias("indexes"))
     ch = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("task"),
                                                  F.col("l_linenumber").alias("idx"), "l_quantity")
-    return RP.task_changes(tasks, ch, "task")
+    return RP.task_changes(tasks, ch, "task", "l_quantity", "total_qty")
 
 
 @query

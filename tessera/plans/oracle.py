@@ -9,10 +9,10 @@ WITH lines AS (
                generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS line_no
         FROM documents) l
 ),
-qtok AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[a-zà-ÿß]+')) AS token FROM lines),
+qtok AS (SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '\p{L}[\p{L}\p{N}]*')) AS token FROM lines),
 qtf AS (SELECT doc_id, line_no, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
 qn AS (SELECT doc_id, line_no, sum(n*n) AS qss FROM qtf GROUP BY ALL),
-ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS token FROM benchmark),
+ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}]*')) AS token FROM benchmark),
 ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
 cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.doc_id, q.line_no, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
@@ -36,6 +36,8 @@ def _prune_sql(x: str) -> str:
 
 def _rules_sql(path: str, content: str, suffix: str) -> str:
     from ..functions.rules import RULES
+    from ..functions.symbols import COMMENT_OR_STRING
+    content = f"regexp_replace(coalesce({content}, ''), '{COMMENT_OR_STRING}', ' ', 'g')"
     parts = [f"WHEN NOT ends_with({path}, '{suffix}') THEN 'not_source'",
              f"WHEN contains(lower({path}), 'dao') THEN 'path'"]
     for name, pat in RULES:
@@ -95,6 +97,10 @@ _VARIANT = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(1
   WHEN 2 THEN '[' || props || ']' WHEN 3 THEN '  ' || chr(10) || ' ' WHEN 4 THEN '```json' || chr(10) || chr(10) || '```'
   ELSE props || '}' END"""
 
+ORACLE["row_json"] = """
+SELECT c_custkey, '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}' AS json FROM customer
+"""
+
 ORACLE["json_status"] = rf"""
 WITH a AS (SELECT event_id, regexp_replace({_VARIANT}, '^\s+|\s+$', '', 'g') AS s FROM events),
 b AS (SELECT event_id, s, CASE WHEN starts_with(s, '```json' || chr(10)) AND ends_with(s, chr(10) || '```')
@@ -136,8 +142,8 @@ SELECT o_orderkey, o_custkey, idx, (idx // 100) AS batch FROM (
 
 
 _GRAPH = r"""
-decl AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]{3,}', 0) AS cls FROM documents),
-owner AS (SELECT cls, max(doc_id) AS doc_id FROM decl WHERE cls <> '' GROUP BY cls),
+decl AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|\n)([A-Z][a-z]{3,})', 1)) AS cls FROM documents),
+owner AS (SELECT cls, max(doc_id) AS doc_id FROM decl GROUP BY cls),
 uses AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS cls FROM documents),
 e AS (SELECT DISTINCT u.doc_id AS src, o.doc_id AS dst FROM uses u JOIN owner o USING (cls) WHERE u.doc_id <> o.doc_id)
 """
@@ -153,8 +159,9 @@ lv AS (SELECT n AS id, max(d) AS level FROM l GROUP BY n)
 """
 
 ORACLE["declares"] = r"""
-WITH decl AS (SELECT doc_id, regexp_extract(text, '[A-Z][a-z]{3,}', 0) AS cls FROM documents)
-SELECT doc_id, cls AS symbols, (CASE WHEN cls = '' THEN 0 ELSE 1 END)::INTEGER AS n_symbols FROM decl
+WITH decl AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '(?:^|\n)([A-Z][a-z]{3,})', 1)) AS cls FROM documents)
+SELECT d.doc_id, coalesce(string_agg(cls, ',' ORDER BY cls), '') AS symbols, count(cls)::INTEGER AS n_symbols
+FROM documents d LEFT JOIN decl USING (doc_id) GROUP BY d.doc_id
 """
 
 ORACLE["uses"] = r"""
@@ -262,10 +269,10 @@ _NOTES_LINES = r"""
 q AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
              generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
       FROM conversations WHERE role = 'user'),
-qtok AS (SELECT conv_id, turn, frag, unnest(regexp_extract_all(lower(ftext), '[a-zà-ÿß]+')) AS token FROM q),
+qtok AS (SELECT conv_id, turn, frag, unnest(regexp_extract_all(lower(ftext), '\p{L}[\p{L}\p{N}]*')) AS token FROM q),
 qtf AS (SELECT conv_id, turn, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
 qn AS (SELECT conv_id, turn, frag, sum(n*n) AS qss FROM qtf GROUP BY ALL),
-ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS token FROM benchmark),
+ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}]*')) AS token FROM benchmark),
 ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
 cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.conv_id, q.turn, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
@@ -303,11 +310,10 @@ _HEADER = ("Use the following questions and their answers which are required for
 ORACLE["context_block"] = rf"""
 WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS q_no
            FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 60) AS ls
+a AS (SELECT conv_id, turn, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls
       FROM conversations WHERE role = 'assistant'),
 al AS (SELECT conv_id, turn, unnest(ls) AS line, generate_subscripts(ls, 1) AS r_no FROM a),
-h AS (SELECT u.conv_id, u.q_no, al.r_no, al.line AS result FROM u JOIN al ON al.conv_id = u.conv_id AND al.turn = u.turn + 1
-      WHERE al.r_no <= 2),
+h AS (SELECT u.conv_id, u.q_no, al.r_no, al.line AS result FROM u JOIN al ON al.conv_id = u.conv_id AND al.turn = u.turn + 1),
 pq AS (SELECT conv_id, q_no, string_agg('    * **Search Result ' || r_no || ':** ' || result || chr(10) || chr(10), '' ORDER BY r_no) AS res
        FROM h GROUP BY conv_id, q_no),
 q AS (SELECT u.conv_id, u.q_no, u.text AS question, pq.res FROM u LEFT JOIN pq ON pq.conv_id = u.conv_id AND pq.q_no = u.q_no),
@@ -349,7 +355,7 @@ obj AS (SELECT l_orderkey, l_linenumber,
    '{{"code_sample": "L' || l_linenumber || '", ' ||
    (CASE WHEN l_returnflag = 'N' THEN '' WHEN l_linestatus = 'O' AND l_linenumber = 1 THEN '"start_line": "x1", '
          ELSE '"start_line": "' || (l_linenumber * 10) || '", ' END) ||
-   '"end_line": ' || (l_linenumber * 10 + CAST(l_quantity AS INTEGER)) ||
+   '"end_line": ' || (CASE WHEN l_linenumber = 3 THEN '"9z"' ELSE (l_linenumber * 10 + CAST(l_quantity AS INTEGER))::VARCHAR END) ||
    ', "suggested_change": "use part ' || l_partkey || '", "description": "supplier ' || l_suppkey ||
    '", "complexity": "' || {_CPLX} || '", "warnings": [' || (CASE WHEN l_discount >= 0.05 THEN '"discount"' ELSE '' END) || ']}}' AS o,
    CASE WHEN l_linestatus = 'F' THEN '{{"original_signature": "f' || l_linenumber || '(int)", "new_signature": "f' || l_linenumber ||
@@ -375,7 +381,8 @@ SELECT l_orderkey, pos, code_sample,
        CASE WHEN sl IS NULL THEN -1 ELSE TRY_CAST(sl AS INTEGER) END AS start_line,
        CASE WHEN el IS NULL THEN -1 ELSE TRY_CAST(el AS INTEGER) END AS end_line,
        suggested_change, description, complexity, warnings,
-       CASE WHEN sl IS NOT NULL AND TRY_CAST(sl AS INTEGER) IS NULL THEN sl END AS bad_start_line
+       CASE WHEN sl IS NOT NULL AND TRY_CAST(sl AS INTEGER) IS NULL THEN sl END AS bad_start_line,
+       CASE WHEN el IS NOT NULL AND TRY_CAST(el AS INTEGER) IS NULL THEN el END AS bad_end_line
 FROM f
 """
 
@@ -409,7 +416,7 @@ SELECT {_CPLX} AS complexity, sum(CAST(l_quantity AS INTEGER))::BIGINT AS lines
 
 ORACLE["tasks_by_effort"] = """
 WITH t AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Major' WHEN '2-HIGH' THEN 'Moderate'
-             WHEN '3-MEDIUM' THEN 'Minor' ELSE o_orderpriority END AS effort FROM orders),
+             WHEN '3-MEDIUM' THEN 'Minor' WHEN '5-LOW' THEN NULL ELSE o_orderpriority END AS effort FROM orders),
 r AS (SELECT *, (CASE effort WHEN 'Major' THEN 1 WHEN 'Moderate' THEN 2 WHEN 'Minor' THEN 3 ELSE 4 END)::INTEGER AS effort_rank FROM t)
 SELECT effort, o_orderkey, effort_rank,
        row_number() OVER (PARTITION BY effort ORDER BY o_orderkey) - 1 AS group_pos,
@@ -433,9 +440,10 @@ SELECT count(*) FILTER (WHERE imp) AS modified_files, count(*) FILTER (WHERE NOT
 """
 
 ORACLE["task_changes"] = """
-SELECT l_orderkey AS task, count(*) AS n_changes, array_to_string(list(l_linenumber::VARCHAR ORDER BY l_linenumber), ',') AS line_numbers,
-       round(sum(l_quantity), 6) AS total_qty
-FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_orderkey
+SELECT o.o_orderkey AS task, count(l.l_orderkey) AS n_changes,
+       coalesce(string_agg(l.l_linenumber::VARCHAR, ',' ORDER BY l.l_linenumber), '') AS line_numbers,
+       round(coalesce(sum(l.l_quantity), 0), 6) AS total_qty
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber BETWEEN 1 AND 7 GROUP BY o.o_orderkey
 """
 
 ORACLE["affected_changes"] = f"""
@@ -447,10 +455,10 @@ ORACLE["example_block"] = r"""
 WITH q AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
              generate_subscripts(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
       FROM documents),
-qtok AS (SELECT doc_id, frag, unnest(regexp_extract_all(lower(ftext), '[a-zà-ÿß]+')) AS token FROM q),
+qtok AS (SELECT doc_id, frag, unnest(regexp_extract_all(lower(ftext), '\p{L}[\p{L}\p{N}]*')) AS token FROM q),
 qtf AS (SELECT doc_id, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
 qn AS (SELECT doc_id, frag, sum(n*n) AS qss FROM qtf GROUP BY ALL),
-ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zà-ÿß]+')) AS token FROM benchmark),
+ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}]*')) AS token FROM benchmark),
 ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
 cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.doc_id, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),

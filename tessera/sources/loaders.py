@@ -91,5 +91,8 @@ def load_test_cases(spark: SparkSession, path: str) -> DataFrame:
     extra = sorted(set(raw.columns) - set(TEST_CASE_FIELDS) - {"_corrupt_record"})
     if extra:
         raise ValueError(f"unexpected test case fields: {extra}")
+    lost = [f for f in TEST_CASE_FIELDS if f not in raw.columns]
+    if lost and raw.columns:
+        raise ValueError(f"missing test case fields: {lost}")
     return raw.select(*[F.col(f).cast("string") if f in raw.columns else F.lit(None).cast("string").alias(f)
                         for f in TEST_CASE_FIELDS])

@@ -14,18 +14,19 @@ EVAL_COLUMNS = ["functionality", "source_code", "mysql_schema", "spanner_schema"
 
 
 def write_change_set(changes: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK-1: one JSON line per file holding its changes, keys sorted, in line order."""
+    """SNK-1: one JSON line per file holding its changes, keys sorted, in the answer's order
+    (``pos``, where the frame has it; else by line)."""
     cols = [c for c in CHANGE_COLUMNS if c in changes.columns]
     nested = changes.groupBy("filename").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("start_line").alias("_k"), F.struct(*cols).alias("c"))))
+        F.array_sort(F.collect_list(F.struct(F.col("pos" if "pos" in changes.columns else "start_line").alias("_k"), F.struct(*cols).alias("c"))))
         .alias("_c"))
     out = nested.select("filename", F.transform("_c", lambda x: x["c"]).alias("changes"))
     out.write.mode(mode).json(path)
 
 
 def write_evaluation_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK-2: ten columns with a header, one file per partition."""
-    rows.select(*EVAL_COLUMNS).write.mode(mode).option("header", "true").csv(path)
+    """SNK-2: ten columns with a header, one file per partition; quotes inside a value are doubled."""
+    rows.select(*EVAL_COLUMNS).write.mode(mode).option("header", "true").option("escape", '"').csv(path)
 
 
 def metric_record(accuracy: DataFrame, col: str = "accuracy") -> DataFrame:

@@ -8,6 +8,7 @@ leaves the previous version intact and the checkpoint makes the job restartable.
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,19 @@ from ..sources.loaders import EMBEDDED_SCHEMA
 EXAMPLES_SCHEMA = "id bigint, example string, rewrite string"
 
 
-def _latest(spark: SparkSession, root: str) -> DataFrame | None:
+def _latest(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
+    """Number and frame of the newest complete version (-1 and None without one)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
+        return -1, None
     versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
                       if s.getPath().getName().startswith("v=") and
                       fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     if not versions:
-        return None
-    return spark.read.schema(EMBEDDED_SCHEMA).parquet(posixpath.join(root, f"v={versions[-1]:09d}"))
+        return -1, None
+    return versions[-1], spark.read.schema(EMBEDDED_SCHEMA).parquet(posixpath.join(root, f"v={versions[-1]:09d}"))
 
 
 def run_refresh_stream(spark: SparkSession, incoming: str, corpus_root: str, checkpoint: str,
@@ -40,12 +42,21 @@ def run_refresh_stream(spark: SparkSession, incoming: str, corpus_root: str, che
         src = src.option("multiLine", "true")
     stream = src.load(incoming)
 
+    # one marker per applied epoch of this checkpoint: a replayed epoch is not applied twice
+    applied = posixpath.join(corpus_root, "_applied", hashlib.sha256(checkpoint.encode()).hexdigest()[:16])
+
     def upsert(batch: DataFrame, epoch: int):
-        stored = _latest(spark, corpus_root)
+        jvm, marker = spark._jvm, f"{applied}-{epoch:09d}"
+        path = jvm.org.apache.hadoop.fs.Path(marker)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            return
+        version, stored = _latest(spark, corpus_root)
         out = refresh_corpus(batch, stored, embed=embed)
-        out.write.mode("overwrite").parquet(posixpath.join(corpus_root, f"v={epoch:09d}"))
+        out.write.mode("overwrite").parquet(posixpath.join(corpus_root, f"v={version + 1:09d}"))
+        fs.mkdirs(path)
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, corpus_root)
+    return _latest(spark, corpus_root)[1]

@@ -98,6 +98,32 @@ def _answer_all(prompts):
     return ['{"file_modifications": []}' if "dao" in p else "" for p in prompts]
 
 
+def test_bad_end_line_is_kept(spark):
+    a = spark.createDataFrame([("F", '{"file_modifications": [{"start_line": 1, "end_line": "9z"}]}')], "filename string, value string")
+    r = X.explode_changes(a, "filename").first()
+    assert (r["start_line"], r["end_line"], r["bad_start_line"], r["bad_end_line"]) == (1, None, None, "9z")
+
+
+def test_attach_responses_answers_prompts_with_null_answers(spark):
+    prompts = spark.createDataFrame([("a", "pa"), ("b", "pb"), ("c", "pc")], "prompt_key string, prompt string")
+    recorded = spark.createDataFrame([("a", 1, "x"), ("b", 1, None)], "prompt_key string, attempt int, text string")
+    got = X.attach_responses(prompts, recorded, model_fn=lambda ps: [p.upper() for p in ps]).collect()
+    assert sorted((r["prompt_key"], r["text"]) for r in got) == [("a", "x"), ("b", "PB"), ("c", "PC")]
+
+
+def test_tasks_without_changes_stay(spark):
+    tasks = spark.createDataFrame([(1, [1, 2]), (2, [1]), (3, None)], "task int, indexes array<int>")
+    changes = spark.createDataFrame([(1, 2, 5.0)], "task int, idx int, lines double")
+    got = RP.task_changes(tasks, changes, "task", "lines", "total").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "2", 5.0), (2, 0, "", 0.0), (3, 0, "", 0.0)]
+
+
+def test_null_groups_keep_their_rows(spark):
+    t = spark.createDataFrame([(1, None), (2, "Major"), (3, None), (4, "x")], "k int, effort string")
+    got = RP.tasks_by_effort(t, "k", {"Major": 1}).collect()
+    assert sorted((r["k"], r["group_pos"], r["sorted_pos"]) for r in got) == [(1, 0, 1), (2, 0, 0), (3, 1, 2), (4, 0, 3)]
+
+
 def test_attach_responses_with_model_fn(spark):
     prompts = spark.createDataFrame([(1, "dao prompt"), (2, "plain prompt"), (3, "recorded")],
                                     "prompt_key int, prompt string")

@@ -142,14 +142,20 @@ def test_sinks_roundtrip(spark):
     sinks.write_change_set(ch, os.path.join(d, "changes"))
     back = spark.read.json(os.path.join(d, "changes")).first()
     assert [c["code_sample"] for c in back["changes"]] == ["y", "x"]
+    from pyspark.sql import functions as F
+    sinks.write_change_set(ch.withColumn("pos", F.when(F.col("code_sample") == "x", 0).otherwise(1)), os.path.join(d, "ordered"))
+    back = spark.read.json(os.path.join(d, "ordered")).first()
+    assert [c["code_sample"] for c in back["changes"]] == ["x", "y"]   # the answer's order
     m = sinks.metric_record(spark.createDataFrame([(0.5,)], "accuracy double")).first()
     assert (m["name"], m["unit"], m["value"]) == ("Overall Eval Result", "Accuracy (percent)", 50.0)
-    rows = spark.createDataFrame([tuple("abcdef") + (0.9, "g", "h", 0.7)],
+    rows = spark.createDataFrame([('say "a"', *"bcdef") + (0.9, "g", "h", 0.7)],
                                  ", ".join(f"{c} {'double' if 'similarity' in c else 'string'}"
                                            for c in sinks.EVAL_COLUMNS))
     sinks.write_evaluation_csv(rows, os.path.join(d, "eval"))
     csv = spark.read.option("header", "true").csv(os.path.join(d, "eval"))
     assert csv.columns == sinks.EVAL_COLUMNS
+    lines = spark.read.text(os.path.join(d, "eval")).collect()
+    assert any(r["value"].startswith('"say ""a""",b') for r in lines)
     emb = spark.createDataFrame([(2, "b", "r", [1.0], [2.0]), (1, "a", "r", [1.0], [2.0])], loaders.EMBEDDED_SCHEMA)
     sinks.write_embedded(emb, os.path.join(d, "emb"))
     assert [r["id"] for r in loaders.load_embedded(spark, os.path.join(d, "emb") + "/").orderBy("id").collect()] == [1, 2]

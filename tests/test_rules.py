@@ -13,6 +13,11 @@ CASES = [
     ("src/x/A.java", "class A { void f() throws IOException, SQLException { } }", "throws_sql"),
     ("src/x/A.java", "@Repository class A { }", "none"),
     ("src/x/A.java", "class A { }", "none"),
+    ("src/x/A.java", "class A { } // calls getConnection later", "none"),
+    ("src/x/A.java", "class A { void f() { g.prepareStatement(sql); } }", "none"),
+    ("src/x/A.java", "/* class UserMapper */ class A { }", "none"),
+    ("src/x/A.java", 'class A { String s = "class FooDao"; }', "none"),
+    ("src/x/A.java", "class A { Object resultSetConnection = x; }", "jdbc_member"),
 ]
 
 

@@ -19,3 +19,19 @@ def test_refresh_stream_available_now(spark):
     out = run_refresh_stream(spark, incoming, os.path.join(d, "corpus"), os.path.join(d, "ck"))
     rows = {r["id"]: r for r in out.collect()}
     assert set(rows) == {1, 2, 3} and rows[2]["example"] == "q2"
+
+
+def test_refresh_stream_new_checkpoint_adds_a_version(spark):
+    d = tempfile.mkdtemp(prefix="tessera-stream-")
+    incoming, corpus = os.path.join(d, "in"), os.path.join(d, "corpus")
+    os.makedirs(incoming)
+    with open(os.path.join(incoming, "a.json"), "w") as fh:
+        json.dump([{"id": 1, "example": "a", "rewrite": "x"}, {"id": 1, "example": "b", "rewrite": "y"}], fh)
+    out = run_refresh_stream(spark, incoming, corpus, os.path.join(d, "ck1"))
+    assert [(r["id"], r["example"]) for r in out.collect()] == [(1, "b")]   # one row an id
+    other = os.path.join(d, "in2")
+    os.makedirs(other)
+    with open(os.path.join(other, "b.json"), "w") as fh:
+        json.dump([{"id": 3, "example": "n", "rewrite": "m"}], fh)
+    out = run_refresh_stream(spark, other, corpus, os.path.join(d, "ck2"))
+    assert {r["id"] for r in out.collect()} == {1, 3}

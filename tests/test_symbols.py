@@ -36,6 +36,12 @@ def test_java_used_symbols(spark):
     assert {"Item", "List"} <= with_args
 
 
+def test_java_used_symbols_leave_out_what_does_not_resolve(spark):
+    text = "Foo[] a = x; a.b.Bar c = y; try { } catch (Baz e) { } catch (final Zap e) { } for (Qux q : qs) { } Real r = z;"
+    got = spark.createDataFrame([(text,)], "t string").select(S.used_symbols("t")).first()[0]
+    assert got == ["Real"]
+
+
 def test_graph_nodes_include_edge_sources(spark):
     files = spark.createDataFrame([(1,), (2,)], "id bigint")
     edges = spark.createDataFrame([(9, 1), (2, 1)], "src bigint, dst bigint")
