@@ -13,6 +13,8 @@ one row; extra columns are ignored.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 REPEAT_WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_chars")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_chars", "n_adjacent")
 #: (name, measurements -> failed); the position is the bit
 RULES = (
     ("few_words", lambda m: m["n_words"] < 10),
@@ -29,8 +31,9 @@ RULES = (
     ("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     ("long_words", lambda m: m["word_chars"] > 14 * m["n_words"]),
     ("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    ("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    ("duplicate_lines", lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"]),
     ("upper_case", lambda m: 100 * m["n_upper"] > 40 * m["word_chars"]),
+    ("repeated_words", lambda m: 100 * m["n_adjacent"] > 30 * m["n_words"]),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: versioned policies: a document is kept when (failed & mask) = 0
@@ -70,7 +73,7 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     return (len(words), len(glued.translate(None, _CONTINUATION)), len(text.translate(None, _NOT_SYMBOL)),
             len(lines) - len(set(lines)), repeated_words(words), len(lines), len(glued.translate(None, _NOT_UPPER)),
-            len(text.translate(None, _CONTINUATION)))
+            len(text.translate(None, _CONTINUATION)), sum(map(eq, words, words[1:])))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
