@@ -12,8 +12,13 @@ Words seen in training also have an arc of their own through the whole word. Wit
 
     P(word) = max(c - D, 0) / N + D * V / N * P_lattice(word)
 
-which sums to one; the text's score is the sum over its words and one end token. The score is the
-model's log10 probability of the text, the marginal over all paths.
+which sums to one. Each class of the training documents (the largest ``MAX_CLASSES`` values of the column
+``classes``, their language) discounts its own counts in the same way and backs off to P. Within a
+document words come in bursts, so its words follow the Dirichlet mixture around the class's P with
+concentration ``alpha`` (a word seen k times in m words so far has (k + alpha * P) / (m + alpha)); the end token
+comes with the class's own probability. The score is the log10 of the sum over the classes, weighted by
+their share of training documents, and the classless model: a marginal over all paths and classes. A
+scored document's own class is not read.
 
 Scale: word counts are a partial aggregation and one shuffle. The lattice runs once per distinct
 word, not per token. Weights are re-estimated by distributed expectation: each task sends the
@@ -24,7 +29,8 @@ join is hot.
 
 Defined cases: null and empty texts are the end token alone; rows that repeat (doc_id, text) give one row;
 null ids are never held out; extra columns are ignored; empty tables give no rows; without any
-training token all counts are zero (N = V = 0) and the lattice alone scores.
+training token all counts are zero (N = V = 0) and the lattice alone scores, with an end probability of a half;
+null classes, and a table without the class column, train the classless model alone.
 """
 
 from __future__ import annotations
@@ -42,6 +48,8 @@ from . import common as C
 FOLD = (7, 2)
 HOT_WORDS = 100_000
 ROUNDS = 2
+MAX_CLASSES = 8
+ALPHA = 2_000.0
 MARK = "▁"
 #: the end token's name in the word table; holds a space, so no word equals it
 END = " end"
@@ -217,103 +225,164 @@ class Model:
         return self
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, seen (all rows), c (rows with ``train``); the end token is a row named ``END``.
+def log_gamma(z: np.ndarray) -> np.ndarray:
+    """ln Gamma(z) for z >= 1, by Stirling's series at z + 8."""
+    y = z + 8.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    return series - sum(np.log(z + k) for k in range(8))
 
-    ``docs``: doc_id, text (bytes), train. Tasks count in memory and send partial counts.
+
+def count_words(docs: DataFrame, classes: int = 0) -> DataFrame:
+    """word, c (rows with ``train``), c_0.. (those of each class); the end token is a row named ``END``.
+
+    ``docs``: doc_id, text (bytes), train, class (null or 0..classes-1). Tasks count in memory and
+    send partial counts.
     """
 
     def scan(batches):
         for b in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            seen: dict[tuple, Counter] = {}
             size = 0
-            for t, train in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, train, kind in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 words = t.lower().split() if t else []
-                seen[bool(train)].update(words)
-                seen[bool(train)][END.encode()] += 1
+                part = seen.setdefault((bool(train), -1 if kind is None else kind), Counter())
+                part.update(words)
+                part[END.encode()] += 1
                 size += len(words)
                 if size > 2_000_000:
                     yield from out(seen)
-                    seen, size = (Counter(), Counter()), 0
+                    seen, size = {}, 0
             yield from out(seen)
 
     def out(seen):
-        for train, c in enumerate(seen):
-            if c:
-                n = pa.array(list(c.values()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in c], pa.string()),
-                                                  n if train else pa.array(np.zeros(len(c), np.int64))], names=["word", "c"])
+        for (train, kind), c in seen.items():
+            n = pa.array(list(c.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array(np.full(len(c), kind, np.int32)),
+                 n if train else pa.array(np.zeros(len(c), np.int64))], names=["word", "kind", "c"])
+
+    each = [F.sum(F.when(F.col("kind") == j, F.col("c")).otherwise(0)).alias(f"c_{j}") for j in range(classes)]
+    return (docs.select("text", "train", "class").mapInArrow(scan, "word string, kind int, c long")
+            .groupBy("word").agg(F.sum("c").alias("c"), *each))
+
+
+def _with_class(base: DataFrame) -> tuple[DataFrame, int]:
+    """``base`` with class, the place of ``value`` among its most frequent training values, and their number
+    (at most ``MAX_CLASSES``, so the list that the driver reads is bounded)."""
+    top = (base.where(F.col("train") & F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), "value").limit(MAX_CLASSES).collect())
+    place = F.lit(None).cast("int")
+    for j, r in enumerate(top):
+        place = F.when(F.col("value") == F.lit(r["value"]), F.lit(j)).otherwise(place)
+    return base.withColumn("class", place), len(top)
+
+
+class Smoothed:
+    """Absolute discounting of the counts, over all training words (last) and in each class."""
 
-    return (docs.select("text", "train").mapInArrow(scan, "word string, c long")
-            .groupBy("word").agg(F.sum("c").alias("c")))
+    def __init__(self, totals: list[tuple[int, int, int, int]], ends: list[int]):
+        self.totals = totals
+        self.discounts = [min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5 for _, _, n1, n2 in totals]
+        n, _, _, _ = totals[-1]
+        whole = max(ends[-1] - self.discounts[-1], 0) / n if n else 0.5
+        self.ends = [(max(c - d, 0) + d * v * whole) / n for c, d, (n, v, _, _) in zip(ends[:-1], self.discounts, totals, strict=False)]
+        self.ends = np.array([*self.ends, whole]).clip(1e-12, 1 - 1e-12)
+        weights = np.array([*ends[:-1], 1], float)
+        self.log_weights = np.log(weights / weights.sum())
+
+    def log_words(self, counts: list[np.ndarray], spelled: np.ndarray) -> list[np.ndarray]:
+        """ln P(word | it is no end) in each class and overall; ``spelled``: ln of the lattice's probability."""
+
+        def mixed(j, back):
+            (n, v, _, _), d = self.totals[j], self.discounts[j]
+            if not n:
+                return back
+            with np.errstate(divide="ignore"):
+                return np.logaddexp(np.log(np.maximum(counts[j] - d, 0) / n), math.log(d * v / n) + back)
+
+        whole = mixed(-1, spelled)
+        every = [mixed(j, whole) for j in range(len(counts) - 1)] + [whole]
+        return [p - math.log1p(-e) if self.totals[-1][0] else p for p, e in zip(every, self.ends, strict=True)]
 
 
 def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None = None, rounds: int = ROUNDS,
-          hot_words: int = HOT_WORDS) -> DataFrame:
+          hot_words: int = HOT_WORDS, classes: str | None = "lang", alpha: float = ALPHA) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.ship(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    base = C.texts(docs)
+    value = docs[classes].cast("string") if classes in docs.columns else F.lit(None).cast("string")
+    base = docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text"), value.alias("value"))
     base = base.withColumn("held_out", C.held_out(base["doc_id"], *fold)).withColumn("train", ~F.col("held_out"))
-
-    counts = C.stored(count_words(base), "words")
+    base, n_classes = _with_class(base)
+    counts = C.stored(count_words(base, n_classes), "words")
     one = F.lit(1)
-    totals = counts.where("c > 0").agg(F.sum("c"), F.count(one), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, v, n1, n2 = (int(x or 0) for x in totals)
-    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+    cs = [*(f"c_{j}" for j in range(n_classes)), "c"]
+    figures = [f for c in cs for f in (F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2))]
+    totals = [int(x or 0) for x in counts.agg(*figures).first()]
+    totals = [tuple(totals[i:i + 4]) for i in range(0, len(totals), 4)]
+    end = counts.where(F.col("word") == END).select(*cs).first()
+    ends = [int(x) for x in end] if end else [0] * len(cs)
+    n, v, _, _ = totals[-1]
+    smooth = Smoothed(totals, ends)
     model = Model(vocabulary).fit(spark, counts.where((F.col("c") > 0) & (F.col("word") != END)), rounds)
     shared = spark.sparkContext.broadcast((model.opening, model.inner, model.logs))
-    rest = math.log(discount * v / n) if n else 0.0
+    ps = [f"p_{j}" for j in range(len(cs))]
 
     def price(batches):
         lattice = Lattice(*shared.value[:2], *shared.value[2])
         for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-            spelled = lattice.log_probability([w.encode() if w != END else b"" for w in words]) + rest
-            spelled[[w == END for w in words]] = _NEVER if n else 0.0  # the end token is no word
-            if n:
-                with np.errstate(divide="ignore"):
-                    spelled = np.logaddexp(spelled, np.log(np.maximum(c - discount, 0) / n))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(np.log10((c + 1) / (n + v + 1))), pa.array(spelled / math.log(10))],
-                names=["word", "c", "base", "logp"])
+            got = [b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 1 + len(cs))]
+            logs = smooth.log_words(got, lattice.log_probability([w.encode() for w in b.column(0).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got[-1]), pa.array(np.log10((got[-1] + 1) / (n + v + 1))), *map(pa.array, logs)],
+                                             names=["word", "c", "base", *ps])
 
-    priced = C.stored(counts.mapInArrow(price, "word string, c long, base double, logp double"), "priced")
+    priced = C.stored(counts.where(F.col("word") != END).select("word", *cs)
+                      .mapInArrow(price, "word string, c long, base double" + "".join(f", {p} double" for p in ps)), "priced")
     # the smallest count with at most hot_words words above it, from the counts of counts by eighth powers of two
     step = F.floor(8 * F.log2(F.greatest("c", one))).cast("int")
     above, least = 0, None
-    for r in counts.groupBy(step.alias("s")).agg(F.count(one).alias("k"), F.min("c").alias("m")).orderBy(F.desc("s")).collect():
+    for r in priced.groupBy(step.alias("s")).agg(F.count(one).alias("k"), F.min("c").alias("m")).orderBy(F.desc("s")).collect():
         if r["s"] == 0 or above + r["k"] > hot_words:
             break
         above, least = above + r["k"], r["m"]
-    frequent = (F.col("word") == END) | ((F.col("c") >= least) if least else F.lit(False))
-    hot = {r["word"].encode(): (r["c"], r["base"], r["logp"]) for r in priced.where(frequent).collect()}
-    table = spark.sparkContext.broadcast(hot)
-
-    schema = f"doc_id {kind}, text_hash long, word string, k long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    frequent = (F.col("c") >= least) if least else F.lit(False)
+    hot = priced.where(frequent).collect()
+    place = {r["word"].encode(): i for i, r in enumerate(hot)}
+    table = spark.sparkContext.broadcast((place, np.array([r["c"] > 0 for r in hot], bool), np.array([r["base"] for r in hot], float),
+                                          np.array([[r[p] for p in ps] for r in hot], float).reshape(-1, len(ps))))
+    end_base, end_known = math.log10((ends[-1] + 1) / (n + v + 1)), int(ends[-1] > 0)
+    log_alpha, sums = math.log(alpha), [f"s_{j}" for j in range(len(ps))]
+
+    schema = (f"doc_id {kind}, text_hash long, word string, k long, held_out boolean, n_tokens long, n_known long, base_score double"
+              + "".join(f", {x} double" for x in sums))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def look(batches):
-        known = table.value
+        place, known, base10, logs = table.value
         for b in batches:
             ids, hashes, flags = (b.column(i).to_pylist() for i in (0, 2, 3))
             rows = []
             for i, t, h, f in zip(ids, b.column(1).to_pylist(), hashes, flags, strict=True):
                 words = Counter(t.lower().split() if t else ())
-                words[END.encode()] = 1
-                total, seen, low, full, rare = 0, 0, 0.0, 0.0, []
+                at, ks, rare = [], [], []
                 for w, k in words.items():
-                    total += k
-                    got = known.get(w)
+                    got = place.get(w)
                     if got is None:
-                        rare.append((i, h, w.decode("utf-8", "replace"), k, None, None, None, None, None))
+                        rare.append((i, h, w.decode("utf-8", "replace"), k, *[None] * (4 + len(sums))))
                     else:
-                        seen += k * (got[0] > 0)
-                        low += k * got[1]
-                        full += k * got[2]
+                        at.append(got)
+                        ks.append(k)
+                at, ks = np.array(at, np.int64), np.array(ks, np.int64)
+                size = words.total()
+                # the words' rising factorials over alpha's, and the end
+                total = log_gamma(np.array([alpha]))[0] - log_gamma(np.array([size + alpha]))[0] + size * np.log1p(-smooth.ends) + np.log(smooth.ends)
+                total = total + (log_alpha + logs[at]).sum(0)
+                more = ks > 1
+                x = alpha * np.exp(logs[at[more]])
+                total = total + (log_gamma(ks[more, None] + x) - log_gamma(1 + x)).sum(0)
                 # the document's own row: its "word" holds a space and its hash, so it joins with nothing
-                rows.append((i, h, f"{END} {h}", 0, f, total, seen, low, full))
+                rows.append((i, h, f"{END} {h}", 0, f, size + 1, int(ks[known[at]].sum()) + end_known, float(ks @ base10[at]) + end_base, *total.tolist()))
                 rows += rare
                 if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -322,16 +391,27 @@ def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [arrow[kind], pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    types = [arrow[kind], pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + len(sums))]
     parts = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "held_out").mapInArrow(look, schema)
-    rare = priced.where(~frequent).select(F.col("word").alias("w"), "c", "base", "logp")
+    rare = priced.where(~frequent).select(F.col("word").alias("w"), "c", "base", *ps)
     each = parts.join(rare, parts["word"] == rare["w"], "left")
     copies = F.count_if(F.col("n_tokens").isNotNull())
     whole = lambda c: F.floor(F.sum(c) / copies).cast("long")
     k = F.col("k")
-    return (each.groupBy("doc_id", "text_hash").agg(
+
+    def burst(p):
+        """ln of the rising factorial of alpha * P over k occurrences."""
+        x = F.lit(alpha) * F.exp(p)
+        again = F.aggregate(F.sequence(F.lit(1).cast("long"), k - 1), F.lit(0.0), lambda s, m: s + F.log(m + x))
+        return F.lit(log_alpha) + F.col(p) + F.when(k > 1, again).otherwise(0.0)
+
+    got = each.groupBy("doc_id", "text_hash").agg(
         F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         whole(F.coalesce("n_known", F.when(F.col("c") > 0, k), F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.sum(F.coalesce("base_score", F.col("base") * k)) / copies).alias("base_score"),
-        (F.sum(F.coalesce("score", F.col("logp") * k)) / copies).alias("score")).drop("text_hash"))
+        *((F.sum(F.when(F.col("n_tokens").isNotNull(), F.col(s)).otherwise(burst(p))) / copies).alias(s) for s, p in zip(sums, ps, strict=True)))
+    weighted = [F.col(s) + F.lit(float(w)) for s, w in zip(sums, smooth.log_weights, strict=True)]
+    top = F.array_max(F.array(*weighted))
+    total = top + F.log(sum((F.exp(w - top) for w in weighted), F.lit(0.0)))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (total / math.log(10)).alias("score"))

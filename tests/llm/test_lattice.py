@@ -102,6 +102,68 @@ def test_word_probabilities_sum_to_less_than_one(spark):
     assert 0.9 < total <= 1.0
 
 
+def brute_score(rows, alpha, logp):
+    """One class-marginal score per row, word after word, from the model's own piece weights."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = {None: Counter()}
+    for i, t, kind in rows:
+        if not held(i):
+            for key in {None, kind}:
+                counts.setdefault(key, Counter()).update([*t.lower().split(), " end"])
+    out = {}
+
+    def discounted(c, word, back):
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
+        n = sum(c.values())
+        return max(c[word] - d, 0) / n + d * len(c) / n * back if word in c or back else 0.0
+
+    ends = {key: None for key in counts}
+    ends[None] = discounted(counts[None], " end", 0.0)
+    for key in counts:
+        if key is not None:
+            ends[key] = discounted(counts[key], " end", ends[None])
+    docs = {key: (c[" end"] if key is not None else 1) for key, c in counts.items()}
+    for i, t, _ in rows:
+        total = 0.0
+        for key, c in counts.items():
+            p, seen = docs[key] / sum(docs.values()), Counter()
+            for m, w in enumerate(t.lower().split()):
+                q = discounted(counts[None], w, math.exp(logp[w]))
+                q = q if key is None else discounted(c, w, q)
+                q /= 1 - ends[key]
+                p *= (1 - ends[key]) * (seen[w] + alpha * q) / (m + alpha)
+                seen[w] += 1
+            total += p * ends[key]
+        out[i] = math.log10(total)
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 100_000])
+def test_score_is_the_sequential_mixture(spark, hot):
+    rows = [(k, "the cat the dog" if k % 3 else "le chat le chien le", "en" if k % 3 else "fr") for k in range(20)]
+    rows += [(50, "the the zebra zebra zebra cat", None), (51, "", "en"), (52, "le chat", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["score"] for r in L.score(docs, rounds=0, hot_words=hot, alpha=3.0).collect()}
+    lattice = L.Model().lattice()
+    words = sorted({w for _, t, _ in rows for w in t.split()})
+    logp = dict(zip(words, lattice.log_probability([w.encode() for w in words]).tolist(), strict=True))
+    want = brute_score(rows, 3.0, logp)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert math.isclose(got[k], want[k], rel_tol=1e-9), k
+
+
+def test_log_gamma():
+    z = [1.0, 1.5, 2.0, 10.25, 3000.0]
+    assert np.allclose(L.log_gamma(np.array(z)), [math.lgamma(x) for x in z], rtol=1e-11, atol=1e-11)
+
+
+def test_held_out_documents_beat_the_add_one_baseline(spark):
+    got = [r for r in QUERIES["op1_lattice_score"](spark, X.SF).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
 def test_empty_and_untrained(spark):
     assert L.score(X.empty(spark)).count() == 0
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
