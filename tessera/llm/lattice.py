@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,13 @@ def log_gamma(z: np.ndarray) -> np.ndarray:
     return series - sum(np.log(z + k) for k in range(8))
 
 
+def _strings(words: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(words, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # a text that is no UTF-8
+        return pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
+
+
 def count_words(docs: DataFrame, classes: int = 0) -> DataFrame:
     """word, c (rows with ``train``), c_0.. (those of each class); the end token is a row named ``END``.
 
@@ -258,7 +266,7 @@ def count_words(docs: DataFrame, classes: int = 0) -> DataFrame:
         for (train, kind), c in seen.items():
             n = pa.array(list(c.values()), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array(np.full(len(c), kind, np.int32)),
+                [_strings(list(c)), pa.array(np.full(len(c), kind, np.int32)),
                  n if train else pa.array(np.zeros(len(c), np.int64))], names=["word", "kind", "c"])
 
     each = [F.sum(F.when(F.col("kind") == j, F.col("c")).otherwise(0)).alias(f"c_{j}") for j in range(classes)]
@@ -347,10 +355,10 @@ def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None
             break
         above, least = above + r["k"], r["m"]
     frequent = (F.col("c") >= least) if least else F.lit(False)
-    hot = priced.where(frequent).collect()
-    place = {r["word"].encode(): i for i, r in enumerate(hot)}
-    table = spark.sparkContext.broadcast((place, np.array([r["c"] > 0 for r in hot], bool), np.array([r["base"] for r in hot], float),
-                                          np.array([[r[p] for p in ps] for r in hot], float).reshape(-1, len(ps))))
+    hot = priced.where(frequent).toArrow()
+    column = lambda c: hot.column(c).to_numpy()
+    table = spark.sparkContext.broadcast(({w.encode(): i for i, w in enumerate(hot.column("word").to_pylist())}, column("c") > 0,
+                                          column("base"), np.column_stack([column(p) for p in ps])))
     end_base, end_known = math.log10((ends[-1] + 1) / (n + v + 1)), int(ends[-1] > 0)
     log_alpha, sums = math.log(alpha), [f"s_{j}" for j in range(len(ps))]
 
@@ -360,38 +368,37 @@ def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None
 
     def look(batches):
         place, known, base10, logs = table.value
-        for b in batches:
-            ids, hashes, flags = (b.column(i).to_pylist() for i in (0, 2, 3))
-            rows = []
-            for i, t, h, f in zip(ids, b.column(1).to_pylist(), hashes, flags, strict=True):
-                words = Counter(t.lower().split() if t else ())
-                at, ks, rare = [], [], []
-                for w, k in words.items():
-                    got = place.get(w)
-                    if got is None:
-                        rare.append((i, h, w.decode("utf-8", "replace"), k, *[None] * (4 + len(sums))))
-                    else:
-                        at.append(got)
-                        ks.append(k)
-                at, ks = np.array(at, np.int64), np.array(ks, np.int64)
-                size = words.total()
-                # the words' rising factorials over alpha's, and the end
-                total = log_gamma(np.array([alpha]))[0] - log_gamma(np.array([size + alpha]))[0] + size * np.log1p(-smooth.ends) + np.log(smooth.ends)
-                total = total + (log_alpha + logs[at]).sum(0)
-                more = ks > 1
-                x = alpha * np.exp(logs[at[more]])
-                total = total + (log_gamma(ks[more, None] + x) - log_gamma(1 + x)).sum(0)
+        start = log_gamma(np.array([alpha]))[0]
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                own, rare, owner, times = [], [], [], []
+                for row, t in enumerate(b.column(1).to_pylist()):
+                    words = Counter(t.lower().split() if t else ())
+                    at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                    ks = np.fromiter(words.values(), np.int64, len(words))
+                    new = at < 0
+                    if new.any():
+                        rare += compress(words, new.tolist())
+                        times.append(ks[new])
+                        owner.append(np.full(len(times[-1]), row))
+                    at, ks, size = at[~new], ks[~new], int(ks.sum())
+                    # the words' rising factorials over alpha's, and the end
+                    total = start - log_gamma(np.array([size + alpha]))[0] + size * np.log1p(-smooth.ends) + np.log(smooth.ends)
+                    total = total + (log_alpha + logs[at]).sum(0)
+                    more = ks > 1
+                    x = alpha * np.exp(logs[at[more]])
+                    total = total + (log_gamma(ks[more, None] + x) - log_gamma(1 + x)).sum(0)
+                    own.append((size + 1, int(ks[known[at]].sum()) + end_known, float(ks @ base10[at]) + end_base, *total.tolist()))
                 # the document's own row: its "word" holds a space and its hash, so it joins with nothing
-                rows.append((i, h, f"{END} {h}", 0, f, size + 1, int(ks[known[at]].sum()) + end_known, float(ks @ base10[at]) + end_base, *total.tolist()))
-                rows += rare
-                if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    types = [arrow[kind], pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + len(sums))]
+                hashes = [f"{END} {h}" for h in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hashes, pa.string()), pa.array([0] * len(own), pa.int64()), b.column(3),
+                                                  *(pa.array(c, t) for c, t in zip(zip(*own, strict=True), types, strict=True))], names=names)
+                if rare:
+                    at = pa.array(np.concatenate(owner))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), _strings(rare), pa.array(np.concatenate(times)),
+                                                      pa.nulls(len(rare), pa.bool_()), *(pa.nulls(len(rare), t) for t in types)], names=names)
+
+    types = [pa.int64(), pa.int64(), *[pa.float64()] * (1 + len(sums))]
     parts = base.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), "held_out").mapInArrow(look, schema)
     rare = priced.where(~frequent).select(F.col("word").alias("w"), "c", "base", *ps)
     each = parts.join(rare, parts["word"] == rare["w"], "left")
