@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .packing import END_ID, encode, tokenizer_files
+from .packing import END_ID, encode_all, tokenizer_files
 from .warc import open_fs
 
 SEQ_LEN = 1024
@@ -82,14 +82,14 @@ class Feistel:
 
 
 def _streams(base: DataFrame, files, end_id: int):
-    """Function over a partition's batches: yields (first doc of the piece, ids as bytes) per document."""
+    """Function over a partition's batches: yields (doc_id, its ids with the end id) per document."""
     path, pattern = files
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield i, (encode(t.decode("utf-8", "replace"), path, pattern) if t else b"") + end
+            for i, ids in zip(b.column(0).to_pylist(), encode_all(b.column(1), path, pattern), strict=True):
+                ids.append(end_id)
+                yield i, ids
 
     return run
 
@@ -108,7 +108,7 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     folder = path or C.scratch(spark, "shards")
 
     def count(batches):
-        n = sum(len(ids) // 4 for _, ids in stream(batches))
+        n = sum(len(ids) for _, ids in stream(batches))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
     counts = {r["p"]: r["n"] for r in base.mapInArrow(count, "p int, n long").collect()}  # one number per partition
@@ -134,10 +134,10 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
 
         size = 4 * seq_len
         for i, ids in stream(batches):
-            seen += len(ids) // 4
+            seen += len(ids)
             if not held:
                 owner = i
-            held += ids
+            held += np.array(ids, "<u4").tobytes()
             at = 0
             while len(held) - at >= size:
                 rows.append((start[p] + done, owner, seq_len, narrow(held[at:at + size])))

@@ -33,6 +33,14 @@ def test_ids_equal_the_tokenizers_ids(tokenizer):
         assert got + [2] == tokenizer(t)
 
 
+def test_ids_next_to_every_kind_of_white_space(tokenizer):
+    files = packing.tokenizer_files()
+    kinds = [chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b", "\u180e", "\ufeff", "x"]
+    for a in kinds:
+        for t in [f"one{a}{b}two{a}three" for b in kinds] + [f"{a}one", f"one{a}", a]:
+            assert np.frombuffer(packing.encode(t, *files), "<u4").tolist() + [2] == tokenizer(t), repr(t)
+
+
 def _check_packing(rows, pieces, tokenizer, capacity=1024):
     ids = defaultdict(list)
     for i, t in rows:
