@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
@@ -91,11 +93,13 @@ def letter_counts(text) -> Column:
 
 
 def with_letter_profile(df, text: str, out: str, as_float: bool = True):
-    """Default JVM-side embedding: letter counts, L2-normalised (norm computed once per row).
+    """Default embedding: letter counts (one Arrow-batched pass), L2-normalised on the JVM side
+    (norm computed once per row).
 
     Deterministic and exactly reproducible in SQL, so the refresh job can be checked
     against an oracle; a real model plugs in through ``embed_fn`` instead.
     """
+    ship(df.sparkSession)
     tmp = f"_{out}_counts"
     df = with_unit(df.withColumn(tmp, letter_counts(text)), tmp, out).drop(tmp)
     return df.withColumn(out, F.col(out).cast("array<float>")) if as_float else df

@@ -9,8 +9,8 @@ term vector below when a Python batch function is wanted.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from typing import Callable, Iterable
 
 import numpy as np
@@ -19,28 +19,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
-from ..session import cut_lineage
+from ..session import cut_lineage, ship
 
 EmbedFn = Callable[[list], list]
 
-_WORD = re.compile(r"\w+", re.UNICODE)
+# words of UTF-8 bytes: ASCII letters and digits, and every byte of other characters
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def hashed_term_vectors(texts: list, dims: int = 256) -> list:
-    """Default batch ``embed_fn``: signed feature hashing of lower-cased words, L2-normalised."""
-    out = np.zeros((len(texts), dims), dtype=np.float32)
-    for i, t in enumerate(texts):
-        for w in _WORD.findall((t or "").lower()):
-            h = zlib.crc32(w.encode("utf-8"))
-            out[i, h % dims] += 1.0 if (h >> 31) & 1 == 0 else -1.0
-    n = np.linalg.norm(out, axis=1, keepdims=True)
-    n[n == 0] = 1.0
-    return list(out / n)
+    """Default batch ``embed_fn``: signed feature hashing of words (A-Z lower-cased), L2-normalised.
+
+    A word's MD5 names its bucket (first 32 bits modulo ``dims``) and its sign (top bit of the next
+    byte), so the vectors can be recomputed in SQL. Words are hashed once per batch; a null or
+    empty text gives the zero vector.
+    """
+    codes: dict = {}
+    out = []
+    for t in texts:
+        words = _WORD.findall((t or "").encode("utf-8").lower())
+        for w in words:
+            if w not in codes:
+                h = hashlib.md5(w, usedforsecurity=False).digest()
+                codes[w] = 2 * (int.from_bytes(h[:4], "big") % dims) + (h[4] >> 7)
+        c = np.bincount(np.fromiter((codes[w] for w in words), np.int64, len(words)), minlength=2 * dims)
+        v = (c[0::2] - c[1::2]).astype(np.float64)
+        n = np.sqrt((v * v).sum())
+        out.append((v / n if n > 0 else v).astype(np.float32))
+    return out
 
 
 def embed_texts(df: DataFrame, text: str, embed_fn: EmbedFn | None = None,
                 out: str = "embedding") -> DataFrame:
     """VEC-1: add ``out array<float>`` computed batch-wise; an empty input yields no call."""
+    ship(df.sparkSession)
     fn = embed_fn or hashed_term_vectors
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
     cols = df.columns

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from ..functions import jsontext as J
 
 # Schemas of the answers (leaves parsed as strings; casts come after, see COL-8).
@@ -37,6 +38,7 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, key: str = "promp
     out = prompts.join(responses, key, "left")
     if model_fn is None:
         return out
+    ship(prompts.sparkSession)
     missing = prompts.join(responses.where(F.col("text").isNotNull()).select(key).distinct(), key, "left_anti")
     schema = T.StructType(missing.schema.fields + [T.StructField("attempt", T.IntegerType()),
                                                    T.StructField("text", T.StringType())])

@@ -8,10 +8,10 @@ The driver fetches one count per round and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, release
 
 
 def symbol_owner(declares: DataFrame, path: str = "path", symbol: str = "symbol") -> DataFrame:
@@ -50,16 +50,19 @@ def graph_nodes(files: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 UNROLL = 2
 
 
-def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL) -> DataFrame:
+def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL,
+                   changed: Column | None = None) -> DataFrame:
     """labels(id, label): label(v) := max(label(v), label(u)) over edges u -> v, to a fixpoint.
 
-    Semi-naive: only labels that changed in the previous step are pushed along edges.
+    Semi-naive: only labels that changed in the previous step are pushed along edges; ``changed``
+    names the nodes that push in the first one (all by default). The returned frame is the last checkpoint.
     ``unroll`` steps are chained in one plan, then the state is checkpointed and the
     changes of the last step are counted; a step past the fixpoint changes nothing, so
     overshooting is harmless.
     """
-    state = cut_lineage(labels.select("id", "label", F.lit(True).alias("_chg")))
+    state = cut_lineage(labels.select("id", "label", (F.lit(True) if changed is None else changed).alias("_chg")))
     while True:
+        last = state
         for _ in range(unroll):
             frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
             cand = (edges.join(frontier, "src").groupBy("dst").agg(F.max("l").alias("m"))
@@ -68,8 +71,9 @@ def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
                      .select("id", F.greatest("label", F.coalesce("m", "label")).alias("label"),
                              F.coalesce(F.col("m") > F.col("label"), F.lit(False)).alias("_chg")))
         state = cut_lineage(state)
+        release(last)
         if state.where("_chg").limit(1).count() == 0:
-            return state.select("id", "label")
+            return state
 
 
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -87,17 +91,21 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         active = state.where(F.col("scc").isNull()).select("id")
         e = (e_all.join(active.withColumnRenamed("id", "src"), "src")
              .join(active.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
-        e = cut_lineage(e)
+        last_edges, e_all = e_all, cut_lineage(e)  # edges of found components never come back
+        release(last_edges)
+        e = e_all
         has_out = e.select(F.col("src").alias("id")).distinct().withColumn("_o", F.lit(True))
         has_in = e.select(F.col("dst").alias("id")).distinct().withColumn("_i", F.lit(True))
         core = (active.join(has_out, "id").join(has_in, "id").select("id"))
         # nodes outside the core are singleton components
-        state = cut_lineage(
+        last, state = state, cut_lineage(
             state.join(core.withColumn("_c", F.lit(True)), "id", "left")
             .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id"))
                     .otherwise(F.col("scc")).alias("scc")))
+        release(last)
         core = state.where(F.col("scc").isNull()).select("id")
         if core.limit(1).count() == 0:
+            release(e_all)
             return state
         ce = cut_lineage(e.join(core.withColumnRenamed("id", "src"), "src")
                          .join(core.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
@@ -106,11 +114,13 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 .join(colour.select(F.col("id").alias("dst"), F.col("label").alias("cd")), "dst")
                 .where(F.col("cs") == F.col("cd")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         seed = colour.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))
-        found = _propagate_max(seed, cut_lineage(back))
+        back = cut_lineage(back)
+        found = _propagate_max(seed, back, changed=F.col("label") == 1)  # only roots push
         won = (found.where("label = 1").select("id")
                .join(colour.select("id", F.col("label").alias("_s")), "id"))
-        state = cut_lineage(state.join(won, "id", "left")
-                            .select("id", F.coalesce("scc", "_s").alias("scc")))
+        last, state = state, cut_lineage(state.join(won, "id", "left")
+                                         .select("id", F.coalesce("scc", "_s").alias("scc")))
+        release(last, ce, colour, back, found)
 
 
 def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,6 +135,7 @@ def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
               .join(scc.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst"))
     drop = (F.col("a") == F.col("b")) & (F.col("src") < F.col("dst"))
     tagged = cut_lineage(tagged.withColumn("_drop", drop))
+    release(scc)
     kept = tagged.where(~F.col("_drop")).select("src", "dst")
     removed = tagged.where(F.col("_drop")).select("src", "dst")
     return kept, removed
@@ -135,7 +146,9 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
 
     Peeling with pending-successor counts: in step k every unplaced node whose successors
     are all placed gets level k, and its predecessors' counts drop by its edges. ``unroll``
-    steps run per job; the state is checkpointed between jobs.
+    steps run per job; the state is checkpointed between jobs. An edge is needed once, when its
+    head is placed: the pending counts add up to the edges still needed, and whenever these fall
+    to half of the stored ones the rest is rewritten, so rounds read what is left of the graph.
     """
     e = cut_lineage(dag.select("src", "dst").distinct())
     outdeg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
@@ -143,8 +156,9 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
              .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"),
                      F.lit(None).cast("int").alias("level")))
     state = cut_lineage(state)
-    level = 0
+    level, n_edges = 0, None
     while True:
+        last = state
         for _ in range(unroll):
             is_ready = F.col("level").isNull() & (F.col("pending") == 0)
             ready = state.where(is_ready).select(F.col("id").alias("dst"))
@@ -154,12 +168,19 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
                              F.when(is_ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
             level += 1
         state = cut_lineage(state)
-        left, top = state.agg(F.count_if(F.col("level").isNull()), F.max("level")).first()
+        release(last)
+        left, top, needed = state.agg(F.count_if(F.col("level").isNull()), F.max("level"), F.sum("pending")).first()
         if left == 0:
+            release(e)
             return state.select("id", "level")
         if top is None or top < level - unroll:
             # a whole chunk placed nothing although nodes remain: they sit on a cycle
             raise ValueError("graph has a cycle; relax it first")
+        if n_edges is None or needed * 2 <= n_edges:
+            unplaced = state.where(F.col("level").isNull()).select(F.col("id").alias("dst"))
+            stored, e = e, cut_lineage(e.join(unplaced, "dst", "left_semi").select("src", "dst"))
+            release(stored)
+            n_edges = needed
 
 
 def level_sizes(levels: DataFrame) -> DataFrame:
@@ -182,6 +203,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
         .where(F.col("src") != F.col("dst")).distinct())
     state = cut_lineage(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")))
     while True:
+        last = state
         for _ in range(unroll):
             frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
             cand = (both.join(frontier, "src").groupBy("dst").agg(F.min("l").alias("m"))
@@ -194,7 +216,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
                      .select("id", F.least("label", F.coalesce("_pl", "label")).alias("label"), "_old")
                      .select("id", "label", (F.col("label") < F.col("_old")).alias("_chg")))
         state = cut_lineage(state)
+        release(last)
         if state.where("_chg").limit(1).count() == 0:
+            release(both)
             return state.select("id", F.col("label").alias("component"))
 
 

@@ -430,7 +430,10 @@ def truncate_pool(spark, sf_dir):
 def embed_batch(spark, sf_dir):
     """VEC-1 through the batch hook with the default hashed term vectors."""
     b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return EM.embed_texts(b, "text").select("item_id", "embedding")
+    e = EM.embed_texts(b, "text")
+    return e.select("item_id", F.size("embedding").alias("n_dims"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("n_nonzero"),
+                    _weights_checksum("embedding").alias("embedding_checksum"))
 
 
 @query

@@ -483,3 +483,20 @@ ORACLE["level_propagation"] = "WITH RECURSIVE " + _GRAPH + "," + _DAG + "," + _L
 anc(n) AS (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT dag.src FROM anc JOIN dag ON dag.dst = anc.n)
 SELECT lv.id, lv.level::INTEGER AS level, lv.id IN (SELECT n FROM anc) AS changed FROM lv
 """
+
+# hashed term vectors: bucket and sign of a word from its MD5, L2-normalised, stored as float
+ORACLE["embed_batch"] = """
+WITH words AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+hashed AS (
+    SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 256 AS d,
+           CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM words),
+counts AS (SELECT item_id, d, sum(s)::DOUBLE AS c FROM hashed GROUP BY ALL HAVING sum(s) <> 0),
+norms AS (SELECT item_id, sqrt(sum(c * c)) AS n FROM counts GROUP BY item_id)
+SELECT b.item_id, 256 AS n_dims, count(c.d)::INTEGER AS n_nonzero,
+       round(coalesce(sum(((c.c / n.n)::FLOAT)::DOUBLE * (c.d + 1)), 0.0), 6) AS embedding_checksum
+FROM benchmark b LEFT JOIN counts c USING (item_id) LEFT JOIN norms n USING (item_id)
+GROUP BY b.item_id
+"""

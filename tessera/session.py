@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when their frames are garbage-collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # max_by/min_by and top-k rely on deterministic tie breaks; keep ANSI on (Spark 4 default).
     "spark.sql.ansi.enabled": "true",
 }
@@ -39,6 +42,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context (they need not have it installed).
+
+    The archive is made in the driver's own temporary folder; Spark's file service carries it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # already inside an archive: nothing to ship
+        name = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_pkg.zip")
+        with zipfile.ZipFile(name, "w") as z:
+            for d, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(name)
+    sc._tessera_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
@@ -80,4 +104,29 @@ def cut_lineage(df):
         jdf = js.internalCreateDataFrame(rdd, ck._jdf.schema(), False)
     except Exception:  # noqa: BLE001 - public fallback: same rows through external Row objects
         jdf = js.createDataFrame(ck._jdf.rdd(), ck._jdf.schema())
-    return type(df)(jdf, spark)
+    out = type(df)(jdf, spark)
+    out._checkpoint = _checkpoint_file(ck)
+    return out
+
+
+def _checkpoint_file(ck) -> str | None:
+    """Folder of the frame's checkpoint, or None where the plan does not tell."""
+    try:
+        f = ck._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        return f.get() if f.isDefined() else None
+    except Exception:  # noqa: BLE001 - left to the context cleaner
+        return None
+
+
+def release(*frames) -> None:
+    """Delete the checkpoints of frames from ``cut_lineage`` that nothing reads any more.
+
+    A loop calls it on the state of the round before, once the next state is materialised, so the
+    shared folder holds one state instead of one per round. Unreleased ones go with the cleaner.
+    """
+    for df in frames:
+        name = getattr(df, "_checkpoint", None)
+        if name:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(name)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -38,12 +38,16 @@ def scan_corpus(spark: SparkSession, root: str, suffixes=SOURCE_SUFFIXES,
                 prune_prefixes=NODE_PRUNE_PREFIXES, with_content: bool = True) -> DataFrame:
     """SRC-1: recursive listing of ``root`` -> (path, relpath, content?, text?, length).
 
-    Pruning and the suffix test run on the path before ``content`` is touched, so with
-    ``with_content=False`` (SRC-2) files are never read. Undecodable bytes give a null
-    ``text`` (SRC-3) instead of failing the job.
+    The suffix test is part of the listing (``pathGlobFilter``), so files of other kinds are never
+    read; with ``with_content=False`` (SRC-2) none is. Pruned folders are dropped by path, a filter
+    that runs on the scan's rows: their files of a wanted suffix are still opened. Undecodable
+    bytes give a null ``text`` (SRC-3) instead of failing the job.
     """
     root = root.rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if suffixes and not any(set(s) & set("*?[]{},\\") for s in suffixes):
+        df = df.option("pathGlobFilter", "*{" + ",".join(suffixes) + "}")
+    df = df.load(root)
     # path comes back as a URI; the relative path is everything after the root folder
     rel = F.substring_index(F.col("path"), root.split(":", 1)[-1] + "/", -1)
     df = df.withColumn("relpath", rel)

@@ -65,34 +65,39 @@ def load_embedded(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_previous_output(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: the previous embedded corpus; missing or unreadable -> typed empty frame."""
+    """SRC-7: the previous embedded corpus; missing or not Parquet -> typed empty frame.
+
+    The count reads every file's footer, so a broken file behind the first is seen as well. Any
+    other failure (permissions, network) is raised: starting empty would overwrite a good corpus.
+    """
+    empty = spark.createDataFrame([], EMBEDDED_SCHEMA)
+    if not _exists(spark, path):
+        return empty
+    df = spark.read.schema(EMBEDDED_SCHEMA).parquet(path)
     try:
-        if _exists(spark, path):
-            df = spark.read.schema(EMBEDDED_SCHEMA).parquet(path)
-            df.limit(1).count()
-            return df
-    except Exception:  # noqa: BLE001 - corrupt output means "start from scratch"
-        pass
-    return spark.createDataFrame([], EMBEDDED_SCHEMA)
+        df.count()
+    except Exception as e:  # noqa: BLE001 - only "this is no Parquet file" means "start from scratch"
+        if "is not a Parquet file" in str(e) or "not a Parquet file" in str(getattr(e, "java_exception", "")):
+            return empty
+        raise
+    return df
 
 
 def load_test_cases(spark: SparkSession, path: str) -> DataFrame:
     """SRC-8: evaluation cases (JSON array of six-field objects).
 
-    A missing file or invalid JSON gives an empty frame; a record with an unexpected
-    field is an error (Spark would otherwise drop it silently).
+    A missing file or invalid JSON gives an empty frame; a record with an unexpected or a missing
+    field is an error (a null value is not). Records are read as maps, so each one shows its own
+    fields; a column reader would fill missing ones with null.
     """
     empty = spark.createDataFrame([], TEST_CASE_SCHEMA)
     if not _exists(spark, path):
         return empty
-    raw = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    if "_corrupt_record" in raw.columns and len(raw.columns) == 1:
-        return empty
-    extra = sorted(set(raw.columns) - set(TEST_CASE_FIELDS) - {"_corrupt_record"})
-    if extra:
-        raise ValueError(f"unexpected test case fields: {extra}")
-    lost = [f for f in TEST_CASE_FIELDS if f not in raw.columns]
-    if lost and raw.columns:
-        raise ValueError(f"missing test case fields: {lost}")
-    return raw.select(*[F.col(f).cast("string") if f in raw.columns else F.lit(None).cast("string").alias(f)
-                        for f in TEST_CASE_FIELDS])
+    cases = (spark.read.text(path, wholetext=True)
+             .select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m")))
+    fields = F.array_sort(F.map_keys("m"))
+    wrong = cases.where(~fields.eqNullSafe(F.array(*[F.lit(f) for f in sorted(TEST_CASE_FIELDS)])))
+    bad = wrong.select(fields.alias("fields")).limit(1).collect()
+    if bad:
+        raise ValueError(f"test case fields: {bad[0]['fields']}, expected {sorted(TEST_CASE_FIELDS)}")
+    return cases.select(*[F.col("m")[f].alias(f) for f in TEST_CASE_FIELDS])

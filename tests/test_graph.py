@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -126,3 +127,18 @@ def test_components_random_vs_brute_force(spark):
     reach = _reach(und)
     for v in got:
         assert got[v] == min({v} | reach(v))
+
+
+def test_fixpoints_leave_few_checkpoints(spark):
+    """The state of a finished round is deleted: a longer chain leaves no more folders."""
+    from tessera.session import checkpoint_dir
+
+    def left(n):
+        root = checkpoint_dir(spark).replace("file:", "")
+        before = sum(d.startswith("rdd-") for d in os.listdir(root))
+        nodes = spark.range(n)
+        edges = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst")
+        assert G.dependency_levels(nodes, edges).agg({"level": "max"}).first()[0] == n - 1
+        return sum(d.startswith("rdd-") for d in os.listdir(root)) - before
+
+    assert left(24) <= left(6) + 1

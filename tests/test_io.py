@@ -74,6 +74,16 @@ def test_test_cases_loader(spark):
         json.dump([{f: "x" for f in loaders.TEST_CASE_FIELDS} | {"oops": 1}], fh)
     with pytest.raises(ValueError):
         loaders.load_test_cases(spark, extra)
+    lost = os.path.join(d, "lost.json")  # one record without a field, beside a whole one
+    with open(lost, "w") as fh:
+        json.dump([{f: "x" for f in loaders.TEST_CASE_FIELDS},
+                   {f: "x" for f in loaders.TEST_CASE_FIELDS if f != "description"}], fh)
+    with pytest.raises(ValueError):
+        loaders.load_test_cases(spark, lost)
+    null = os.path.join(d, "null.json")
+    with open(null, "w") as fh:
+        json.dump([{f: None for f in loaders.TEST_CASE_FIELDS}], fh)
+    assert loaders.load_test_cases(spark, null).collect() == [(None,) * 6]
     ok = os.path.join(d, "ok.json")
     with open(ok, "w") as fh:
         json.dump([{f: f for f in loaders.TEST_CASE_FIELDS}], fh)
@@ -88,6 +98,12 @@ def test_previous_output_missing_or_corrupt(spark):
     with open(os.path.join(bad, "part-0.parquet"), "w") as fh:
         fh.write("garbage")
     assert loaders.load_previous_output(spark, bad).count() == 0
+    mixed = os.path.join(d, "mixed")  # the broken file is not the first
+    spark.createDataFrame([(1, "a", "b", [1.0], [1.0])], loaders.EMBEDDED_SCHEMA).write.parquet(mixed)
+    assert loaders.load_previous_output(spark, mixed).count() == 1
+    with open(os.path.join(mixed, "zzz.parquet"), "w") as fh:
+        fh.write("garbage")
+    assert loaders.load_previous_output(spark, mixed).count() == 0
 
 
 class _CallLog:

@@ -50,7 +50,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"embed_batch"}
+    assert rows_only == set()
 
 
 def test_entry_smoke(spark):
