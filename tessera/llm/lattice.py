@@ -233,6 +233,25 @@ def log_gamma(z: np.ndarray) -> np.ndarray:
     return series - sum(np.log(z + k) for k in range(8))
 
 
+def log_rising(x: np.ndarray, k: np.ndarray, direct: int = 8) -> np.ndarray:
+    """ln of (x + 1) (x + 2) ... (x + k - 1) for every row of ``x`` and its k >= 1.
+
+    Up to ``direct`` factors are multiplied and logged once (x < 1e30 keeps the product finite);
+    the factors beyond are a difference of two ln Gamma.
+    """
+    product, at = np.ones_like(x), np.arange(len(k))
+    for m in range(1, direct + 1):
+        at = at[k[at] > m]
+        if not len(at):
+            break
+        product[at] *= m + x[at]
+    out = np.log(product)
+    far = np.flatnonzero(k > direct + 1)
+    if len(far):
+        out[far] += log_gamma(k[far, None] + x[far]) - log_gamma(direct + 1 + x[far])
+    return out
+
+
 def _strings(words: list[bytes]) -> pa.Array:
     try:
         return pa.array(words, pa.binary()).cast(pa.string())
@@ -368,27 +387,39 @@ def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None
 
     def look(batches):
         place, known, base10, logs = table.value
-        start = log_gamma(np.array([alpha]))[0]
+        start, expected = log_gamma(np.array([alpha]))[0], alpha * np.exp(logs)
+
+        def figures_of(held):
+            """Own figures of some documents: places and counts of the frequent words, number of all words."""
+            at, ks = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            size = np.array([n for _, _, n in held], float)
+            row = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+            add = lambda w: np.bincount(row, weights=w, minlength=len(held))
+            logged, more = log_alpha + logs[at], np.flatnonzero(ks > 1)
+            logged[more] += log_rising(expected[at[more]], ks[more])
+            # the words' rising factorials over alpha's, and the end
+            fixed = start - log_gamma(size + alpha)
+            totals = [add(w) + fixed + size * math.log1p(-e) + math.log(e) for w, e in zip(logged.T, smooth.ends.tolist(), strict=True)]
+            return zip((size + 1).astype(np.int64).tolist(), (add(ks * known[at]).astype(np.int64) + end_known).tolist(),
+                       (add(ks * base10[at]) + end_base).tolist(), *(t.tolist() for t in totals), strict=True)
+
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                own, rare, owner, times = [], [], [], []
+                own, rare, owner, times, held = [], [], [], [], []
                 for row, t in enumerate(b.column(1).to_pylist()):
                     words = Counter(t.lower().split() if t else ())
                     at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
                     ks = np.fromiter(words.values(), np.int64, len(words))
-                    new = at < 0
+                    size, new = int(ks.sum()), at < 0
                     if new.any():
                         rare += compress(words, new.tolist())
                         times.append(ks[new])
                         owner.append(np.full(len(times[-1]), row))
-                    at, ks, size = at[~new], ks[~new], int(ks.sum())
-                    # the words' rising factorials over alpha's, and the end
-                    total = start - log_gamma(np.array([size + alpha]))[0] + size * np.log1p(-smooth.ends) + np.log(smooth.ends)
-                    total = total + (log_alpha + logs[at]).sum(0)
-                    more = ks > 1
-                    x = alpha * np.exp(logs[at[more]])
-                    total = total + (log_gamma(ks[more, None] + x) - log_gamma(1 + x)).sum(0)
-                    own.append((size + 1, int(ks[known[at]].sum()) + end_known, float(ks @ base10[at]) + end_base, *total.tolist()))
+                        at, ks = at[~new], ks[~new]
+                    held.append((at, ks, size))
+                    if sum(len(h[0]) for h in held) > 50_000 or row + 1 == b.num_rows:
+                        own += figures_of(held)
+                        held = []
                 # the document's own row: its "word" holds a space and its hash, so it joins with nothing
                 hashes = [f"{END} {h}" for h in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(hashes, pa.string()), pa.array([0] * len(own), pa.int64()), b.column(3),
