@@ -3,12 +3,16 @@
 Kinds, in this order where spans start together: assign, access, hex (patterns), then
 entropy_hex, entropy_alnum, entropy_base64 (windows). Candidates for the entropy test are
 maximal runs of ``[A-Za-z0-9+/_=-]`` of at least ``WINDOW`` characters. A run's class is the
-narrowest alphabet that holds it (lower hex, letters and digits, base64). A window of
+narrowest alphabet that holds it (hex of one case, letters and digits, base64); hex of one case
+inside a wider run is a candidate of its own. A window of
 ``WINDOW`` characters slides over the run; its character counts and the sum of c*log2(c) are
 kept incrementally, so a step costs O(1). Windows at or above the class's threshold merge
 into spans. A candidate is suppressed when it is allow-listed: matched by an ``ALLOW``
-pattern (UUIDs, paths and dotted or dashed words, one repeated unit), or without
-at least ``MIN_DIGITS`` digits and two kinds of characters (prose glued together has no digits).
+pattern (UUIDs, paths and dotted or dashed words, one repeated unit), or of one kind of characters
+(lower case, upper case, digits; prose glued together is lower case alone). Hex needs no more. Other
+classes need ``MIN_DIGITS`` digits or, within one window, ``ODD_PARTS`` parts that no word or
+camel-case name is made of: cut at case changes and digits, a part shorter than three characters or
+without a vowel. README gives the recall on random keys and the false hits.
 
 Spans are ``kind:start:end`` in code points, end exclusive, of the whole match. Null texts count as
 empty; empty texts have no spans; every input row gives one row; extra columns are ignored.
@@ -30,6 +34,7 @@ WINDOW = 20
 #: bits per character over one window, by class
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_alnum": 3.6, "entropy_base64": 3.6}
 MIN_DIGITS = 3
+ODD_PARTS = 3
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"/?([A-Za-z_-]+/)+[A-Za-z_-]*",
@@ -43,6 +48,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: shorter ones cannot hide a longer one
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
+_HEX_PART = re.compile(r"[0-9a-f]{%d,}|[0-9A-F]{%d,}" % (WINDOW, WINDOW))
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_WORD = re.compile(r"[0-9]{3}|(?=[A-Za-z]{3}).*[aeiouyAEIOUY]")
 _GLUE = [(math.log2(c) * c if c else 0.0) for c in range(WINDOW + 1)]
 
 
@@ -55,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def char_class(run: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+", run):
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return "entropy_hex"
     return "entropy_alnum" if re.fullmatch(r"[A-Za-z0-9]+", run) else "entropy_base64"
 
@@ -82,16 +90,34 @@ def hot_windows(run: str, threshold: float) -> list[tuple[int, int]]:
     return spans
 
 
+def odd_parts(run: str) -> bool:
+    """Whether ``ODD_PARTS`` parts that are no words start within one window of ``run``."""
+    at = [m.start() for m in _PART.finditer(run) if not _WORD.match(m.group())]
+    return any(b - a < WINDOW for a, b in zip(at, at[ODD_PARTS - 1:], strict=False))
+
+
+def candidates(run: str):
+    """(offset, characters, class) of the run and of the hex inside a wider one."""
+    kind = char_class(run)
+    yield 0, run, kind
+    if kind != "entropy_hex":
+        for m in _HEX_PART.finditer(run):
+            yield m.start(), m.group(), "entropy_hex"
+
+
 def entropy_spans(text: str, allow: list[re.Pattern]) -> list[tuple[int, int, int]]:
     found = []
     for m in _RUN.finditer(text):
-        run = m.group()
-        mixed = any(map(str.isdigit, run)) + any(map(str.islower, run)) + any(map(str.isupper, run))
-        if mixed < 2 or sum(map(str.isdigit, run)) < MIN_DIGITS or any(p.fullmatch(run) for p in allow):
+        if any(p.fullmatch(m.group()) for p in allow):
             continue
-        kind = char_class(run)
-        for a, b in hot_windows(run, THRESHOLDS[kind]):
-            found.append((m.start() + a, KINDS.index(kind), m.start() + b))
+        for at, run, kind in candidates(m.group()):
+            digits = sum(map(str.isdigit, run))
+            if (digits > 0) + any(map(str.islower, run)) + any(map(str.isupper, run)) < 2 or (run != m.group() and any(p.fullmatch(run) for p in allow)):
+                continue
+            if kind != "entropy_hex" and digits < MIN_DIGITS and not odd_parts(run):
+                continue
+            for a, b in hot_windows(run, THRESHOLDS[kind]):
+                found.append((m.start() + at + a, KINDS.index(kind), m.start() + at + b))
     return found
 
 

@@ -66,6 +66,19 @@ def test_entropy_spans_and_allow_list():
     assert not find("é" * 30) and not find("x" * 100_000)
 
 
+def test_random_keys_without_digits_and_upper_hex_are_found():
+    allow, r = [re.compile(p) for p in secrets.ALLOW], np.random.default_rng(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for symbols, n, least in ((letters + letters.upper(), 20, 0.9), (letters + letters.upper() + "0123456789", 20, 0.97),
+                              ("0123456789ABCDEF", 32, 0.97), ("0123456789ABCDEF", 64, 0.97)):
+        keys = ["".join(r.choice(list(symbols), size=n)) for _ in range(300)]
+        assert sum(bool(secrets.entropy_spans(k, allow)) for k in keys) >= least * 300
+        assert sum(bool(secrets.entropy_spans(f"KEY={k}", allow)) for k in keys) >= least * 300
+    assert not any(secrets.entropy_spans(t, allow) for t in (
+        "NeedCurrentDirectoryForExePath", "AbstractQueuedSynchronizerFactoryBean", "ignore_dangling_symlinks=False", "3" * 10 + "0123456789",
+        "DEADBEEF" * 8))
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = X.frame(spark, SECRET_ROWS)
     got = secrets.redact_secrets(docs)
