@@ -24,6 +24,9 @@ documents link when ``100 * |A and B| >= percent * |A or B|``.
    all pairs of different components in it are bounded by their bitmaps at once (numpy). Of each
    two components the closest pair is verified first; only where it was not the only one left and
    the components are still apart are all left verified. So no link between components is lost.
+7. Links of each class. Every link lies within a component, so each component's classes are dealt into
+   blocks and each pair of blocks is one tile, where the overlaps of all its pairs are counted
+   exactly (``overlaps``). A tile gives one count a class, never the pairs.
 
 Shingles are 64-bit hashes and classes 64-bit hashes of them; at a billion distinct sets the
 expected number of colliding classes is 0.03.
@@ -46,6 +49,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLOCK = 1024
+#: a block of the link count holds at most LINK_BLOCK classes and, apart from a single larger set, about LINK_SHINGLES shingles
+LINK_BLOCK = 512
+LINK_SHINGLES = 1 << 20
 _CELL_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -150,8 +156,45 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``.
+
+    Shingles of many sets go through a product of 0/1 matrices (float32 counts are exact below 2^24 a
+    chunk), the others through a list of their sets in ``b``.
+    """
+    out = np.zeros((len(a), len(b)), np.int64)
+    names, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    split = sum(map(len, a))
+    row_a, row_b = (np.repeat(np.arange(len(x)), [len(v) for v in x]) for x in (a, b))
+    id_a, id_b = at[:split], at[split:]
+    in_a, in_b = np.bincount(id_a, minlength=len(names)), np.bincount(id_b, minlength=len(names))
+    dense = np.flatnonzero(in_a * in_b > len(a) + len(b))
+    place = np.full(len(names), -1)
+    place[dense] = np.arange(len(dense))
+    for start in range(0, len(dense), 4096):
+        sides = []
+        for rows, ids, n in ((row_a, id_a, len(a)), (row_b, id_b, len(b))):
+            p = place[ids] - start
+            k = (p >= 0) & (p < 4096) & (place[ids] >= 0)
+            m = np.zeros((n, min(4096, len(dense) - start)), np.float32)
+            m[rows[k], p[k]] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    k = (place[id_b] < 0) & (in_a[id_b] > 0)
+    order = np.argsort(id_b[k], kind="stable")
+    rows, first = row_b[k][order], np.searchsorted(id_b[k][order], np.arange(len(names) + 1))
+    k = (place[id_a] < 0) & (in_b[id_a] > 0)
+    ids, mine = id_a[k], row_a[k]
+    for s in range(0, len(ids), 1 << 16):  # every shingle of a here meets its sets in b
+        i, m = ids[s:s + (1 << 16)], mine[s:s + (1 << 16)]
+        n = first[i + 1] - first[i]
+        other = rows[np.repeat(first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        out += np.bincount(np.repeat(m, n) * len(b) + other, minlength=out.size).reshape(out.shape)
+    return out
+
+
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (null for the empty set or a null id); one scan."""
+    """doc_id, text_hash, n_shingles, class (null for the empty set or a null id); one scan."""
 
     def scan(batches):
         for b in batches:
@@ -160,11 +203,11 @@ def _classes(docs: DataFrame, width: int) -> DataFrame:
                 s = shingles(t, width)
                 n.append(len(s))
                 c.append(class_of(s) if len(s) and i is not None else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                                             names=["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
+                                             names=["doc_id", "text_hash", "n_shingles", "class"])
 
-    base = C.texts(docs)
-    return base.mapInArrow(scan, f"doc_id {dict(base.dtypes)['doc_id']}, n_shingles long, class long")
+    base = C.texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return base.mapInArrow(scan, f"doc_id {dict(base.dtypes)['doc_id']}, text_hash long, n_shingles long, class long")
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -364,15 +407,69 @@ def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int, ever
     return rows.mapInArrow(scan, "a long, b long, key long, more boolean")
 
 
-def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, class, component_id, n_links.
+def _degrees(label: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """class, n_links: the number of other classes that each class of ``label(class, component)`` links with.
 
-    ``component_id``: smallest doc_id reachable by links, itself included. ``n_links``: the verified links of the
-    row's class to other classes that the join needed to connect components (copies and links
-    within a known component are not counted).
+    The two classes of a component of two link with each other; larger components are compared in tiles.
     """
-    spark = docs.sparkSession
-    C.ship(spark)
+    spark = label.sparkSession
+    sized = label.join(sets.select(F.col("class").alias("c"), "n"), F.col("class") == F.col("c")).drop("c")
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("total") / F.lit(LINK_SHINGLES))).cast("int")
+    known = (sized.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+             .select(F.col("component").alias("k"), "members", F.least(blocks, F.col("members").cast("int")).alias("blocks")))
+    rows = label.join(known, label["component"] == known["k"]).drop("k")
+    dealt = (rows.where("members > 2").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select(F.col("class").alias("c"), "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    full = sets.select("class", "hashes")
+    tiles = (dealt.join(full, dealt["c"] == full["class"]).select("component", "lo", "hi", "own", "class", "hashes")
+             .repartition(C.partitions(spark), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "class"))
+
+    def scan(batches):
+        held, last, cls, n = [], None, [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cls)), pa.array(np.concatenate(n))], names=["class", "n_links"])
+
+        for b in batches:
+            for r in C.rows_of(b):
+                if r[:3] != last:
+                    if held:
+                        compare(held, cls, n)
+                    if sum(map(len, cls)) > 10_000:
+                        yield out()
+                        cls.clear()
+                        n.clear()
+                    held, last = [], r[:3]
+                held.append(r)
+        if held:
+            compare(held, cls, n)
+        if cls:
+            yield out()
+
+    def compare(held, cls, n):
+        _, lo, hi = held[0][:3]
+        left = [(r[4], np.frombuffer(r[5], np.uint64)) for r in held if r[3] == lo]
+        right = left if lo == hi else [(r[4], np.frombuffer(r[5], np.uint64)) for r in held if r[3] == hi]
+        if not left or not right:
+            return
+        a, b = [x for _, x in left], [x for _, x in right]
+        both = overlaps(a, b)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None] - both
+        links = 100 * both >= percent * union
+        if lo == hi:
+            np.fill_diagonal(links, False)
+        for side, axis in ((left, 1),) if lo == hi else ((left, 1), (right, 0)):
+            cls.append(np.array([c for c, _ in side], np.int64))
+            n.append(links.sum(axis).astype(np.int64))
+
+    counted = tiles.mapInArrow(scan, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+    return counted.unionByName(rows.where("members = 2").select("class", F.lit(1).cast("long").alias("n_links")))
+
+
+def _joined(docs: DataFrame, width: int, percent: int, block: int):
+    """Rows (``_classes``), their classes' smallest doc_id, (class, component) of linked classes, the sets of those."""
+    C.ship(docs.sparkSession)
     rows = C.stored(_classes(docs, width), "classes")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     stars = C.stored(_stars(_keys(docs, width, percent)), "keys")
@@ -400,7 +497,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
             break
         members = members.join(again, members["key"] == again["k"]).drop("k")
 
-    degree = (links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links")))
+    return rows, classes, label, sets
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, n_shingles, class, component_id, n_links.
+
+    ``component_id``: smallest doc_id reachable by links, itself included. ``n_links``: the number of other classes
+    (different sets) that the row's class links with; copies of its own set are not counted.
+    """
+    rows, classes, label, sets = _joined(docs, width, percent, block)
+    degree = _degrees(label, sets, percent, min(block, LINK_BLOCK))
     small = (classes.join(label, "class").select("class", "component", "doc_id").groupBy("component").agg(F.min("doc_id").alias("least")))
     merged = label.join(small, "component").select("class", "least").join(degree, "class", "left")
     per_class = (classes.join(merged, "class", "left")

@@ -116,3 +116,37 @@ def test_keep_one_and_empty(spark):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == want
     assert J.jaccard_join(X.empty(spark)).count() == 0
     assert J.keep_one(X.empty(spark)).count() == 0
+
+
+def brute_links(rows, width, percent):
+    """doc_id -> number of other sets that link with the row's set."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        n = min(width, len(w))
+        sets.append(frozenset(tuple(w[k:k + n]) for k in range(len(w) - n + 1)) if w and i is not None else frozenset())
+    known = {s for s in sets if s}
+    links = {s: sum(a != s and 100 * len(a & s) >= percent * len(a | s) for a in known) for s in known}
+    return sorted(((i, links.get(s, 0)) for (i, _), s in zip(rows, sets, strict=True)), key=repr)
+
+
+def test_overlaps_match_intersections():
+    r = np.random.default_rng(4)
+    common = r.integers(0, 1 << 62, 50).astype(np.uint64)
+    a, b = ([np.unique(np.concatenate([r.choice(common, 20), r.integers(0, 300, 30).astype(np.uint64)])) for _ in range(n)] for n in (40, 25))
+    for x, y in ((a, b), (a, a), (a[:1], b[:1])):
+        assert (J.overlaps(x, y) == [[len(np.intersect1d(p, q)) for q in y] for p in x]).all()
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_all_links_are_counted(spark, block):
+    """A triangle of near copies, a family of many and a lone pair, with copies of some."""
+    base = X.words(300, 21)
+    rows = [(k, " ".join(base[:290] + [f"t{k}"])) for k in range(3)] + X.edge_rows()
+    family = X.words(200, 22, 9000)
+    rows += [(500 + k, " ".join([*family[:k % 9], f"u{k}", *family[k % 9:]])) for k in range(40)]
+    rows += [(900, "alpha beta gamma delta " * 3 + "x"), (901, "alpha beta gamma delta " * 3 + "x"), (902, " ".join(X.words(90, 23)))]
+    got = J.jaccard_join(X.frame(spark, rows), 3, 90, block).select("doc_id", "n_links").collect()
+    want = brute_links(rows, 3, 90)
+    assert sorted(map(tuple, got), key=repr) == want
+    assert max(n for _, n in want) > 2
