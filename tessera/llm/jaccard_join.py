@@ -518,10 +518,25 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns kept, one row per group: the smallest doc_id (of repeated rows, one).
+    """``docs``, all columns kept, one row per group: one of the smallest doc_id (of its texts, the one of least hash).
 
-    Rows with the empty set stay. The rejected ids meet the documents in an anti-join on doc_id.
+    Rows are judged, not ids: a row is its doc_id and text (hash). Rows with the empty set or a null id stay.
+    The rejected rows meet the documents in an anti-join; where the row to keep is repeated, its repeats
+    are dropped (which of them stays is open, as far as their other columns differ).
     """
-    found = jaccard_join(docs, width, percent)
-    gone = (found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows, _, label, _ = _joined(docs, width, percent, BLOCK)
+    kind = label.select(F.col("class").alias("c"), "component")
+    found = (rows.where("class is not null").join(kind, F.col("class") == F.col("c"), "left")
+             .select("doc_id", "text_hash", F.coalesce("component", "class").alias("component")))
+    least = (found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select(F.col("component").alias("k"), "least"))
+    judged = C.stored(found.join(least, found["component"] == least["k"])
+                      .groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
+                      .agg(F.first(F.struct("doc_id", "text_hash") == F.col("least")).alias("_keep"), F.count(F.lit(1)).alias("_n")), "judged")
+    gone, many = judged.where("not _keep"), judged.where("_keep and _n > 1")
+    on = lambda side: (docs["doc_id"] == side["_i"]) & (F.xxhash64(docs["text"].cast("binary")) == side["_h"])
+    if not many.limit(1).count():
+        return docs.join(gone, on(gone), "left_anti")
+    once = docs.join(many, on(many), "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = judged.where("not _keep or _n > 1")
+    return docs.join(rest, on(rest), "left_anti").unionByName(once)

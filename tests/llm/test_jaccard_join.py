@@ -150,3 +150,16 @@ def test_all_links_are_counted(spark, block):
     want = brute_links(rows, 3, 90)
     assert sorted(map(tuple, got), key=repr) == want
     assert max(n for _, n in want) > 2
+
+
+def test_keep_one_judges_rows(spark):
+    near = X.words(100, 31)
+    other = [*near[:50], "changed", *near[51:]]
+    rows = [(1, " ".join(near)), (1, " ".join(near)), (2, " ".join(other)), (2, "a clean text of its own that stays here"),
+            (3, "twice the same text in two rows of one id"), (3, "twice the same text in two rows of one id"),
+            (4, "One Two three"), (4, "one two three"), (5, None), (5, None), (None, " ".join(near)), (None, " ".join(near)),
+            (6, "first text of the least id here"), (6, "second text with nothing in common")]
+    got = sorted((r["doc_id"], r["text"]) for r in J.keep_one(X.frame(spark, rows), 3, 80).collect() if r["doc_id"] not in (None, 4, 5))
+    assert got == sorted([rows[0], rows[3], rows[4], rows[12], rows[13]])
+    ids = [r["doc_id"] for r in J.keep_one(X.frame(spark, rows), 3, 80).collect()]
+    assert ids.count(4) == 1 and ids.count(5) == 2 and ids.count(None) == 2
