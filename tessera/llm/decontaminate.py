@@ -7,13 +7,12 @@ words (verification); it slides over the document's words, verifies every hash h
 words themselves and marks the words covered.
 
 The set is broadcast in blocks of at most ``max_block_bytes`` of benchmark text. One block is
-the usual case; more are scanned one after the other and their marks merged per document, so
-the broadcast stays bounded whatever the benchmark's size.
+the usual case; more are scanned one after the other and their marks merged per (doc_id, text), with the
+number of its rows, so the broadcast stays bounded whatever the benchmark's size.
 
 Defined cases: null text has no words; empty texts and empty tables give rows with zero hits
 (no documents: no rows); items with a null id are left out, repeated ids count once; each
-distinct (doc_id, text) gives one row when the benchmark needs several blocks, each input row
-one otherwise; extra columns are ignored.
+input row gives one row, however many blocks the benchmark needs; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,11 +118,12 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = WIDTH, item_co
     parts = [scan_block(b) for b in _blocks(bench, item_col, "text", max_block_bytes)]
     if len(parts) == 1:
         return parts[0]
-    out = C.stored(parts[0], "contamination")
+    out = C.stored(parts[0], "contamination").withColumn("copies", F.lit(1))
     for p in parts[1:]:
-        out = out.unionByName(C.stored(p.where(F.size("hit_words") > 0), "contamination"))
-    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return out.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), merged("hit_words"), merged("items"))
+        out = out.unionByName(C.stored(p.where(F.size("hit_words") > 0), "contamination").withColumn("copies", F.lit(0)))
+    merged = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return (out.groupBy("doc_id", "text_hash").agg(F.max("n_words").alias("n_words"), merged("hit_words"), merged("items"), F.sum("copies").alias("copies"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies", "copy"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, mode: str = "documents", wi
             docs = judged(docs, block)
         return docs
     found = (contamination(docs, bench, width, item_col, max_block_bytes).where(F.size("hit_words") > 0)
-             .select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), F.col("hit_words").alias("_w")))
+             .select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), F.col("hit_words").alias("_w")).dropDuplicates(["_k", "_h"]))
     on = docs["doc_id"].eqNullSafe(found["_k"]) & (F.xxhash64(docs["text"].cast("binary")) == found["_h"])
 
     @F.udf("string")

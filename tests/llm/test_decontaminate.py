@@ -31,6 +31,15 @@ def test_blocks_give_the_same_marks(spark):
     assert _rows(got) == sorted(D.brute_force(docs, _known()), key=repr)
 
 
+def test_repeated_rows_stay_whatever_the_blocks(spark):
+    docs = X.edge_rows() + [(5, "one two"), (5, "one two"), (None, None), (None, "one two"), (None, "one two"), (1, None)]
+    want = sorted(D.brute_force(docs, _known()), key=repr)
+    for size in (D.MAX_BLOCK_BYTES, 5):
+        assert _rows(D.report(D.contamination(X.frame(spark, docs), _bench(spark, ITEMS), max_block_bytes=size))) == want
+        cut = D.decontaminate(X.frame(spark, docs), _bench(spark, ITEMS), mode="spans", max_block_bytes=size)
+        assert cut.count() == len(docs)
+
+
 def test_query_matches_brute_force(spark):
     items = [(str(r[0]), r[1]) for r in spark.read.parquet(f"{X.SF}/benchmark.parquet").select("item_id", "text").collect()]
     # brute force only where a ten-word window is anywhere at all: join words, then look closely
