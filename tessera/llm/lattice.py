@@ -51,6 +51,8 @@ HOT_WORDS = 100_000
 ROUNDS = 2
 MAX_CLASSES = 8
 ALPHA = 2_000.0
+#: words of more bytes go through the lattice in segments of so many positions
+LONG = 256
 MARK = "▁"
 #: the end token's name in the word table; holds a space, so no word equals it
 END = " end"
@@ -159,7 +161,7 @@ class Lattice:
         """Natural log of the sum over all segmentations of each word."""
         out = np.empty(len(words))
         for at, block in self.blocks(words):
-            if block.shape[1] <= 256:
+            if block.shape[1] <= LONG:
                 out[at] = self.forward(block, list(self.arcs(block)))[:, -1] + self.log_end
             else:  # a very long word: the same recursion with a sliding frontier, constant memory per step
                 a = {0: np.zeros(len(block))}
@@ -175,7 +177,10 @@ class Lattice:
     def expected(self, words: list[bytes], sizes: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Expected piece counts (opening; inner with the end last) over words, each counted once."""
         total = (np.zeros(sizes[0]), np.zeros(sizes[1]))
-        for _, block in self.blocks([w for w in words if len(w) <= 256]):
+        for w in words:
+            if len(w) > LONG:
+                self._expected_long(w, total)
+        for _, block in self.blocks([w for w in words if len(w) <= LONG]):
             arcs = list(self.arcs(block))
             a, b = self.forward(block, arcs), self.backward(block, arcs)
             z = a[:, -1] + self.log_end
@@ -186,6 +191,69 @@ class Lattice:
         return total
 
 
+    def _long_arcs(self, data: np.ndarray, lo: int, hi: int) -> list[list[tuple[int, int, int]]]:
+        """(end, side, piece number) of the pieces starting at each position of ``lo``..``hi`` in one word."""
+        out = [[] for _ in range(hi - lo)]
+        for side, a, b in ((0, lo, min(hi, 1)), (1, max(lo, 1), hi)):
+            for n, (codes, numbers) in self.sides[side][0].items():
+                last = min(b, len(data) - n + 1)
+                if a >= last:
+                    continue
+                c = self._fold(np.lib.stride_tricks.sliding_window_view(data[a:last + n - 1], n))
+                at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+                for k in np.flatnonzero(codes[at] == c).tolist():
+                    out[a + k - lo].append((a + k + n, side, int(numbers[at[k]])))
+        return out
+
+    def _expected_long(self, word: bytes, total: tuple[np.ndarray, np.ndarray]) -> None:
+        """Adds one word's expected counts to ``total``, in segments of ``LONG`` positions.
+
+        Forward keeps the frontier at each segment's start (as many values as the longest piece has bytes);
+        backward goes from the last segment to the first and repeats the forward values inside it. So arcs and
+        values are held for one segment at a time.
+        """
+        data, width, logs = np.frombuffer(word, np.uint8), len(word), [g.tolist() for g in (self.sides[0][1], self.sides[1][1])]
+
+        def add(x, y):
+            x, y = (x, y) if x >= y else (y, x)
+            return x + math.log1p(math.exp(y - x))
+
+        def forward(a, arcs, lo):
+            for i, here in enumerate(arcs, lo):
+                at = a[i]
+                for j, side, k in here:
+                    v = at + logs[side][k]
+                    a[j] = add(a[j], v) if j in a else v
+            return a
+
+        longest = max(n for tables, _ in self.sides for n in tables)
+        starts, frontiers, a = range(0, width, LONG), [], {0: 0.0}
+        for lo in starts:
+            frontiers.append(a)
+            hi = min(lo + LONG, width)
+            a = {j: v for j, v in forward(dict(a), self._long_arcs(data, lo, hi), lo).items() if j >= hi}
+        z, b = a[width] + self.log_end, {width: self.log_end}
+        for lo, a in zip(reversed(starts), reversed(frontiers), strict=True):
+            hi = min(lo + LONG, width)
+            arcs = self._long_arcs(data, lo, hi)
+            a = forward(dict(a), arcs, lo)
+            sides, numbers, p = [], [], []
+            for i in range(hi - 1, lo - 1, -1):
+                value = None
+                for j, side, k in arcs[i - lo]:
+                    v = logs[side][k] + b[j]
+                    value = v if value is None else add(value, v)
+                    sides.append(side)
+                    numbers.append(k)
+                    p.append(math.exp(a[i] + v - z))
+                b[i] = value
+            sides, numbers, p = np.array(sides), np.array(numbers), np.array(p)
+            for side in (0, 1):
+                total[side][:] += np.bincount(numbers[sides == side], weights=p[sides == side], minlength=len(total[side]))
+            b = {j: v for j, v in b.items() if j <= lo + longest}
+        total[1][-1] += 1
+
+
 class Model:
     """Vocabulary and log weights; ``fit`` re-estimates them on a frame of distinct words."""
 

@@ -46,6 +46,20 @@ def test_long_words_use_the_same_recursion():
     assert math.isclose(long, whole * 6000 / 256, rel_tol=0.05)
 
 
+@pytest.mark.parametrize("segment", [5, 256])
+def test_long_words_count_in_training(monkeypatch, segment):
+    lattice = L.Model().lattice()
+    sizes = tuple(len(logs) for _, logs in lattice.sides)
+    words = ["информация東京都".encode() * 14, b"information" * 60, b"x" * 257]
+    monkeypatch.setattr(L, "LONG", 10_000)
+    want = lattice.expected(words, sizes)
+    monkeypatch.setattr(L, "LONG", segment)
+    got = lattice.expected(words, sizes)
+    assert got[1][-1] == 3 and sum(map(np.sum, got)) > 100
+    for g, w in zip(got, want, strict=True):
+        assert np.allclose(g, w, rtol=1e-9, atol=1e-12)
+
+
 def test_piece_weights_sum_to_one_and_training_helps(spark):
     model = L.Model()
     words = spark.createDataFrame([(w,) for w in ("thing", "things", "bring", "singing", "king") * 5], "word string")
