@@ -2,9 +2,12 @@
 
 Archives are WARC/1.1. With gzip each record is a member of its own whose header carries the
 standard's skip-length field (compressed and uncompressed length), so a reader steps from record to
-record without decoding. Reading plans one partition per archive (or byte range, for plain archives listed with
-``splits``), parses a record's headers first, tests record type and header predicates on them, and decodes
-the payload only of records that pass, and only when the payload column is wanted.
+record without decoding. Members without that field, as other tools write them, are inflated to their end, in
+bounded pieces; they may hold several records or parts of one. Reading plans one partition per archive, so a single
+large archive is one task. It parses a record's headers first, tests record type and header predicates on them, and
+decodes the payload only of records that pass, and only when the payload column is wanted (without the
+field, other payloads are inflated and dropped). Header names match in any case, with or without white space
+after the colon; the column ``headers`` has them as written.
 
 Predicates: equality (and IN) on ``record_type`` and on ``header_equals`` options reach the reader;
 Spark pushes filters where ``spark.sql.python.filterPushdown.enabled`` is set, and the options
@@ -61,6 +64,87 @@ def record_bytes(headers: list[tuple[str, str]], payload: bytes, gzip: bool) ->
             + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF))
 
 
+class Headers(dict):
+    """Header lines as written; ``field`` finds a value by the name in any case."""
+
+    def field(self, name: str, default: str | None = None) -> str | None:
+        if name in self:
+            return self[name]
+        low = name.lower()
+        return next((v for k, v in self.items() if k.lower() == low), default)
+
+
+class Inflated:
+    """The bytes of consecutive gzip members from ``at`` on; holds one piece at a time."""
+
+    PIECE = 1 << 16
+
+    def __init__(self, f, at: int, name: str):
+        self.f, self.name = f, name
+        self.next = at  # where the file is read next
+        self.z, self.raw, self.data = zlib.decompressobj(31), b"", b""
+
+    def _more(self) -> bool:
+        """Inflate a piece more into ``data``; False at the end of the last member."""
+        while True:
+            if self.z.eof:
+                if not self._member():
+                    return False
+                self.z = zlib.decompressobj(31)
+            if not self.raw:
+                self.f.seek(self.next)
+                self.raw = self.f.read(self.PIECE)
+                self.next += len(self.raw)
+                if not self.raw:
+                    raise ValueError(f"{self.name}:{self.next}: a gzip member is cut short")
+            try:
+                got = self.z.decompress(self.raw, self.PIECE)
+            except zlib.error as e:
+                raise ValueError(f"{self.name}:{self.next - len(self.raw)}: {e}") from e
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.data += got
+            if got:
+                return True
+
+    def _member(self) -> bool:
+        """Whether another gzip member follows the one that ended."""
+        if len(self.raw) < 2:
+            self.f.seek(self.next)
+            new = self.f.read(self.PIECE)
+            self.raw, self.next = self.raw + new, self.next + len(new)
+        return self.raw[:2] == b"\x1f\x8b"
+
+    def ended(self) -> bool:
+        """Whether the records read so far end with a member."""
+        while not self.data and not self.z.eof:
+            if not self._more():
+                break
+        return not self.data and self.z.eof
+
+    def place(self) -> int:
+        return self.next - len(self.raw)
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before ``mark``, which is passed; None where it does not come."""
+        at = 0
+        while (end := self.data.find(mark, at)) < 0:
+            at = max(0, len(self.data) - len(mark) + 1)
+            if not self._more():
+                return None
+        out, self.data = self.data[:end], self.data[end + len(mark):]
+        return out
+
+    def take(self, n: int, keep: bool) -> tuple[int, bytes]:
+        """Pass ``n`` bytes: how many there were, and (with ``keep``) the bytes."""
+        parts, left = [], n
+        while left and (self.data or self._more()):
+            part, self.data = self.data[:left], self.data[left:]
+            left -= len(part)
+            if keep:
+                parts.append(part)
+        return n - left, b"".join(parts)
+
+
 class Records:
     """Records of an open archive: headers first, payload on demand, else skipped unread."""
 
@@ -74,8 +158,9 @@ class Records:
             self.f.seek(at)
             head = self.f.read(24)
             if head[:2] == b"\x1f\x8b":
-                if head[3] != 4 or head[12:14] != b"sl":
-                    raise ValueError(f"{self.name}:{at}: a gzip member without skip length")
+                if len(head) < 24 or head[3] != 4 or head[10:16] != b"\x0c\x00sl\x08\x00":
+                    at = yield from self._stream(at)
+                    continue
                 size = struct.unpack("<I", head[16:20])[0]
                 yield from self._member(at, size)
                 at += size
@@ -86,7 +171,45 @@ class Records:
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"{self.name}:{at}: no WARC record")
-        return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:] if x)
+        out, last = Headers(), None
+        for x in lines[1:]:
+            if x[:1] in (" ", "\t") and last is not None:  # a folded line
+                out[last] = f"{out[last]} {x.strip()}".strip()
+            elif x:
+                name, _, value = x.partition(":")
+                last = name.strip()
+                out[last] = value.strip(" \t")
+        return out
+
+    def _length(self, headers: Headers, at: int) -> int:
+        n = headers.field("Content-Length", "")
+        if not n.isdecimal():
+            raise ValueError(f"{self.name}:{at}: no content length")
+        return int(n)
+
+    def _stream(self, at: int):
+        """Records of gzip members without skip length; the place after the member that ends with a record."""
+        data = Inflated(self.f, at, self.name)
+        while True:
+            place = data.place()
+            head = data.until(b"\r\n\r\n")
+            if head is None:
+                raise ValueError(f"{self.name}:{place}: headers do not end")
+            headers = self._parse(head, place)
+            n, got = self._length(headers, place), []
+
+            def payload() -> bytes:
+                if not got:
+                    got.append(data.take(n, True))
+                if got[0][0] < n:
+                    raise ValueError(f"{self.name}:{place}: payload cut short")
+                return got[0][1]
+
+            yield headers, payload
+            if (got[0] if got else data.take(n, False))[0] < n or data.take(4, False)[0] < 4:
+                raise ValueError(f"{self.name}:{place}: payload cut short")
+            if data.ended():
+                return data.place()
 
     def _member(self, at: int, size: int):
         z, raw, read = zlib.decompressobj(-15), b"", 24
@@ -103,7 +226,7 @@ class Records:
         def payload() -> bytes:
             self.f.seek(at + read)
             rest = body + z.decompress(tail + self.f.read(size - read)) + z.flush()
-            n = int(headers["Content-Length"])
+            n = self._length(headers, at)
             if len(rest) < n:
                 raise ValueError(f"{self.name}:{at}: payload cut short")
             return rest[:n]
@@ -119,7 +242,7 @@ class Records:
                 raise ValueError(f"{self.name}:{at}: headers do not end")
             raw += data
         headers = self._parse(raw[:end], at)
-        start, n = at + end + 4, int(headers["Content-Length"])
+        start, n = at + end + 4, self._length(headers, at)
 
         def payload() -> bytes:
             self.f.seek(start)
@@ -178,9 +301,9 @@ class WarcReader(DataSourceReader):
         fs, _ = open_fs(self.uri)
         with fs.open_input_file(partition.path) as f:
             for headers, payload in Records(f, partition.path):
-                if self.types and headers.get("WARC-Type") not in self.types:
+                if self.types and headers.field("WARC-Type") not in self.types:
                     continue
-                if any(headers.get(k) != v for k, v in self.want.items()) or any(headers.get(k) not in v for k, v in self.tests):
+                if any(headers.field(k) != v for k, v in self.want.items()) or any(headers.field(k) not in v for k, v in self.tests):
                     continue
                 yield tuple(self._value(c, headers, payload) for c in self.columns)
 
@@ -188,10 +311,10 @@ class WarcReader(DataSourceReader):
         if column == "payload":
             return None if self.no_payload else payload()
         if column == "headers":
-            return headers
+            return dict(headers)
         if column == "payload_length":
-            return int(headers.get("X-Payload-Length", headers["Content-Length"]))
-        return headers.get(_FIELDS[column])
+            return int(headers.field("X-Payload-Length") or headers.field("Content-Length"))
+        return headers.field(_FIELDS[column])
 
 
 @dataclass

@@ -208,3 +208,45 @@ def test_warc_query_and_empty(spark):
     path = common.scratch(spark, "warc")
     warc.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.page_report(spark, path).count() == 0
+
+
+def test_archives_of_other_tools(spark):
+    """Plain gzip members (one a record, all in one, a record over two), header names in any case and without white space."""
+    import gzip
+    import os
+    import random
+
+    import pyarrow.fs as pafs
+
+    noise = random.Random(1).randbytes(200_000)
+    records = [("warc-type: response\r\nwarc-record-id:urn:page:1\r\ncontent-length:200000", noise),
+               ("WARC-Type:response\r\nWARC-Record-ID: <urn:page:2>\r\nContent-Length:  3", b"abc"),
+               ("WARC-TYPE:\trevisit\r\nWARC-Record-ID:urn:page:3\r\nCONTENT-LENGTH: 0", b"")]
+    raw = [b"WARC/1.0\r\n" + h.encode() + b"\r\n\r\n" + p + b"\r\n\r\n" for h, p in records]
+    whole = b"".join(raw)
+    sl = warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "urn:page:4")], b"own", True)
+    forms = {"each": b"".join(map(gzip.compress, raw)), "one": gzip.compress(whole), "torn": gzip.compress(whole[:150_000]) + gzip.compress(whole[150_000:]),
+             "mixed": b"".join(map(gzip.compress, raw)) + sl, "plain": whole}
+    for name, data in forms.items():
+        path = common.scratch(spark, "warc")
+        fs, folder = warc.open_fs(path)
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(os.path.join(folder, "a.warc" + ".gz" * (name != "plain")), compression=None) as f:
+            f.write(data)
+        want = [("urn:page:1", "response", 200_000, noise), ("<urn:page:2>", "response", 3, b"abc"), ("urn:page:3", "revisit", 0, b"")]
+        want += [("urn:page:4", "response", 3, b"own")] * (name == "mixed")
+        rows = warc.read_records(spark, path).select("record_id", "record_type", "payload_length", "payload").collect()
+        assert sorted((*r[:3], bytes(r[3])) for r in rows) == sorted(want), name
+        assert warc.read_records(spark, path, payload=False).where("record_type = 'response'").count() == len(want) - 1
+        only = spark.read.format("warc").option("recordTypes", "revisit").option("headerEquals", "WARC-Record-ID=urn:page:3").load(path)
+        assert only.count() == 1
+    cut = forms["one"][:1000]
+    with pafs.LocalFileSystem().open_input_file(_file(spark, cut)) as f, pytest.raises(ValueError):
+        list(warc.Records(f, "x"))
+
+
+def _file(spark, data):
+    fs, path = warc.open_fs(common.scratch(spark, "warc"))
+    with fs.open_output_stream(path, compression=None) as f:
+        f.write(data)
+    return path
