@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+#: rows of two or three numbers that are broadcast at most
+BROADCAST_ROWS = 200_000
+#: ``attach`` treats keys that hold more than this share of all rows as hot: at most 10,000 keys
+HOT_SHARE = 10_000
+
 WORD_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,3 +121,19 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         label = nxt.select("node", "label")
         if not nxt.where("label <> old").limit(1).count():
             return label.withColumnRenamed("label", "component")
+
+
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has one row per key and the number of its ``rows`` in ``n``.
+
+    Keys that hold more than 1 / HOT_SHARE of all rows, at most HOT_SHARE of them, are broadcast; the
+    rows of all other keys are shuffled. So no key, however frequent, gathers in one task.
+    """
+    total = side.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_SHARE > total
+    few, rest = side.where(hot).drop(n), side.where(~hot).drop(n)
+    if side.count() <= HOT_SHARE:  # all of them are few
+        return rows.join(F.broadcast(side.drop(n)), keys, "left")
+    met = rows.join(F.broadcast(few.withColumn("_hot", F.lit(True))), keys, "left")
+    cold = met.where("_hot is null").select(*rows.columns).join(rest, keys, "left")
+    return met.where("_hot").select(*cold.columns).unionByName(cold)

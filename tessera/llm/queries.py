@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import common as C
-from . import decontaminate, jaccard_join, lattice, packing, ranking, rules, secrets, substring_dedup, training_order, warc
+from . import covering_simhash, decontaminate, jaccard_join, lattice, packing, ranking, rules, secrets, substring_dedup, training_order, warc
 
 QUERIES = {}
 
@@ -82,4 +82,10 @@ def op10_quality_ranking(spark, sf_dir):
     return ranking.classify(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op13_covering_simhash(spark, sf_dir):
+    """Components of documents whose SimHash fingerprints differ in at most two bits."""
+    return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 ORACLE = {}
