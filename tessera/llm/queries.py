@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import common as C
-from . import covering_simhash, decontaminate, jaccard_join, lattice, packing, ranking, rules, secrets, substring_dedup, training_order, warc
+from . import covering_simhash, decontaminate, jaccard_join, lattice, packing, periodic_runs, ranking, rules, secrets, substring_dedup, training_order, warc
 
 QUERIES = {}
 
@@ -82,6 +84,24 @@ def op10_quality_ranking(spark, sf_dir):
     return ranking.classify(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
 
 
+def _repeated(doc_id, words):
+    """The contract's input: every tenth document (by checksum) repeats a stretch of its words to its end."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of every document, as the contract rewrites it."""
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), _repeated)
+
+
 @query
 def op13_covering_simhash(spark, sf_dir):
     """Components of documents whose SimHash fingerprints differ in at most two bits."""
