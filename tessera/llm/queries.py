@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import common as C
-from . import covering_simhash, decontaminate, jaccard_join, lattice, packing, periodic_runs, ranking, rules, secrets, substring_dedup, training_order, warc
+from . import covering_simhash, decontaminate, jaccard_join, lattice, packing, periodic_runs, prefix_trie, ranking, rules, secrets, substring_dedup, training_order, warc
 
 QUERIES = {}
 
@@ -84,6 +84,12 @@ def op10_quality_ranking(spark, sf_dir):
     return ranking.classify(docs, ranking.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    """Prefix trie of the rebuilt conversations with the rollup of its leaves and savings."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _repeated(doc_id, words):
     """The contract's input: every tenth document (by checksum) repeats a stretch of its words to its end."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
