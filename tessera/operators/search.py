@@ -8,20 +8,17 @@ over its fragments; records below ``1 - distance`` are dropped (equal is kept);
 Sparse (term-count cosine) search is an equi-join on the token: the bounded corpus side is
 broadcast after a count, the query side is hash-partitioned once by query id and every
 later aggregation and the top-k window reuse that partitioning (one shuffle in total).
-Dense search broadcasts the counted query side against a scan of the corpus; more
-query fragments than the bound are processed in exact chunks (dense positions), each
-chunk one broadcast of at most the bound.
+Dense search is an exact range join: pivots bound angles between blocks of vectors, and only
+block pairs that can reach the threshold meet, by block id (``pivots``).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
-from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast, dense_index
+from . import pivots
+from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast
 
 # Word pattern of the sparse term vectors (applied to lower-cased text): a letter of any script, then letters and digits.
 TOKEN_PATTERN = r"\p{L}[\p{L}\p{N}]*"
@@ -97,33 +94,16 @@ def sparse_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str,
 
 
 def dense_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q_vec: str,
-                 cid: str, c_vec: str, distance: float = 0.25, k: int = 10,
-                 max_broadcast_rows: int = 50_000) -> DataFrame:
-    """VEC-4 over dense vectors (JOIN-5 theta join, AGG-3 max over fragments, WIN-1).
+                 cid: str, c_vec: str, distance: float = 0.25, k: int = 10, n_pivots: int = pivots.PIVOTS,
+                 block_rows: int = pivots.BLOCK_ROWS, group_rows: int = pivots.GROUP_ROWS) -> DataFrame:
+    """VEC-4 over dense vectors (JOIN-5 range join by pivots, AGG-3 max over fragments, WIN-1).
 
-    Vectors are normalised once per side, so the join condition is a plain dot product.
-    A fragment below the threshold cannot make its query's best similarity pass, so the
-    threshold is applied before the max, shrinking the shuffle to passing pairs only.
+    A fragment below the threshold cannot make its query's best similarity pass, so the range
+    join applies the threshold before the max; only passing pairs are shuffled. Vectors without a
+    direction (null, empty, zero) match nothing.
     """
-    q = V.with_unit(queries.select(qid, fid, q_vec), q_vec, "_qv").select(qid, fid, "_qv")
-    c = V.with_unit(corpus.select(cid, c_vec), c_vec, "_cv").select(cid, "_cv")
-    nq = q.count()
-    chunks = max(1, math.ceil(nq / max_broadcast_rows))
-    if chunks > 1:
-        # exact positions, so every chunk is provably within the bound; fragments of one
-        # query may fall in different chunks (the max over fragments comes after the union)
-        q = dense_index(q, [qid, fid], index_col="_qi").withColumn(
-            "_chunk", F.floor(F.col("_qi") / max_broadcast_rows))
-    parts = []
-    for i in range(chunks):
-        qi = q if chunks == 1 else q.where(F.col("_chunk") == i).select(qid, fid, "_qv")
-        # JOIN-5 theta join: the condition is evaluated while streaming the corpus against
-        # the broadcast (counted, bounded) query chunk; only passing pairs leave the task
-        pairs = c.join(F.broadcast(qi), V.dot("_qv", "_cv") >= F.lit(1.0 - distance), "inner")
-        parts.append(pairs.select(qid, fid, cid, V.dot("_qv", "_cv").alias("s")))
-    frag = parts[0]
-    for p in parts[1:]:
-        frag = frag.unionByName(p)
+    frag, _ = pivots.range_join(queries, corpus, qkeys=[qid, fid], q_vec=q_vec, cid=cid, c_vec=c_vec, t=1.0 - distance,
+                                n_pivots=n_pivots, block_rows=block_rows, group_rows=group_rows)
     best = frag.groupBy(qid, cid).agg(F.max("s").alias("similarity"))
     return top_k(best, qid, cid, k)
 

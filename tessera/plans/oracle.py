@@ -252,7 +252,8 @@ ORACLE["dense_topk"] = """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 x AS (SELECT label, unnest(v) AS val, generate_subscripts(v, 1) AS d FROM e),
 c AS (SELECT label, list(m ORDER BY d) AS cv FROM (SELECT label, d, avg(val) AS m FROM x GROUP BY ALL) GROUP BY label),
-s AS (SELECT c.label, e.vec_id, list_cosine_similarity(c.cv, e.v) AS similarity FROM c, e),
+q AS (SELECT label, cv FROM c UNION ALL SELECT label, arg_min(v, vec_id) AS cv FROM e GROUP BY label),
+s AS (SELECT q.label, e.vec_id, max(list_cosine_similarity(q.cv, e.v)) AS similarity FROM q, e GROUP BY ALL),
 f AS (SELECT * FROM s WHERE similarity >= 1 - 0.75),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id DESC) AS rank FROM f)
 SELECT label, vec_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 10

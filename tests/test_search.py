@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import search
+from tessera.operators import pivots, search
 
 
 @pytest.mark.parametrize("prefix_filter", [False, True])
@@ -63,9 +63,9 @@ def test_dense_matches_numpy(spark):
     Q = rng.normal(size=(6, 8))
     cdf = spark.createDataFrame([(i, C[i].tolist()) for i in range(50)], "id bigint, v array<double>")
     qdf = spark.createDataFrame([(q // 2, q % 2, Q[q].tolist()) for q in range(6)], "q int, f int, v array<double>")
-    for bound in (100_000, 2):  # second run forces the chunked (several broadcasts) path
+    for blocks in ({}, {"n_pivots": 3, "block_rows": 4, "group_rows": 2}):  # the second: many blocks and groups
         hits = search.dense_search(qdf, cdf, qid="q", fid="f", q_vec="v", cid="id", c_vec="v",
-                                   distance=0.7, k=4, max_broadcast_rows=bound)
+                                   distance=0.7, k=4, **blocks)
         got = {}
         for r in hits.orderBy("q", "rank").collect():
             got.setdefault(r["q"], []).append(r["id"])
@@ -80,6 +80,51 @@ def test_dense_matches_numpy(spark):
         assert got == want
 
 
+def _clustered(rng, centres, n, spread):
+    v = centres[rng.integers(0, len(centres), n)] + spread * rng.normal(size=(n, centres.shape[1]))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("t", [0.97, 0.8, 0.3, -0.5])
+def test_range_join_loses_no_pair(spark, t):
+    """Clustered vectors, a third of the corpus equal, exact copies of queries, rows without a direction."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(12, 16))
+    C, Q = _clustered(rng, centres, 600, 0.15), _clustered(rng, centres, 40, 0.15)
+    C[:200] = C[0]
+    C[300:310] = Q[:10]
+    bad = [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [None] * 16)]
+    cdf = spark.createDataFrame([(i, (3.0 * C[i]).tolist()) for i in range(600)] + bad, "id bigint, v array<double>").repartition(3)
+    qdf = spark.createDataFrame([(q, 0, Q[q].tolist()) for q in range(40)] + [(i, 1, v) for i, v in bad], "q int, f int, v array<double>")
+    found, pairs = pivots.range_join(qdf, cdf, qkeys=["q", "f"], q_vec="v", cid="id", c_vec="v", t=t, n_pivots=8, block_rows=16, group_rows=20)
+    got = {(r["q"], r["id"]): r["s"] for r in found.collect()}
+    s = Q @ C.T
+    assert set(got) >= {(q, i) for q, i in zip(*np.nonzero(s >= t + 1e-9), strict=True)}
+    assert set(got) <= {(q, i) for q, i in zip(*np.nonzero(s >= t - 1e-9), strict=True)}
+    assert all(abs(v - s[k]) < 1e-9 for k, v in got.items())
+    share = pivots.multiplied_share(pairs, 40, 600)
+    assert share < 0.35 if t > 0.9 else share <= 1
+
+
+def test_range_join_plan_and_empty_sides(spark):
+    one = spark.createDataFrame([(1, 0, [1.0, 0.0])], "q int, f int, v array<double>")
+    none = one.limit(0)
+    corpus = one.selectExpr("q as id", "v")
+    for q, c in ((none, corpus), (one, corpus.limit(0))):
+        assert search.dense_search(q, c, qid="q", fid="f", q_vec="v", cid="id", c_vec="v").count() == 0
+    hits = search.dense_search(one, corpus, qid="q", fid="f", q_vec="v", cid="id", c_vec="v", distance=0.0)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert [tuple(r) for r in hits.collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_vectors_of_other_lengths_raise(spark):
+    q = spark.createDataFrame([(1, 0, [1.0])], "q int, f int, v array<double>")
+    c = spark.createDataFrame([(1, [1.0, 0.0])], "id int, v array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        search.dense_search(q, c, qid="q", fid="f", q_vec="v", cid="id", c_vec="v").collect()
+
+
 def test_empty_query_gives_nothing(spark):
     q = spark.createDataFrame([(1, 0, "   ")], "q int, f int, t string")
     corpus = spark.createDataFrame([(10, "alpha")], "id bigint, t string")
