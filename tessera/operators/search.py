@@ -5,9 +5,7 @@ A query is a set of fragments; its similarity to a corpus record is the best sim
 over its fragments; records below ``1 - distance`` are dropped (equal is kept); the best
 ``k`` per query win, ties broken by the larger record id.
 
-Sparse (term-count cosine) search is an equi-join on the token: the bounded corpus side is
-broadcast after a count, the query side is hash-partitioned once by query id and every
-later aggregation and the top-k window reuse that partitioning (one shuffle in total).
+Sparse (term-count cosine) search runs over an inverted index with block maxima (``postings``).
 Dense search is an exact range join: pivots bound angles between blocks of vectors, and only
 block pairs that can reach the threshold meet, by block id (``pivots``).
 """
@@ -17,17 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import pivots
-from .common import DEFAULT_BROADCAST_ROWS, bounded_broadcast
-
-# Word pattern of the sparse term vectors (applied to lower-cased text): a letter of any script, then letters and digits.
-TOKEN_PATTERN = r"\p{L}[\p{L}\p{N}]*"
-
-
-def tokens(text) -> "F.Column":
-    t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), F.lit(0))
-
+from . import pivots, postings
+from .common import DEFAULT_BROADCAST_ROWS
 
 def top_k(scored: DataFrame, qid: str, cid: str, k: int, sim: str = "similarity") -> DataFrame:
     """WIN-1: best ``k`` per query by similarity desc, record id desc; adds ``rank`` (1-based)."""
@@ -35,61 +24,17 @@ def top_k(scored: DataFrame, qid: str, cid: str, k: int, sim: str = "similarity"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def term_frequencies(df: DataFrame, keys, text: str, partition_by=None) -> DataFrame:
-    """(keys..., token, n, ss): count of each token and the squared norm of the key's vector."""
-    keys = list(keys)
-    tok = df.select(*keys, F.explode(tokens(text)).alias("token"))
-    if partition_by:
-        tok = tok.repartition(*partition_by)
-    tf = tok.groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return tf.withColumn("ss", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
-
-
 def sparse_search(queries: DataFrame, corpus: DataFrame, *, qid: str, fid: str, q_text: str,
                   cid: str, c_text: str, distance: float = 0.25, k: int = 10,
-                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, prefix_filter: bool = False) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS, block_records: int = postings.BLOCK_RECORDS) -> DataFrame:
     """VEC-4 with VEC-6: ``queries(qid, fid, q_text)`` one row per fragment, ``corpus(cid, c_text)``.
 
-    Returns (qid, cid, similarity, rank). Term counts are integers, so the cosine is
-    computed as ``dot / sqrt(|q|^2 |c|^2)``: identical vectors give exactly 1.0.
-
-    With ``prefix_filter`` (exact), candidate pairs come only from each fragment's prefix:
-    its tokens in rising corpus frequency, up to where the norm of the remaining tokens
-    falls below the threshold. A record sharing none of them scores at most that remainder,
-    so it cannot pass; every candidate is then verified with the full dot product.
-    Common words therefore no longer multiply every fragment by most of the corpus. Off by
-    default: on the driver tables (sf0.1) the extra window and verification join cost more
-    than the pruned pairs (the default join streams through a map-side aggregate).
+    Returns (qid, cid, similarity, rank). Fragments are scored against an inverted index whose
+    block maxima skip the records that cannot reach the threshold (``postings``).
     """
-    t = 1.0 - distance
-    qtf = term_frequencies(queries, [qid, fid], q_text, partition_by=[qid])
-    ctf = term_frequencies(corpus, [cid], c_text).select(
-        cid, "token", F.col("n").alias("m"), F.col("ss").alias("css"))
-    ctf_b, _ = bounded_broadcast(ctf, max_broadcast_rows)
-    if not prefix_filter or t <= 0:
-        frag = (qtf.join(ctf_b, "token")
-                .groupBy(qid, fid, cid)
-                .agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("ss").alias("qss"),
-                     F.first("css").alias("css")))
-    else:
-        vocab = ctf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        vocab, _ = bounded_broadcast(vocab, max_broadcast_rows)
-        q = qtf.join(vocab, "token")          # tokens no record has cannot contribute
-        w = (Window.partitionBy(qid, fid).orderBy(F.col("df").desc(), F.col("token").desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        # squared norm of this token and every rarer one = what is left from here on
-        q = q.withColumn("_rest", F.sum(F.col("n") * F.col("n")).over(w))
-        prefix = q.where(F.col("_rest") >= F.lit(t * t * (1 - 1e-9)) * F.col("ss"))
-        cand = (prefix.join(ctf_b.select(cid, "token"), "token")
-                .select(qid, fid, cid).distinct())
-        full = cand.join(qtf, [qid, fid])
-        frag = (full.join(ctf_b, ["token", cid])
-                .groupBy(qid, fid, cid)
-                .agg(F.sum(F.col("n") * F.col("m")).alias("dot"), F.first("ss").alias("qss"),
-                     F.first("css").alias("css")))
-    frag = frag.select(qid, fid, cid, (F.col("dot") / F.sqrt(F.col("qss") * F.col("css"))).alias("s"))
-    best = (frag.where(F.col("s") >= F.lit(t))
-            .groupBy(qid, cid).agg(F.max("s").alias("similarity")))
+    index = postings.build_index(corpus, cid, c_text, block_records, max_broadcast_rows)
+    frag = postings.search(queries, index, qid=qid, fid=fid, text=q_text, t=1.0 - distance)
+    best = frag.groupBy(qid, cid).agg(F.max("s").alias("similarity"))
     return top_k(best, qid, cid, k)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -109,6 +110,21 @@ def cut_lineage(df):
     return out
 
 
+def bucketed(df, keys: list[str], n: int):
+    """Write ``df`` into ``n`` sorted buckets by ``keys`` in the shared folder and return it as a table.
+
+    Joins and aggregations on the keys read the buckets as they are; the other side alone is
+    shuffled. ``release`` drops the table.
+    """
+    spark = df.sparkSession
+    name = f"tessera_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    out = spark.table(name)
+    out._table, out._checkpoint = name, path
+    return out
+
+
 def _checkpoint_file(ck) -> str | None:
     """Folder of the frame's checkpoint, or None where the plan does not tell."""
     try:
@@ -119,13 +135,15 @@ def _checkpoint_file(ck) -> str | None:
 
 
 def release(*frames) -> None:
-    """Delete the checkpoints of frames from ``cut_lineage`` that nothing reads any more.
+    """Delete the checkpoints of frames from ``cut_lineage`` (tables of ``bucketed``) that nothing reads any more.
 
     A loop calls it on the state of the round before, once the next state is materialised, so the
     shared folder holds one state instead of one per round. Unreleased ones go with the cleaner.
     """
     for df in frames:
         name = getattr(df, "_checkpoint", None)
+        if getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         if name:
             jvm = df.sparkSession.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(name)

@@ -7,15 +7,19 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import pivots, search
+from tessera.operators import pivots, postings, search
+from tessera.session import release
 
 
-@pytest.mark.parametrize("prefix_filter", [False, True])
-def test_ties_and_inclusive_threshold(spark, prefix_filter):
+INDEXES = [{}, {"block_records": 64}, {"max_broadcast_rows": 0, "block_records": 2}]  # broadcast, with bounds; bucketed tables, many blocks
+
+
+@pytest.mark.parametrize("index", INDEXES)
+def test_ties_and_inclusive_threshold(spark, index):
     q = spark.createDataFrame([(1, 0, "alpha beta")], "q int, f int, t string")
     corpus = spark.createDataFrame([(10, "alpha beta"), (11, "beta alpha"), (12, "gamma")], "id bigint, t string")
     hits = search.sparse_search(q, corpus, qid="q", fid="f", q_text="t", cid="id", c_text="t",
-                                distance=0.0, k=10, prefix_filter=prefix_filter)
+                                distance=0.0, k=10, **index)
     rows = [(r["id"], r["rank"], r["similarity"]) for r in hits.orderBy("rank").collect()]
     # equal similarity: larger id first; similarity exactly 1 - distance is kept
     assert [(i, k) for i, k, _ in rows] == [(11, 1), (10, 2)]
@@ -32,7 +36,7 @@ def _brute_sparse(queries, corpus, distance, k):
             dot = sum(a[w] * b[w] for w in a if w in b)
             if not dot:
                 continue
-            s = dot / (math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values())))
+            s = dot / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
             if s >= 1 - distance:
                 best[(q, i)] = max(best.get((q, i), -1), s)
     out = {}
@@ -41,8 +45,8 @@ def _brute_sparse(queries, corpus, distance, k):
     return {q: [i for s, i in sorted(v, reverse=True)[:k]] for q, v in out.items()}
 
 
-@pytest.mark.parametrize("prefix_filter", [False, True])
-def test_sparse_matches_brute_force(spark, prefix_filter):
+@pytest.mark.parametrize("index", INDEXES)
+def test_sparse_matches_brute_force(spark, index):
     rnd = random.Random(5)
     words = "alpha beta gamma delta épée straße eta theta".split()
     corpus = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))) for i in range(30)]
@@ -50,13 +54,71 @@ def test_sparse_matches_brute_force(spark, prefix_filter):
     qdf = spark.createDataFrame(queries, "q int, f int, t string")
     cdf = spark.createDataFrame(corpus, "id bigint, t string")
     hits = search.sparse_search(qdf, cdf, qid="q", fid="f", q_text="t", cid="id", c_text="t", distance=0.4, k=3,
-                                prefix_filter=prefix_filter)
+                                **index)
     got = {}
     for r in hits.orderBy("q", "rank").collect():
         got.setdefault(r["q"], []).append(r["id"])
     assert got == _brute_sparse(queries, corpus, 0.4, 3)
 
 
+@pytest.mark.parametrize("index", INDEXES)
+def test_one_document_holds_a_third_of_all_lines(spark, index):
+    rnd = random.Random(11)
+    words = [f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(120)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    corpus = [(i, text(rnd.randint(3, 8))) for i in range(120)] + [(200, ""), (201, None), (202, "12 34")]
+    queries = [(0 if n < 300 else 1 + n % 60, n, rnd.choice(corpus)[1] if n % 5 == 0 else text(5)) for n in range(900)]
+    qdf = spark.createDataFrame([(q, f, t) for q, f, t in queries], "q int, f int, t string").repartition(5)
+    cdf = spark.createDataFrame(corpus, "id bigint, t string")
+    hits = search.sparse_search(qdf, cdf, qid="q", fid="f", q_text="t", cid="id", c_text="t", distance=0.35, k=5, **index)
+    got = {}
+    for r in hits.orderBy("q", "rank").collect():
+        got.setdefault(r["q"], []).append(r["id"])
+    full = [(i, t or "") for i, t in corpus if re.search("[a-z]", t or "")]
+    want = {}
+    for q, ids in _brute_sparse([(q, f, t or "") for q, f, t in queries], full, 0.35, 10_000).items():
+        want[q] = ids[:5]
+    assert got == want and len(got[0]) == 5
+
+
+def test_no_exchange_under_the_first_aggregate(spark):
+    q = spark.createDataFrame([(1, 0, "alpha beta beta")], "q int, f int, t string")
+    vec = postings.term_vectors(q, ["q", "f"], "t")
+    assert [(r["token"], r["n"]) for r in vec.first()["terms"]] == [("alpha", 1.0), ("beta", 2.0)] and vec.first()["ss"] == 5.0
+    corpus = spark.createDataFrame([(1, "beta")], "id int, t string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for bound in (1000, 0):
+            index = postings.build_index(corpus, "id", "t", max_broadcast_rows=bound)
+            plan = postings.search(q, index, qid="q", fid="f", text="t", t=0.5)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.split("\n")
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*()0123456789"))
+            own = [x for x in lines if "q#" in x]
+            if bound:
+                assert "Exchange" not in plan  # one scan
+            else:  # the deepest aggregate over fragments has no exchange of theirs below it
+                first = max((x for x in own if "HashAggregate(keys=[q#" in x), key=depth)
+                assert not any("Exchange hashpartitioning(q#" in x and depth(x) > depth(first) for x in own)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_index_tables_join_without_moving(spark):
+    corpus = spark.createDataFrame([(k, f"alpha w{chr(97 + k % 26)}") for k in range(60)], "id int, t string")
+    index = postings.build_index(corpus, "id", "t", max_broadcast_rows=0)
+    q = spark.createDataFrame([(1, 0, "alpha wb")], "q int, f int, t string")
+    hits = postings.search(q, index, qid="q", fid="f", text="t", t=0.9)
+    assert {r["id"] for r in hits.collect()} == {1, 27, 53}
+    plan = index.maxima.join(q.selectExpr("t as token"), "token")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
+    release(index.postings, index.maxima)
+
+
 def test_dense_matches_numpy(spark):
     rng = np.random.default_rng(1)
     C = rng.normal(size=(50, 8))
