@@ -7,8 +7,8 @@ All pairs of a query vector and a corpus vector with cosine >= ``t`` are found,
 2. Each side is sorted by (cell, angle to the cell's pivot) over range partitions and cut into blocks of at most
    ``block_rows`` neighbours. A block is described by the smallest and largest angle to each pivot.
 3. Angles are a metric. Two blocks can only hold a pair within the angle arccos(t) if, for every pivot, their angle
-   ranges come within it. Blocks meet in an equi-join on the cell, after each query block has named the cells it
-   can reach; what fails any pivot's bound is dropped. These tables have one row per block.
+   ranges come within it. Blocks meet in an equi-join on the cell, each query block in every cell; what fails any
+   pivot's bound is dropped. These tables have one row per block.
 4. Rows of the blocks left meet by block id (cogroup), the query side of a corpus block in groups of at most
    ``group_rows`` rows, so neither a dense region nor a frequent vector makes a large group. Each group is one
    matrix product; only passing pairs leave it.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..session import cut_lineage, ship
 
-PIVOTS = 16
+PIVOTS = 8
 SAMPLE = 2048
 BLOCK_ROWS = 2048
 GROUP_ROWS = 4096
@@ -49,10 +49,10 @@ def _unit_rows(df: DataFrame, vec: str, keys: list[str]) -> DataFrame:
 
 def choose_pivots(corpus: DataFrame, vec: str, n: int) -> np.ndarray:
     """``n`` (or fewer) unit vectors of a bounded sample, each the farthest from those before."""
-    rows = corpus.select(vec).orderBy(F.xxhash64(vec)).limit(SAMPLE).collect()
-    sample = np.array(sorted({tuple(r[0]) for r in rows}), np.float64)
-    if not len(sample):
+    rows = corpus.select(vec).orderBy(F.xxhash64(vec)).limit(SAMPLE).toArrow().column(0).combine_chunks()
+    if not len(rows):
         return np.empty((0, 0))
+    sample = np.unique(matrix(rows, len(rows[0])), axis=0)
     chosen, nearest = [0], sample @ sample[0]
     while len(chosen) < min(n, len(sample)):
         chosen.append(int(nearest.argmin()))
@@ -101,12 +101,9 @@ def _bounds(blocks: DataFrame, p: int, prefix: str) -> DataFrame:
 def block_pairs(queries: DataFrame, corpus: DataFrame, p: int, reach: float) -> DataFrame:
     """(qblock, qn, cblock, cn) of the blocks that may hold a pair within the angle ``reach``."""
     q, c = _bounds(queries, p, "q"), _bounds(corpus, p, "c")
-    # what each cell spans, seen from every pivot: at most p rows
-    cells = {r["ccell"]: r for r in c.groupBy("ccell").agg(*[F.min(f"clo{k}").alias(f"lo{k}") for k in range(p)],
-                                                           *[F.max(f"chi{k}").alias(f"hi{k}") for k in range(p)]).collect()}
 
-    def near(k, lo, hi):
-        return (F.col(f"qlo{k}") - hi <= reach) & (lo - F.col(f"qhi{k}") <= reach)
+    def near(k):
+        return (F.col(f"qlo{k}") - F.col(f"chi{k}") <= reach) & (F.col(f"clo{k}") - F.col(f"qhi{k}") <= reach)
 
     def all_of(conditions):
         out = F.lit(True)
@@ -114,11 +111,8 @@ def block_pairs(queries: DataFrame, corpus: DataFrame, p: int, reach: float) ->
             out = out & x
         return out
 
-    reachable = [F.when(all_of(near(k, F.lit(r[f"lo{k}"]), F.lit(r[f"hi{k}"])) for k in range(p)), F.lit(cell)) for cell, r in sorted(cells.items())]
-    if not reachable:
-        reachable = [F.lit(None).cast("int")]
-    met = q.withColumn("cell", F.explode(F.filter(F.array(*reachable), lambda x: x.isNotNull())))
-    return (met.join(c, met["cell"] == c["ccell"]).where(all_of(near(k, F.col(f"clo{k}"), F.col(f"chi{k}")) for k in range(p)))
+    met = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(p - 1))))
+    return (met.join(c, met["cell"] == c["ccell"]).where(all_of(near(k) for k in range(p)))
             .select("qblock", "qn", "cblock", "cn"))
 
 
