@@ -122,6 +122,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
                   .where("a <> b").distinct(), f"{name}-edges")
     label = stored(both.groupBy("a").agg(F.min("b").alias("m"))
                    .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
+    last = label
     while True:
         near = (both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m")))
         hooked = (label.join(near, label["node"] == near["a"])
@@ -130,8 +131,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         nxt = stored(hooked.join(up, hooked["label"] == up["p"], "left")
                      .select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label")),
                      f"{name}-labels")
-        label = nxt.select("node", "label")
+        discard(last)
+        last, label = nxt, nxt.select("node", "label")
         if not nxt.where("label <> old").limit(1).count():
+            discard(both)
             return label.withColumnRenamed("label", "component")
 
 

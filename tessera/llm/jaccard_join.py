@@ -306,39 +306,54 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             .mapInArrow(scan, "class long, n long, bits binary, hashes binary").dropDuplicates(["class"]))
 
 
+def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """a, b, n, value: two rows per pair of classes, side by side, with ``column`` of either class.
+
+    Few pairs (counted) are broadcast, so that of the sets only what the pairs need is shuffled.
+    """
+    spark = pairs.sparkSession
+    wanted = (pairs.select(F.col("a").alias("c"), "a", "b").unionByName(pairs.select(F.col("b").alias("c"), "a", "b")))
+    if pairs.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    have = sets.select("class", "n", F.col(column).alias("value"))
+    return (have.join(wanted, have["class"] == wanted["c"]).select("a", "b", "class", "n", "value")
+            .repartition(C.partitions(spark), "a", "b").sortWithinPartitions("a", "b", "class").select("a", "b", "n", "value"))
+
+
+def _decided(met: DataFrame, decide) -> DataFrame:
+    """Pairs (a, b) for which ``decide(n of a, value of a, n of b, value of b)``; rows as ``_met`` gives them."""
+
+    def scan(batches):
+        left = None
+        for batch in batches:
+            a, b = [], []
+            for x, y, n, v in C.rows_of(batch):
+                if left is None:
+                    left = (x, y, n, v)
+                else:  # each pair's two rows follow each other
+                    if decide(left[2], left[3], n, v):
+                        a.append(x)
+                        b.append(y)
+                    left = None
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(scan, "a long, b long")
+
+
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose bitmaps allow a link."""
-    small = sets.select("class", "n", "bits")
-    left = small.select(F.col("class").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = small.select(F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    both = pairs.join(left, pairs["a"] == left["ca"]).join(right, pairs["b"] == right["cb"])
 
-    def scan(batches):
-        for b in batches:
-            a, z, na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keep = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                w = min(len(x), len(y))
-                keep[i] = may_link(int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()), na[i], nb[i], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(z[keep])], names=["a", "b"])
+    def decide(na, x, nb, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        w = min(len(x), len(y))
+        return bool(may_link(int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()), na, nb, percent))
 
-    return both.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(scan, "a long, b long")
+    return _decided(_met(pairs, sets, "bits"), decide)
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that link, by intersection of their sorted arrays."""
-    left = sets.select(F.col("class").alias("ca"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("class").alias("cb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, pairs["a"] == left["ca"]).join(right, pairs["b"] == right["cb"])
-
-    def scan(batches):
-        for b in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
-                    for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(scan, "a long, b long")
+    return _decided(_met(pairs, sets, "hashes"), lambda na, x, nb, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
 
 
 def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
@@ -468,7 +483,10 @@ def _degrees(label: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
 
 def _joined(docs: DataFrame, width: int, percent: int, block: int):
-    """Rows (``_classes``), their classes' smallest doc_id, (class, component) of linked classes, the sets of those."""
+    """Rows (``_classes``), their classes' smallest doc_id, (class, component) of linked classes, the sets of those.
+
+    What later steps no longer read is deleted on the way.
+    """
     C.ship(docs.sparkSession)
     rows = C.stored(_classes(docs, width), "classes")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -476,19 +494,25 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
     ids = classes.join(stars.select("class").distinct(), "class")
     sets = C.stored(_sets(docs, ids, width), "sets")
     pairs = stars.where("class <> first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
-    links = C.stored(_exact(_bounded(pairs, sets, percent), sets, percent), "links")
+    able = C.stored(_bounded(pairs, sets, percent), "pairs")
+    links = C.stored(_exact(able, sets, percent), "links")
+    C.discard(able)
+    used = [links]
     label = C.components(links).withColumnRenamed("node", "class")
 
     def open_keys(members):
+        """Keys that still hold several components. With two classes their one pair is decided; of keys with the same classes one goes on."""
         known = members.join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-        mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
-                 .where("x <> y").select(F.col("key").alias("k"), "members"))
+        mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
+                                          F.bit_xor(F.xxhash64("class")).alias("same"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("same2"))
+                 .where("x <> y and members > 2").groupBy("members", "same", "same2").agg(F.min("key").alias("k")).select("k", "members"))
         return known.join(mixed, known["key"] == mixed["k"]).drop("k")
 
     members = stars.select("key", "class")
     for every in (False, True):
         found = C.stored(_tiles(open_keys(members), sets, percent, block, every), "tiles")
-        late = C.stored(_exact(found.select("a", "b").distinct(), sets, percent), "links")
+        late = C.stored(_exact(C.stored(found.select("a", "b").distinct(), "pairs"), sets, percent), "links")
+        used += [found, late]
         if late.limit(1).count():
             links = links.unionByName(late).distinct()
             label = C.components(links).withColumnRenamed("node", "class")
@@ -497,6 +521,7 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
             break
         members = members.join(again, members["key"] == again["k"]).drop("k")
 
+    C.discard(stars, *used)
     return rows, classes, label, sets
 
 
@@ -507,7 +532,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     (different sets) that the row's class links with; copies of its own set are not counted.
     """
     rows, classes, label, sets = _joined(docs, width, percent, block)
-    degree = _degrees(label, sets, percent, min(block, LINK_BLOCK))
+    degree = C.stored(_degrees(label, sets, percent, min(block, LINK_BLOCK)), "degrees")
+    C.discard(sets)
     small = (classes.join(label, "class").select("class", "component", "doc_id").groupBy("component").agg(F.min("doc_id").alias("least")))
     merged = label.join(small, "component").select("class", "least").join(degree, "class", "left")
     per_class = (classes.join(merged, "class", "left")
@@ -524,7 +550,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     The rejected rows meet the documents in an anti-join; where the row to keep is repeated, its repeats
     are dropped (which of them stays is open, as far as their other columns differ).
     """
-    rows, _, label, _ = _joined(docs, width, percent, BLOCK)
+    rows, _, label, sets = _joined(docs, width, percent, BLOCK)
+    C.discard(sets)
     kind = label.select(F.col("class").alias("c"), "component")
     found = (rows.where("class is not null").join(kind, F.col("class") == F.col("c"), "left")
              .select("doc_id", "text_hash", F.coalesce("component", "class").alias("component")))
@@ -533,6 +560,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     judged = C.stored(found.join(least, found["component"] == least["k"])
                       .groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
                       .agg(F.first(F.struct("doc_id", "text_hash") == F.col("least")).alias("_keep"), F.count(F.lit(1)).alias("_n")), "judged")
+    C.discard(rows)
     gone, many = judged.where("not _keep"), judged.where("_keep and _n > 1")
     on = lambda side: (docs["doc_id"] == side["_i"]) & (F.xxhash64(docs["text"].cast("binary")) == side["_h"])
     if not many.limit(1).count():
