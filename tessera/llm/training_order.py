@@ -10,10 +10,13 @@ keys, and different for each key (epoch).
 Sequences are then range-partitioned by slot; a shard holds ``shard_slots`` consecutive slots, each
 ``seq_len`` ids of fixed width (stride), so slot s lives in shard ``s // shard_slots`` at byte
 ``(s % shard_slots) * stride``: training reads shards front to back and resumes at any slot by
-arithmetic. A shard is written by one task under a name of its attempt and listed once complete,
-so repeated tasks do no harm.
+arithmetic. A reducer writes a contiguous range of shards, one after the other; there are at most ``REDUCERS`` times as many
+reducers as shuffle partitions, however many shards. A shard is written under a name of its attempt
+and gets its own name, which follows from its number, once it is complete; repeated attempts write the same
+bytes, and what lost ones leave behind goes at the end.
 
-The numbering needs the same partitions in both passes; a partition whose count differs raises.
+The numbering needs the same ids in the same partitions in both passes: each pass takes a checksum of a partition's ids in
+their order, and a partition that differs raises.
 
 Defined cases: null texts count as empty, an empty text is the end id alone; an empty table gives no shards;
 repeated rows are written each; extra columns are ignored.
@@ -27,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,14 @@ SEQ_LEN = 1024
 SHARD_SLOTS = 4096
 KEY = 0x5EED
 _ROUNDS = 4
+REDUCERS = 8
+
+
+_ATTEMPTS = "_attempts"
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
 
 class Feistel:
@@ -108,22 +120,25 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     folder = path or C.scratch(spark, "shards")
 
     def count(batches):
-        n = sum(len(ids) for _, ids in stream(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
+        n = crc = 0
+        for _, ids in stream(batches):
+            n, crc = n + len(ids), zlib.crc32(np.array(ids, "<u4").tobytes(), crc)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([crc], pa.int64())], names=["p", "n", "crc"])
 
-    counts = {r["p"]: r["n"] for r in base.mapInArrow(count, "p int, n long").collect()}  # one number per partition
+    said = {r["p"]: (r["n"], r["crc"]) for r in base.mapInArrow(count, "p int, n long, crc long").collect()}  # two numbers per partition
+    counts = {p: n for p, (n, _) in said.items()}
     first, total = {}, 0
     for p in sorted(counts):
         first[p] = total
         total += -(-counts[p] // seq_len)
-    shared = spark.sparkContext.broadcast((counts, first))
+    shared = spark.sparkContext.broadcast((said, first))
     width = np.dtype("<u2")  # ids below 65,536 take two bytes; wider ones raise
 
     def cut(batches):
         p = TaskContext.get().partitionId()
         known, start = shared.value
         place = Feistel(total, key)
-        held, owner, done, seen = b"", None, 0, 0
+        held, owner, done, seen, crc = b"", None, 0, 0, 0
         rows = []
 
         def flush(rows):
@@ -137,8 +152,8 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
             seen += len(ids)
             if not held:
                 owner = i
-            held += np.array(ids, "<u4").tobytes()
-            at = 0
+            part = np.array(ids, "<u4").tobytes()
+            held, crc, at = held + part, zlib.crc32(part, crc), 0
             while len(held) - at >= size:
                 rows.append((start[p] + done, owner, seq_len, narrow(held[at:at + size])))
                 done, at, owner = done + 1, at + size, i
@@ -146,8 +161,8 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
             if len(rows) >= 1024:
                 yield flush(rows)
                 rows = []
-        if seen != known.get(p, 0):
-            raise RuntimeError(f"partition {p} held {known.get(p)} ids before and {seen} now: the input changed between the passes")
+        if (seen, crc) != known.get(p, (0, 0)):
+            raise RuntimeError(f"partition {p} held other ids before ({known.get(p)}) than now ({seen, crc}): the input changed between the passes")
         if held:
             n = len(held) // 4
             rows.append((start[p] + done, owner, n, narrow(held + np.array([end_id], "<u4").tobytes() * (seq_len - n))))
@@ -164,23 +179,32 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
     cut_schema = f"sequence long, slot long, first_doc {kind}, n_ids long, ids binary"
     shards = max(1, -(-total // shard_slots))
     stride = seq_len * width.itemsize
-    # Ranges of whole shards: the shard number is the partition key, and slots come in order within it.
+    reducers = min(shards, REDUCERS * C.partitions(spark))
+    # Ranges of whole shards, and slots come in order within them.
     placed = (base.mapInArrow(cut, cut_schema).withColumn("shard", F.floor(F.col("slot") / shard_slots).cast("int"))
-              .repartitionById(shards, "shard").sortWithinPartitions("shard", "slot"))
+              .withColumn("reducer", F.floor(F.col("shard").cast("long") * reducers / shards).cast("int"))
+              .repartitionById(reducers, "reducer").drop("reducer").sortWithinPartitions("slot"))
 
     def write(batches):
         fs, root = open_fs(folder)
-        fs.create_dir(root, recursive=True)
-        out = shard = name = None
+        fs.create_dir(f"{root}/{_ATTEMPTS}", recursive=True)
+        out = shard = name = attempt = None
+
+        def seal():
+            out.close()
+            if fs.get_file_info(f"{root}/{name}").type != pafs.FileType.NotFound:  # of an earlier attempt, the same bytes
+                fs.delete_file(f"{root}/{name}")
+            fs.move(attempt, f"{root}/{name}")
+
         for b in batches:
             names = [None] * b.num_rows
             crc = []
             for k, (s, slot, ids) in enumerate(zip(b.column(5).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 if s != shard:
                     if out is not None:
-                        out.close()
-                    shard, name = s, f"shard-{s:06d}-{uuid.uuid4().hex[:8]}.bin"
-                    out, expect = fs.open_output_stream(f"{root}/{name}", compression=None), s * shard_slots
+                        seal()
+                    shard, name, attempt = s, shard_name(s), f"{root}/{_ATTEMPTS}/{uuid.uuid4().hex}"
+                    out, expect = fs.open_output_stream(attempt, compression=None), s * shard_slots
                 if slot != expect:
                     raise RuntimeError(f"slot {slot} where {expect} was due")
                 expect += 1
@@ -191,16 +215,15 @@ def materialise(docs: DataFrame, path: str | None = None, seq_len: int = SEQ_LEN
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), b.column(2), b.column(3), pa.array(crc, pa.int64()), pa.array(names, pa.string())],
                                                  names=["sequence", "slot", "shard", "first_doc", "n_ids", "ids_crc32", "file"])
         if out is not None:
-            out.close()
+            seal()
 
     rows = C.stored(placed.mapInArrow(write, f"sequence long, slot long, shard int, first_doc {kind}, n_ids long, ids_crc32 long, file string"), "slots")
     rows = rows.withColumn("byte_offset", F.col("slot") % shard_slots * stride)
-    names = {r["shard"]: r["file"] for r in rows.groupBy("shard").agg(F.min("file").alias("file")).toLocalIterator()}  # one name per shard
     fs, root = open_fs(folder)
-    fs.create_dir(root, recursive=True)
+    fs.create_dir(f"{root}/{_ATTEMPTS}", recursive=True)
+    fs.delete_dir(f"{root}/{_ATTEMPTS}")
     with fs.open_output_stream(f"{root}/_SHARDS.json", compression=None) as f:
-        f.write(json.dumps({"n": total, "seq_len": seq_len, "stride": stride, "shard_slots": shard_slots, "key": key, "dtype": "<u2",
-                            "files": [names[k] for k in sorted(names)]}).encode())
+        f.write(json.dumps({"n": total, "seq_len": seq_len, "stride": stride, "shard_slots": shard_slots, "key": key, "dtype": "<u2"}).encode())
     return rows, folder, total
 
 
@@ -217,7 +240,7 @@ class Shards:
         a, last = self.about, self.about["n"] if count is None else min(self.about["n"], slot + count)
         while slot < last:
             shard, at = divmod(slot, a["shard_slots"])
-            with self.fs.open_input_file(f"{self.root}/{a['files'][shard]}") as f:
+            with self.fs.open_input_file(f"{self.root}/{shard_name(shard)}") as f:
                 f.seek(at * a["stride"])
                 for s in range(slot, min(last, (shard + 1) * a["shard_slots"])):
                     yield s, np.frombuffer(f.read(a["stride"]), a["dtype"])

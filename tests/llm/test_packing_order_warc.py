@@ -18,12 +18,11 @@ from . import fixtures as X
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
 SPACES = [(900 + k, t) for k, t in enumerate((
-    "a  b", " a", "a ", "a \nb", "a\n b", "a\n\n b  \t c", "it's 'tis", "x<|endoftext|>y", "é à b", "　a b", "1 23,4 5", "  ", " "))]
+    "a  b", " a", "a ", "a \nb", "a\n b", "a\n\n b  \t c", "it's 'tis", "x<|endoftext|>y", "<|endoftext|>", "a <|endoftext|><|endoftext|>  b", "<|endoftext", "é à b", "　a b", "1 23,4 5", "  ", " "))]
 
 
 def test_ids_equal_the_tokenizers_ids(tokenizer):
@@ -136,6 +135,40 @@ def test_shards_round_trip(spark, tokenizer):
     assert all(",".join(map(str, tokenizer(t))) in text for _, t in X.edge_rows())
 
 
+def test_several_shards_a_reducer_and_no_leftovers(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(training_order, "REDUCERS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rows, folder, n = training_order.materialise(X.frame(spark, X.edge_rows()), path=str(tmp_path / "s"), seq_len=16, shard_slots=40)
+        assert rows.count() == n and n > 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["_SHARDS.json", *(training_order.shard_name(k) for k in range(-(-n // 40)))]
+    assert [s for s, _ in training_order.Shards(folder).read()] == list(range(n))
+
+
+def test_other_order_in_the_second_pass_raises(spark, monkeypatch):
+    """As many ids, but another text first: the checksums differ."""
+    real, calls = training_order._streams, []
+
+    def streams(base, files, end_id):
+        run = real(base, files, end_id)
+
+        def changed(batches, swap=False):
+            rows = list(run(batches))
+            return reversed(rows) if __import__("os").path.exists(mark) else iter(rows)
+
+        return changed
+
+    import tempfile
+    mark = tempfile.mkdtemp() + "/second"
+    monkeypatch.setattr(training_order, "_streams", streams)
+    stored = training_order.C.stored
+    monkeypatch.setattr(training_order.C, "stored", lambda df, name: (open(mark, "w").close(), stored(df, name))[1])
+    with pytest.raises(Exception, match="changed between the passes"):
+        training_order.materialise(spark.createDataFrame([(1, "a b c"), (2, "c d e")], "doc_id long, text string").coalesce(1))
+
+
 def test_order_query_and_empty(spark):
     got = QUERIES["op4_training_order"](spark, X.SF).collect()
     assert sorted(r["slot"] for r in got) == list(range(len(got)))
