@@ -1,8 +1,7 @@
 """COL-16 / COL-17: declared and used symbol extraction over source text.
 
-Source files are scanned with JVM regular expressions instead of a syntax tree, so a
-corpus of millions of files is processed in one pass. The patterns are parameters:
-the defaults read Java, the driver bindings pass a simpler word pattern.
+Java sources go through the one-pass lexer; any other pattern is a JVM regular expression, as in the bindings
+over plain words. Either way a corpus of millions of files is one scan, without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,27 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Comments and string literals are removed before matching.
-COMMENT_OR_STRING = r'/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"'
+from . import lexer
 
-# Public top-level or nested classes / interfaces; enums, records and annotations excluded.
-JAVA_DECLARED = (r"\bpublic\s+(?:(?:abstract|final|static|sealed|non-sealed|strictfp)\s+)*"
-                 r"(?:class|interface)\s+([A-Za-z_$][\w$]*)")
-# Type of a field, formal parameter or local variable: ``Type name`` followed by = ; , or ).
-# A generic type keeps its full text (``List<Foo>``), as in the original. Array and scoped types,
-# catch parameters and for-each variables are not taken.
-JAVA_USED = (r"(?<![\w$.])(?<!catch\s{0,3}\(\s{0,3})(?<!catch\s{0,3}\(\s{0,3}final\s{1,3})"
-             r"([A-Z][\w$]*(?:<[\w$<>,.?\s\[\]]*>)?)\s+[a-z_$][\w$]*\s*[=;,)]")
-JAVA_TYPE_ARG = r"[<,]\s*([A-Z][\w$]*)"
+# Comments and literals, which are blanked before matching. Possessive repeats: linear, and no recursion on long literals.
+COMMENT_OR_LITERAL = lexer.SKIP.replace(r"\Z", r"\z")
 
 
 def strip_comments(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(t, COMMENT_OR_STRING, " ")
+    return F.regexp_replace(t, COMMENT_OR_LITERAL, " ")
 
 
-def declared_symbols(text, pattern: str = JAVA_DECLARED, group: int = 1, strip: bool = True) -> Column:
-    """All declared names, in text order."""
+def declared_symbols(text, pattern: str | None = None, group: int = 1, strip: bool = True) -> Column:
+    """All declared names, in text order: public Java types, or what ``pattern`` matches."""
+    if pattern is None:
+        return lexer.java_declared(text)
     t = F.col(text) if isinstance(text, str) else text
     return F.regexp_extract_all(strip_comments(t) if strip else t, F.lit(pattern), F.lit(group))
 
@@ -41,14 +34,11 @@ def first_symbol(text, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract(t, pattern, group)
 
 
-def used_symbols(text, pattern: str = JAVA_USED, group: int = 1, with_type_args: bool = False,
+def used_symbols(text, pattern: str | None = None, group: int = 1, with_type_args: bool = False,
                  strip: bool = True) -> Column:
-    """Distinct used type names; ``with_type_args`` also yields the arguments of generics."""
+    """Distinct used type names (Java), or distinct matches of ``pattern``. A generic type keeps its full text
+    (``List<Foo>``), as in the original; ``with_type_args`` also yields the raw type and its arguments."""
+    if pattern is None:
+        return lexer.java_used(text, with_type_args)
     t = F.col(text) if isinstance(text, str) else text
-    if strip:
-        t = strip_comments(t)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
-    if with_type_args:
-        args = F.flatten(F.transform(found, lambda s: F.regexp_extract_all(s, F.lit(JAVA_TYPE_ARG), F.lit(1))))
-        found = F.concat(found, F.transform(found, lambda s: F.regexp_replace(s, "<.*$", "")), args)
-    return F.array_distinct(found)
+    return F.array_distinct(F.regexp_extract_all(strip_comments(t) if strip else t, F.lit(pattern), F.lit(group)))
