@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
 from ..functions import jsontext as J
+from ..functions import text as TX
+from ..session import ship
+from . import search
 
 # Schemas of the answers (leaves parsed as strings; casts come after, see COL-8).
 CHANGE_FIELDS = ["code_sample", "start_line", "end_line", "suggested_change", "description", "complexity"]
@@ -56,6 +58,24 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, key: str = "promp
     return out.where(F.col("text").isNotNull()).unionByName(answered, allowMissingColumns=True)
 
 
+def route_prompts(files: DataFrame, old_schema: str, new_schema: str, key: str = "prompt_key", examples: DataFrame | None = None) -> DataFrame:
+    """INF-2: files(key, path, content, is_dao) -> (key, route, prompt), one plan for both routes.
+
+    The full route (data-access files) gets both schemas and the retrieved examples (``examples(key, examples)``, COL-13) before
+    the file, the short one the file alone. A file without a verdict takes the short route.
+    """
+    f = files
+    block = F.lit("")
+    if examples is not None:
+        f = f.join(examples.select(key, "examples"), key, "left")
+        block = F.when(F.coalesce("examples", F.lit("")) != "", F.concat("examples", F.lit("\n"))).otherwise(F.lit(""))
+    code = F.concat(F.lit("File "), F.col("path"), F.lit(":\n"), F.coalesce("content", F.lit("")))
+    full = F.concat(F.lit(f"Old schema:\n{old_schema}\nNew schema:\n{new_schema}\n"), block, F.lit("Change this data-access file.\n"), code)
+    dao = F.coalesce("is_dao", F.lit(False))
+    return f.select(key, F.when(dao, F.lit("full")).otherwise(F.lit("short")).alias("route"),
+                    F.when(dao, full).otherwise(F.concat(F.lit("Check this file.\n"), code)).alias("prompt"))
+
+
 def resolve_attempts(responses: DataFrame, key: str, attempt: str = "attempt", text: str = "text",
                      max_attempts: int = 3) -> DataFrame:
     """INF-3: per key, the first attempt (below ``max_attempts``) that is a JSON object or
@@ -139,6 +159,23 @@ def extend_prompt(prompt, block, answered):
     return F.when(answered > 0, F.concat(prompt, F.lit("\n"), block)).otherwise(prompt)
 
 
+def attach_hits(rows: DataFrame, corpus: DataFrame, text: str, out: str, cid: str = "id", example: str = "example", rewrite: str = "rewrite",
+                distance: float = 0.25, k: int = 10) -> DataFrame:
+    """JOIN-10 / JOIN-11: ``rows`` with ``out``, the rewrites of the ``k`` best corpus records for ``text``, in rank order.
+
+    Equal texts are searched once; a text is split into fragments at blank lines (COL-4). Rows without a text or a hit get an
+    empty array. The hits of a text (at most ``k``) are one small row that joins all rows of the text.
+    """
+    key = F.sha2(F.col(text).cast("string"), 256)
+    asked = rows.where(F.col(text).isNotNull()).select(key.alias("_q"), F.col(text).alias("_text")).dropDuplicates(["_q"])
+    parts = asked.select("_q", F.posexplode(TX.fragments("_text", "\n\n")).alias("_f", "_part"))
+    hits = search.sparse_search(parts, corpus, qid="_q", fid="_f", q_text="_part", cid=cid, c_text=example, distance=distance, k=k)
+    found = (hits.join(corpus.select(cid, F.col(rewrite).cast("string").alias("_r")), cid).groupBy("_q")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_r"))), lambda x: x["_r"]).alias(out)))
+    return (rows.withColumn("_k", key).join(found.withColumnRenamed("_q", "_k"), "_k", "left")
+            .withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop("_k"))
+
+
 # The wording around retrieved examples in a data-access prompt.
 EXAMPLES_HEADER = "The following are examples of how to rewrite code.\n\n"
 EXAMPLE_FORMAT = ("Code like the following\n```\n{example}\n```\n\n"

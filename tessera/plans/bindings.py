@@ -69,12 +69,39 @@ def line_count(spark, sf_dir):
     return d.select("doc_id", T.line_count("text").alias("line_count"))
 
 
+def _java_sources(spark, sf_dir) -> DataFrame:
+    """One Java (or XML) source per order: (id, path, content). The key's residue picks the kind of class."""
+    o = table(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    v = F.pmod("o_orderkey", F.lit(9))
+    plain = F.concat(F.lit("public class Order"), k)
+    head = F.when(v == 2, F.concat(F.lit("public class OrderRepository"), k)).when(v == 3, F.concat(plain, F.lit(" extends BaseMapper"))).otherwise(plain)
+    body = (F.when(v == 4, F.lit("void f() { org.hibernate.Session.open(); }"))
+            .when(v == 5, F.lit("Object f() { return preparedStatement; }"))
+            .when(v == 6, F.lit("void f() throws IOException, SQLException { }"))
+            .when(v == 7, F.lit('String s = "class FooDao throws SQLException";')).otherwise(F.lit("")))
+    members = F.concat(F.lit(" private Map<Cust"), c, F.lit(", List<Line>> items; void g(Cust"), c, F.lit(" x, final Area"), F.pmod("o_custkey", F.lit(25)).cast("string"),
+                       F.lit(" y) { Gone[] a; try { } catch (Lost e) { } Part"), k, F.lit(" z = null; }"))
+    port = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit(" public interface Port"), k, F.lit(" { }"))).otherwise(F.lit(""))
+    content = F.concat(F.lit("package app;\n/* public class OrderDao"), k, F.lit(" { Hidden h; } */ // calls getConnection\n"), head, F.lit(" { "), body, members, port, F.lit(" }\n"))
+    folder = F.when(v == 1, F.lit("src/dao/Order")).otherwise(F.lit("src/app/Order"))
+    path = F.concat(folder, k, F.when(v == 0, F.lit(".xml")).otherwise(F.lit(".java")))
+    return o.select(F.col("o_orderkey").alias("id"), path.alias("path"), content.alias("content"))
+
+
 @query
 def rule_classify(spark, sf_dir):
-    """COL-2 over pages (URL as path, HTML as content)."""
-    p = table(spark, sf_dir, "pages")
-    reason = R.dao_reason(F.col("url"), F.col("html"), suffix=".html")
-    return p.select("page_id", reason.alias("reason")).withColumn("is_dao", R.is_dao("reason"))
+    """COL-2 over one source file per order; every rule decides some of them."""
+    src = _java_sources(spark, sf_dir)
+    return src.select("id", R.dao_reason("path", "content").alias("reason")).withColumn("is_dao", R.is_dao("reason"))
+
+
+@query
+def java_symbols(spark, sf_dir):
+    """COL-16 / COL-17 with the Java lexer over the same files: declared types, used types, and these with type arguments."""
+    src = _java_sources(spark, sf_dir)
+    return src.select("id", F.array_join(S.declared_symbols("content"), ",").alias("declared"), F.array_join(S.used_symbols("content"), ";").alias("used"),
+                      F.array_join(F.array_sort(S.used_symbols("content", with_type_args=True)), ";").alias("used_args"))
 
 
 @query
@@ -438,27 +465,6 @@ def embed_batch(spark, sf_dir):
                     _weights_checksum("embedding").alias("embedding_checksum"))
 
 
-@query
-def notes_enrich(spark, sf_dir):
-    """JOIN-10 / JOIN-11: every user turn -> its top-10 (notes) and top-2 (answers) benchmark
-    items at the default distance; turns without hits get empty lists."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
-    q = c.select(F.struct("conv_id", "turn").alias("q"),
-                 F.posexplode(T.fragments("text", "\n\n")).alias("frag", "ftext"))
-    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    hits = search.sparse_search(q, bench, qid="q", fid="frag", q_text="ftext", cid="item_id",
-                                c_text="text", distance=0.25, k=10)
-    agg = hits.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("_h"))
-    agg = agg.select(F.col("q.conv_id").alias("conv_id"), F.col("q.turn").alias("turn"), "_h")
-    out = c.select("conv_id", "turn").join(agg, ["conv_id", "turn"], "left")
-    h = F.coalesce("_h", F.array())
-    return out.select("conv_id", "turn",
-                      F.array_join(F.transform(h, lambda x: x["item_id"].cast("string")), ",").alias("notes"),
-                      F.array_join(F.transform(F.filter(h, lambda x: x["rank"] <= 2),
-                                               lambda x: x["item_id"].cast("string")), ",").alias("answers"),
-                      F.size(h).alias("n_notes"))
-
-
 # ---------------------------------------------------------------- extraction over recorded answers
 from ..operators import extract as X  # noqa: E402
 
@@ -498,30 +504,59 @@ def context_block(spark, sf_dir):
                       X.extend_prompt(prompt, F.col("block"), F.col("n_answered")).alias("prompt"))
 
 
-def _doc_prompts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".java"))
-    reason = R.dao_reason(path, F.col("text"))
-    route = F.when(R.is_dao(reason), F.lit("full")).otherwise(F.lit("short"))
-    header = F.when(route == "full", F.concat(F.lit("Analyze data-access file "), path, F.lit(":\n"))) \
-        .otherwise(F.concat(F.lit("Analyze file "), path, F.lit(":\n")))
-    return d.select(F.col("doc_id").alias("prompt_key"), route.alias("route"),
-                    F.concat(header, "text").alias("prompt"))
+# Fixed values of the binding: the schemas that the full route shows.
+OLD_SCHEMA = "CREATE TABLE orders (id INT AUTO_INCREMENT)"
+NEW_SCHEMA = "CREATE TABLE orders (id INT64)"
 
 
 @query
 def prompt_replay(spark, sf_dir):
-    """INF-1 / INF-2: one prompt per document routed by the classifier; recorded answers
-    (assistant turns of the conversation with the same id) attached by key."""
-    prompts = _doc_prompts(spark, sf_dir)
+    """INF-1 / INF-2: one prompt per source file, routed by the classifier; recorded answers (assistant turns of the
+    conversation with the same id) attached by key. Of the prompt only its length and hash go through the join."""
+    src = _java_sources(spark, sf_dir).select(F.col("id").alias("prompt_key"), "path", "content",
+                                              R.is_dao(R.dao_reason("path", "content")).alias("is_dao"))
+    prompts = X.route_prompts(src, OLD_SCHEMA, NEW_SCHEMA).select("prompt_key", "route", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("sha"))
     resp = (table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
             .select(F.col("conv_id").alias("prompt_key"), F.col("turn").alias("attempt"), "text"))
     j = X.attach_responses(prompts, resp, "prompt_key")
-    return j.groupBy(F.col("prompt_key").alias("doc_id"), "route").agg(
-        F.max(F.length("prompt")).alias("prompt_chars"), F.count("text").alias("n_responses"),
+    return j.groupBy("prompt_key", "route").agg(
+        F.max("chars").alias("prompt_chars"), F.max("sha").alias("prompt_sha"), F.count("text").alias("n_responses"),
         F.min("attempt").alias("first_attempt"))
 
 
+def _part_answers(spark, sf_dir):
+    """One model answer per part: a change whose description names the part, and a question about it."""
+    p = table(spark, sf_dir, "part")
+    about = F.concat(F.lit("part "), F.col("p_name"), F.lit(" "), F.col("p_type"))
+    change = F.concat(F.lit('{"file_modifications": [{"code_sample": "P'), F.col("p_partkey").cast("string"), F.lit('", "start_line": '), F.col("p_size").cast("string"),
+                      F.lit(', "description": "'), about, F.lit('", "complexity": "SIMPLE"}, {"description": "nothing known of it"}, {}]}'))
+    question = F.concat(F.lit('{"questions": ["'), about, F.lit('?", "unheard of?"]}'))
+    return p.select("p_partkey", change.alias("value"), question.alias("questions"))
+
+
+def _part_records(spark, sf_dir):
+    """Retrieval records: one per name and type of parts."""
+    p = table(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("id"))
+    about = F.concat(F.lit("part "), F.col("p_name"), F.lit(" "), F.col("p_type"))
+    return p.select("id", about.alias("example"), F.concat(F.lit("use part "), F.col("id").cast("string")).alias("rewrite"))
+
+
+@query
+def notes_enrich(spark, sf_dir):
+    """INF-4 with JOIN-10: change rows get the rewrites of the ten nearest records of their description as notes."""
+    changes = X.explode_changes(_part_answers(spark, sf_dir), "p_partkey")
+    noted = X.attach_hits(changes, _part_records(spark, sf_dir), "description", "notes", k=10)
+    return noted.select("p_partkey", "pos", "description", "start_line", F.array_join("notes", "|").alias("notes"), F.size("notes").alias("n_notes"))
+
+
+@query
+def question_answers(spark, sf_dir):
+    """INF-6 with JOIN-11: every question gets its two nearest records."""
+    asked = X.explode_questions(_part_answers(spark, sf_dir).select("p_partkey", F.col("questions").alias("value")), "p_partkey")
+    found = X.attach_hits(asked, _part_records(spark, sf_dir), "question", "answers", k=2)
+    return found.select("p_partkey", "pos", F.array_join("answers", "|").alias("answers"), F.size("answers").alias("n_answers"))
+
+
 def _attempt_text():
     t = F.col("text")
     v = F.pmod(F.length(t), F.lit(4))
@@ -670,14 +705,14 @@ def affected_changes(spark, sf_dir):
 
 @query
 def example_block(spark, sf_dir):
-    """COL-13: every document's content is searched (default distance, top 10) against the
+    """COL-13: every document's content is searched (distance 0.5, top 10) against the
     benchmark items, whose hits are formatted as rewrite examples in rank order. Fragments
     are lines (the documents hold no blank-line breaks)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     q = d.select("doc_id", F.posexplode(T.fragments("text", "\n")).alias("frag", "ftext"))
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     hits = search.sparse_search(q, bench, qid="doc_id", fid="frag", q_text="ftext", cid="item_id",
-                                c_text="text", distance=0.25, k=10)
+                                c_text="text", distance=0.5, k=10)
     recs = bench.select("item_id", F.col("text").alias("example"),
                         F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("rewrite"))
     hits = hits.join(recs, "item_id").select("doc_id", "rank", "example", "rewrite")

@@ -34,17 +34,20 @@ def _prune_sql(x: str) -> str:
     return e
 
 
-def _rules_sql(path: str, content: str, suffix: str) -> str:
-    from ..functions.rules import RULES
-    from ..functions.symbols import COMMENT_OR_STRING
-    content = f"regexp_replace(coalesce({content}, ''), '{COMMENT_OR_STRING}', ' ', 'g')"
-    parts = [f"WHEN NOT ends_with({path}, '{suffix}') THEN 'not_source'",
-             f"WHEN contains(lower({path}), 'dao') THEN 'path'"]
-    for name, pat in RULES:
-        if name == "annotation":
-            continue
-        parts.append(f"WHEN regexp_matches(coalesce({content}, ''), '{pat}') THEN '{name}'")
-    return "CASE " + " ".join(parts) + " ELSE 'none' END"
+# one source file per order; the reason of each kind is stated, not computed
+_SOURCES = r"""
+kinds AS (SELECT o_orderkey AS id, o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS c, (o_custkey % 25)::VARCHAR AS area, o_orderkey % 9 AS v FROM orders),
+src AS (SELECT id, k, c, area, v,
+  CASE v WHEN 1 THEN 'src/dao/Order' ELSE 'src/app/Order' END || k || CASE v WHEN 0 THEN '.xml' ELSE '.java' END AS path,
+  'package app;' || chr(10) || '/* public class OrderDao' || k || ' { Hidden h; } */ // calls getConnection' || chr(10) ||
+  CASE v WHEN 2 THEN 'public class OrderRepository' || k WHEN 3 THEN 'public class Order' || k || ' extends BaseMapper' ELSE 'public class Order' || k END || ' { ' ||
+  CASE v WHEN 4 THEN 'void f() { org.hibernate.Session.open(); }' WHEN 5 THEN 'Object f() { return preparedStatement; }'
+         WHEN 6 THEN 'void f() throws IOException, SQLException { }' WHEN 7 THEN 'String s = "class FooDao throws SQLException";' ELSE '' END ||
+  ' private Map<Cust' || c || ', List<Line>> items; void g(Cust' || c || ' x, final Area' || area || ' y) { Gone[] a; try { } catch (Lost e) { } Part' || k || ' z = null; }' ||
+  CASE WHEN id % 2 = 1 THEN ' public interface Port' || k || ' { }' ELSE '' END || ' }' || chr(10) AS content,
+  CASE v WHEN 0 THEN 'not_source' WHEN 1 THEN 'path' WHEN 2 THEN 'class_name' WHEN 3 THEN 'superclass' WHEN 4 THEN 'library_call'
+         WHEN 5 THEN 'jdbc_member' WHEN 6 THEN 'throws_sql' ELSE 'none' END AS reason FROM kinds)
+"""
 
 
 _LINES = """
@@ -68,9 +71,13 @@ ORACLE["line_count"] = """
 SELECT doc_id, (length(text) - length(replace(text, chr(10), '')))::INTEGER AS line_count FROM documents
 """
 
-ORACLE["rule_classify"] = f"""
-SELECT page_id, reason, reason NOT IN ('none', 'not_source') AS is_dao
-FROM (SELECT page_id, {_rules_sql('url', 'html', '.html')} AS reason FROM pages)
+ORACLE["rule_classify"] = "WITH " + _SOURCES + "SELECT id, reason, reason NOT IN ('none', 'not_source') AS is_dao FROM src"
+
+ORACLE["java_symbols"] = "WITH " + _SOURCES + """
+SELECT id, CASE v WHEN 2 THEN 'OrderRepository' ELSE 'Order' END || k || CASE WHEN id % 2 = 1 THEN ',Port' || k ELSE '' END AS declared,
+  CASE v WHEN 7 THEN 'String;' ELSE '' END || 'Map<Cust' || c || ', List<Line>>;Cust' || c || ';Area' || area || ';Part' || k AS used,
+  array_to_string(list_sort(list_concat(CASE v WHEN 7 THEN ['String'] ELSE [] END,
+    ['Map<Cust' || c || ', List<Line>>', 'Cust' || c, 'Area' || area, 'Part' || k, 'Map', 'List', 'Line'])), ';') AS used_args FROM src
 """
 
 ORACLE["code_normalise"] = r"""
@@ -266,32 +273,29 @@ x AS (SELECT doc_id, unnest(v) AS val, generate_subscripts(v, 1) - 1 AS dim FROM
 SELECT doc_id, dim::INTEGER AS dim, round(avg(val), 6) AS value FROM x GROUP BY doc_id, dim
 """
 
-_NOTES_LINES = r"""
-q AS (SELECT conv_id, turn, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S'))) AS ftext,
-             generate_subscripts(list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\S')), 1) AS frag
-      FROM conversations WHERE role = 'user'),
-qtok AS (SELECT conv_id, turn, frag, unnest(regexp_extract_all(lower(ftext), '\p{L}[\p{L}\p{N}]*')) AS token FROM q),
-qtf AS (SELECT conv_id, turn, frag, token, count(*)::DOUBLE AS n FROM qtok GROUP BY ALL),
-qn AS (SELECT conv_id, turn, frag, sum(n*n) AS qss FROM qtf GROUP BY ALL),
-ctok AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}]*')) AS token FROM benchmark),
-ctf AS (SELECT item_id, token, count(*)::DOUBLE AS m FROM ctok GROUP BY ALL),
-cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
-dots AS (SELECT q.conv_id, q.turn, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
-fr AS (SELECT d.conv_id, d.turn, d.item_id, d.dot / sqrt(qn.qss * cn.css) AS s
-       FROM dots d JOIN qn USING (conv_id, turn, frag) JOIN cn USING (item_id)),
-best AS (SELECT conv_id, turn, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.25 GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, item_id DESC) AS rank FROM best),
-top AS (SELECT * FROM rk WHERE rank <= 10)
+_PART_HITS = r"""
+rec AS (SELECT min(p_partkey) AS id, 'part ' || p_name || ' ' || p_type AS example FROM part GROUP BY p_name, p_type),
+asked AS (SELECT DISTINCT 'part ' || p_name || ' ' || p_type AS q FROM part),
+qtf AS (SELECT q, token, count(*)::DOUBLE AS n FROM (SELECT q, unnest(regexp_extract_all(lower(q), '\p{L}[\p{L}\p{N}]*')) AS token FROM asked) GROUP BY ALL),
+ctf AS (SELECT id, token, count(*)::DOUBLE AS m FROM (SELECT id, unnest(regexp_extract_all(lower(example), '\p{L}[\p{L}\p{N}]*')) AS token FROM rec) GROUP BY ALL),
+s AS (SELECT q, id, sum(n * m) / sqrt(any_value(qss) * any_value(css)) AS sim FROM qtf JOIN ctf USING (token)
+      JOIN (SELECT q, sum(n * n) AS qss FROM qtf GROUP BY q) USING (q) JOIN (SELECT id, sum(m * m) AS css FROM ctf GROUP BY id) USING (id) GROUP BY q, id),
+rk AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id DESC) AS rank FROM s WHERE sim >= 0.75),
+hit AS (SELECT q, string_agg('use part ' || id, '|' ORDER BY rank) FILTER (WHERE rank <= 10) AS ten, count(*) FILTER (WHERE rank <= 10) AS n_ten,
+               string_agg('use part ' || id, '|' ORDER BY rank) FILTER (WHERE rank <= 2) AS two, count(*) FILTER (WHERE rank <= 2) AS n_two FROM rk GROUP BY q)
+"""
+
+ORACLE["notes_enrich"] = "WITH " + _PART_HITS + """
+SELECT p_partkey, 0::INTEGER AS pos, q AS description, p_size::INTEGER AS start_line, coalesce(ten, '') AS notes, coalesce(n_ten, 0)::INTEGER AS n_notes
+FROM part LEFT JOIN hit ON hit.q = 'part ' || p_name || ' ' || p_type
+UNION ALL SELECT p_partkey, 1, 'nothing known of it', -1, '', 0 FROM part
+UNION ALL SELECT p_partkey, 2, NULL, -1, '', 0 FROM part
 """
 
-ORACLE["notes_enrich"] = "WITH " + _NOTES_LINES + """
-SELECT u.conv_id, u.turn,
-       coalesce(array_to_string(list(t.item_id::VARCHAR ORDER BY t.rank) FILTER (WHERE t.item_id IS NOT NULL), ','), '') AS notes,
-       coalesce(array_to_string(list(t.item_id::VARCHAR ORDER BY t.rank) FILTER (WHERE t.rank <= 2), ','), '') AS answers,
-       count(t.item_id)::INTEGER AS n_notes
-FROM (SELECT conv_id, turn FROM conversations WHERE role = 'user') u
-LEFT JOIN top t ON u.conv_id = t.conv_id AND u.turn = t.turn
-GROUP BY u.conv_id, u.turn
+ORACLE["question_answers"] = "WITH " + _PART_HITS + """
+SELECT p_partkey, 0::INTEGER AS pos, coalesce(two, '') AS answers, coalesce(n_two, 0)::INTEGER AS n_answers
+FROM part LEFT JOIN hit ON hit.q = 'part ' || p_name || ' ' || p_type
+UNION ALL SELECT p_partkey, 1, '', 0 FROM part
 """
 
 
@@ -327,15 +331,13 @@ SELECT conv_id, n_questions, n_answered,
 FROM g
 """
 
-ORACLE["prompt_replay"] = f"""
-WITH d AS (SELECT doc_id, source || '/' || doc_id || '.java' AS path, text FROM documents),
-r AS (SELECT doc_id, path, text, {_rules_sql('path', 'text', '.java')} AS reason FROM d),
-p AS (SELECT doc_id, CASE WHEN reason NOT IN ('none', 'not_source') THEN 'full' ELSE 'short' END AS route,
-             CASE WHEN reason NOT IN ('none', 'not_source') THEN 'Analyze data-access file ' ELSE 'Analyze file ' END
-               || path || ':' || chr(10) || text AS prompt FROM r),
+ORACLE["prompt_replay"] = "WITH " + _SOURCES + """,
+r AS (SELECT id, CASE WHEN reason NOT IN ('none', 'not_source') THEN 'full' ELSE 'short' END AS route, 'File ' || path || ':' || chr(10) || content AS code FROM src),
+p AS (SELECT id, route, CASE route WHEN 'full' THEN 'Old schema:' || chr(10) || 'CREATE TABLE orders (id INT AUTO_INCREMENT)' || chr(10) || 'New schema:' || chr(10) ||
+             'CREATE TABLE orders (id INT64)' || chr(10) || 'Change this data-access file.' || chr(10) ELSE 'Check this file.' || chr(10) END || code AS prompt FROM r),
 a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
-SELECT p.doc_id, p.route, max(length(p.prompt))::INTEGER AS prompt_chars, count(a.text) AS n_responses, min(a.turn) AS first_attempt
-FROM p LEFT JOIN a ON a.conv_id = p.doc_id GROUP BY p.doc_id, p.route
+SELECT p.id AS prompt_key, p.route, max(length(p.prompt))::INTEGER AS prompt_chars, max(sha256(p.prompt)) AS prompt_sha, count(a.text) AS n_responses, min(a.turn) AS first_attempt
+FROM p LEFT JOIN a ON a.conv_id = p.id GROUP BY p.id, p.route
 """
 
 ORACLE["attempt_resolution"] = f"""
@@ -465,7 +467,7 @@ cn AS (SELECT item_id, sum(m*m) AS css FROM ctf GROUP BY ALL),
 dots AS (SELECT q.doc_id, q.frag, c.item_id, sum(q.n*c.m) AS dot FROM qtf q JOIN ctf c USING (token) GROUP BY ALL),
 fr AS (SELECT d.doc_id, d.item_id, d.dot / sqrt(qn.qss * cn.css) AS s
        FROM dots d JOIN qn USING (doc_id, frag) JOIN cn USING (item_id)),
-best AS (SELECT doc_id, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.25 GROUP BY ALL),
+best AS (SELECT doc_id, item_id, max(s) AS sim FROM fr WHERE s >= 1 - 0.5 GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sim DESC, item_id DESC) AS rank FROM best),
 top AS (SELECT rk.doc_id, rk.rank, b.text AS example, 'item ' || b.item_id AS rewrite
         FROM rk JOIN benchmark b ON b.item_id = rk.item_id WHERE rank <= 10),
