@@ -13,12 +13,13 @@ documents link when ``100 * |A and B| >= percent * |A or B|``.
    empty ones; ``e`` is set per tile so that this is rare. Every linked pair shares a key (tile,
    cell, hash of the cell's shingles): the candidates are complete, and a shared passage alone
    rarely makes one, because a cell's shingles come from all over the text.
-3. Each key's members are streamed in order; each is paired with the first one only (a star).
+3. Each key's members are streamed in order; each is paired with the first one only (a star). A key of two members is
+   decided by that; of keys with the same members one goes on.
 4. Bitmaps. Every set has a parity bitmap of about two bits per shingle (the tile-independent size is a
    power of two). ``popcount(a xor b)`` never exceeds the symmetric difference, which bounds the
    overlap from above: pairs that cannot reach the threshold stop here. Where widths differ the wider
    bitmap is folded.
-5. What is left is decided on the sorted shingle arrays.
+5. What is left is decided on the sorted shingle arrays, for which the texts of these pairs alone are read again.
 6. Components of the links found. Keys whose members are still in several components go on:
    their members are dealt into blocks, each pair of blocks is one task-sized tile, and
    all pairs of different components in it are bounded by their bitmaps at once (numpy). Of each
@@ -52,6 +53,8 @@ BLOCK = 1024
 #: a block of the link count holds at most LINK_BLOCK classes and, apart from a single larger set, about LINK_SHINGLES shingles
 LINK_BLOCK = 512
 LINK_SHINGLES = 1 << 20
+#: (document, class) pairs that are broadcast at most, 16 bytes each
+ID_ROWS = 2_000_000
 _CELL_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -194,20 +197,22 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (null for the empty set or a null id); one scan."""
+    """doc_id, text_hash, n_shingles, class (null for the empty set or a null id), bits (its bitmap); one scan."""
 
     def scan(batches):
         for b in batches:
-            n, c = [], []
+            n, c, m = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t, width)
+                own = len(s) > 0 and i is not None
                 n.append(len(s))
-                c.append(class_of(s) if len(s) and i is not None else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
-                                             names=["doc_id", "text_hash", "n_shingles", "class"])
+                c.append(class_of(s) if own else None)
+                m.append(bitmap(s).tobytes() if own else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(m, pa.binary())],
+                                             names=["doc_id", "text_hash", "n_shingles", "class", "bits"])
 
     base = C.texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return base.mapInArrow(scan, f"doc_id {dict(base.dtypes)['doc_id']}, text_hash long, n_shingles long, class long")
+    return base.mapInArrow(scan, f"doc_id {dict(base.dtypes)['doc_id']}, text_hash long, n_shingles long, class long, bits binary")
 
 
 def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -283,31 +288,32 @@ def _stars(keys: DataFrame) -> DataFrame:
     return dealt.mapInArrow(scan, "key long, class long, first long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """class, n, bitmap, set of the documents in ``ids(doc_id, class)``: their texts are read again."""
+def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """class, n, hashes of the documents in ``ids(doc_id, class)``: their texts are read again. Repeated rows repeat.
+
+    Only where more than ``ID_ROWS`` documents are asked for at once, texts are shuffled to meet them.
+    """
 
     def scan(batches):
         for b in batches:
             for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                c, n, m, a = [], [], [], []
+                c, n, a = [], [], []
                 for t, want in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingles(t, width)
                     if len(s) and class_of(s) == want:
                         c.append(want)
                         n.append(len(s))
-                        m.append(bitmap(s).tobytes())
                         a.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.binary()), pa.array(a, pa.binary())],
-                    names=["class", "n", "bits", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.binary())], names=["class", "n", "hashes"])
 
-    base, want = C.texts(docs), ids.select(F.col("doc_id").alias("want_id"), "class")
-    return (base.join(want, base["doc_id"] == want["want_id"]).select("text", "class")
-            .mapInArrow(scan, "class long, n long, bits binary, hashes binary").dropDuplicates(["class"]))
+    base, want = C.texts(docs), C.stored(ids.select(F.col("doc_id").alias("want_id"), "class"), "wanted")
+    if want.count() <= ID_ROWS:
+        want = F.broadcast(want)
+    return base.join(want, base["doc_id"] == want["want_id"]).select("text", "class").mapInArrow(scan, "class long, n long, hashes binary")
 
 
 def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """a, b, n, value: two rows per pair of classes, side by side, with ``column`` of either class.
+    """a, b, class, n, value: two rows per pair of classes (repeats aside), side by side, with ``column`` of either class.
 
     Few pairs (counted) are broadcast, so that of the sets only what the pairs need is shuffled.
     """
@@ -317,24 +323,25 @@ def _met(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         wanted = F.broadcast(wanted)
     have = sets.select("class", "n", F.col(column).alias("value"))
     return (have.join(wanted, have["class"] == wanted["c"]).select("a", "b", "class", "n", "value")
-            .repartition(C.partitions(spark), "a", "b").sortWithinPartitions("a", "b", "class").select("a", "b", "n", "value"))
+            .repartition(C.partitions(spark), "a", "b").sortWithinPartitions("a", "b", "class").select("a", "b", "class", "n", "value"))
 
 
 def _decided(met: DataFrame, decide) -> DataFrame:
     """Pairs (a, b) for which ``decide(n of a, value of a, n of b, value of b)``; rows as ``_met`` gives them."""
 
     def scan(batches):
-        left = None
+        left = last = None
         for batch in batches:
             a, b = [], []
-            for x, y, n, v in C.rows_of(batch):
-                if left is None:
-                    left = (x, y, n, v)
-                else:  # each pair's two rows follow each other
-                    if decide(left[2], left[3], n, v):
-                        a.append(x)
-                        b.append(y)
-                    left = None
+            for x, y, c, n, v in C.rows_of(batch):
+                if (x, y, c) == last:  # a repeated row
+                    continue
+                last = (x, y, c)
+                if c == x:
+                    left = (n, v)
+                elif decide(*left, n, v):
+                    a.append(x)
+                    b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(scan, "a long, b long")
@@ -351,9 +358,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _decided(_met(pairs, sets, "bits"), decide)
 
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link, by intersection of their sorted arrays."""
-    return _decided(_met(pairs, sets, "hashes"), lambda na, x, nb, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+def _exact(pairs: DataFrame, docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) that link, by intersection of their sorted arrays; ``ids(class, doc_id)`` says where a class's text is."""
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    arrays = _arrays(docs, ids.join(asked, "class"), width)
+    return _decided(_met(pairs, arrays, "hashes"), lambda na, x, nb, y: linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
 
 
 def _tiles(open_keys: DataFrame, sets: DataFrame, percent: int, block: int, every: bool) -> DataFrame:
@@ -483,7 +492,7 @@ def _degrees(label: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
 
 
 def _joined(docs: DataFrame, width: int, percent: int, block: int):
-    """Rows (``_classes``), their classes' smallest doc_id, (class, component) of linked classes, the sets of those.
+    """Rows (``_classes``), their classes' smallest doc_id, (class, component) of linked classes, and where classes with shared keys are.
 
     What later steps no longer read is deleted on the way.
     """
@@ -491,11 +500,11 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
     rows = C.stored(_classes(docs, width), "classes")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     stars = C.stored(_stars(_keys(docs, width, percent)), "keys")
-    ids = classes.join(stars.select("class").distinct(), "class")
-    sets = C.stored(_sets(docs, ids, width), "sets")
+    ids = C.stored(classes.join(stars.select("class").distinct(), "class"), "ids")
+    sets = C.stored(rows.join(ids, ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["class"]), "sets")
     pairs = stars.where("class <> first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
     able = C.stored(_bounded(pairs, sets, percent), "pairs")
-    links = C.stored(_exact(able, sets, percent), "links")
+    links = C.stored(_exact(able, docs, ids, width, percent), "links")
     C.discard(able)
     used = [links]
     label = C.components(links).withColumnRenamed("node", "class")
@@ -511,7 +520,7 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
     members = stars.select("key", "class")
     for every in (False, True):
         found = C.stored(_tiles(open_keys(members), sets, percent, block, every), "tiles")
-        late = C.stored(_exact(C.stored(found.select("a", "b").distinct(), "pairs"), sets, percent), "links")
+        late = C.stored(_exact(C.stored(found.select("a", "b").distinct(), "pairs"), docs, ids, width, percent), "links")
         used += [found, late]
         if late.limit(1).count():
             links = links.unionByName(late).distinct()
@@ -521,8 +530,10 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
             break
         members = members.join(again, members["key"] == again["k"]).drop("k")
 
-    C.discard(stars, *used)
-    return rows, classes, label, sets
+    C.discard(stars, sets, *used)
+    plain = rows.drop("bits")
+    plain._stored = rows._stored
+    return plain, classes, label, ids
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -531,9 +542,10 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, block: int
     ``component_id``: smallest doc_id reachable by links, itself included. ``n_links``: the number of other classes
     (different sets) that the row's class links with; copies of its own set are not counted.
     """
-    rows, classes, label, sets = _joined(docs, width, percent, block)
-    degree = C.stored(_degrees(label, sets, percent, min(block, LINK_BLOCK)), "degrees")
-    C.discard(sets)
+    rows, classes, label, ids = _joined(docs, width, percent, block)
+    arrays = C.stored(_arrays(docs, ids.join(label.select("class"), "class"), width).dropDuplicates(["class"]), "arrays")
+    degree = C.stored(_degrees(label, arrays, percent, min(block, LINK_BLOCK)), "degrees")
+    C.discard(arrays, ids)
     small = (classes.join(label, "class").select("class", "component", "doc_id").groupBy("component").agg(F.min("doc_id").alias("least")))
     merged = label.join(small, "component").select("class", "least").join(degree, "class", "left")
     per_class = (classes.join(merged, "class", "left")
@@ -550,8 +562,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     The rejected rows meet the documents in an anti-join; where the row to keep is repeated, its repeats
     are dropped (which of them stays is open, as far as their other columns differ).
     """
-    rows, _, label, sets = _joined(docs, width, percent, BLOCK)
-    C.discard(sets)
+    rows, _, label, ids = _joined(docs, width, percent, BLOCK)
+    C.discard(ids)
     kind = label.select(F.col("class").alias("c"), "component")
     found = (rows.where("class is not null").join(kind, F.col("class") == F.col("c"), "left")
              .select("doc_id", "text_hash", F.coalesce("component", "class").alias("component")))
