@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+from . import tree
+
 # Directory-name prefixes pruned by the node scan and by the edge scan.
 NODE_PRUNE_PREFIXES = (".", "test", "target", "build")
 EDGE_PRUNE_PREFIXES = (".", "test")
@@ -36,13 +39,24 @@ def has_suffix(relpath, suffixes) -> Column:
 
 def scan_corpus(spark: SparkSession, root: str, suffixes=SOURCE_SUFFIXES,
                 prune_prefixes=NODE_PRUNE_PREFIXES, with_content: bool = True) -> DataFrame:
-    """SRC-1: recursive listing of ``root`` -> (path, relpath, content?, text?, length).
+    """SRC-1: recursive listing of ``root`` -> (path, relpath, length, content?, text?).
 
-    The suffix test is part of the listing (``pathGlobFilter``), so files of other kinds are never
-    read; with ``with_content=False`` (SRC-2) none is. Pruned folders are dropped by path, a filter
-    that runs on the scan's rows: their files of a wanted suffix are still opened. Undecodable
-    bytes give a null ``text`` (SRC-3) instead of failing the job.
+    The walk prunes folders before it descends, so nothing in them is listed or opened (``tree``), and an
+    unreadable file gives a row with null content. With ``with_content=False`` (SRC-2) no file is opened. Undecodable
+    bytes give a null ``text`` (SRC-3). Stores that only Spark's readers open are listed by those instead: there
+    pruned folders are dropped by path after the listing.
     """
+    if not tree.opens(root):
+        return _scan_listed(spark, root, suffixes, prune_prefixes, with_content)
+    ship(spark)
+    spark.dataSource.register(tree.TreeSource)
+    df = (spark.read.format("source_tree").option("path", root).option("suffixes", ",".join(suffixes)).option("prune", ",".join(prune_prefixes))
+          .option("content", str(with_content).lower()).load())
+    return df if with_content else df.select("path", "relpath", "length")
+
+
+def _scan_listed(spark: SparkSession, root: str, suffixes, prune_prefixes, with_content: bool) -> DataFrame:
+    """The same rows through Spark's own listing."""
     root = root.rstrip("/")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffixes and not any(set(s) & set("*?[]{},\\") for s in suffixes):

@@ -53,15 +53,18 @@ def load_examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_embedded(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-6: embedded corpus (JSON array file, or parquet written by SNK-4); vectors as
-    float32; a later duplicate id wins."""
+    """SRC-6: embedded corpus (JSON array files, or parquet written by SNK-4); vectors as float32; of records with the
+    same id the later one wins: the greater file name, then the later place in the file, however the files are split.
+    """
     if path.rstrip("/").endswith(".json"):
-        df = spark.read.option("multiLine", "true").schema(EMBEDDED_SCHEMA).json(path)
+        found = (spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), "value")
+                 .select("_file", F.posexplode(F.from_json("value", f"array<struct<{EMBEDDED_SCHEMA.replace(' ', ':').replace(',:', ',')}>>")).alias("_row", "_r"))
+                 .select("_r.*", "_file", F.col("_row").cast("long").alias("_row")))
     else:
         df = spark.read.schema(EMBEDDED_SCHEMA).parquet(path)
-    df = df.withColumn("_pos", F.monotonically_increasing_id())
-    w = Window.partitionBy("id").orderBy(F.col("_pos").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_pos")
+        found = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    w = Window.partitionBy("id").orderBy(F.desc("_file"), F.desc("_row"))
+    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_file", "_row")
 
 
 def load_previous_output(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators.embed import embed_texts, refresh_corpus
-from tessera.sources import corpus, loaders, sinks
+from tessera.sources import corpus, loaders, sinks, tree
 
 
 def _tmp():
@@ -31,6 +31,60 @@ def test_scan_corpus_prunes_directories(spark):
     assert [r["relpath"] for r in listing.collect()] == ["src/G.txt"]
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 64])
+def test_walk_opens_nothing_in_pruned_folders(spark, partitions):
+    """A pipe without a writer blocks whoever opens it; an unreadable file is a row without content."""
+    root = _tmp()
+    os.makedirs(os.path.join(root, "test", "deep"))
+    os.makedirs(os.path.join(root, "src", "main", "a"))
+    os.mkfifo(os.path.join(root, "test", "deep", "Pipe.java"))
+    os.mkfifo(os.path.join(root, "test", "Pipe.java"))
+    os.mkfifo(os.path.join(root, "src", "pipe.txt"))
+    for k in range(40):
+        with open(os.path.join(root, "src", "main", "a" if k % 2 else "", f"F{k:02d}.java"), "w") as fh:
+            fh.write(f"class F{k} {{}}\n")
+    os.symlink("/proc/self/mem", os.path.join(root, "src", "Broken.java"))  # reading it fails
+    os.symlink(root, os.path.join(root, "src", "loop"))
+    spark.dataSource.register(tree.TreeSource)
+    corpus.scan_corpus(spark, root)
+    df = (spark.read.format("source_tree").option("path", root).option("suffixes", ".java").option("prune", "test").option("partitions", partitions).load())
+    rows = {r["relpath"]: r for r in df.collect()}
+    assert len(rows) == 41 and rows["src/main/a/F01.java"]["text"] == "class F1 {}\n"
+    assert rows["src/Broken.java"]["content"] is None and rows["src/Broken.java"]["text"] is None
+    reader = tree.TreeReader({"path": root, "suffixes": ".java", "prune": "test", "partitions": str(partitions)})
+    opened = []
+    real = tree.TreeReader._read
+    try:
+        tree.TreeReader._read = lambda self, fs, path: (opened.append(path), real(self, fs, path))[1]
+        listed = [x for p in reader.partitions() for b in reader.read(p) for x in b.column("relpath").to_pylist()]
+    finally:
+        tree.TreeReader._read = real
+    assert sorted(listed) == sorted(rows) and not [p for p in opened if "/test/" in p] and len(opened) == 41
+
+
+def test_later_record_wins_whatever_the_split(spark):
+    folder = _tmp()
+    rows = [(k % 50, f"e{k}", f"r{k}", [float(k)], [0.0]) for k in range(1000)]
+    for n in range(4):
+        spark.createDataFrame(rows[250 * n:250 * n + 250], loaders.EMBEDDED_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/p{n}")
+    flat = os.path.join(folder, "flat")
+    os.makedirs(flat)
+    for n in range(4):
+        name = next(f for f in os.listdir(f"{folder}/p{n}") if f.endswith(".parquet"))
+        os.link(f"{folder}/p{n}/{name}", f"{flat}/part-{n}.parquet")
+    for size in ("128m", "2k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {r["id"]: r["example"] for r in loaders.load_embedded(spark, flat).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {k: f"e{950 + k}" for k in range(50)}
+    one = os.path.join(folder, "all.json")
+    with open(one, "w") as fh:
+        json.dump([dict(zip(("id", "example", "rewrite", "example_embedding", "rewrite_embedding"), r, strict=True)) for r in rows], fh)
+    assert {r["id"]: r["example"] for r in loaders.load_embedded(spark, one).collect()} == got
+
+
 def test_undecodable_text_is_null(spark):
     root = _tmp()
     with open(os.path.join(root, "A.java"), "wb") as fh:
