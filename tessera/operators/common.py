@@ -48,8 +48,9 @@ def dense_index(df: DataFrame, order_cols, group_cols=(), index_col: str = "idx"
     for c, g in names.items():
         on = on & s[c].eqNullSafe(stats[g])
     out = s.join(stats if group_cols else F.broadcast(stats), on).drop("_p", *names.values())
-    return out.withColumn(index_col, F.col("_mid") - F.col("_first") + F.col("_off")) \
-        .drop("_pid", "_mid", "_first", "_off")
+    out = out.withColumn(index_col, F.col("_mid") - F.col("_first") + F.col("_off")).drop("_pid", "_mid", "_first", "_off")
+    out._checkpoint = s._checkpoint  # ``release`` deletes the numbered copy
+    return out
 
 
 def batch_number(index_col, size: int):

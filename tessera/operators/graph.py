@@ -1,17 +1,21 @@
 """Reference graph: symbol resolution, cycle relaxation, dependency levels, components.
 
 Nodes and edges are DataFrames ``nodes(id)`` and ``edges(src, dst)``. Every fixpoint is a
-loop of joins and aggregations whose state is checkpointed to the shared checkpoint
-folder each round, so lineage stays short and a lost executor only recomputes one round.
-The driver fetches one count per round and nothing else.
+loop of joins and aggregations whose state is stored in the shared checkpoint folder each round, so lineage stays
+short and a lost executor only recomputes one round. Edges are stored once in buckets by the end that rounds join
+on, the state in the same buckets: a round moves changed labels, never edges. The driver fetches one
+count per round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, release
+from ..session import bucketed, checkpoint_dir, cut_lineage, release
+from .common import dense_index
 
 
 def symbol_owner(declares: DataFrame, path: str = "path", symbol: str = "symbol") -> DataFrame:
@@ -50,27 +54,40 @@ def graph_nodes(files: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 UNROLL = 2
 
 
-def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL,
-                   changed: Column | None = None) -> DataFrame:
-    """labels(id, label): label(v) := max(label(v), label(u)) over edges u -> v, to a fixpoint.
+def _buckets(df: DataFrame, key: str) -> DataFrame:
+    """A stored table in buckets by ``key``, as many as shuffle partitions: a join on the key moves the other side alone."""
+    return bucketed(df, [key], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def adjacency(edges: DataFrame, key: str) -> DataFrame:
+    """Edges without loops and repeats, once in buckets by their end ``key``; rounds read them where they are."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _buckets(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct().repartition(n, key), key)
+
+
+def step(state: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
+    """One step of ``spread``: changed labels along the edges, then into the state. Edges and state stay in their buckets."""
+    frontier = state.where("_chg").select(F.col("id").alias(frm), F.col("colour").alias("_c"), F.col("label").alias("_l"))
+    cand = edges.join(frontier, frm).groupBy(F.col(to).alias("_id"), "_c").agg(F.max("_l").alias("_m"))
+    return (state.join(cand, (state["id"] == cand["_id"]) & (state["colour"] == cand["_c"]), "left")
+            .select("id", "colour", F.greatest("label", F.coalesce("_m", "label")).alias("label"),
+                    F.coalesce(F.col("_m") > F.col("label"), F.lit(False)).alias("_chg")))
+
 
-    Semi-naive: only labels that changed in the previous step are pushed along edges; ``changed``
-    names the nodes that push in the first one (all by default). The returned frame is the last checkpoint.
-    ``unroll`` steps are chained in one plan, then the state is checkpointed and the
-    changes of the last step are counted; a step past the fixpoint changes nothing, so
-    overshooting is harmless.
+def spread(labels: DataFrame, edges: DataFrame, frm: str, to: str, unroll: int = UNROLL) -> DataFrame:
+    """labels(id, colour, label, _chg): label(v) := max over edges u -> v between nodes of one colour, to a fixpoint.
+
+    Semi-naive: only labels that changed in the step before (first those with ``_chg``) are pushed along the
+    edges; what reaches a node that is not in the state is dropped there. ``unroll`` steps are chained in one
+    plan, then the state is stored and the changes of the last step are looked for; a step past the fixpoint
+    changes nothing, so overshooting is harmless.
     """
-    state = cut_lineage(labels.select("id", "label", (F.lit(True) if changed is None else changed).alias("_chg")))
+    state = _buckets(labels, "id")
     while True:
         last = state
         for _ in range(unroll):
-            frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
-            cand = (edges.join(frontier, "src").groupBy("dst").agg(F.max("l").alias("m"))
-                    .withColumnRenamed("dst", "id"))
-            state = (state.join(cand, "id", "left")
-                     .select("id", F.greatest("label", F.coalesce("m", "label")).alias("label"),
-                             F.coalesce(F.col("m") > F.col("label"), F.lit(False)).alias("_chg")))
-        state = cut_lineage(state)
+            state = step(state, edges, frm, to)
+        state = _buckets(state, "id")
         release(last)
         if state.where("_chg").limit(1).count() == 0:
             return state
@@ -79,48 +96,41 @@ def _propagate_max(labels: DataFrame, edges: DataFrame, unroll: int = UNROLL,
 def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SCC label per node (the greatest id in its component), by repeated forward colouring.
 
-    Each round first trims nodes without an incoming or without an outgoing active edge
-    (they are components of their own), then colours: colour = greatest id that reaches
+    Each round first trims nodes without an incoming or without an outgoing edge among the unfinished
+    nodes (they are components of their own), then colours: colour = greatest id that reaches
     the node; a node whose colour is its own id is a root; the root's component is every
-    same-coloured node that reaches it (backward pass restricted to the colour). Found
-    components leave the graph; the rest is coloured again.
+    same-coloured node that reaches it (backward pass within the colour). Found components leave the state; the
+    rest is coloured again. The edges are stored twice, in buckets by either end, and are only
+    rewritten (in place, by their own end) when half of the nodes are done.
     """
-    e_all = cut_lineage(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct())
-    state = cut_lineage(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")))
+    out, back = adjacency(edges, "src"), adjacency(edges, "dst")
+    state = _buckets(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")), "id")
+    size = None
     while True:  # every round finds at least one component
         active = state.where(F.col("scc").isNull()).select("id")
-        e = (e_all.join(active.withColumnRenamed("id", "src"), "src")
-             .join(active.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
-        last_edges, e_all = e_all, cut_lineage(e)  # edges of found components never come back
-        release(last_edges)
-        e = e_all
-        has_out = e.select(F.col("src").alias("id")).distinct().withColumn("_o", F.lit(True))
-        has_in = e.select(F.col("dst").alias("id")).distinct().withColumn("_i", F.lit(True))
-        core = (active.join(has_out, "id").join(has_in, "id").select("id"))
-        # nodes outside the core are singleton components
-        last, state = state, cut_lineage(
-            state.join(core.withColumn("_c", F.lit(True)), "id", "left")
-            .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id"))
-                    .otherwise(F.col("scc")).alias("scc")))
+        has_out = back.join(active.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct()
+        has_in = out.join(active.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        core = active.join(has_out, "id").join(has_in, "id").withColumn("_c", F.lit(True))
+        last, state = state, _buckets(
+            state.join(core, "id", "left")  # nodes outside the core are components of their own
+            .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id")).otherwise(F.col("scc")).alias("scc")), "id")
         release(last)
         core = state.where(F.col("scc").isNull()).select("id")
-        if core.limit(1).count() == 0:
-            release(e_all)
+        left = core.count()
+        if not left:
+            release(out, back)
             return state
-        ce = cut_lineage(e.join(core.withColumnRenamed("id", "src"), "src")
-                         .join(core.withColumnRenamed("id", "dst"), "dst").select("src", "dst"))
-        colour = _propagate_max(core.select("id", F.col("id").alias("label")), ce)
-        back = (ce.join(colour.select(F.col("id").alias("src"), F.col("label").alias("cs")), "src")
-                .join(colour.select(F.col("id").alias("dst"), F.col("label").alias("cd")), "dst")
-                .where(F.col("cs") == F.col("cd")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        seed = colour.select("id", F.when(F.col("id") == F.col("label"), 1).otherwise(0).alias("label"))
-        back = cut_lineage(back)
-        found = _propagate_max(seed, back, changed=F.col("label") == 1)  # only roots push
-        won = (found.where("label = 1").select("id")
-               .join(colour.select("id", F.col("label").alias("_s")), "id"))
-        last, state = state, cut_lineage(state.join(won, "id", "left")
-                                         .select("id", F.coalesce("scc", "_s").alias("scc")))
-        release(last, ce, colour, back, found)
+        if size is None or 2 * left <= size:
+            size, used = left, (out, back)
+            out = _buckets(out.join(core.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"), "src")
+            back = _buckets(back.join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "dst")
+            release(*used)
+        colour = spread(core.select("id", F.lit(0).cast("bigint").alias("colour"), F.col("id").alias("label"), F.lit(True).alias("_chg")), out, "src", "dst")
+        root = F.col("id") == F.col("label")
+        found = spread(colour.select("id", F.col("label").alias("colour"), root.cast("int").alias("label"), root.alias("_chg")), back, "dst", "src")
+        won = found.where("label = 1").select("id", F.col("colour").alias("_s"))
+        last, state = state, _buckets(state.join(won, "id", "left").select("id", F.coalesce("scc", "_s").alias("scc")), "id")
+        release(last, colour, found)
 
 
 def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -150,24 +160,22 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
     head is placed: the pending counts add up to the edges still needed, and whenever these fall
     to half of the stored ones the rest is rewritten, so rounds read what is left of the graph.
     """
-    e = cut_lineage(dag.select("src", "dst").distinct())
+    e = adjacency(dag, "dst")
     outdeg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
-    state = (nodes.select("id").distinct().join(outdeg, "id", "left")
-             .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"),
-                     F.lit(None).cast("int").alias("level")))
-    state = cut_lineage(state)
+    state = _buckets(nodes.select("id").distinct().join(outdeg, "id", "left")
+                     .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(None).cast("int").alias("level")), "id")
     level, n_edges = 0, None
     while True:
         last = state
         for _ in range(unroll):
             is_ready = F.col("level").isNull() & (F.col("pending") == 0)
             ready = state.where(is_ready).select(F.col("id").alias("dst"))
-            dec = e.join(ready, "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"))
-            state = (state.join(dec, "id", "left")
+            dec = e.join(ready, "dst").groupBy(F.col("src").alias("_id")).agg(F.count(F.lit(1)).alias("d"))
+            state = (state.join(dec, F.col("id") == F.col("_id"), "left")
                      .select("id", (F.col("pending") - F.coalesce("d", F.lit(0))).alias("pending"),
                              F.when(is_ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
             level += 1
-        state = cut_lineage(state)
+        state = _buckets(state, "id")
         release(last)
         left, top, needed = state.agg(F.count_if(F.col("level").isNull()), F.max("level"), F.sum("pending")).first()
         if left == 0:
@@ -178,7 +186,7 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
             raise ValueError("graph has a cycle; relax it first")
         if n_edges is None or needed * 2 <= n_edges:
             unplaced = state.where(F.col("level").isNull()).select(F.col("id").alias("dst"))
-            stored, e = e, cut_lineage(e.join(unplaced, "dst", "left_semi").select("src", "dst"))
+            stored, e = e, _buckets(e.join(unplaced, "dst", "left_semi").select("src", "dst"), "dst")
             release(stored)
             n_edges = needed
 
@@ -197,25 +205,21 @@ def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
     component minimum; jumping halves label chains, so rounds grow with the logarithm of
     the diameter rather than with the diameter.
     """
-    both = cut_lineage(
-        edges.select("src", "dst")
-        .unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        .where(F.col("src") != F.col("dst")).distinct())
-    state = cut_lineage(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")))
+    both = adjacency(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "src")
+    state = _buckets(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")), "id")
     while True:
         last = state
         for _ in range(unroll):
             frontier = state.where("_chg").select(F.col("id").alias("src"), F.col("label").alias("l"))
-            cand = (both.join(frontier, "src").groupBy("dst").agg(F.min("l").alias("m"))
-                    .withColumnRenamed("dst", "id"))
-            hop = (state.join(cand, "id", "left")
+            cand = both.join(frontier, "src").groupBy(F.col("dst").alias("_id")).agg(F.min("l").alias("m"))
+            hop = (state.join(cand, F.col("id") == F.col("_id"), "left")
                    .select("id", F.col("label").alias("_old"),
                            F.least("label", F.coalesce("m", "label")).alias("label")))
             parent = hop.select(F.col("id").alias("label"), F.col("label").alias("_pl"))
             state = (hop.join(parent, "label", "left")
                      .select("id", F.least("label", F.coalesce("_pl", "label")).alias("label"), "_old")
                      .select("id", "label", (F.col("label") < F.col("_old")).alias("_chg")))
-        state = cut_lineage(state)
+        state = _buckets(state, "id")
         release(last)
         if state.where("_chg").limit(1).count() == 0:
             release(both)
@@ -230,26 +234,71 @@ def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .distinct())
 
 
-def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, max_level: int | None = None):
+class LevelStore:
+    """Results of a level-ordered job, written once under ``level=k``, and the edges once, partitioned by their source's level.
+
+    A level reads the edge rows of its own level and, of the results, the levels that these edges lead to.
+    """
+
+    def __init__(self, levels: DataFrame, dag: DataFrame):
+        self.spark = levels.sparkSession
+        self.root = f"{checkpoint_dir(self.spark).rstrip('/')}/levels-{uuid.uuid4().hex}"
+        at = levels.select("id", "level")
+        up, down = at.select(F.col("id").alias("src"), "level"), at.select(F.col("id").alias("dst"), F.col("level").alias("dst_level"))
+        dag.select("src", "dst").distinct().join(up, "src").join(down, "dst").write.partitionBy("level").parquet(f"{self.root}/edges")
+        at.write.partitionBy("level").parquet(f"{self.root}/nodes")
+        edges = self.spark.read.schema("src bigint, dst bigint, dst_level int, level int").parquet(f"{self.root}/edges")
+        pairs = edges.groupBy("level", "dst_level").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()  # one row per pair of levels
+        self.leads_to: dict[int, list[int]] = {}
+        for r in pairs:
+            self.leads_to.setdefault(r["level"], []).append(r["dst_level"])
+        self.top = at.agg(F.max("level")).first()[0]
+        self.schema = None
+
+    def nodes(self, level: int) -> DataFrame:
+        return self.spark.read.schema("id bigint").parquet(f"{self.root}/nodes/level={level}")
+
+    def children(self, level: int) -> DataFrame | None:
+        """(id, child, the child's result columns) of the level's nodes; None where no edge leaves the level."""
+        needed = [k for k in sorted(self.leads_to.get(level, ())) if k < level]
+        if not needed or self.schema is None:
+            return None
+        edges = self.spark.read.schema("src bigint, dst bigint").parquet(f"{self.root}/edges/level={level}")
+        found = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/results/level={k}" for k in needed])
+        return edges.join(found.withColumnRenamed("id", "dst"), "dst").withColumnRenamed("src", "id").withColumnRenamed("dst", "child")
+
+    def write(self, level: int, results: DataFrame) -> None:
+        self.schema = results.schema
+        results.write.mode("append").parquet(f"{self.root}/results/level={level}")
+
+    def results(self, schema=None) -> DataFrame | None:
+        if self.schema is None:
+            return None
+        out = self.spark.read.schema(self.schema).parquet(f"{self.root}/results/level=*")
+        out._checkpoint = self.root  # ``release`` drops the whole store
+        return out
+
+
+def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, batch_size: int | None = None):
     """GRF-5: process nodes level by level; each node sees only its direct successors' results.
 
-    ``node_fn(frontier, child_results) -> DataFrame`` receives the nodes of one level
-    (``id``) and the rows the previous levels produced for their direct successors
-    (``id``, ``child`` and the child's result columns) and returns result rows keyed by
-    ``id``. Results of each level are checkpointed before the next level starts.
+    ``node_fn(frontier, child_results) -> DataFrame`` receives the nodes of one level (``id``) and the rows that earlier levels
+    produced for their direct successors (``id``, ``child`` and the child's result columns; None where no edge leaves
+    the level) and returns result rows keyed by ``id``. Every result is written once (``LevelStore``). With ``batch_size`` a level is
+    processed in batches of so many nodes in id order, one after the other; without it a level is one batch.
+    ``session.release`` of the returned frame deletes the store.
     """
-    if max_level is None:
-        max_level = levels.agg(F.max("level")).first()[0]
-    results = None
-    for lv in range(0, (max_level if max_level is not None else -1) + 1):
-        frontier = levels.where(F.col("level") == lv).select("id")
-        if results is None:
-            child = None
-        else:
-            child = (dag.join(frontier.withColumnRenamed("id", "src"), "src")
-                     .join(results.withColumnRenamed("id", "dst"), "dst")
-                     .withColumnRenamed("src", "id").withColumnRenamed("dst", "child"))
-        res = node_fn(frontier, child)
-        # one checkpoint per level: the accumulated results the next level reads
-        results = cut_lineage(res if results is None else results.unionByName(res))
-    return results
+    store = LevelStore(levels, dag)
+    for k in range((store.top if store.top is not None else -1) + 1):
+        nodes, child = store.nodes(k), store.children(k)
+        if batch_size is None:
+            store.write(k, node_fn(nodes, child))
+            continue
+        numbered = dense_index(nodes, ["id"], index_col="_i")
+        placed = cut_lineage(numbered.select("id", F.floor(F.col("_i") / batch_size).alias("_b")))
+        release(numbered)
+        for b in range(placed.agg(F.max("_b")).first()[0] + 1):
+            batch = placed.where(F.col("_b") == b).select("id")
+            store.write(k, node_fn(batch, child.join(batch, "id", "left_semi") if child is not None else None))
+        release(placed)
+    return store.results()

@@ -314,7 +314,7 @@ def level_propagation(spark, sf_dir):
 
     def node_fn(frontier, child):
         f = frontier.join(own, "id", "left")
-        if child is None:
+        if child is None:  # no edge leaves the level
             return f.select("id", F.coalesce("own", F.lit(False)).alias("changed"))
         c = child.groupBy("id").agg(F.max(F.col("changed").cast("int")).alias("_c"))
         return f.join(c, "id", "left").select(
