@@ -53,6 +53,8 @@ BLOCK = 1024
 #: a block of the link count holds at most LINK_BLOCK classes and, apart from a single larger set, about LINK_SHINGLES shingles
 LINK_BLOCK = 512
 LINK_SHINGLES = 1 << 20
+#: a key of at most so many classes is one row; of a larger one at most HELD rows are held while it is read
+PACKED, HELD = 64, 4096
 #: (document, class) pairs that are broadcast at most, 16 bytes each
 ID_ROWS = 2_000_000
 _CELL_SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -246,46 +248,71 @@ def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _stars(keys: DataFrame) -> DataFrame:
-    """(key, class, first) for every key with two or more classes; streamed, constant memory."""
+    """What keys with two or more classes give, streamed in key order with bounded memory:
+
+    * (a, b): each member with the key's first one;
+    * (key, classes): the members of a key of 3 to ``PACKED`` of them, one row a key;
+    * (key, a): the members of larger keys, a row each.
+    """
     dealt = keys.repartition(C.partitions(keys.sparkSession), "key").sortWithinPartitions("key", "class")
+    none = np.empty(0, np.int64)
 
     def scan(batches):
-        last_key = first = last = None
-        opened = False
-        for b in batches:
-            key, cls = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        key, cls, large = none, none, None  # rows of the last key, which may go on; (key, first) of a larger one
+        for batch in batches:
+            k, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            key, cls = np.concatenate([key, k]), np.concatenate([cls, c])
             if not len(key):
                 continue
-            new = np.empty(len(key), bool)  # the first row of its key
-            new[0] = last_key is None or key[0] != last_key
-            np.not_equal(key[1:], key[:-1], out=new[1:])
-            fresh = np.empty(len(key), bool)  # not a repeat of the row before
-            fresh[0] = new[0] or cls[0] != last
-            fresh[1:] = new[1:] | (cls[1:] != cls[:-1])
-            heads = np.flatnonzero(new)
-            owner = np.searchsorted(heads, np.arange(len(key)), side="right") - 1
-            if len(heads):
-                head = np.where(owner >= 0, cls[heads[np.maximum(owner, 0)]], first if first is not None else 0)
-            else:
-                head = np.full(len(key), first, np.int64)
-            member = fresh & (cls != head)
-            o_key, o_cls, o_first = [key[member]], [cls[member]], [head[member]]
-            # the first class of a key becomes a row of its own once a second class is seen
-            k2, at = np.unique(key[member], return_index=True)
-            f2 = head[member][at]
-            if opened and len(k2) and last_key is not None and not new[0]:
-                drop = k2 == last_key
-                k2, f2 = k2[~drop], f2[~drop]
-            o_key.append(k2)
-            o_cls.append(f2)
-            o_first.append(f2)
-            tail_open = bool(member[owner == owner[-1]].any())
-            opened = tail_open or (opened and not new.any())
-            last_key, last, first = key[-1], cls[-1], head[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (o_key, o_cls, o_first)],
-                                             names=["key", "class", "first"])
-
-    return dealt.mapInArrow(scan, "key long, class long, first long")
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            key, cls = key[fresh], cls[fresh]
+            if large is not None:
+                own = key == large[0]
+                yield flat(large, cls[own])
+                if own.all():
+                    key, cls = none, none
+                    continue
+                key, cls, large = key[~own], cls[~own], None
+            cut = int(np.searchsorted(key, key[-1])) if (key[:-1] <= key[1:]).all() else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            yield complete(key[:cut], cls[:cut])
+            key, cls = key[cut:], cls[cut:]
+            if len(key) > HELD:
+                large = (int(key[0]), int(cls[0]))
+                yield flat(large, cls)
+                key, cls = none, none
+        if len(key):
+            yield complete(key, cls)
+
+    def complete(key, cls):
+        if not len(key):
+            return out(none, none, none, none, [0], none)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(heads, len(key)))
+        first, n = np.repeat(cls[heads], size), np.repeat(size, size)
+        other = np.ones(len(key), bool)
+        other[heads] = False
+        pair = np.unique(np.stack([np.minimum(cls, first), np.maximum(cls, first)])[:, other], axis=1)
+        packed, big = (n > 2) & (n <= PACKED), n > PACKED
+        kept = size[(size > 2) & (size <= PACKED)]
+        return out(pair[0], pair[1], key[big], cls[big], np.append(0, np.cumsum(kept)), cls[packed], key[heads][(size > 2) & (size <= PACKED)])
+
+    def flat(large, cls):
+        first = np.full(len(cls), large[1])
+        rest = cls != first
+        return out(np.minimum(cls, first)[rest], np.maximum(cls, first)[rest], np.full(len(cls), large[0]), cls, [0], none)
+
+    def out(a, b, key, cls, offsets, classes, names=none):
+        kinds = (len(a), len(key), len(names))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(classes, pa.int64()))
+        empty = lambda n, t=pa.int64(): pa.nulls(n, t)
+        cols = [pa.concat_arrays([empty(kinds[0]), pa.array(key, pa.int64()), pa.array(names, pa.int64())]),
+                pa.concat_arrays([pa.array(a, pa.int64()), pa.array(cls, pa.int64()), empty(kinds[2])]),
+                pa.concat_arrays([pa.array(b, pa.int64()), empty(kinds[1] + kinds[2])]),
+                pa.concat_arrays([empty(kinds[0] + kinds[1], lists.type), lists])]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "classes"])
+
+    return dealt.mapInArrow(scan, "key long, a long, b long, classes array<long>")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -500,24 +527,28 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
     rows = C.stored(_classes(docs, width), "classes")
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     stars = C.stored(_stars(_keys(docs, width, percent)), "keys")
-    ids = C.stored(classes.join(stars.select("class").distinct(), "class"), "ids")
+    pairs = C.stored(stars.where("key is null").select("a", "b").distinct(), "pairs")
+    ids = C.stored(classes.join(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "class"), "ids")
     sets = C.stored(rows.join(ids, ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["class"]), "sets")
-    pairs = stars.where("class <> first").select(F.least("class", "first").alias("a"), F.greatest("class", "first").alias("b")).distinct()
     able = C.stored(_bounded(pairs, sets, percent), "pairs")
     links = C.stored(_exact(able, docs, ids, width, percent), "links")
-    C.discard(able)
+    C.discard(able, pairs)
     used = [links]
     label = C.components(links).withColumnRenamed("node", "class")
 
     def open_keys(members):
-        """Keys that still hold several components. With two classes their one pair is decided; of keys with the same classes one goes on."""
+        """Keys that still hold several components."""
         known = members.join(label, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-        mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"),
-                                          F.bit_xor(F.xxhash64("class")).alias("same"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("same2"))
-                 .where("x <> y and members > 2").groupBy("members", "same", "same2").agg(F.min("key").alias("k")).select("k", "members"))
+        mixed = (known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members"))
+                 .where("x <> y").select(F.col("key").alias("k"), "members"))
         return known.join(mixed, known["key"] == mixed["k"]).drop("k")
 
-    members = stars.select("key", "class")
+    # of keys with the same members (by two hashes) one goes on; keys of two are decided by their pair
+    packed = (stars.where("classes is not null").withColumn("same", F.xxhash64("classes")).withColumn("same2", F.xxhash64(F.lit(1), "classes"))
+              .groupBy("same", "same2").agg(F.min_by("classes", "key").alias("classes"), F.min("key").alias("key")))
+    members = C.stored(packed.select("key", F.explode("classes").alias("class"))
+                       .unionByName(stars.where("key is not null and classes is null").select("key", F.col("a").alias("class"))), "members")
+    used.append(members)
     for every in (False, True):
         found = C.stored(_tiles(open_keys(members), sets, percent, block, every), "tiles")
         late = C.stored(_exact(C.stored(found.select("a", "b").distinct(), "pairs"), docs, ids, width, percent), "links")

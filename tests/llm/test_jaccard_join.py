@@ -46,7 +46,10 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("width,percent,block", [(3, 90, 1024), (5, 80, 2)])
-def test_edge_cases_match_brute_force(spark, width, percent, block):
+def test_edge_cases_match_brute_force(spark, monkeypatch, width, percent, block):
+    if block == 2:  # keys of more than three members are large, and not held whole
+        monkeypatch.setattr(J, "PACKED", 3)
+        monkeypatch.setattr(J, "HELD", 5)
     rows = X.edge_rows()
     assert _rows(J.jaccard_join(X.frame(spark, rows), width, percent, block)) == brute(rows, width, percent)
 
@@ -69,6 +72,26 @@ def test_links_near_the_threshold(spark, width, percent):
     assert _rows(J.jaccard_join(X.frame(spark, rows), width, percent)) == want
 
 
+@pytest.mark.parametrize("packed,held", [(64, 4096), (3, 4), (4, 4)])
+def test_keys_become_pairs_and_members(spark, monkeypatch, packed, held):
+    """Every member meets its key's first one; members of three and more go on, whatever the batches."""
+    monkeypatch.setattr(J, "PACKED", packed)
+    monkeypatch.setattr(J, "HELD", held)
+    r = random.Random(8)
+    keys = {k: {r.randrange(-50, 50) for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 9, 30]))} for k in range(-60, 60)}
+    rows = [(k, c) for k, m in keys.items() for c in m for _ in range(r.choice([1, 1, 2]))]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = J._stars(spark.createDataFrame(rows, "key long, class long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = {(x["a"], x["b"]) for x in got if x["key"] is None}
+    assert pairs == {(min(m), c) for m in keys.values() for c in m if c != min(m)}
+    members = {(x["key"], c) for x in got if x["key"] is not None for c in (x["classes"] or [x["a"]])}
+    assert members == {(k, c) for k, m in keys.items() if len(m) > 2 for c in m}
+
+
 def test_query_matches_brute_force(spark):
     assert _rows(QUERIES["op3_jaccard_join"](spark, X.SF)) == brute(X.documents(spark), 3, 90)
 
