@@ -52,17 +52,25 @@ def graph_nodes(files: DataFrame, edges: DataFrame, id_col: str = "id") -> DataF
 
 # Steps of a fixpoint evaluated per Spark job; the change count is checked once per job.
 UNROLL = 2
+#: smaller graphs keep their state in one bucket per so many rows: their joins are broadcasts, and files cost more than rows
+BUCKET_ROWS = 100_000
 
 
-def _buckets(df: DataFrame, key: str) -> DataFrame:
+def _buckets(df: DataFrame, key: str, n: int | None = None, **figures) -> DataFrame:
     """A stored table in buckets by ``key``, as many as shuffle partitions: a join on the key moves the other side alone."""
-    return bucketed(df, [key], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return bucketed(df, [key], n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), **figures)
+
+
+def _state_buckets(nodes: DataFrame, edges: DataFrame) -> int:
+    """Buckets of a state over ``nodes``: those of the edges (from ``adjacency``), or fewer in a small graph."""
+    n, rows = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(nodes.count(), edges.figures["rows"])
+    return n if rows >= n * BUCKET_ROWS else max(1, rows // BUCKET_ROWS)
 
 
 def adjacency(edges: DataFrame, key: str) -> DataFrame:
     """Edges without loops and repeats, once in buckets by their end ``key``; rounds read them where they are."""
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _buckets(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct().repartition(n, key), key)
+    return bucketed(edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct().repartition(n, key), [key], n, rows=F.count(F.lit(1)))
 
 
 def step(state: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
@@ -74,7 +82,7 @@ def step(state: DataFrame, edges: DataFrame, frm: str, to: str) -> DataFrame:
                     F.coalesce(F.col("_m") > F.col("label"), F.lit(False)).alias("_chg")))
 
 
-def spread(labels: DataFrame, edges: DataFrame, frm: str, to: str, unroll: int = UNROLL) -> DataFrame:
+def spread(labels: DataFrame, edges: DataFrame, frm: str, to: str, n: int | None = None, unroll: int = UNROLL) -> DataFrame:
     """labels(id, colour, label, _chg): label(v) := max over edges u -> v between nodes of one colour, to a fixpoint.
 
     Semi-naive: only labels that changed in the step before (first those with ``_chg``) are pushed along the
@@ -82,14 +90,14 @@ def spread(labels: DataFrame, edges: DataFrame, frm: str, to: str, unroll: int =
     plan, then the state is stored and the changes of the last step are looked for; a step past the fixpoint
     changes nothing, so overshooting is harmless.
     """
-    state = _buckets(labels, "id")
+    state = _buckets(labels, "id", n)
     while True:
         last = state
         for _ in range(unroll):
             state = step(state, edges, frm, to)
-        state = _buckets(state, "id")
+        state = _buckets(state, "id", n, changed=F.count_if("_chg"))
         release(last)
-        if state.where("_chg").limit(1).count() == 0:
+        if not state.figures["changed"]:
             return state
 
 
@@ -104,7 +112,8 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rewritten (in place, by their own end) when half of the nodes are done.
     """
     out, back = adjacency(edges, "src"), adjacency(edges, "dst")
-    state = _buckets(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")), "id")
+    n = _state_buckets(nodes, out)
+    state = _buckets(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")), "id", n)
     size = None
     while True:  # every round finds at least one component
         active = state.where(F.col("scc").isNull()).select("id")
@@ -113,10 +122,11 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         core = active.join(has_out, "id").join(has_in, "id").withColumn("_c", F.lit(True))
         last, state = state, _buckets(
             state.join(core, "id", "left")  # nodes outside the core are components of their own
-            .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id")).otherwise(F.col("scc")).alias("scc")), "id")
+            .select("id", F.when(F.col("scc").isNull() & F.col("_c").isNull(), F.col("id")).otherwise(F.col("scc")).alias("scc")), "id", n,
+            left=F.count_if(F.col("scc").isNull()))
         release(last)
         core = state.where(F.col("scc").isNull()).select("id")
-        left = core.count()
+        left = state.figures["left"]
         if not left:
             release(out, back)
             return state
@@ -125,11 +135,11 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             out = _buckets(out.join(core.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"), "src")
             back = _buckets(back.join(core.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "dst")
             release(*used)
-        colour = spread(core.select("id", F.lit(0).cast("bigint").alias("colour"), F.col("id").alias("label"), F.lit(True).alias("_chg")), out, "src", "dst")
+        colour = spread(core.select("id", F.lit(0).cast("bigint").alias("colour"), F.col("id").alias("label"), F.lit(True).alias("_chg")), out, "src", "dst", n)
         root = F.col("id") == F.col("label")
-        found = spread(colour.select("id", F.col("label").alias("colour"), root.cast("int").alias("label"), root.alias("_chg")), back, "dst", "src")
+        found = spread(colour.select("id", F.col("label").alias("colour"), root.cast("int").alias("label"), root.alias("_chg")), back, "dst", "src", n)
         won = found.where("label = 1").select("id", F.col("colour").alias("_s"))
-        last, state = state, _buckets(state.join(won, "id", "left").select("id", F.coalesce("scc", "_s").alias("scc")), "id")
+        last, state = state, _buckets(state.join(won, "id", "left").select("id", F.coalesce("scc", "_s").alias("scc")), "id", n)
         release(last, colour, found)
 
 
@@ -161,9 +171,10 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
     to half of the stored ones the rest is rewritten, so rounds read what is left of the graph.
     """
     e = adjacency(dag, "dst")
+    n = _state_buckets(nodes, e)
     outdeg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
     state = _buckets(nodes.select("id").distinct().join(outdeg, "id", "left")
-                     .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(None).cast("int").alias("level")), "id")
+                     .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(None).cast("int").alias("level")), "id", n)
     level, n_edges = 0, None
     while True:
         last = state
@@ -175,10 +186,10 @@ def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) ->
                      .select("id", (F.col("pending") - F.coalesce("d", F.lit(0))).alias("pending"),
                              F.when(is_ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
             level += 1
-        state = _buckets(state, "id")
+        state = _buckets(state, "id", n, left=F.count_if(F.col("level").isNull()), top=F.max("level"), needed=F.sum("pending"))
         release(last)
-        left, top, needed = state.agg(F.count_if(F.col("level").isNull()), F.max("level"), F.sum("pending")).first()
-        if left == 0:
+        left, top, needed = (state.figures[k] for k in ("left", "top", "needed"))
+        if not left:
             release(e)
             return state.select("id", "level")
         if top is None or top < level - unroll:
@@ -206,7 +217,8 @@ def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
     the diameter rather than with the diameter.
     """
     both = adjacency(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "src")
-    state = _buckets(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")), "id")
+    n = _state_buckets(nodes, both)
+    state = _buckets(nodes.select("id", F.col("id").alias("label"), F.lit(True).alias("_chg")), "id", n)
     while True:
         last = state
         for _ in range(unroll):
@@ -219,9 +231,9 @@ def weak_components(nodes: DataFrame, edges: DataFrame, unroll: int = UNROLL) ->
             state = (hop.join(parent, "label", "left")
                      .select("id", F.least("label", F.coalesce("_pl", "label")).alias("label"), "_old")
                      .select("id", "label", (F.col("label") < F.col("_old")).alias("_chg")))
-        state = _buckets(state, "id")
+        state = _buckets(state, "id", n, changed=F.count_if("_chg"))
         release(last)
-        if state.where("_chg").limit(1).count() == 0:
+        if not state.figures["changed"]:
             release(both)
             return state.select("id", F.col("label").alias("component"))
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 # Defaults sized for local[N] tests; a cluster passes its own values through spark-defaults.
 _DEFAULTS = {
@@ -110,18 +110,23 @@ def cut_lineage(df):
     return out
 
 
-def bucketed(df, keys: list[str], n: int):
+def bucketed(df, keys: list[str], n: int, **figures):
     """Write ``df`` into ``n`` sorted buckets by ``keys`` in the shared folder and return it as a table.
 
     Joins and aggregations on the keys read the buckets as they are; the other side alone is
-    shuffled. ``release`` drops the table.
+    shuffled. ``release`` drops the table. Aggregates given in ``figures`` are observed while the table is
+    written, without another pass; they come back as the dictionary ``figures`` of the table.
     """
     spark = df.sparkSession
     name = f"tessera_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    seen = Observation(name) if figures else None
+    if seen is not None:
+        df = df.observe(seen, *[c.alias(k) for k, c in figures.items()])
     df.write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
     out = spark.table(name)
     out._table, out._checkpoint = name, path
+    out.figures = seen.get if seen is not None else {}
     return out
 
 
