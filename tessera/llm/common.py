@@ -120,17 +120,23 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                   .where("a <> b").distinct(), f"{name}-edges")
-    label = stored(both.groupBy("a").agg(F.min("b").alias("m"))
-                   .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-labels")
+    n = both.count()
+    # few links (counted): their labels are broadcast and kept in few files, so that a round is a few tasks
+    few, tasks = n <= BROADCAST_ROWS, max(1, n // 50_000)
+    side = F.broadcast if few else (lambda df: df)
+    keep = (lambda df: stored(df.coalesce(tasks), f"{name}-labels")) if few else (lambda df: stored(df, f"{name}-labels"))
+    if few:
+        wide, both = both, stored(both.coalesce(tasks), f"{name}-edges")
+        discard(wide)
+    label = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     last = label
     while True:
-        near = (both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m")))
-        hooked = (label.join(near, label["node"] == near["a"])
+        near = both.join(side(label), both["b"] == label["node"]).groupBy("a").agg(F.min("label").alias("m"))
+        hooked = (near.join(side(label), label["node"] == near["a"])
                   .select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")))
         up = label.select(F.col("node").alias("p"), F.col("label").alias("pl"))
-        nxt = stored(hooked.join(up, hooked["label"] == up["p"], "left")
-                     .select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label")),
-                     f"{name}-labels")
+        nxt = keep(hooked.join(side(up), hooked["label"] == up["p"], "left")
+                   .select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label")))
         discard(last)
         last, label = nxt, nxt.select("node", "label")
         if not nxt.where("label <> old").limit(1).count():
