@@ -529,7 +529,8 @@ def _joined(docs: DataFrame, width: int, percent: int, block: int):
     stars = C.stored(_stars(_keys(docs, width, percent)), "keys")
     pairs = C.stored(stars.where("key is null").select("a", "b").distinct(), "pairs")
     ids = C.stored(classes.join(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct(), "class"), "ids")
-    sets = C.stored(rows.join(ids, ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["class"]), "sets")
+    known = F.broadcast(ids) if ids.count() <= ID_ROWS else ids
+    sets = C.stored(rows.join(known, ["class", "doc_id"]).select("class", F.col("n_shingles").alias("n"), "bits").dropDuplicates(["class"]), "sets")
     able = C.stored(_bounded(pairs, sets, percent), "pairs")
     links = C.stored(_exact(able, docs, ids, width, percent), "links")
     C.discard(able, pairs)
@@ -604,10 +605,11 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                       .groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"))
                       .agg(F.first(F.struct("doc_id", "text_hash") == F.col("least")).alias("_keep"), F.count(F.lit(1)).alias("_n")), "judged")
     C.discard(rows)
+    small = F.broadcast if judged.count() <= ID_ROWS else (lambda df: df)  # else the documents are shuffled
     gone, many = judged.where("not _keep"), judged.where("_keep and _n > 1")
     on = lambda side: (docs["doc_id"] == side["_i"]) & (F.xxhash64(docs["text"].cast("binary")) == side["_h"])
     if not many.limit(1).count():
-        return docs.join(gone, on(gone), "left_anti")
-    once = docs.join(many, on(many), "left_semi").dropDuplicates(["doc_id", "text"])
+        return docs.join(small(gone), on(gone), "left_anti")
+    once = docs.join(small(many), on(many), "left_semi").dropDuplicates(["doc_id", "text"])
     rest = judged.where("not _keep or _n > 1")
-    return docs.join(rest, on(rest), "left_anti").unionByName(once)
+    return docs.join(small(rest), on(rest), "left_anti").unionByName(once)
