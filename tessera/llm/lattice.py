@@ -12,8 +12,8 @@ Words seen in training also have an arc of their own through the whole word. Wit
 
     P(word) = max(c - D, 0) / N + D * V / N * P_lattice(word)
 
-which sums to one. Each class of the training documents (the largest ``MAX_CLASSES`` values of the column
-``classes``, their language) discounts its own counts in the same way and backs off to P. Within a
+which sums to one. Each class of the training documents (the values of the column ``classes``, their language; with more than
+``n_classes`` of them the rarest share one) discounts its own counts in the same way and backs off to P. Within a
 document words come in bursts, so its words follow the Dirichlet mixture around the class's P with
 concentration ``alpha`` (a word seen k times in m words so far has (k + alpha * P) / (m + alpha)); the end token
 comes with the class's own probability. The score is the log10 of the sum over the classes, weighted by
@@ -49,7 +49,7 @@ from . import common as C
 FOLD = (7, 2)
 HOT_WORDS = 100_000
 ROUNDS = 2
-MAX_CLASSES = 8
+N_CLASSES = 8
 ALPHA = 2_000.0
 #: words of more bytes go through the lattice in segments of so many positions
 LONG = 256
@@ -361,15 +361,17 @@ def count_words(docs: DataFrame, classes: int = 0) -> DataFrame:
             .groupBy("word").agg(F.sum("c").alias("c"), *each))
 
 
-def _with_class(base: DataFrame) -> tuple[DataFrame, int]:
-    """``base`` with class, the place of ``value`` among its most frequent training values, and their number
-    (at most ``MAX_CLASSES``, so the list that the driver reads is bounded)."""
+def _with_class(base: DataFrame, n_classes: int = N_CLASSES) -> tuple[DataFrame, int]:
+    """``base`` with class, and the number of classes: every training value has a class of its own, or, where there are more
+    than ``n_classes`` values, the most frequent ``n_classes - 1`` have one each and all others share the last."""
     top = (base.where(F.col("train") & F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-           .orderBy(F.desc("n"), "value").limit(MAX_CLASSES).collect())
-    place = F.lit(None).cast("int")
-    for j, r in enumerate(top):
+           .orderBy(F.desc("n"), "value").limit(n_classes + 1).collect())
+    more = len(top) > n_classes
+    named = top[:n_classes - 1] if more else top
+    place = F.when(F.col("value").isNotNull(), F.lit(n_classes - 1)) if more else F.lit(None).cast("int")
+    for j, r in enumerate(named):
         place = F.when(F.col("value") == F.lit(r["value"]), F.lit(j)).otherwise(place)
-    return base.withColumn("class", place), len(top)
+    return base.withColumn("class", place), min(len(top), n_classes)
 
 
 class Smoothed:
@@ -401,7 +403,7 @@ class Smoothed:
 
 
 def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None = None, rounds: int = ROUNDS,
-          hot_words: int = HOT_WORDS, classes: str | None = "lang", alpha: float = ALPHA) -> DataFrame:
+          hot_words: int = HOT_WORDS, classes: str | None = "lang", alpha: float = ALPHA, n_classes: int = N_CLASSES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.ship(spark)
@@ -409,7 +411,7 @@ def score(docs: DataFrame, fold: tuple[int, int] = FOLD, vocabulary: str | None
     value = docs[classes].cast("string") if classes in docs.columns else F.lit(None).cast("string")
     base = docs.select(docs["doc_id"], docs["text"].cast("binary").alias("text"), value.alias("value"))
     base = base.withColumn("held_out", C.held_out(base["doc_id"], *fold)).withColumn("train", ~F.col("held_out"))
-    base, n_classes = _with_class(base)
+    base, n_classes = _with_class(base, n_classes)
     counts = C.stored(count_words(base, n_classes), "words")
     one = F.lit(1)
     cs = [*(f"c_{j}" for j in range(n_classes)), "c"]

@@ -183,3 +183,16 @@ def test_empty_and_untrained(spark):
     held = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = L.score(X.frame(spark, [(i, "some words") for i in held])).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_every_value_has_a_class(spark):
+    """With more values than classes the rarest share the last one; none trains the classless model alone."""
+    from tessera.llm import lattice
+    rows = [(f"l{k}", True) for k in range(11) for _ in range(20 - k)] + [(None, True), ("unseen", False)]
+    base = spark.createDataFrame(rows, "value string, train boolean")
+    for n, want in ((8, 8), (20, 11)):
+        found, number = lattice._with_class(base, n)
+        by = {r["value"]: r["class"] for r in found.distinct().collect()}
+        assert number == want and by[None] is None
+        assert [by[f"l{k}"] for k in range(11)] == [min(k, n - 1) for k in range(11)]
+        assert by["unseen"] == (7 if n == 8 else None)
