@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,7 +31,7 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or sorted(QUERIES)
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
-    spark = build_session(f"local[{cpus}]", parts)
+    spark = build_session(f"local[{cpus}]", parts, extra={"spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="tessera-shared-")})
     # warm-up: JVM, parquet footers and codegen caches
     _consume(QUERIES["line_count"](spark, sf_dir))
     times, rows = {}, {}

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[*]", 8)
+    s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="tessera-shared-")})
     yield s
     s.stop()
