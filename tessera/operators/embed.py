@@ -88,7 +88,7 @@ def text_key(c) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
-def _apply_embed(df: DataFrame, text: str, embed, out: str) -> DataFrame:
+def apply_embed(df: DataFrame, text: str, embed, out: str) -> DataFrame:
     if embed is None:
         return V.with_letter_profile(df, text, out)
     return embed_texts(df, text, embed, out)
@@ -138,7 +138,7 @@ def refresh_corpus(examples: DataFrame, stored: DataFrame | None, embed=None,
         .groupBy("key").agg(F.min("vec").alias("vec")))
     missing = unembedded_strings(ex, known)
     # model output is materialised once, so both lookups below reuse it (one call per string)
-    fresh = cut_lineage(_apply_embed(missing, "text", embed, "vec").select("key", "vec"))
+    fresh = cut_lineage(apply_embed(missing, "text", embed, "vec").select("key", "vec"))
     vectors = known.unionByName(fresh)
     merged = ex.alias("n").join(st.alias("o"), id_col, "full_outer").select(
         id_col,

@@ -1,62 +1,34 @@
 """Incremental corpus refresh as a Structured Streaming job (VEC-5 on arriving files).
 
-New example files landing in a folder are processed with ``trigger(availableNow=True)``;
-each micro-batch is upserted into the embedded corpus with ``refresh_corpus`` inside
-``foreachBatch`` and written to a new version folder (write then swap), so a failed batch
-leaves the previous version intact and the checkpoint makes the job restartable.
+New example files landing in a folder are processed with ``trigger(availableNow=True)``; each micro-batch is applied to a
+copy-on-write bucket store inside ``foreachBatch``: only the buckets it touches are rewritten, and the manifest
+commits them with the batch's epoch, so a failed batch leaves the version before and a replayed one changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.embed import refresh_corpus
-from ..sources.loaders import EMBEDDED_SCHEMA
+from .store import BUCKETS, BucketStore
 
 EXAMPLES_SCHEMA = "id bigint, example string, rewrite string"
 
 
-def _latest(spark: SparkSession, root: str) -> tuple[int, DataFrame | None]:
-    """Number and frame of the newest complete version (-1 and None without one)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return -1, None
-    versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                      if s.getPath().getName().startswith("v=") and
-                      fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if not versions:
-        return -1, None
-    return versions[-1], spark.read.schema(EMBEDDED_SCHEMA).parquet(posixpath.join(root, f"v={versions[-1]:09d}"))
-
-
 def run_refresh_stream(spark: SparkSession, incoming: str, corpus_root: str, checkpoint: str,
-                       embed=None, fmt: str = "json"):
-    """Process every example file under ``incoming`` once and stop (availableNow)."""
+                       embed=None, fmt: str = "json", buckets: int = BUCKETS) -> DataFrame:
+    """Process every example file under ``incoming`` once and stop (availableNow); returns the corpus."""
     src = spark.readStream.schema(EXAMPLES_SCHEMA).format(fmt)
     if fmt == "json":
         src = src.option("multiLine", "true")
     stream = src.load(incoming)
-
-    # one marker per applied epoch of this checkpoint: a replayed epoch is not applied twice
-    applied = posixpath.join(corpus_root, "_applied", hashlib.sha256(checkpoint.encode()).hexdigest()[:16])
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]  # epochs count within a checkpoint
 
     def upsert(batch: DataFrame, epoch: int):
-        jvm, marker = spark._jvm, f"{applied}-{epoch:09d}"
-        path = jvm.org.apache.hadoop.fs.Path(marker)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            return
-        version, stored = _latest(spark, corpus_root)
-        out = refresh_corpus(batch, stored, embed=embed)
-        out.write.mode("overwrite").parquet(posixpath.join(corpus_root, f"v={version + 1:09d}"))
-        fs.mkdirs(path)
+        BucketStore(batch.sparkSession, corpus_root, buckets).upsert(batch, name, epoch, embed)
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, corpus_root)[1]
+    return BucketStore(spark, corpus_root, buckets).read("records")

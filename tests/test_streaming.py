@@ -35,3 +35,39 @@ def test_refresh_stream_new_checkpoint_adds_a_version(spark):
         json.dump([{"id": 3, "example": "n", "rewrite": "m"}], fh)
     out = run_refresh_stream(spark, other, corpus, os.path.join(d, "ck2"))
     assert {r["id"] for r in out.collect()} == {1, 3}
+
+
+def _files(root):
+    return {os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".parquet")}
+
+
+def test_one_record_rewrites_one_bucket(spark):
+    from tessera.streaming.store import BucketStore
+    root = tempfile.mkdtemp(prefix="tessera-store-")
+    schema, calls = "id bigint, example string, rewrite string", os.path.join(tempfile.mkdtemp(), "calls")
+    open(calls, "w").close()
+
+    def embed(texts, calls=calls):
+        with open(calls, "a") as f:
+            f.writelines(t + "\n" for t in texts)
+        return [[float(len(t))] for t in texts]
+
+    first = spark.createDataFrame([(k, f"e{k}", f"r{k % 5}") for k in range(200)], schema)
+    BucketStore(spark, root, 16).upsert(first, "s", 0, embed)
+    with open(calls) as f:
+        assert len(f.readlines()) == 205  # every string once
+    old, before = BucketStore(spark, root).manifest, _files(root)
+    BucketStore(spark, root).upsert(spark.createDataFrame([(7, "e8", "r1")], schema), "s", 1, embed)
+    store = BucketStore(spark, root)
+    changed = {k: [b for b in store.manifest[k] if store.manifest[k][b] != old[k][b]] for k in ("records", "vectors")}
+    assert len(changed["records"]) == 1 and not changed["vectors"] and len(_files(root) - before) == 1
+    with open(calls) as f:
+        assert len(f.readlines()) == 205  # both strings were known
+    rows = {r["id"]: r for r in store.read("records").collect()}
+    assert len(rows) == 200 and (rows[7]["example"], rows[7]["example_embedding"]) == ("e8", [2.0]) and rows[8]["rewrite"] == "r3"
+    now = _files(root)
+    BucketStore(spark, root).upsert(spark.createDataFrame([(7, "other", "text")], schema), "s", 1, embed)  # a replayed epoch
+    assert _files(root) == now and BucketStore(spark, root).version == store.version == 1
+    BucketStore(spark, root).upsert(spark.createDataFrame([(7, None, "text"), (None, "x", "y")], schema), "t", 0, embed)
+    last = {r["id"]: r for r in BucketStore(spark, root).read("records").collect()}
+    assert len(last) == 200 and last[7]["example"] is None and last[7]["example_embedding"] is None and last[7]["rewrite_embedding"] == [4.0]
