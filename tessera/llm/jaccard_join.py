@@ -55,8 +55,8 @@ LINK_BLOCK = 512
 LINK_SHINGLES = 1 << 20
 #: a key of at most so many classes is one row; of a larger one at most HELD rows are held while it is read
 PACKED, HELD = 64, 4096
-#: (document, class) pairs that are broadcast at most, 16 bytes each
-ID_ROWS = 2_000_000
+#: (document, class) pairs that are broadcast at most (about 100 bytes each as a hash table)
+ID_ROWS = 500_000
 _CELL_SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
