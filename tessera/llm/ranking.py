@@ -1,22 +1,25 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Preference pairs (a document labelled good beats one labelled bad) are drawn from a bounded
-sample of labelled rows; the logistic loss on the feature difference of each pair,
+Preference pairs (a document labelled good beats one labelled bad) are drawn from all labelled
+training rows; the logistic loss on the feature difference of each pair,
 log(1 + exp(-w.(x_good - x_bad))), is minimised by Adam. A document's ranking score is w.x.
-The threshold is the quantile of the sample's scores at its share of bad labels; the
+The threshold is the quantile of all training scores at their share of bad labels; the
 reported score is the logistic function of the distance to it, so 0.5 is the threshold.
 
-Sampling bound: the ``MAX_LABELLED`` labelled training rows with the smallest hash of their
-id; everything else (scores, thresholds applied) covers every row. Only labels and texts are read:
+The fit runs where the rows are: every labelled training row is dealt by the hash of its id to one of
+rows / ``BLOCK_ROWS`` blocks, each block is fitted in a task, and the weights are the mean of the blocks'
+weights by their rows (parameter averaging). Of a label so rare that blocks could miss it every row goes to several
+blocks. Ranks, quantile and spread of the scores are exact, over every training row. Only labels and texts are read:
 language, source and id are no features.
 
 Defined cases: null and empty texts have the zero text's features and get a score; null labels are
-no labels; repeated ids in the labels take the larger label; without both labels every score is 0.5; every
+no labels; repeated ids in the labels take the larger label, and every document of such an id is a row; without both labels every score is 0.5; every
 input row gives one row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import decimal
 import zlib
 
 import numpy as np
@@ -25,9 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import dense_index
+from ..session import release
 from . import common as C
 
-MAX_LABELLED = 8_000
+#: labelled rows fitted in one task
+BLOCK_ROWS = 8_000
+#: rows of either label that a block is to have; rows of a rarer one go to several blocks
+RARE_ROWS = 64
 WORD_BUCKETS = 512
 PAIRS_PER_STEP = 2_048
 STEPS = 300
@@ -63,13 +71,18 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def fit(good: np.ndarray, bad: np.ndarray, steps: int = STEPS, pairs: int = PAIRS_PER_STEP,
-        rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """Weights that minimise the pairwise logistic loss over sampled (good, bad) pairs."""
+        rate: float = 0.02, decay: float = 1e-4, seed: int = 7, counts: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Weights that minimise the pairwise logistic loss over drawn (good, bad) pairs; ``counts``: how often each row occurs."""
+    ends = [np.cumsum(c) for c in counts] if counts else [np.arange(1, len(x) + 1) for x in (good, bad)]
+
+    def draw(x, end):
+        return x[np.searchsorted(end, rng.integers(end[-1], size=pairs), side="right")]
+
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(good.shape[1]) for _ in range(3))
     total = np.zeros_like(w)
     for t in range(1, steps + 1):
-        d = good[rng.integers(len(good), size=pairs)] - bad[rng.integers(len(bad), size=pairs)]
+        d = draw(good, ends[0]) - draw(bad, ends[1])
         g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -78,7 +91,7 @@ def fit(good: np.ndarray, bad: np.ndarray, steps: int = STEPS, pairs: int = PAIR
 
 
 class Ranker:
-    """Fitted weights with the threshold; ``scale`` is the spread of the sample's scores."""
+    """Fitted weights with the threshold; ``scale`` is the spread of the training scores."""
 
     def __init__(self, weights, threshold: float, scale: float):
         self.weights, self.threshold, self.scale = weights, threshold, scale
@@ -87,49 +100,92 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip((x @ self.weights - self.threshold) * self.scale, -30, 30)))
 
 
-def _matrix(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and features of a bounded frame (text, y); features are computed in the tasks."""
+def _vectors(batches):
+    """Features of the texts of (k, y, text)."""
+    for b in batches:
+        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            x = [np.minimum(features(t), 6e4).astype(np.float16).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["k", "y", "x"])
+
+
+def _array(x) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), np.float16).astype(np.float32).reshape(-1, _WIDTH)
 
-    def vectors(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column(1).cast(pa.int32()), pa.array([features(t).astype(np.float16).tobytes() for t in b.column(0).to_pylist()],
-                                                       pa.binary())], names=["y", "x"])
 
-    rows = df.mapInArrow(vectors, "y int, x binary").collect()
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, _WIDTH)
-    order = np.lexsort(x.T[::-1]) if len(x) else np.arange(0)  # rows in an order of their own, not the tasks'
-    return np.array([r["y"] for r in rows], np.int32)[order], x[order]
+def _fit_block(table: pa.Table) -> pa.Table:
+    """Weights of one block, times its rows, as fixed-point numbers: their sum is the same in any order."""
+    table = table.combine_chunks()
+    x, y, n = _array(table.column("x")), table.column("y").to_numpy(), table.column("n").to_numpy()
+    order = np.lexsort(x.T[::-1])  # rows in an order of their own, not the shuffle's
+    x, y, n = x[order], y[order], n[order]
+    good = y > 0
+    if good.all() or not good.any():
+        return pa.table({"i": pa.array([], pa.int32()), "v": pa.array([], pa.decimal128(38, 0))})
+    w = fit(x[good], x[~good], seed=7 + int(table.column("block")[0].as_py()), counts=(n[good], n[~good]))
+    fixed = [decimal.Decimal(round(v * (1 << 40)) * int(n.sum())) for v in [*w.tolist(), 1.0]]
+    return pa.table({"i": pa.array(range(len(fixed)), pa.int32()), "v": pa.array(fixed, pa.decimal128(38, 0))})
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED,
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", block_rows: int = BLOCK_ROWS,
           fold: tuple[int, int] | None = FOLD) -> Ranker:
-    """Fit on at most ``max_labelled`` labelled rows outside the held-out fold."""
+    """Fit on every labelled row outside the held-out fold, in blocks of about ``block_rows`` rows."""
     C.ship(docs.sparkSession)
     known = labels.select(labels["doc_id"].alias("k"), labels[label].cast("int").alias("y")).where("k is not null and y is not null")
     if fold:
         known = known.where(~C.held_out(F.col("k"), *fold))
-    picked = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(max_labelled)
-    base = C.texts(docs)
-    y, x = _matrix(base.join(F.broadcast(picked), base["doc_id"] == picked["k"]).select("text", "y"))
-    good, bad = x[y > 0], x[y <= 0]
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(_WIDTH), 0.0, 1.0)
-    w = fit(good, bad)
-    s = x @ w
-    threshold = _between(s, len(bad) / len(s))
-    return Ranker(w, threshold, 4.0 / max(1e-6, float(np.std(s))))
-
-
-def _between(scores: np.ndarray, share: float) -> float:
-    """Score quantile at ``share``: the middle of the widest gap within two percent of that rank."""
-    s = np.sort(scores)
-    k, slack = int(round(share * len(s))), max(1, len(s) // 50)
-    a, b = max(1, k - slack), min(len(s) - 1, k + slack)
-    if a >= b:
-        return float(np.quantile(s, share))
-    gap = a + int(np.argmax(s[a:b + 1] - s[a - 1:b]))
-    return float((s[gap - 1] + s[gap]) / 2)
+    known = known.groupBy("k").agg(F.max("y").alias("y"))
+    if known.count() <= C.BROADCAST_ROWS:
+        known = F.broadcast(known)
+    base = C.texts(docs).where("doc_id is not null")
+    if fold:
+        base = base.where(~C.held_out(F.col("doc_id"), *fold))
+    rows = C.stored(base.join(known, base["doc_id"] == known["k"]).select("k", "y", "text")
+                    .mapInArrow(_vectors, f"k {dict(known.dtypes)['k']}, y int, x binary"), "ranking-rows")
+    try:
+        n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if(F.col("y") <= 0)).first()
+        if not n_bad or n_bad == n:
+            return Ranker(np.zeros(_WIDTH), 0.0, 1.0)
+        w = _weights(rows, n, n_bad, block_rows)
+        return Ranker(w, *_threshold(rows, w, n, n_bad))
+    finally:
+        C.discard(rows)
+
+
+def _weights(rows: DataFrame, n: int, n_bad: int, block_rows: int) -> np.ndarray:
+    """Mean of the weights fitted on the blocks of ``rows(k, y, x)``, by the blocks' rows."""
+    blocks = -(-n // block_rows)
+    times = [min(blocks, -(-RARE_ROWS * blocks // m)) for m in (n - n_bad, n_bad)]  # blocks that a good and a bad row goes to
+    copies = F.when(F.col("y") > 0, times[0]).otherwise(times[1])
+    home = F.pmod(F.xxhash64("k"), F.lit(blocks))
+    dealt = rows.select("y", "x", home.alias("home"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("j"))
+    # rows that repeat are one row with a count, so an id of very many rows fills no block
+    dealt = dealt.select(F.pmod(F.col("home") + F.col("j"), F.lit(blocks)).alias("block"), "y", "x").groupBy("block", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    sums = dealt.groupBy("block").applyInArrow(_fit_block, "i int, v decimal(38,0)").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(_WIDTH + 1)
+    for r in sums:
+        total[r["i"]] = float(r["v"])
+    return total[:-1] / total[-1]
+
+
+def _threshold(rows: DataFrame, w: np.ndarray, n: int, n_bad: int) -> tuple[float, float]:
+    """Threshold and scale from the scores of all rows: the quantile at the share of bad ones, in the middle of the
+    widest gap within two percent of that rank. Scores are ranked by Spark; the driver sees one gap."""
+
+    def scan(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_array(b.column(0)) @ w, pa.float64())], names=["s"])
+
+    s = C.stored(rows.select("x").mapInArrow(scan, "s double"), "ranking-scores")
+    spread = s.agg(F.stddev_pop("s")).first()[0]
+    slack = max(1, n // 50)
+    a, b = max(1, n_bad - slack), min(n - 1, n_bad + slack)
+    ranked = dense_index(s, ["s"])
+    near = ranked.where(F.col("idx").between(a - 1, b))
+    up = near.select((F.col("idx") - 1).alias("idx"), F.col("s").alias("t"))
+    gap = near.join(up, "idx").agg(F.max(F.struct((F.col("t") - F.col("s")).alias("gap"), (-F.col("idx")).alias("first"), "s", "t")).alias("m")).first()["m"]
+    release(ranked)
+    C.discard(s)
+    return (gap["s"] + gap["t"]) / 2, 4.0 / max(1e-6, float(spread))
 
 
 def classify(docs: DataFrame, model: Ranker, fold: tuple[int, int] = FOLD) -> DataFrame:

@@ -165,3 +165,33 @@ def test_ranking_edge_cases(spark):
     assert {r["score"] for r in ranking.classify(docs, nothing).collect()} == {0.5}
     assert ranking.classify(X.empty(spark), model).count() == 0
     assert ranking.keep_good(docs, nothing).count() == len(X.edge_rows())
+
+
+def test_ranking_learns_from_every_labelled_row(spark):
+    """What tells good from bad stands in the rows with the greatest id hashes alone, beyond the first 8,000."""
+    train = spark.range(13_000, 27_000).selectExpr("id AS doc_id", "int(id % 2) AS quality")  # more than 8,000 outside the fold
+    at = train.where("crc32(string(doc_id)) % 3 <> 1").selectExpr("doc_id", "row_number() OVER (ORDER BY xxhash64(doc_id), doc_id) AS at")
+    more = train.join(at, "doc_id", "left").selectExpr(
+        "doc_id", "CASE WHEN coalesce(at, 1) <= 8100 THEN 'plain words' WHEN quality = 1 THEN 'plain alpha' ELSE 'plain beta' END AS text")
+    model = ranking.train(more, train)
+    a, b, c = (model.scores(ranking.features(t)[None])[0] for t in (b"plain alpha", b"plain words", b"plain beta"))
+    assert a > b > c and a > 0.5 > c
+
+
+def test_ranking_blocks_and_exact_threshold(spark):
+    """Blocks of few rows agree with one block; a rare label reaches all of them; the threshold is that of all scores."""
+    rnd = np.random.default_rng(3)
+    rows = [(k, " ".join(rnd.choice(["red", "blue", "green", "grey"] + (["spam"] * 6 if k % 40 == 0 else []), 12))) for k in range(1_200)]
+    docs = X.frame(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 40 > 0)) for k, _ in rows], "doc_id long, quality int")
+    x = np.array([ranking.features(t.encode()).astype(np.float16) for _, t in rows], np.float32)
+    y = np.array([k % 40 > 0 for k, _ in rows])
+    for size in (8_000, 100):
+        model = ranking.train(docs, labels, block_rows=size, fold=None)
+        s = x @ model.weights
+        assert np.mean(s[y][:, None] > s[~y][None, :]) > 0.99
+        s.sort()
+        k, slack = int((~y).sum()), len(s) // 50
+        a = max(1, k - slack)
+        gap = a + int(np.argmax(s[a:k + slack + 1] - s[a - 1:k + slack]))
+        assert abs(model.threshold - (s[gap - 1] + s[gap]) / 2) < 1e-9 and abs(model.scale - 4 / np.std(s)) < 1e-6
