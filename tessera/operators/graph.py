@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bucketed, checkpoint_dir, cut_lineage, release
+from ..session import bucketed, checkpoint_dir, cut_lineage, release, ship
 from .common import dense_index
 
 
@@ -63,7 +65,11 @@ def _buckets(df: DataFrame, key: str, n: int | None = None, **figures) -> DataFr
 
 def _state_buckets(nodes: DataFrame, edges: DataFrame) -> int:
     """Buckets of a state over ``nodes``: those of the edges (from ``adjacency``), or fewer in a small graph."""
-    n, rows = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(nodes.count(), edges.figures["rows"])
+    return _few(nodes, max(nodes.count(), edges.figures["rows"]))
+
+
+def _few(df: DataFrame, rows: int) -> int:
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return n if rows >= n * BUCKET_ROWS else max(1, rows // BUCKET_ROWS)
 
 
@@ -108,12 +114,15 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes (they are components of their own), then colours: colour = greatest id that reaches
     the node; a node whose colour is its own id is a root; the root's component is every
     same-coloured node that reaches it (backward pass within the colour). Found components leave the state; the
-    rest is coloured again. The edges are stored twice, in buckets by either end, and are only
+    rest is coloured again. Nodes that lack edges into or out of them never enter the state. The edges are stored twice, in buckets by either end, and are only
     rewritten (in place, by their own end) when half of the nodes are done.
     """
-    out, back = adjacency(edges, "src"), adjacency(edges, "dst")
-    n = _state_buckets(nodes, out)
-    state = _buckets(nodes.select("id").distinct().withColumn("scc", F.lit(None).cast("bigint")), "id", n)
+    out = adjacency(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "src")
+    back = adjacency(out, "dst")
+    all_nodes = nodes.select("id").distinct()
+    some = all_nodes.join(out.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    n = _state_buckets(some, out)
+    state = _buckets(some.withColumn("scc", F.lit(None).cast("bigint")), "id", n)
     size = None
     while True:  # every round finds at least one component
         active = state.where(F.col("scc").isNull()).select("id")
@@ -129,7 +138,9 @@ def strongly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         left = state.figures["left"]
         if not left:
             release(out, back)
-            return state
+            done = cut_lineage(all_nodes.join(state, "id", "left").select("id", F.coalesce("scc", "id").alias("scc")))
+            release(state)
+            return done
         if size is None or 2 * left <= size:
             size, used = left, (out, back)
             out = _buckets(out.join(core.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"), "src")
@@ -150,56 +161,97 @@ def relax_cycles(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
     acyclic, so the result is a DAG; only edges on a cycle are removed; all nodes stay.
     Returns (kept_edges, removed_edges).
     """
+    edges = cut_lineage(edges)  # read four times below
     scc = strongly_connected(nodes, edges)
     tagged = (edges.join(scc.select(F.col("id").alias("src"), F.col("scc").alias("a")), "src")
               .join(scc.select(F.col("id").alias("dst"), F.col("scc").alias("b")), "dst"))
     drop = (F.col("a") == F.col("b")) & (F.col("src") < F.col("dst"))
     tagged = cut_lineage(tagged.withColumn("_drop", drop))
-    release(scc)
+    release(scc, edges)
     kept = tagged.where(~F.col("_drop")).select("src", "dst")
     removed = tagged.where(F.col("_drop")).select("src", "dst")
     return kept, removed
 
 
-def dependency_levels(nodes: DataFrame, dag: DataFrame, unroll: int = UNROLL) -> DataFrame:
+#: edges and nodes of one block of ``dependency_levels``: what a task holds at once
+BLOCK_EDGES, BLOCK_NODES = 500_000, 100_000
+_PEELED = "block int, pending long, best int, level int, fresh boolean"
+
+
+def _peel_block(state: pa.Table, inner: pa.Table) -> pa.Table:
+    """One round of one block: every node that its own block's edges can place is placed, level by level."""
+    ids = state.column("id").to_numpy()
+    order = np.argsort(ids)
+    pending, best = (state.column(c).to_numpy().copy() for c in ("pending", "best"))
+    level = state.column("level").to_pandas().to_numpy(float)
+    src, dst = (order[np.searchsorted(ids, inner.column(c).to_numpy(), sorter=order)] for c in ("src", "dst"))
+    by = np.argsort(dst)
+    src, ends = src[by], np.concatenate([[0], np.cumsum(np.bincount(dst, minlength=len(ids)))])
+    fresh = np.zeros(len(ids), bool)
+    ready = np.flatnonzero(np.isnan(level) & (pending == 0))
+    while len(ready):
+        level[ready], fresh[ready] = best[ready] + 1, True
+        n = ends[ready + 1] - ends[ready]
+        up = src[np.arange(n.sum()) + np.repeat(ends[ready] - np.cumsum(n) + n, n)]  # heads of the placed nodes' edges
+        np.subtract.at(pending, up, 1)
+        np.maximum.at(best, up, np.repeat(level[ready], n).astype(best.dtype))
+        up = np.unique(up)
+        ready = up[pending[up] == 0]
+    return pa.table([state.column("id"), state.column("block"), pa.array(pending), pa.array(best), pa.array(level, from_pandas=True).cast(pa.int32()), pa.array(fresh)],
+                    names=["id", "block", "pending", "best", "level", "fresh"])
+
+
+def dependency_levels(nodes: DataFrame, dag: DataFrame, block_edges: int = BLOCK_EDGES, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """GRF-3: level 0 for nodes without successors, else 1 + the greatest successor level.
 
-    Peeling with pending-successor counts: in step k every unplaced node whose successors
-    are all placed gets level k, and its predecessors' counts drop by its edges. ``unroll``
-    steps run per job; the state is checkpointed between jobs. An edge is needed once, when its
-    head is placed: the pending counts add up to the edges still needed, and whenever these fall
-    to half of the stored ones the rest is rewritten, so rounds read what is left of the graph.
+    Peeling with pending-successor counts, over the nodes that some edge leads to; all other levels follow from these in
+    one aggregation. The nodes are dealt to blocks by ranges of their ids. A round first takes what the round before placed across
+    the edges between blocks, then every block places all that its own edges (stored with the block, read in place) allow, however
+    many levels that is. So rounds grow with the crossings from block to block on a path, not with the levels, and every edge
+    passes its level on once. A round that places nothing is on a cycle.
     """
+    ship(nodes.sparkSession)
     e = adjacency(dag, "dst")
-    n = _state_buckets(nodes, e)
-    outdeg = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
-    state = _buckets(nodes.select("id").distinct().join(outdeg, "id", "left")
-                     .select("id", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(None).cast("int").alias("level")), "id", n)
-    level, n_edges = 0, None
-    while True:
-        last = state
-        for _ in range(unroll):
-            is_ready = F.col("level").isNull() & (F.col("pending") == 0)
-            ready = state.where(is_ready).select(F.col("id").alias("dst"))
-            dec = e.join(ready, "dst").groupBy(F.col("src").alias("_id")).agg(F.count(F.lit(1)).alias("d"))
-            state = (state.join(dec, F.col("id") == F.col("_id"), "left")
-                     .select("id", (F.col("pending") - F.coalesce("d", F.lit(0))).alias("pending"),
-                             F.when(is_ready, F.lit(level)).otherwise(F.col("level")).alias("level")))
-            level += 1
-        state = _buckets(state, "id", n, left=F.count_if(F.col("level").isNull()), top=F.max("level"), needed=F.sum("pending"))
-        release(last)
-        left, top, needed = (state.figures[k] for k in ("left", "top", "needed"))
-        if not left:
-            release(e)
-            return state.select("id", "level")
-        if top is None or top < level - unroll:
-            # a whole chunk placed nothing although nodes remain: they sit on a cycle
+    all_nodes = nodes.select("id").distinct()
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+    heads = all_nodes.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
+    n_nodes, n_edges = heads.count(), inner.count()
+    blocks = max(1, n_nodes // block_nodes, n_edges // block_edges)
+    at = cut_lineage(heads.repartitionByRange(blocks, "id").select("id", F.spark_partition_id().alias("block")))
+    ends = (inner.join(at.select(F.col("id").alias("src"), F.col("block").alias("sb")), "src")
+            .join(at.select(F.col("id").alias("dst"), F.col("block").alias("db")), "dst", "left"))
+    ends = cut_lineage(ends)
+    local = _buckets(ends.where("sb = db").select(F.col("sb").alias("block"), "src", "dst").repartition(blocks, "block"), "block", blocks)
+    cross = _buckets(ends.where("sb <> db").select("dst", "src").repartition(n, "dst"), "dst", n, rows=F.count(F.lit(1)))
+    out = ends.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("pending"))
+    state = (at.join(out, "id", "left").select("id", "block", F.coalesce("pending", F.lit(0)).cast("bigint").alias("pending"), F.lit(-1).alias("best"),
+                                               F.lit(None).cast("int").alias("level"), F.lit(False).alias("fresh")))
+    last, schema = None, f"id {dict(at.dtypes)['id']}, {_PEELED}"
+    while n_nodes:
+        if last is not None:
+            new = last.where("fresh").select(F.col("id").alias("dst"), F.col("level").alias("l"))
+            got = cross.join(new, "dst").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d"), F.max("l").alias("m"))
+            state = (last.join(got, "id", "left").select("id", "block", (F.col("pending") - F.coalesce("d", F.lit(0))).alias("pending"),
+                                                         F.greatest("best", "m").alias("best"), "level", F.lit(False).alias("fresh")))
+        state = state.groupBy("block").cogroup(local.groupBy("block")).applyInArrow(_peel_block, schema)
+        before, last = last, _buckets(state, "block", blocks, left=F.count_if(F.col("level").isNull()), placed=F.count_if("fresh"))
+        if before is None:
+            release(ends)
+        else:
+            release(before)
+        if not last.figures["left"]:
+            break
+        if not last.figures["placed"]:
             raise ValueError("graph has a cycle; relax it first")
-        if n_edges is None or needed * 2 <= n_edges:
-            unplaced = state.where(F.col("level").isNull()).select(F.col("id").alias("dst"))
-            stored, e = e, _buckets(e.join(unplaced, "dst", "left_semi").select("src", "dst"), "dst")
-            release(stored)
-            n_edges = needed
+    known = (last.select("id", "level") if last is not None else at.select("id", F.lit(0).alias("level"))).withColumnRenamed("id", "dst")
+    top = e.join(known, "dst", "left").groupBy(F.col("src").alias("id")).agg((F.max("level") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+    found = _buckets(all_nodes.join(top, "id", "left").select("id", F.coalesce("level", F.lit(0)).cast("int").alias("level"), "open"), "id",
+                     _few(nodes, max(n_nodes, n_edges)), open=F.sum("open"))
+    release(e, at, local, cross, *([last] if last is not None else []))
+    if found.figures["open"]:
+        raise ValueError("an edge leads to no node")
+    return found.select("id", "level")
 
 
 def level_sizes(levels: DataFrame) -> DataFrame:

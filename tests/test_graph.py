@@ -195,3 +195,52 @@ def test_fixpoints_leave_few_checkpoints(spark):
         return len(os.listdir(root)) - before
 
     assert left(24) <= left(6) + 1
+
+
+def _longest(edges, nodes):
+    level = {}
+    out = {v: [b for a, b in edges if a == v] for v in nodes}
+    for v in sorted(nodes):  # edges lead to smaller ids
+        level[v] = max([1 + level[b] for b in out[v]], default=0)
+    return level
+
+
+def test_levels_take_rounds_by_blocks_not_by_levels(spark, monkeypatch):
+    """A deep graph is placed in as many rounds as its paths cross blocks; labels are the same however nodes are dealt."""
+    stored = []
+    real = G._buckets
+
+    def counted(df, key, n=None, **figures):
+        out = real(df, key, n, **figures)
+        if "left" in figures:
+            stored.append(out.figures)
+        return out
+
+    monkeypatch.setattr(G, "_buckets", counted)
+    rnd = random.Random(5)
+    edges = sorted({(a, rnd.randrange(max(0, a - 9), a)) for a in range(1, 120) for _ in range(3)} | {(a, a - 1) for a in range(1, 120)})
+    n, e = frames(spark, edges, nodes=[*range(120), 500])
+    want = _longest(edges, [*range(120), 500])
+    assert max(want.values()) == 119
+    for size, most in ((G.BLOCK_NODES, 1), (30, 8)):
+        stored.clear()
+        assert {r["id"]: r["level"] for r in G.dependency_levels(n, e, block_nodes=size).collect()} == want
+        assert len(stored) <= most
+    # against the order of ids: blocks wait for each other, the result stays
+    up = [(119 - a, 119 - b) for a, b in edges if rnd.random() < 0.4]
+    n, e = frames(spark, up, nodes=range(120))
+    back = _longest([(119 - a, 119 - b) for a, b in up], range(120))
+    assert {r["id"]: r["level"] for r in G.dependency_levels(n, e, block_nodes=20).collect()} == {119 - v: k for v, k in back.items()}
+
+
+def test_levels_refuse_cycles_and_lost_ends(spark):
+    import pytest
+    for bad in ([(1, 2), (2, 3), (3, 1), (4, 1)], [(1, 2), (2, 1)]):
+        n, e = frames(spark, bad)
+        with pytest.raises(ValueError):
+            G.dependency_levels(n, e)
+    with pytest.raises(ValueError):
+        G.dependency_levels(spark.createDataFrame([(1,)], "id bigint"), spark.createDataFrame([(1, 2)], "src bigint, dst bigint"))
+    n = spark.createDataFrame([(1,), (None,)], "id bigint")
+    e = spark.createDataFrame([(1, 1), (None, 1), (7, 1)], "src bigint, dst bigint")
+    assert {r["id"]: r["level"] for r in G.dependency_levels(n, e).collect()} == {1: 0, None: 0}
