@@ -66,3 +66,23 @@ def test_base_name_and_truncate(spark):
 def test_row_json_keeps_nulls(spark):
     df = spark.createDataFrame([(1, None, "x")], "a int, b string, c string")
     assert df.select(J.row_json(df, exclude=["c"])).first()[0] == '{"a":1,"b":null}'
+
+
+def test_code_lines_leave_the_worker_in_small_batches(spark):
+    """What a worker holds of its result does not grow with its rows or with a text; nulls give no lines."""
+    import pyarrow as pa
+
+    from tessera.operators import textops as O
+    long = "a{\n" * 3 + "b;\n" * 30_000 + "}"
+    rows = pa.RecordBatch.from_pydict({"key": pa.array([*range(3_000), None, 9], pa.int64()), "text": pa.array(["x{\ny;\n}"] * 3_000 + [long, None])})
+    sizes, got = [], []
+    for b in O._line_batches(iter([rows])):
+        sizes.append(b.num_rows)
+        got += zip(*(c.to_pylist() for c in b.columns), strict=True)
+    assert max(sizes) <= O.BATCH_LINES and len(got) == 9_000 + 30_004
+    assert got[:3] == [(0, 0, 0, "x{"), (0, 1, 1, "    y;"), (0, 2, 0, "}")]
+    assert [g[:3] for g in got[9_000:]] == [(None, k, min(k, 3) if k < 30_003 else 2) for k in range(30_004)]
+    df = spark.createDataFrame([(1, "a{b;}"), (None, "c"), (2, None)], "k bigint, s string")
+    assert sorted(((r["k"] or 0, r["pos"], r["level"], r["line"]) for r in normalise_code_lines(df, "k", "s").collect())) == [
+        (0, 0, 0, "c"), (1, 0, 0, "a{"), (1, 1, 1, "    b;"), (1, 2, 0, "}")]
+    assert {(r["k"], r["normalised"]) for r in normalise_code(df, "k", "s").collect()} == {(1, "a{\n    b;\n}"), (None, "c"), (2, None)}
