@@ -301,16 +301,22 @@ def successors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 class LevelStore:
     """Results of a level-ordered job, written once under ``level=k``, and the edges once, partitioned by their source's level.
 
-    A level reads the edge rows of its own level and, of the results, the levels that these edges lead to.
+    A level reads the edge rows of its own level and, of the results, the levels that these edges lead to. Rows are
+    written in order of their levels, so a level has as many files as it has full partitions; the results of ``MERGE`` levels
+    become one folder when the last of them is there, so a level looks into few folders however deep the graph is. Columns of
+    ``levels`` other than the level stay with the nodes.
     """
 
+    MERGE = 16
+
     def __init__(self, levels: DataFrame, dag: DataFrame):
         self.spark = levels.sparkSession
         self.root = f"{checkpoint_dir(self.spark).rstrip('/')}/levels-{uuid.uuid4().hex}"
-        at = levels.select("id", "level")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        at = levels.select("id", "level").distinct()
         up, down = at.select(F.col("id").alias("src"), "level"), at.select(F.col("id").alias("dst"), F.col("level").alias("dst_level"))
-        dag.select("src", "dst").distinct().join(up, "src").join(down, "dst").write.partitionBy("level").parquet(f"{self.root}/edges")
-        at.write.partitionBy("level").parquet(f"{self.root}/nodes")
+        dag.select("src", "dst").distinct().join(up, "src").join(down, "dst").repartitionByRange(n, "level", "src").write.partitionBy("level").parquet(f"{self.root}/edges")
+        levels.repartitionByRange(n, "level", "id").write.partitionBy("level").parquet(f"{self.root}/nodes")
         edges = self.spark.read.schema("src bigint, dst bigint, dst_level int, level int").parquet(f"{self.root}/edges")
         pairs = edges.groupBy("level", "dst_level").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()  # one row per pair of levels
         self.leads_to: dict[int, list[int]] = {}
@@ -318,9 +324,11 @@ class LevelStore:
             self.leads_to.setdefault(r["level"], []).append(r["dst_level"])
         self.top = at.agg(F.max("level")).first()[0]
         self.schema = None
+        self.place: dict[int, str] = {}  # folder with the results of a level
+        self.node_schema = levels.drop("level").schema
 
     def nodes(self, level: int) -> DataFrame:
-        return self.spark.read.schema("id bigint").parquet(f"{self.root}/nodes/level={level}")
+        return self.spark.read.schema(self.node_schema).parquet(f"{self.root}/nodes/level={level}")
 
     def children(self, level: int) -> DataFrame | None:
         """(id, child, the child's result columns) of the level's nodes; None where no edge leaves the level."""
@@ -328,17 +336,32 @@ class LevelStore:
         if not needed or self.schema is None:
             return None
         edges = self.spark.read.schema("src bigint, dst bigint").parquet(f"{self.root}/edges/level={level}")
-        found = self.spark.read.schema(self.schema).parquet(*[f"{self.root}/results/level={k}" for k in needed])
+        found = self.spark.read.schema(self.schema).parquet(*sorted({self.place[k] for k in needed}))
         return edges.join(found.withColumnRenamed("id", "dst"), "dst").withColumnRenamed("src", "id").withColumnRenamed("dst", "child")
 
     def write(self, level: int, results: DataFrame) -> None:
         self.schema = results.schema
-        results.write.mode("append").parquet(f"{self.root}/results/level={level}")
+        self.place[level] = f"{self.root}/results/level={level}"
+        results.write.mode("append").parquet(self.place[level])
+
+    def merge(self, level: int) -> None:
+        """After the last batch of ``level``: the results of the last ``MERGE`` levels into one folder."""
+        few = range(level + 1 - self.MERGE, level + 1)
+        if (level + 1) % self.MERGE:
+            return
+        old = self.spark.read.schema(self.schema).parquet(*[self.place[k] for k in few])
+        path = f"{self.root}/results/to={level}"
+        old.write.parquet(path)
+        for k in few:
+            done = self.spark.createDataFrame([], self.schema)
+            done._checkpoint = self.place[k]
+            release(done)
+            self.place[k] = path
 
     def results(self, schema=None) -> DataFrame | None:
         if self.schema is None:
             return None
-        out = self.spark.read.schema(self.schema).parquet(f"{self.root}/results/level=*")
+        out = self.spark.read.schema(self.schema).parquet(*sorted(set(self.place.values())))
         out._checkpoint = self.root  # ``release`` drops the whole store
         return out
 
@@ -346,7 +369,7 @@ class LevelStore:
 def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, batch_size: int | None = None):
     """GRF-5: process nodes level by level; each node sees only its direct successors' results.
 
-    ``node_fn(frontier, child_results) -> DataFrame`` receives the nodes of one level (``id``) and the rows that earlier levels
+    ``node_fn(frontier, child_results) -> DataFrame`` receives the nodes of one level (``id`` and further columns of ``levels``) and the rows that earlier levels
     produced for their direct successors (``id``, ``child`` and the child's result columns; None where no edge leaves
     the level) and returns result rows keyed by ``id``. Every result is written once (``LevelStore``). With ``batch_size`` a level is
     processed in batches of so many nodes in id order, one after the other; without it a level is one batch.
@@ -357,12 +380,14 @@ def propagate_by_level(levels: DataFrame, dag: DataFrame, node_fn, batch_size: i
         nodes, child = store.nodes(k), store.children(k)
         if batch_size is None:
             store.write(k, node_fn(nodes, child))
+            store.merge(k)
             continue
         numbered = dense_index(nodes, ["id"], index_col="_i")
-        placed = cut_lineage(numbered.select("id", F.floor(F.col("_i") / batch_size).alias("_b")))
+        placed = cut_lineage(numbered.withColumn("_b", F.floor(F.col("_i") / batch_size)).drop("_i"))
         release(numbered)
         for b in range(placed.agg(F.max("_b")).first()[0] + 1):
-            batch = placed.where(F.col("_b") == b).select("id")
+            batch = placed.where(F.col("_b") == b).drop("_b")
             store.write(k, node_fn(batch, child.join(batch, "id", "left_semi") if child is not None else None))
         release(placed)
+        store.merge(k)
     return store.results()

@@ -312,15 +312,14 @@ def level_propagation(spark, sf_dir):
     own = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"),
                                                                      F.lit(True).alias("own"))
 
-    def node_fn(frontier, child):
-        f = frontier.join(own, "id", "left")
+    def node_fn(f, child):
         if child is None:  # no edge leaves the level
             return f.select("id", F.coalesce("own", F.lit(False)).alias("changed"))
         c = child.groupBy("id").agg(F.max(F.col("changed").cast("int")).alias("_c"))
         return f.join(c, "id", "left").select(
             "id", (F.coalesce("own", F.lit(False)) | (F.coalesce("_c", F.lit(0)) == 1)).alias("changed"))
 
-    res = G.propagate_by_level(levels, dag, node_fn)
+    res = G.propagate_by_level(levels.join(own, "id", "left"), dag, node_fn)  # labels are read once, not once a level
     return res.join(levels, "id").select("id", "level", "changed")
 
 

@@ -244,3 +244,36 @@ def test_levels_refuse_cycles_and_lost_ends(spark):
     n = spark.createDataFrame([(1,), (None,)], "id bigint")
     e = spark.createDataFrame([(1, 1), (None, 1), (7, 1)], "src bigint, dst bigint")
     assert {r["id"]: r["level"] for r in G.dependency_levels(n, e).collect()} == {1: 0, None: 0}
+
+
+def test_level_store_keeps_columns_and_few_folders(spark, monkeypatch):
+    """Columns of the levels reach every level's nodes; a level looks into few folders of results, and none is lost."""
+    from tessera.session import release
+    monkeypatch.setattr(G.LevelStore, "MERGE", 3, raising=False)
+    stores, looked = [], []
+
+    class Store(G.LevelStore):
+        def __init__(self, *a):
+            super().__init__(*a)
+            stores.append(self)
+
+        def children(self, level):
+            looked.append(len({self.place[k] for k in self.leads_to.get(level, ()) if k < level}))
+            return super().children(level)
+
+    monkeypatch.setattr(G, "LevelStore", Store)
+    n, e = frames(spark, [(a, b) for a in range(9) for b in range(a)])  # level of k: k, its edges lead to all below
+    levels = n.selectExpr("id", "int(id) AS level", "id * 10 AS weight")
+
+    def node_fn(f, child):
+        if child is None:
+            return f.select("id", F.col("weight").alias("v"))
+        return f.join(child.groupBy("id").agg(F.sum("v").alias("s")), "id", "left").select("id", (F.col("weight") + F.coalesce("s", F.lit(0))).alias("v"))
+
+    out = G.propagate_by_level(levels, e, node_fn)
+    want = {}
+    for k in range(9):
+        want[k] = 10 * k + sum(want[j] for j in range(k))
+    assert sorted((r["id"], r["v"]) for r in out.collect()) == sorted(want.items())
+    assert max(looked) <= 4 and len(set(stores[0].place.values())) == 3
+    release(out)
