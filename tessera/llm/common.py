@@ -20,6 +20,8 @@ from ..session import checkpoint_dir
 
 #: rows of two or three numbers that are broadcast at most
 BROADCAST_ROWS = 200_000
+#: bytes of a batch that goes to a Python worker
+BATCH_BYTES = 4 << 20
 #: ``attach`` treats keys that hold more than this share of all rows as hot: at most 10,000 keys
 HOT_SHARE = 10_000
 
@@ -74,6 +76,17 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python workers hold about ``BATCH_BYTES`` at most, unless the session has a bound of its own.
+
+    Spark's default is 64 MB a batch: an executor holds it in Arrow's buffers and the worker once more, as Python objects and as
+    result, in every task at once. Narrow rows still come 10,000 at a time. Frames are run later by their caller, so the setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,6 +36,8 @@ from . import common as C
 BLOCK_ROWS = 8_000
 #: rows of either label that a block is to have; rows of a rarer one go to several blocks
 RARE_ROWS = 64
+#: texts or vectors that a worker turns into a float matrix at once
+PART_ROWS = 256
 WORD_BUCKETS = 512
 PAIRS_PER_STEP = 2_048
 STEPS = 300
@@ -76,14 +78,16 @@ def fit(good: np.ndarray, bad: np.ndarray, steps: int = STEPS, pairs: int = PAIR
     ends = [np.cumsum(c) for c in counts] if counts else [np.arange(1, len(x) + 1) for x in (good, bad)]
 
     def draw(x, end):
-        return x[np.searchsorted(end, rng.integers(end[-1], size=pairs), side="right")]
+        rows = x[np.searchsorted(end, rng.integers(end[-1], size=pairs), side="right")]
+        return rows.astype(np.promote_types(rows.dtype, np.float32), copy=False)  # half precision is for keeping, not for sums
 
     rng = np.random.default_rng(seed)
     w, m, v = (np.zeros(good.shape[1]) for _ in range(3))
     total = np.zeros_like(w)
     for t in range(1, steps + 1):
-        d = draw(good, ends[0]) - draw(bad, ends[1])
-        g = -(d / (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]).mean(0) + decay * w
+        d = (draw(good, ends[0]) - draw(bad, ends[1])).astype(np.float64, copy=False)
+        d /= (1 + np.exp(np.clip(d @ w, -30, 30)))[:, None]
+        g = -d.mean(0) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         total += w * (t > steps // 2)
@@ -103,25 +107,38 @@ class Ranker:
 def _vectors(batches):
     """Features of the texts of (k, y, text)."""
     for b in batches:
-        for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+        for part in (b.slice(i, PART_ROWS) for i in range(0, b.num_rows, PART_ROWS)):
             x = [np.minimum(features(t), 6e4).astype(np.float16).tobytes() for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["k", "y", "x"])
 
 
-def _array(x) -> np.ndarray:
-    return np.frombuffer(b"".join(x.to_pylist()), np.float16).astype(np.float32).reshape(-1, _WIDTH)
+def _halves(x) -> np.ndarray:
+    """A column of vectors as one matrix, in half precision as they are stored; no second copy of the column on the way."""
+    out = np.empty((len(x), _WIDTH), np.float16)
+    for i in range(0, len(x), PART_ROWS):
+        part = x.slice(i, PART_ROWS).to_pylist()
+        out[i:i + len(part)] = np.frombuffer(b"".join(part), np.float16).reshape(-1, _WIDTH)
+    return out
+
+
+def _raw_scores(x, w: np.ndarray) -> np.ndarray:
+    """Products of a column of vectors with the weights, a part at a time."""
+    out = np.empty(len(x))
+    for i in range(0, len(x), PART_ROWS):
+        out[i:i + PART_ROWS] = _halves(x.slice(i, PART_ROWS)).astype(np.float32) @ w
+    return out
 
 
 def _fit_block(table: pa.Table) -> pa.Table:
     """Weights of one block, times its rows, as fixed-point numbers: their sum is the same in any order."""
-    table = table.combine_chunks()
-    x, y, n = _array(table.column("x")), table.column("y").to_numpy(), table.column("n").to_numpy()
-    order = np.lexsort(x.T[::-1])  # rows in an order of their own, not the shuffle's
-    x, y, n = x[order], y[order], n[order]
-    good = y > 0
-    if good.all() or not good.any():
+    x, y, n = _halves(table.column("x")), table.column("y").to_numpy(), table.column("n").to_numpy()
+    order = np.lexsort(x.view(np.uint16).T[::-1])  # rows in an order of their own, not the shuffle's; no feature is negative, so bits order as values
+    good, bad = order[y[order] > 0], order[y[order] <= 0]
+    if not len(good) or not len(bad):
         return pa.table({"i": pa.array([], pa.int32()), "v": pa.array([], pa.decimal128(38, 0))})
-    w = fit(x[good], x[~good], seed=7 + int(table.column("block")[0].as_py()), counts=(n[good], n[~good]))
+    sides = [x[good], x[bad]]
+    del x
+    w = fit(*sides, seed=7 + int(table.column("block")[0].as_py()), counts=(n[good], n[bad]))
     fixed = [decimal.Decimal(round(v * (1 << 40)) * int(n.sum())) for v in [*w.tolist(), 1.0]]
     return pa.table({"i": pa.array(range(len(fixed)), pa.int32()), "v": pa.array(fixed, pa.decimal128(38, 0))})
 
@@ -173,7 +190,7 @@ def _threshold(rows: DataFrame, w: np.ndarray, n: int, n_bad: int) -> tuple[floa
 
     def scan(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_array(b.column(0)) @ w, pa.float64())], names=["s"])
+            yield pa.RecordBatch.from_arrays([pa.array(_raw_scores(b.column(0), w), pa.float64())], names=["s"])
 
     s = C.stored(rows.select("x").mapInArrow(scan, "s double"), "ranking-scores")
     spread = s.agg(F.stddev_pop("s")).first()[0]
@@ -196,7 +213,7 @@ def classify(docs: DataFrame, model: Ranker, fold: tuple[int, int] = FOLD) -> Da
 
     def scan(batches):
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in (b.slice(i, PART_ROWS) for i in range(0, b.num_rows, PART_ROWS)):
                 x = np.array([features(t) for t in part.column(1).to_pylist()]).reshape(-1, _WIDTH)
                 s = model.scores(x)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))],
@@ -211,7 +228,7 @@ def keep_good(docs: DataFrame, model: Ranker) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+            for part in (b.slice(i, PART_ROWS) for i in range(0, b.num_rows, PART_ROWS)):
                 x = np.array([features(t) for t in part.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, _WIDTH)
                 yield part.filter(pa.array(model.scores(x) >= 0.5))
 

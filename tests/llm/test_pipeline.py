@@ -3,6 +3,9 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from tessera.llm import common, decontaminate, ranking, secrets
 
 from . import fixtures as X
@@ -42,3 +45,28 @@ def test_stages(spark, tokenizer):  # noqa: F811
 def test_run_equals_its_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.count() > 50
+
+
+def test_batches_to_python_are_bounded(spark):
+    """20 MB of texts in one partition reach a worker in small batches, narrow rows still in large ones; a session's own bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(key, None)
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    ids = spark.range(0, 10_000, 1, 1).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.repeat(F.lit("0123456789"), 200))
+    try:
+        for name, stage in corpus_pipeline.STAGES[2:4]:
+            spark.conf.unset(key)
+            stage(spark, docs, X.SF)
+            got = docs.mapInArrow(size, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 10_000 and max(r["size"] for r in got) < 5 << 20, name
+            assert [r["n"] for r in ids.mapInArrow(size, "n long, size long").collect()] == [10_000]
+        spark.conf.set(key, "8m")
+        stage(spark, docs, X.SF)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.set(key, had) if had else spark.conf.unset(key)

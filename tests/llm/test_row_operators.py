@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import ranking, rules, secrets
 from tessera.llm.queries import QUERIES
@@ -195,3 +197,28 @@ def test_ranking_blocks_and_exact_threshold(spark):
         a = max(1, k - slack)
         gap = a + int(np.argmax(s[a:k + slack + 1] - s[a - 1:k + slack]))
         assert abs(model.threshold - (s[gap - 1] + s[gap]) / 2) < 1e-9 and abs(model.scale - 4 / np.std(s)) < 1e-6
+
+
+def test_ranking_block_fits_in_little_memory():
+    """A full block is fitted with its vectors in half precision: twice 12.5 MB and one step's matrices, equal weights."""
+    rnd = np.random.default_rng(5)
+    x = np.zeros((ranking.BLOCK_ROWS, ranking._WIDTH), np.float16)
+    x[:, :40] = rnd.random((len(x), 40))
+    y, n = (x[:, 0] + rnd.random(len(x)) > 0.8).astype(np.int32), rnd.integers(1, 4, len(x))
+    table = pa.table({"block": pa.array([3] * len(x)), "y": y, "x": pa.array([v.tobytes() for v in x], pa.binary()), "n": n})
+    tracemalloc.start()
+    try:
+        got = ranking._fit_block(table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        scores = ranking._raw_scores(table.column("x"), np.ones(ranking._WIDTH))
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 75e6
+    assert np.allclose(scores, x.astype(np.float64).sum(1))
+    f = x.astype(np.float32)
+    order = np.lexsort(f.T[::-1])
+    f, y, n = f[order], y[order], n[order]
+    w = ranking.fit(f[y > 0], f[y <= 0], seed=10, counts=(n[y > 0], n[y <= 0]))
+    assert [int(v) for v in got.column("v").to_pylist()] == [round(v * (1 << 40)) * int(n.sum()) for v in [*w.tolist(), 1.0]]
